@@ -22,7 +22,7 @@ from .common import materialize
 SAMPLE_ROWS, MOST_CENTROIDS, LIST_ROWS, COPIES, SPLIT_ROWS = 20_000, 2_048, 200, 3, 2_000
 #: A vector joins a list whose centroid is at most so many times as far as its nearest one; a query searches such lists.
 BORDER_RATIO, SEARCH_RATIO, SEARCH_LISTS = 1.10, 1.5, 96
-DEGREE, BEAM = 24, 160
+DEGREE, BEAM, PLACE_BEAM = 16, 160, 12
 SEED = 11
 
 
@@ -61,9 +61,8 @@ class Graph:
         self.links = [np.unique(np.concatenate(x)) for x in zip(near, far)]
         self.start = np.unique(np.concatenate([[int(d.argmin())], rng.integers(0, len(cent), 8)])) if len(cent) else np.zeros(0, int)
 
-    def near(self, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, distances), nearest first; about the n nearest."""
-        beam = max(BEAM, 2 * n)
+    def near(self, v: np.ndarray, n: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, distances), nearest first; about the n nearest, by a walk that keeps the best `beam`."""
         seen = set(self.start.tolist())
         first = np.sqrt(((self.cent[self.start] - v) ** 2).sum(1))
         todo = [(d, c) for d, c in zip(first.tolist(), self.start.tolist())]
@@ -126,7 +125,7 @@ def search(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", ever
             ids, vecs, lists, roles, dims = [], [], [], [], []
             for i, v, is_query in zip(batch["_id"], batch["_v"], batch["_query"]):
                 v = np.asarray(v)
-                near, dist = made[len(v)].near(v, SEARCH_LISTS if is_query else COPIES)
+                near, dist = made[len(v)].near(v, *((SEARCH_LISTS, BEAM) if is_query else (COPIES, PLACE_BEAM)))
                 home = near[: COPIES][dist[:COPIES] <= BORDER_RATIO * dist[0] + 1e-12]
                 wide = near[dist <= SEARCH_RATIO * dist[0] + 1e-12] if is_query else ()
                 if is_query and len(wide) < min(16, len(near)):  # a query that lies on a centroid still reads its surroundings
