@@ -3,8 +3,8 @@
 A set of shingle hashes is cut into pieces by hash; a piece's sketch is the XOR of its hashes, so a token that only one of
 two sets has changes one piece at most.  Sets with Jaccard 0.8 or more differ in at most (a + b) / 9 tokens; with more
 pieces than that in their size band, some piece is equal in both.  Sets that share a piece are candidates; a sketch of
-1024 parity bits, whose Hamming distance is a lower bound of the symmetric difference, drops most false ones, and the
-rest are verified on the whole sets.
+parity bits, whose Hamming distance is a lower bound of the symmetric difference, drops most false ones, and the rest
+are verified on the whole sets.
 
 A group of g near copies shares its pieces g at a time.  Links are first sought from one leader of each shared piece;
 only sets that are then still in different components are compared with each other, in blocks of bounded size, so a
@@ -27,9 +27,10 @@ from .hashing import batches_of, mix, word_shingles
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-SKETCH_BITS = 1024
-#: Star rounds with other leaders before blocks are compared; members of a block; ids that are broadcast (8 bytes each).
-ROUNDS, BLOCK, BROADCAST_ROWS = 2, 1024, 300_000
+#: Members of a block; ids that are broadcast (8 bytes each).
+BLOCK, BROADCAST_ROWS = 1024, 300_000
+#: While more pairs than so many times the number of sets are left to compare, another leader is tried; at most ROUNDS times.
+PAIRS_A_SET, ROUNDS = 5_000, 6
 #: Keys of a task that are written out together.
 FLUSH_KEYS = 2_000_000
 
@@ -63,15 +64,28 @@ def piece_keys(hashes: np.ndarray) -> np.ndarray:
         value = np.zeros(m, np.uint64)
         np.bitwise_xor.at(value, piece.astype(np.int64), mix(hashes))
         key = mix(value ^ mix(np.arange(m, dtype=np.uint64) + np.uint64(i << 32)))
-        # an empty piece says little; it may be left out where enough others remain for one to be equal
+        # an empty piece says nothing; with more than `apart` others, one of these is equal in both sets
         filled = value != 0
         out.append(key[filled] if filled.sum() > apart else key)
     return np.concatenate(out)
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    bits = np.bincount((mix(hashes ^ np.uint64(0x5BD1E995)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Parities of the hashes in about as many bits as there are hashes, a power of two from 64 up."""
+    bits = max(64, 1 << round(float(np.log2(len(hashes)))))
+    flips = np.bincount((mix(hashes ^ np.uint64(0x5BD1E995)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, each folded by XOR to `size` bytes; the fold is the sketch of so many bits."""
+    rows = []
+    for s in sketches:
+        x = np.frombuffer(s, np.uint64)
+        while len(x) * 8 > size:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        rows.append(x)
+    return np.array(rows, np.uint64).reshape(len(rows), -1)
 
 
 def _set_id(hashes: np.ndarray) -> int:
@@ -190,11 +204,10 @@ def _linked(pairs: DataFrame, profiles: DataFrame, docs: DataFrame) -> DataFrame
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                x = np.frombuffer(b"".join(batch["sa"]), np.uint64).reshape(len(batch), -1)
-                y = np.frombuffer(b"".join(batch["sb"]), np.uint64).reshape(len(batch), -1)
-                na, nb = batch["na"].to_numpy(), batch["nb"].to_numpy()
-                ok = np.bitwise_count(x ^ y).sum(axis=1) <= most_apart(na, nb)
-                yield batch.loc[ok, ["a", "b"]]
+                size = np.minimum(batch["sa"].map(len), batch["sb"].map(len))
+                for k, own in batch.groupby(size):
+                    flips = np.bitwise_count(_folded(own["sa"], k) ^ _folded(own["sb"], k)).sum(axis=1)
+                    yield own.loc[flips <= most_apart(own["na"], own["nb"]).to_numpy(), ["a", "b"]]
 
     near = materialize(near.where("100 * least(na, nb) >= 80 * greatest(na, nb)").mapInPandas(close, "a bigint, b bigint"), "jaccard-pairs")
     need = near.select(F.col("a").alias("set")).union(near.select("b")).distinct()
@@ -244,6 +257,13 @@ def _mixed(runs: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(runs.join(many, "run", "left_semi"), "jaccard-mixed")
 
 
+def _pairs_left(runs: DataFrame, labels: DataFrame) -> int:
+    """Pairs of members of one run in different components, summed over the runs."""
+    rows = runs.select("run", F.explode("members").alias("set")).join(labels, "set").groupBy("run", "c").count()
+    each = rows.groupBy("run").agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("p"))
+    return int((each.agg(F.sum("p")).first()[0] or 0) // 2)
+
+
 def _across(runs: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFrame:
     """All pairs of a run in different components whose sizes and sketches allow a link, found block against block."""
     rows = runs.select("run", "block", F.explode("members").alias("set")).join(labels, "set").join(profiles.select("set", "n", "sketch"), "set")
@@ -251,17 +271,34 @@ def _across(runs: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFram
     rows = rows.join(most, "run").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     rows = rows.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "c", "n", "sketch")
 
-    def compare(batch: pd.DataFrame) -> pd.DataFrame:
-        ids, comp, n = batch["set"].to_numpy(), batch["c"].to_numpy(), batch["n"].to_numpy()
-        bits = np.frombuffer(b"".join(batch["sketch"]), np.uint64).reshape(len(batch), -1)
+    def pairs_of(ids, comp, n, sketches) -> list[tuple[int, int]]:
+        bits = _folded(sketches, min(map(len, sketches)))
         found = []
-        for x in range(len(batch)):
+        for x in range(len(ids) - 1):
             rest = x + 1 + np.flatnonzero(comp[x + 1 :] != comp[x])
-            rest = rest[np.bitwise_count(bits[rest] ^ bits[x]).sum(axis=1) <= most_apart(n[rest], n[x])]
-            found.extend((min(ids[x], ids[y]), max(ids[x], ids[y])) for y in rest)
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return rows.groupBy("run", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+            if len(rest):
+                rest = rest[np.bitwise_count(bits[rest] ^ bits[x]).sum(axis=1) <= most_apart(n[rest], n[x])]
+                found.extend((min(ids[x], ids[y]), max(ids[x], ids[y])) for y in rest.tolist())
+        return found
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks come sorted; the last of a batch waits for its rest."""
+        rest = None
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            place = batch[["run", "i", "j"]].to_numpy()
+            at = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]).any(axis=1)])).tolist()
+            rest = batch.iloc[at[-1] :]
+            ids, comp, n, bits = batch["set"].tolist(), batch["c"].to_numpy(), batch["n"].to_numpy(), batch["sketch"].tolist()
+            found = set()
+            for a, b in zip(at, at[1:]):
+                found.update(pairs_of(ids[a:b], comp[a:b], n[a:b], bits[a:b]))
+            yield pd.DataFrame(list(found), columns=["a", "b"], dtype=np.int64)
+        if rest is not None:
+            yield pd.DataFrame(pairs_of(rest["set"].tolist(), rest["c"].to_numpy(), rest["n"].to_numpy(), rest["sketch"].tolist()), columns=["a", "b"], dtype=np.int64)
+
+    keys = ["run", "i", "j"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "set", "c", "n", "sketch").mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -281,9 +318,9 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     labels = _labels(links, profiles.select("set"))
     # a run of two is settled by its star
     left = _mixed(runs.where((F.size("members") > 2) | (F.col("block") > 0)), labels)
-    for seed in range(1, ROUNDS + 1):
-        if not left.limit(1).count():
-            break
+    total, seed = profiles.count(), 0
+    while seed < ROUNDS and _pairs_left(left, labels) > PAIRS_A_SET * total:
+        seed += 1
         more = _linked(_stars(left, labels, seed), profiles, side)
         if more.limit(1).count():
             links = links.unionByName(more)
