@@ -191,6 +191,6 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id
             yield out
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = ", ".join([f"doc_id {kind}", "n_tokens bigint", *[f"{k} {kinds[k]}" for k in outputs]])
-    side = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return side.mapInPandas(run, schema)
+    schema = ", ".join(["doc_id string", "n_tokens bigint", *[f"{k} {kinds[k]}" for k in outputs]])
+    side = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return side.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))

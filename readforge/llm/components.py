@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select("v", "u").toDF("u", "v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         now = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m").toDF("u", "v")).where("u <> v").distinct(), "edges")

@@ -192,5 +192,5 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             yield pd.DataFrame({"page_id": batch["page_id"].to_numpy(), "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     kind = pages.schema[key].dataType.simpleString()
-    side = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    return side.mapInPandas(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    side = pages.select(F.col(key).cast("string").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    return side.mapInPandas(run, "page_id string, url string, text string, n_chars bigint").withColumn("page_id", F.col("page_id").cast(kind))

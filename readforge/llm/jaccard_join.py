@@ -106,12 +106,13 @@ def _profiles(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(len(h), _set_id(h) if len(h) else None, sketch(h) if len(h) else None) for _, h in _sets(batch)]
-            out = pd.DataFrame(rows, columns=["n", "set", "sketch"])
-            out["set"] = out["set"].astype("Int64")
+            # as objects: a column of numbers and nulls would become floats and lose digits
+            out = pd.DataFrame(rows, columns=["n", "set", "sketch"], dtype=object)
             out["_key"], out["_id"] = batch["_key"].to_numpy(), batch["_id"].to_numpy()
             yield out
 
-    return docs.mapInPandas(run, f"n bigint, set bigint, sketch binary, _key bigint, _id {kind}")
+    side = docs.withColumn("_id", F.col("_id").cast("string"))
+    return side.mapInPandas(run, "n bigint, set bigint, sketch binary, _key bigint, _id string").withColumn("_id", F.col("_id").cast(kind))
 
 
 def _runs(docs: DataFrame, parts: int) -> DataFrame:

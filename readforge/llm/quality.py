@@ -60,8 +60,8 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"_id": batch["_id"].to_numpy(), "_key": batch["_key"], "_f": [statistics(t) for t in batch["_t"]]})
 
-    side = docs.select("_id", row_key(F.col("_id"), F.col(text)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    return side.mapInPandas(run, f"_id {kind}, _key bigint, _f array<double>")
+    side = docs.select(F.col("_id").cast("string").alias("_id"), row_key(F.col("_id"), F.col(text)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    return side.mapInPandas(run, "_id string, _key bigint, _f array<double>").withColumn("_id", F.col("_id").cast(kind))
 
 
 class Model:
@@ -138,7 +138,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
             score = model.score(np.array(batch["_f"].tolist()).reshape(-1, len(FEATURES)))
             yield pd.DataFrame({"doc_id": batch["_id"].to_numpy(), "held_out": batch["_held"], "score": score, "predicted": (score >= threshold).astype(np.int32), "key": batch["_key"]})
 
-    return found.withColumn("_held", held_out(F.col("_id"))).mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int, key bigint")
+    return found.withColumn("_held", held_out(F.col("_id"))).withColumn("_id", F.col("_id").cast("string")).mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int, key bigint").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -148,7 +148,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     empty result.  Other columns are not read.  Windows are compared by 64-bit hashes.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    side = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"), row_key(F.col(doc_id), F.col(text)).alias("_key"))
+    side = docs.select(F.col(doc_id).cast("string").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"), row_key(F.col(doc_id), F.col(text)).alias("_key"))
     spans_ = materialize(repeated(side.select("_key", "_t"), length, gram), "repeat-spans")
     kinds = {"spans": "array<struct<from:bigint,to:bigint>>", "kept": "binary", "kept_sha256": "string", "key": "bigint"}
 
@@ -168,8 +168,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out.insert(0, "doc_id", batch["_id"].to_numpy())
             yield out
 
-    schema = ", ".join([f"doc_id {kind}", "n_bytes bigint", "n_removed bigint", "n_spans bigint", *[f"{k} {kinds[k]}" for k in outputs]])
-    return side.join(bounded(spans_, BROADCAST_ROWS), "_key", "left").mapInPandas(cut, schema)
+    schema = ", ".join(["doc_id string", "n_bytes bigint", "n_removed bigint", "n_spans bigint", *[f"{k} {kinds[k]}" for k in outputs]])
+    return side.join(bounded(spans_, BROADCAST_ROWS), "_key", "left").mapInPandas(cut, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -131,5 +131,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
             yield out
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    side = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return side.mapInPandas(run, f"doc_id {kind}, n_words bigint, n_tokens bigint, n_unknown bigint")
+    side = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return side.mapInPandas(run, "doc_id string, n_words bigint, n_tokens bigint, n_unknown bigint").withColumn("doc_id", F.col("doc_id").cast(kind))
