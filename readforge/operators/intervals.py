@@ -25,11 +25,12 @@ def with_bins(df: DataFrame, start: str, end: str, bits: int = BIN_BITS) -> Data
 def semi_join(reads: DataFrame, regions: DataFrame, bits: int = BIN_BITS) -> DataFrame:
     """Reads (with ref_id, pos, aligned) that overlap a region: an equi-join on the bin, then the exact test.
 
-    A read's bins are matched as a set, and a read that matches in several comes out once (rows are told apart by all their columns); a hot bin is split like any skewed join.
+    A read that matches in several bins comes out once, and repeated rows as often as they came in; a hot bin is split like any skewed join.
     """
     cut = with_bins(union(regions), "start", "end", bits).select("ref_id", "_bin", "start", "end")
-    binned = with_bins(reads.withColumn("_end", F.col("pos") + F.col("aligned")), "pos", "_end", bits)
+    once = reads.groupBy(*reads.columns).agg(F.count("*").alias("_copies"))
+    binned = with_bins(once.withColumn("_end", F.col("pos") + F.col("aligned")), "pos", "_end", bits)
     left, right = binned.alias("l"), cut.alias("r")
     test = (F.col("l.ref_id") == F.col("r.ref_id")) & (F.col("l._bin") == F.col("r._bin")) & (F.col("l.pos") < F.col("r.end")) & (F.col("r.start") < F.col("l._end"))
-    out = left.join(right, test, "left_semi")
-    return out.drop("_bin", "_end").distinct()
+    out = left.join(right, test, "left_semi").drop("_bin", "_end").distinct()
+    return out.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).drop("_copies")

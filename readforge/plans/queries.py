@@ -394,3 +394,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_sql)
+
+
+from . import molecules  # noqa: E402, F401  registers its queries here

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from readforge.functions import molecules as M
 from readforge.functions import numeric as N
 from readforge.functions import reads as R
 from readforge.operators import intervals, pileup
@@ -45,3 +46,28 @@ def test_consensus(spark):
     rows = [(1, b, q) for b, q in (("A", 30), ("A", 25), ("G", 20))] + [(2, "A", 20), (2, "G", 20), (3, "T", 40), (3, "T", 40), (4, "C", 10), (4, "G", 7)]
     df = spark.createDataFrame(rows, "site bigint, base string, q bigint")
     assert {(r.site, r.base, r.q) for r in pileup.consensus(df, ["site"]).collect()} == {(1, "A", 35), (2, "N", 0), (3, "T", 60), (4, "N", 0)}
+
+
+def test_semi_join_keeps_repeated_rows(spark):
+    reads = spark.createDataFrame([(0, 10, 20)] * 3 + [(0, 16380, 20), (0, 90, 5)], "ref_id bigint, pos bigint, aligned bigint")
+    regions = spark.createDataFrame([(0, 15, 40), (0, 16000, 17000)], "ref_id bigint, start bigint, end bigint")
+    assert sorted(r.pos for r in intervals.semi_join(reads, regions).collect()) == [10, 10, 10, 16380]
+
+
+def test_molecule_functions(spark):
+    x = spark.createDataFrame([(0.0,), (1.5,), (42.0,), (999.0,), (1234.0,), (56789.0,), (1e6,)], "x double")
+    assert [r[0] for r in x.select(M.short_number(F.col("x"))).collect()] == ["0", "1.5", "42", "990", "1k2", "56k", "1M"]
+    n = spark.createDataFrame([(2,), (10,), (17,), (20,), (38,), (64,), (100,), (150,)], "n bigint")
+    assert [r[0] for r in n.select(M.most_differences(F.col("n"), 0.04)).collect()] == [0, 1, 2, 2, 3, 4, 5, 6]
+    one = spark.createDataFrame([(0, 50)], "i bigint, l bigint")
+    rates = [M.damage_rates(one.i, one.l, F.lit(False), s, d) for s, d in (((0.5, 0.01, 0.3, 0.3), (0.0, 0.0, 0.0)), ((0.0, 0.0, 0.0, 0.0), (0.4, 0.02, 0.25)))]
+    assert [round(v, 9) for v in one.select(*[c for pair in rates for c in pair]).first()] == [0.157, 0.0, 0.115, 0.02]
+
+
+def test_adapter_and_overlap(spark):
+    insert, adapter = "ACGTTGCAAGGCTTACCGAT", "AGATCGGAAGAGCACACGTC"
+    back = insert[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    df = spark.createDataFrame([((insert + adapter)[:30], [30] * 30, (back + adapter)[:30], [30] * 30)], "a string, qa array<bigint>, b string, qb array<bigint>")
+    for size, clean in ((20, True), (19, False)):
+        pair = df.select(M.adapter_score(F.lit(size), df.a, df.qa, adapter), M.overlap_score(F.lit(size), df.a, df.qa, df.b, df.qb)).first()
+        assert (pair[0] == 0 and pair[1] == 0) == clean
