@@ -1,14 +1,14 @@
-"""Approximate nearest neighbours over balanced posting lists.
+"""Exact nearest neighbours over balanced posting lists.
 
 Vectors lie in lists, one for each centroid; a vector near the border of several clusters is in each of their lists.
-Centroids are found by a walk over a graph of near centroids that fits in memory; a query reads the lists whose distance
-is within a ratio of the nearest.  Lists longer than a bound are split by a salt, so copies of one vector, however many,
-spread over tasks.
+A query first reads the lists whose distance is within a ratio of the nearest.  Its k-th distance there is a bound: by the
+triangle inequality a list whose vectors lie between two distances from its centroid can be left out if none of them can
+be as near as that, and all other lists are read too, so no neighbour is missed.  Lists longer than a bound are split by
+a salt, so copies of one vector, however many, spread over tasks.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffle_partitions
 
 #: Rows that centroids are fitted on, most centroids, rows a centroid, copies of a border vector, rows a split list.
 SAMPLE_ROWS, MOST_CENTROIDS, LIST_ROWS, COPIES, SPLIT_ROWS = 20_000, 2_048, 200, 3, 2_000
-#: A vector joins a list whose centroid is at most so many times as far as its nearest one; a query searches such lists.
+#: A vector joins a list whose centroid is at most so many times as far as its nearest one; a query first searches such lists.
 BORDER_RATIO, SEARCH_RATIO, SEARCH_LISTS = 1.10, 1.5, 96
-DEGREE, BEAM, PLACE_BEAM = 16, 160, 12
+#: Rows of a shard of lists, queries of a block and distances held at once when the lists within the bound are read.
+SHARD_ROWS, BLOCK_QUERIES, HELD = 20_000, 20_000, 2_000_000
 SEED = 11
 
 
@@ -44,49 +45,32 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return cent
 
 
-class Graph:
-    """Centroids with links to near ones; `near` is a best-first walk with a beam."""
-
-    def __init__(self, cent: np.ndarray):
-        self.cent = cent
-        d = ((cent[:, None, :] - cent[None, : min(len(cent), 1)]) ** 2).sum(2)[:, 0] if len(cent) else np.zeros(0)
-        sq = (cent**2).sum(1)
-        links = []
-        for at in range(0, len(cent), 512):
-            block = sq[at : at + 512, None] - 2 * cent[at : at + 512] @ cent.T + sq[None]
-            links.append(np.argsort(block, axis=1)[:, : DEGREE + 1])
-        near = np.vstack(links) if links else np.zeros((0, 1), int)
-        rng = np.random.default_rng(SEED)
-        far = rng.integers(0, max(len(cent), 1), (len(cent), 4))  # long links, so that no group of centroids is cut off
-        self.links = [np.unique(np.concatenate(x)) for x in zip(near, far)]
-        self.start = np.unique(np.concatenate([[int(d.argmin())], rng.integers(0, len(cent), 8)])) if len(cent) else np.zeros(0, int)
-
-    def near(self, v: np.ndarray, n: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, distances), nearest first; about the n nearest, by a walk that keeps the best `beam`."""
-        seen = set(self.start.tolist())
-        first = np.sqrt(((self.cent[self.start] - v) ** 2).sum(1))
-        todo = [(d, c) for d, c in zip(first.tolist(), self.start.tolist())]
-        heapq.heapify(todo)
-        kept = [(-d, c) for d, c in todo]
-        heapq.heapify(kept)
-        while todo:
-            d, c = heapq.heappop(todo)
-            if len(kept) >= beam and d > -kept[0][0]:
-                break
-            new = [x for x in self.links[c].tolist() if x not in seen]
-            if not new:
-                continue
-            seen.update(new)
-            for e, x in zip(np.sqrt(((self.cent[new] - v) ** 2).sum(1)).tolist(), new):
-                if len(kept) < beam:
-                    heapq.heappush(kept, (-e, x))
-                elif e < -kept[0][0]:
-                    heapq.heapreplace(kept, (-e, x))
-                else:
-                    continue
-                heapq.heappush(todo, (e, x))
-        out = sorted((-e, x) for e, x in kept)[:n]
-        return np.array([x for _, x in out]), np.array([e for e, _ in out])
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of the rows of a from those of b, with an error of at most `_slack`."""
+    return np.sqrt(np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None], 0))
+
+
+def _slack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 1e-6 * (np.sqrt((a**2).sum(1)) + np.sqrt((b**2).sum(1).max(initial=0)))
+
+
+def _reach(q: np.ndarray, most: np.ndarray, cent: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether a vector between `low` and `high` from a centroid can be as near as `most` to a query; not finite counts as yes."""
+    d, limit = _distances(q, cent), most + 2 * _slack(q, cent)
+    return ~((d - high > limit[:, None]) | (low - d > limit[:, None]))
+
+
+def _least(ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least distances, one for each id; ties go to the smaller id."""
+    n = min(k, len(d))
+    while n:
+        own = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])
+        own = own[np.lexsort((ids[own], d[own]))]
+        own = own[np.sort(np.unique(ids[own], return_index=True)[1])]
+        if len(own) >= k or n == len(d):
+            return own[:k]
+        n = min(2 * n, len(d))
+    return np.zeros(0, int)
 
 
 def usable(vectors: DataFrame, key: str, vec: str) -> DataFrame:
@@ -99,17 +83,17 @@ def usable(vectors: DataFrame, key: str, vec: str) -> DataFrame:
 def search(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
     """The k nearest other rows of each query row: query_id, rank (from 1), vec_id, score (Euclidean distance).
 
-    Queries are the rows whose key is divisible by `every`; every usable row is in the index.  Ties go to the smaller
-    key.  Null, zero and non-finite vectors and null keys take no part; vectors whose length differs from the query's
-    are not its candidates.  Repeated rows count once; a query with fewer candidates has fewer rows; an empty table has none.
-    Centroids are fitted on at most SAMPLE_ROWS rows.
+    Queries are the rows whose key is divisible by `every`; every usable row is in the index.  The result is exact.  Ties
+    go to the smaller key.  Null, zero and non-finite vectors and null keys take no part; vectors whose length differs from
+    the query's are not its candidates.  Repeated rows count once; a query with fewer candidates has fewer rows; an empty
+    table has none.  Centroids are fitted on at most SAMPLE_ROWS rows, which bears on the time only.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
     # one width at a time would need a pass for each; the lists of one width hold all rows of that width
-    rows = usable(vectors, key, vec).where("_id is not null").dropDuplicates(["_id", "_v"]).withColumn("_dim", F.size("_v"))
+    rows = usable(vectors, key, vec).where("_id is not null").dropDuplicates(["_id", "_v"]).withColumn("_dim", F.size("_v")).withColumn("_query", F.col("_id") % every == 0)
     rows = materialize(rows, "ann-vectors")
-    widths = rows.groupBy("_dim").count().orderBy(F.desc("count"), "_dim").collect()
+    widths = rows.groupBy("_dim").agg(F.count("*").alias("count"), F.sum(F.col("_query").cast("bigint")).alias("asked")).orderBy(F.desc("count"), "_dim").collect()
     graphs = {}
     for r in widths:
         share = min(1.0, 1.1 * SAMPLE_ROWS / r["count"])
@@ -120,25 +104,36 @@ def search(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", ever
     cents = spark.sparkContext.broadcast(graphs)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = {d: Graph(c) for d, c in cents.value.items()}
         for batch in batches:
-            ids, vecs, lists, roles, dims = [], [], [], [], []
-            for i, v, is_query in zip(batch["_id"], batch["_v"], batch["_query"]):
-                v = np.asarray(v)
-                near, dist = made[len(v)].near(v, *((SEARCH_LISTS, BEAM) if is_query else (COPIES, PLACE_BEAM)))
-                home = near[: COPIES][dist[:COPIES] <= BORDER_RATIO * dist[0] + 1e-12]
-                wide = near[dist <= SEARCH_RATIO * dist[0] + 1e-12] if is_query else ()
-                if is_query and len(wide) < min(16, len(near)):  # a query that lies on a centroid still reads its surroundings
-                    wide = near[:16]
-                for role, own in ((0, home), (1, wide)):
-                    for c in own:
-                        ids.append(i), vecs.append(v), lists.append(int(c)), roles.append(role), dims.append(len(v))
-            yield pd.DataFrame({"_id": ids, "_v": vecs, "_list": lists, "_role": roles, "_dim": dims})
-
-    at = rows.withColumn("_query", F.col("_id") % every == 0).select("_id", "_v", "_query").mapInPandas(placed, f"_id {kind}, _v array<double>, _list int, _role int, _dim int")
+            for dim, all_of in batch.groupby("_dim"):
+                cent = cents.value[dim]
+                for begin in range(0, len(all_of), 1024):
+                    part = all_of.iloc[begin : begin + 1024]
+                    ids, vecs = part["_id"].to_numpy(), part["_v"].to_numpy()
+                    v = np.vstack(vecs)
+                    dist = _distances(v, cent)
+                    n = min(COPIES, len(cent))
+                    near = np.argpartition(dist, n - 1, axis=1)[:, :n]
+                    far = np.sqrt(((v[:, None] - cent[near]) ** 2).sum(2))
+                    order = np.argsort(far, axis=1)
+                    near, far = np.take_along_axis(near, order, 1), np.take_along_axis(far, order, 1)
+                    home = far <= BORDER_RATIO * far[:, :1] + 1e-12
+                    home[:, 0] = True
+                    i, j = np.nonzero(home)
+                    yield pd.DataFrame({"_id": ids[i], "_v": vecs[i], "_list": near[i, j], "_role": 0, "_first": j == 0, "_far": far[i, j], "_dim": dim})
+                    for q in np.flatnonzero(part["_query"].to_numpy()):
+                        order = np.argsort(dist[q])[:SEARCH_LISTS]
+                        wide = order[dist[q][order] <= SEARCH_RATIO * dist[q][order[0]] + 1e-12]
+                        if len(wide) < min(16, len(order)):  # a query that lies on a centroid still reads its surroundings
+                            wide = order[:16]
+                        yield pd.DataFrame({"_id": ids[q], "_v": [vecs[q]] * len(wide), "_list": wide, "_role": 1, "_first": False, "_far": 0.0, "_dim": dim})
+
+    at = rows.select("_id", "_v", "_query", "_dim").mapInPandas(placed, f"_id {kind}, _v array<double>, _list int, _role int, _first boolean, _far double, _dim int")
     at = materialize(at, "ann-lists")
-    sizes = at.where("_role = 0").groupBy("_dim", "_list").count().withColumn("_parts", F.ceil(F.col("count") / SPLIT_ROWS).cast("int")).drop("count")  # one row for each centroid: at most MOST_CENTROIDS a width
-    at = at.join(F.broadcast(sizes), ["_dim", "_list"])
+    own = F.when(F.col("_first"), F.col("_far"))
+    sizes = at.where("_role = 0").groupBy("_dim", "_list").agg(F.ceil(F.count("*") / SPLIT_ROWS).cast("int").alias("_parts"), F.min(own).alias("low"), F.max(own).alias("high"))
+    sizes = materialize(sizes, "ann-sizes")  # one row for each centroid: at most MOST_CENTROIDS a width
+    at = at.join(F.broadcast(sizes.select("_dim", "_list", "_parts")), ["_dim", "_list"])
     base = at.where("_role = 0").withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
     asked = at.where("_role = 1").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
 
@@ -151,16 +146,70 @@ def search(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", ever
         out = []
         if len(ids):
             for i, v in zip(other["_id"], other["_v"]):
-                d = np.sqrt(((mat - v) ** 2).sum(axis=1))
-                d[ids == i] = np.inf
-                last = min(k, len(d))
-                edge = np.partition(d, last - 1)[last - 1]
-                own = np.flatnonzero(d <= edge)
-                own = own[np.lexsort((ids[own], d[own]))][:last]
-                out.extend((i, ids[j], float(d[j])) for j in own if d[j] != np.inf)
+                rest = np.flatnonzero(ids != i)
+                d = np.sqrt(((mat[rest] - v) ** 2).sum(axis=1))
+                out.extend((i, ids[rest[j]], float(d[j])) for j in _least(ids[rest], d, k))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = base.select(*keys, "_id", "_v").groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(nearest, f"query_id {kind}, vec_id {kind}, score double")
-    found = found.dropDuplicates(["query_id", "vec_id"])
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    result = f"query_id {kind}, vec_id {kind}, score double"
+    found = base.select(*keys, "_id", "_v").groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(nearest, result)
+    found = materialize(best(found), "ann-first")
+
+    # the k-th distance so far bounds what is left; without k candidates nothing does
+    bounds = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("score")).alias("_most"))
+    left = rows.where("_query").join(bounds.withColumnRenamed("query_id", "_id"), "_id", "left").select("_id", "_v", "_dim", F.coalesce("_most", F.lit(float("inf"))).alias("_most"))
+    shards = max(shuffle_partitions(spark), -(-sum(r["count"] for r in widths) // SHARD_ROWS))
+    blocks = max([1, *[-(-r["asked"] // BLOCK_QUERIES) for r in widths]])
+    lists = {r["_dim"]: [] for r in widths}
+    for r in sizes.where("low is not null").orderBy("_list").collect():
+        lists[r["_dim"]].append((r["_list"], r["_parts"], r["low"], r["high"]))
+    ranges = spark.sparkContext.broadcast({d: [np.array(c) for c in zip(*x)] for d, x in lists.items()})
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each query once for each shard that holds a list within its bound."""
+        for batch in batches:
+            for dim, all_of in batch.groupby("_dim"):
+                at, parts, low, high = ranges.value[dim]
+                for begin in range(0, len(all_of), 1024):
+                    part = all_of.iloc[begin : begin + 1024]
+                    reach = _reach(np.vstack(part["_v"].to_numpy()), part["_most"].to_numpy(), cents.value[dim][at], low, high)
+                    to = np.zeros((len(part), shards), bool)
+                    for c in range(len(at)):
+                        to[np.ix_(reach[:, c], np.unique((at[c] + np.arange(parts[c])) % shards))] = True
+                    i, shard = np.nonzero(to)
+                    yield part.iloc[i].assign(_shard=shard)
+
+    def rest_of(batch: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(batch) and len(other):
+            dim = batch["_dim"].iloc[0]
+            at, _, low, high = ranges.value[dim]
+            ids, mat = batch["_id"].to_numpy(), np.vstack(batch["_v"].to_numpy())
+            asking, vecs, most = other["_id"].to_numpy(), np.vstack(other["_v"].to_numpy()), other["_most"].to_numpy()
+            for c, own in batch.groupby("_list").indices.items():
+                x, place = mat[own], np.searchsorted(at, [c])
+                for begin in range(0, len(vecs), step := max(1, HELD // len(own))):
+                    q = vecs[begin : begin + step]
+                    ask = np.flatnonzero(_reach(q, most[begin : begin + step], cents.value[dim][[c]], low[place], high[place])[:, 0])
+                    q = q[ask]
+                    near = ~(_distances(q, x) > (most[begin + ask] + 2 * _slack(q, x))[:, None])
+                    for i in np.flatnonzero(near.any(1)):
+                        one = asking[begin + ask[i]]
+                        js = own[near[i]]
+                        js = js[ids[js] != one]
+                        d = np.sqrt(((mat[js] - q[i]) ** 2).sum(axis=1))
+                        out.extend((one, ids[js[j]], float(d[j])) for j in _least(ids[js], d, k))
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+    keys = ["_dim", "_shard", "_block"]
+    left = left.mapInPandas(spread, f"_id {kind}, _v array<double>, _dim int, _most double, _shard int").withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
+    base = base.where("_first").withColumn("_shard", ((F.col("_list") + F.col("_part")) % shards).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    base = base.select(*[F.col(c).alias(c) for c in (*keys, "_list", "_id", "_v")])
+    more = base.groupBy(*keys).cogroup(left.groupBy(*keys)).applyInPandas(rest_of, result)
+    return best(found.select("query_id", "vec_id", "score").unionByName(more))

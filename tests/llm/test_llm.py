@@ -200,6 +200,24 @@ def test_nearest(spark):
     assert posting_lists.search(df.limit(0)).count() == 0
 
 
+def test_nearest_reads_every_list_within_the_bound(spark, monkeypatch):
+    """Far more lists than a query reads at first, and vectors without clusters; a key with two vectors counts once."""
+    monkeypatch.setattr(posting_lists, "LIST_ROWS", 6)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    keys = np.append(np.arange(2999), 7)
+    rows = [(int(i), v.tolist()) for i, v in zip(keys, x)] + [(5000 + i, [float(i + 1), 0.0, 1.0]) for i in range(4)]
+    got = {}
+    for r in posting_lists.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, 2999, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        order = [int(keys[j]) for j in np.argsort(d) if keys[j] != q]
+        assert got[q] == list(dict.fromkeys(order))[:10]
+    assert got[5000] == [5001, 5002, 5003]
+
+
 def shingles(t):
     w = re.findall("[^\x20\x09-\x0d]+", lower(t))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
