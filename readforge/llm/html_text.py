@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z/!?][^<]*\Z|[^<]+|<""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)|[^>=]++|=)*+)>|<[!?/][^>]*>|<[a-zA-Z/!?][^<]*\Z|[^<]+|<""", re.S)
 RAW = {"script", "style", "noscript", "template", "svg", "textarea", "iframe", "object", "math", "canvas", "audio", "video", "select"}
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "ruby", "rt", "rp"}
 HOLDERS = {"html", "body", "div", "section", "article", "nav", "aside", "footer", "header", "main", "form", "ul", "ol", "dl", "table", "figure", "dialog", "details", "menu", "head", "fieldset", "button"}
@@ -34,7 +35,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     """Texts of the flat blocks of a page, and a row of features for each."""
     texts, rows = [], []
     stack: list[tuple[str, bool, bool]] = []  # tag, outside the article, inside it
-    part, linked, in_link, tag_now, skip = [], 0, 0, "", ""
+    part, linked, in_link, tag_now, at = [], 0, 0, "", 0
     seen_outside = seen_inside = False
 
     def flush() -> None:
@@ -47,12 +48,10 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
                 rows.append((n, min(linked / n, 1.0), seen_outside, seen_inside, tag_now in HEADINGS, tag_now in ITEMS, text[-1] in ".!?…:;\"'”»)"))
             part, linked = [], 0
 
-    for m in TOKEN.finditer(page):
+    while at < len(page):
+        m = TOKEN.match(page, at)  # some branch fits everywhere
+        at = m.end()
         close, tag, attrs = m.groups()
-        if skip:
-            if tag and close and tag.lower() == skip:
-                skip = ""
-            continue
         if tag is None:
             piece = m.group()
             if piece[0] == "<" and len(piece) > 1:
@@ -64,7 +63,8 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         tag = tag.lower()
         if tag in RAW:
             if not close and not attrs.endswith("/"):
-                skip = tag
+                end = RAW_END[tag].search(page, at)  # the body is not markup
+                at = end.start() if end else len(page)
             continue
         if tag == "a":
             in_link = 0 if close else 1

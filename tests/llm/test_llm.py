@@ -142,6 +142,15 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_scripts_and_stray_quotes():
+    tree = html_text.train()
+    for script in ("for(var i=0;i<n;i++)f(i);", "if(a<b&&c)d();", "s='<!--';", "s=\"it's\"", "</scripts><p>no"):
+        for end in ("</script>", "</SCRIPT >"):
+            assert html_text.main_text(f"<script type=x>{script}{end}<article><p>Real text.</p></article>", tree) == "Real text."
+    assert html_text.blocks("<p title=it's>Text one</p><p>Text isn't lost</p>")[0] == ["Text one", "Text isn't lost"]
+    assert html_text.blocks("<p '>One</p><p a=b=\"c>Two</p><p title = \"a>b\" x='c>d'>Three</p><p title=\"cut>Four</p>")[0] == ["One", "Two", "Three", "Four"]
+
+
 def test_wordpiece(docs, rows):
     import json
 
