@@ -24,6 +24,9 @@ HOLDERS = {"html", "body", "div", "section", "article", "nav", "aside", "footer"
 OUT_TAGS = {"nav", "aside", "form", "dialog", "menu", "button", "fieldset", "head", "footer"}
 OUT_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar|widget|footer|foot|masthead|topbar|toolbar|header|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|comment-?list|replies|reply|respond|disqus|pager|pagination|search|skip|copyright|legal|disclaimer|hidden|tags?)(?=$|[\s_-]|\d)", re.I)
 IN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text|prose)(?=$|[\s_-]|\d)", re.I)
+#: Class names that say what a page or an article has, or its topic, and not what the element is; the head of an article.
+MODIFIER = re.compile(r"(?:has|no|with|without|category|topic|tag(?!-(?:list|links|cloud)))[-_]", re.I)
+ARTICLE_HEAD = re.compile(r"(?:entry|post|article|story)[-_]+header", re.I)
 HEADINGS, ITEMS = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"li", "td", "th", "dt", "dd"}
 ATTR = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -31,6 +34,21 @@ FEATURES = ["words", "links", "before_words", "before_links", "after_words", "af
 DEPTH, LEAST = 6, 1
 
 
+def _outside(tag: str, attrs: str) -> bool:
+    """Whether the names of an element say that it is not main text."""
+    found = ATTR.findall(attrs)
+    names = [x for name, a, b, c in found if name.lower() in ("class", "id") for x in (a or b or c).split()]
+    names = [x for x in names if not MODIFIER.match(x) and not ARTICLE_HEAD.fullmatch(x)]
+    labels = " ".join(a or b or c for name, a, b, c in found if name.lower() not in ("class", "id"))
+    if OUT_WORDS.search(labels):
+        return True
+    if tag in ("article", "main"):
+        return False
+    out = [bool(OUT_WORDS.search(x)) for x in names]
+    # a name of the article alone speaks for the element, "post-comments" does not
+    return any(out) and not any(IN_WORDS.search(x) for x, o in zip(names, out) if not o)
+
+
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
     """Texts of the flat blocks of a page, and a row of features for each."""
     texts, rows = [], []
@@ -89,7 +107,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
                     break
         elif tag not in VOID:
             named = " ".join(a or b or c for _, a, b, c in ATTR.findall(attrs)) if attrs else ""
-            out = tag in OUT_TAGS or bool(named and OUT_WORDS.search(named)) or bool(attrs and HIDDEN.search(attrs))
+            out = tag in OUT_TAGS or bool(named and _outside(tag, attrs)) or bool(attrs and HIDDEN.search(attrs))
             if tag == "header" and not seen_inside:
                 out = True
             here = tag in ("article", "main") or bool(named and IN_WORDS.search(named))
@@ -153,6 +171,8 @@ LABELLED = [
     ("<p>Short text.</p>", "1"),
     ("<p>Just one plain line of text</p>", "1"),
     ("<article><p>One.</p></article>", "1"),
+    ("<div class='site-content has-sidebar'><article class='post hentry category-news tag-economy'><div class='entry-header'><h1>Prices rise again</h1></div><p>Prices rose in the last month, says the office that counts them.</p><p>Less so in the south.</p><div class='post-comments'><p>I have not seen any of this where I live.</p></div></article></div><div class='sidebar'><p>Most read stories of this week.</p></div>", "11100"),
+    ("<div class='content no-sidebar'><main class='main with-comments'><h2>A walk</h2><p>We set out early, and the rain had stopped by then.</p></main><div class=comments><p>Thank you for this walk, we liked it.</p></div><div class='tag-cloud'><a href=w>walks</a> <a href=r>rain</a></div></div>", "1100"),
     ("<nav>Menu of this site</nav><article><p>Reader text stands here, and it is followed by menus.</p></article><nav><a href=m>More</a></nav>", "010"),
 ]
 

@@ -151,6 +151,16 @@ def test_html_scripts_and_stray_quotes():
     assert html_text.blocks("<p '>One</p><p a=b=\"c>Two</p><p title = \"a>b\" x='c>d'>Three</p><p title=\"cut>Four</p>")[0] == ["One", "Two", "Three", "Four"]
 
 
+def test_html_wrappers_named_after_what_they_hold():
+    tree, inner = html_text.train(), "<h1>Title</h1><p>Real text of the story stands here.</p>"
+    wrappers = ["article class='post hentry category-news tag-economy'", "div class='site-content has-sidebar'", "div class='content no-sidebar'", "main class='main with-comments'", "article id=share-1"]
+    for w in wrappers:
+        page = f"<{w}>{inner}<div class=post-comments><p>I do not agree.</p></div></{w.split()[0]}><div class=sidebar><p>Other things to read.</p></div>"
+        assert html_text.main_text(page, tree) == "Title\nReal text of the story stands here."
+    assert html_text.main_text("<article><div class=entry-header><h1>Title</h1></div><p>Real text.</p></article>", tree) == "Title\nReal text."
+    assert html_text.main_text(f"<div aria-label='Main navigation'><p>Go to the start of it.</p></div><article>{inner}</article>", tree).startswith("Title")
+
+
 def test_wordpiece(docs, rows):
     import json
 
