@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 
 def _window(order: list[str], by: list[str]):
@@ -50,6 +51,14 @@ def number(df: DataFrame, order: list[str], by: list[str], name: str = "rn") ->
     return df.withColumn(name, F.row_number().over(_window(order, by)))
 
 
+def common_prefix(df: DataFrame, literal: list, order: list[str], by: list[str], value: str) -> DataFrame:
+    """Length of the common prefix of each stream and the literal; nulls equal nulls.  Only the shorter of both bounds it."""
+    places = df.sparkSession.createDataFrame([(i, x, True) for i, x in enumerate(literal, 1)], StructType([StructField("rn", IntegerType()), StructField("_want", df.schema[value].dataType), StructField("_in", BooleanType())]))
+    at = number(df, order, by).join(F.broadcast(places), "rn", "left")
+    other = F.col("_in").isNull() | ~F.col(value).eqNullSafe(F.col("_want"))
+    return at.groupBy(*by).agg(F.coalesce(F.min(F.when(other, F.col("rn"))) - 1, F.count("*")).cast("bigint").alias("n"))
+
+
 def roll(df: DataFrame, order: list[str], by: list[str], width: int, step: int, value: str) -> DataFrame:
     """Windows of `width` rows, each `step` rows after the one before; the last ones may be shorter."""
     at = number(df, order, by).withColumn("_n", F.col("rn") - 1)

@@ -119,8 +119,8 @@ def lines_words(spark, sf):
 
 @_on_stream("""select user_id, cast(coalesce(min(case when value >= lim then rn end) - 1, count(*)) as bigint) n from (select user_id, value, row_number() over (partition by user_id order by t, event_id) rn, 60 lim from stream) x where rn <= 8 group by user_id""")
 def common_prefix(spark, sf):
-    first = streams.number(X.stream(spark, sf), ORDER, BY).where("rn <= 8")
-    return first.groupBy("user_id").agg(F.coalesce(F.min(F.when(F.col("value") >= 60, F.col("rn"))) - 1, F.count("*")).cast("bigint").alias("n"))
+    low = X.stream(spark, sf).withColumn("low", F.coalesce(F.col("value") < 60, F.lit(True)))
+    return streams.common_prefix(low, [True] * 8, ORDER, BY, "low")
 
 
 @_on_reads("select a.qname, a.pos pos1, a.pos + 100 pos2 from reads a where a.flag & 1 <> 0 and a.flag & 64 <> 0")

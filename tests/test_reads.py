@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from readforge.functions import molecules as M
 from readforge.functions import numeric as N
 from readforge.functions import reads as R
-from readforge.operators import intervals, pileup
+from readforge.operators import intervals, pileup, streams
 
 
 def test_bins(spark):
@@ -71,3 +71,12 @@ def test_adapter_and_overlap(spark):
     for size, clean in ((20, True), (19, False)):
         pair = df.select(M.adapter_score(F.lit(size), df.a, df.qa, adapter), M.overlap_score(F.lit(size), df.a, df.qa, df.b, df.qb)).first()
         assert (pair[0] == 0 and pair[1] == 0) == clean
+
+
+def test_common_prefix_is_bounded_by_the_literal_only(spark):
+    rows = [("long", i, "acgt"[i % 4]) for i in range(30)] + [("short", i, "acgt"[i % 4]) for i in range(3)] + [("other", i, "aaaa"[i]) for i in range(4)] + [("none", 0, "t"), ("null", 0, "a"), ("null", 1, None)]
+    df = spark.createDataFrame(rows, "by string, o int, v string")
+    got = lambda literal: {r["by"]: r.n for r in streams.common_prefix(df, literal, ["o"], ["by"], "v").collect()}
+    assert got(list("acgt" * 5)) == {"long": 20, "short": 3, "other": 1, "none": 0, "null": 1}
+    assert got(["a", None]) == {"long": 1, "short": 1, "other": 1, "none": 0, "null": 2}
+    assert set(got([]).values()) == {0}
