@@ -310,6 +310,11 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     words are one shingle.  Rows with equal sets are one class.  Null ids come last: a component of null ids only has
     none.  Repeated rows give repeated results; other columns are not read.  Sets are of 64-bit hashes.
     """
+    return _grouped(docs, doc_id, text).drop("class")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The columns of `similar` and class: an id of the component, null for rows without shingles."""
     side = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"), row_key(F.col(doc_id), F.col(text)).alias("_key"))
     rows = materialize(_profiles(side.select("_id", "_key", "_t")), "jaccard-profiles")
     sets = rows.where("set is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("_key").alias("_key"), F.min("_id").alias("low"))
@@ -333,17 +338,19 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             labels = _labels(links.unionByName(more), profiles.select("set"))
     named = profiles.select("set", "low").join(labels, "set")
     least = named.groupBy("c").agg(F.min("low").alias("component_id"))
-    of = named.join(least, "c").select("set", "component_id")
+    of = named.join(least, "c").select("set", "component_id", F.col("c").alias("class"))
     out = rows.select("_id", "_key", "n", "set").join(of, "set", "left")
-    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("_key").alias("key"))
+    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("_key").alias("key"), "class")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of similar documents: that with the smallest doc_id; of rows that repeat it, one.
+    """One row of each group of similar documents: that with the smallest doc_id; of several with it, one.
 
     Rows without an id, in groups without any, are kept unless they repeat a row.
     """
-    found = similar(docs)
-    keep = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("key")).alias("alone")).agg(F.min("key").alias("_keep"))
+    found = _grouped(docs, "doc_id", "text")
+    # by component, not by doc_id, which different texts may share; rows without shingles are alone
+    first = found.where("doc_id is not null").groupBy("class", F.when(F.col("class").isNull(), F.col("key")).alias("alone")).agg(F.min(F.struct("doc_id", "key")).alias("_first"))
+    keep = first.select(F.col("_first.key").alias("_keep")).unionByName(found.where("doc_id is null and component_id is null").select(F.col("key").alias("_keep")))
     keyed = docs.withColumn("_keep", row_key(F.col("doc_id"), F.col("text")))
     return keyed.join(keep.select("_keep").distinct(), "_keep", "left_semi").dropDuplicates(["_keep"]).drop("_keep")

@@ -277,6 +277,14 @@ def test_chain_of_near_copies(spark):
     assert jaccard_join.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_keep_first_with_repeated_ids(spark):
+    """Different texts that share an id are all kept; copies of one of them, under any id, are not."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (3, a), (1, a), (4, c), (4, None), (None, c), (None, "x y"), (None, "x y")]
+    got = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, a), (1, b), (4, c), (4, None), (None, "x y")])
+
+
 def test_bpe(docs, rows, spark, monkeypatch):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
