@@ -1,14 +1,15 @@
 """N-gram Jaccard join by parity sketches.
 
 A set of shingle hashes is cut into pieces by hash; a piece's sketch is the XOR of its hashes, so a token that only one of
-two sets has changes one piece at most.  Sets with Jaccard 0.8 or more differ in at most (a + b) / 9 tokens; with more
-pieces than that in their size band, some piece is equal in both.  Sets that share a piece are candidates; a sketch of
-parity bits, whose Hamming distance is a lower bound of the symmetric difference, drops most false ones, and the rest
-are verified on the whole sets.
-
-A group of g near copies shares its pieces g at a time.  Links are first sought from one leader of each shared piece;
-only sets that are then still in different components are compared with each other, in blocks of bounded size, so a
-group of copies costs one comparison for each member and no link between components is lost.
+two sets has changes one piece at most.  Sets with Jaccard 0.8 or more differ in at most (a + b) / 9 tokens, so in their
+size band at most `apart` of the pieces differ.  Put in one global order, rarest first, the first `apart` + 1 pieces of
+both therefore hold a common one: only those are joined.  There are about twice as many pieces as `apart`, so a passage
+that many texts share makes no candidates unless it fills about half of a text.
+
+Sets that share such a piece are a run.  Links are first sought from one leader of each run.  Where a run's members then
+still lie in different components, they are compared in blocks by sketches of parity bits, whose Hamming distance is a
+lower bound of the symmetric difference; only the few pairs that it allows leave the task, and the whole sets decide.  So
+a group of copies costs one comparison for each member and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from .hashing import batches_of, mix, word_shingles
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
+#: Pieces for each one that may differ; parity bits for each token.
+PIECES, BITS = 2, 4
 #: Members of a block; ids that are broadcast (8 bytes each).
 BLOCK, BROADCAST_ROWS = 1024, 300_000
-#: While more pairs than so many times the number of sets are left to compare, another leader is tried; at most ROUNDS times.
-PAIRS_A_SET, ROUNDS = 5_000, 6
-#: Keys of a task that are written out together.
-FLUSH_KEYS = 2_000_000
+#: Keys of a task that are written out together, keys of a bucket, and most tasks that buckets are dealt to.
+FLUSH_KEYS, BUCKET_KEYS, MOST_TASKS = 2_000_000, 1_000_000, 20_000
+#: Sets that a task remembers, so as to send each once.
+SEEN_SETS = 500_000
 
 
 def most_apart(a, b):
@@ -51,28 +54,37 @@ def _bands(top: int) -> list[int]:
 BANDS = np.array(_bands(1 << 40))
 
 
+def scheme(n, parity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """band, most pieces that differ, and number of pieces, for sets of n tokens in that of their two bands which is odd or even.
+
+    A set lies in its own band and, as the larger of a pair, in the band below; one of the two is odd and one is even.
+    """
+    band = np.searchsorted(BANDS, n, side="right") - 1
+    band = np.where(band & 1 == parity, band, band - 1)
+    most = BANDS[band + 1] - 1
+    apart = most_apart(most, most * 100 // PERCENT)
+    return band, apart, PIECES * apart + 1 + apart // 32
+
+
 def piece_keys(hashes: np.ndarray) -> np.ndarray:
-    """The keys of a set: its pieces in its own band and, as the larger of a pair, in the band below."""
-    n = len(hashes)
-    band = int(np.searchsorted(BANDS, n, side="right")) - 1
-    out = []
-    for i in {band, max(band - 1, 0)}:
-        most = int(BANDS[i + 1]) - 1
-        apart = most_apart(most, most * 100 // PERCENT)
-        m = apart + 1 + apart // 32
+    """The keys of a set, one for each piece in each of its bands; the lowest bit tells which band it is."""
+    n, out = len(hashes), []
+    mixed = mix(hashes)
+    for parity in (0, 1):
+        band, _, m = (int(x) for x in scheme(n, parity))
+        if band < 0:
+            continue
         piece = ((hashes >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         value = np.zeros(m, np.uint64)
-        np.bitwise_xor.at(value, piece.astype(np.int64), mix(hashes))
-        key = mix(value ^ mix(np.arange(m, dtype=np.uint64) + np.uint64(i << 32)))
-        # an empty piece says nothing; with more than `apart` others, one of these is equal in both sets
-        filled = value != 0
-        out.append(key[filled] if filled.sum() > apart else key)
+        np.bitwise_xor.at(value, piece.astype(np.int64), mixed)
+        key = mix(value ^ mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32)))
+        out.append(key >> np.uint64(1) << np.uint64(1) | np.uint64(parity))
     return np.concatenate(out)
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Parities of the hashes in about as many bits as there are hashes, a power of two from 64 up."""
-    bits = max(64, 1 << round(float(np.log2(len(hashes)))))
+    """Parities of the hashes in about BITS times as many bits as there are hashes, a power of two from 64 up."""
+    bits = max(64, 1 << round(float(np.log2(len(hashes) * BITS))))
     flips = np.bincount((mix(hashes ^ np.uint64(0x5BD1E995)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
@@ -115,86 +127,117 @@ def _profiles(docs: DataFrame) -> DataFrame:
     return side.mapInPandas(run, "n bigint, set bigint, sketch binary, _key bigint, _id string").withColumn("_id", F.col("_id").cast(kind))
 
 
-def _runs(docs: DataFrame, parts: int) -> DataFrame:
-    """run (an id), members (distinct set ids, two or more) for each piece that several sets share.
+def _grouped_rows(batches: Iterator[pd.DataFrame], col: str) -> Iterator[tuple[int, pd.DataFrame]]:
+    """Neighbouring rows with one value of col, also where batches part them."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        v = batch[col].to_numpy()
+        at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])).tolist() if len(v) else []
+        for i, j in zip(at, [*at[1:], len(v)]):
+            part = batch.iloc[i:j]
+            if held and held[0][col].iloc[0] != part[col].iloc[0]:
+                yield int(held[0][col].iloc[0]), pd.concat(held, ignore_index=True)
+                held = []
+            held.append(part)
+    if held:
+        yield int(held[0][col].iloc[0]), pd.concat(held, ignore_index=True)
+
+
+def _whole(column: pd.Series, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind)
+
+
+def _index(docs: DataFrame, keys: int) -> DataFrame:
+    """(run, set) for the rarest keys of each set, of those that it shares with another; `keys` is about their number in all.
 
-    A task packs its keys for each target together: 8 bytes a key and 4 for the place of its set in the batch's list.
+    A task sends the keys of each bucket together (4 bytes a key and the number of keys of each set); a bucket counts the
+    sets of its keys and sends what is shared on to a bucket of the set, where a set's keys are put in order.  Buckets are
+    of a fixed size and are taken one after the other from sorted partitions.
     """
+    spark = docs.sparkSession
+    buckets = max(shuffle_partitions(spark), -(-keys // BUCKET_KEYS))
+    tasks = min(buckets, MOST_TASKS)
+    room = np.uint64(buckets)
+    dealt = lambda df: df.withColumn("_task", F.col("bucket") % tasks).repartition(tasks, "_task").sortWithinPartitions("bucket").drop("_task")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, owners, sets, n = [], [], [], 0
+        found, sets, sizes, counts, seen = [], [], [], [], set()
 
         def flush() -> pd.DataFrame:
-            key, own, ids = np.concatenate(keys), np.concatenate(owners), np.array(sets, np.int64)
-            to = (key % np.uint64(parts)).astype(np.int64)
+            key, own = np.concatenate(found), np.repeat(np.arange(len(sets)), counts)
+            ids, n = np.array(sets, np.int64), np.array(sizes, np.int32)
+            to = ((key >> np.uint64(32)) * room >> np.uint64(32)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            at = np.searchsorted(to[order], np.arange(parts + 1))
+            key, own, to = key[order].astype(np.uint32), own[order], to[order]
+            at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist()
             rows = []
-            for p in range(parts):
-                if at[p] < at[p + 1]:
-                    own_p = own[order[at[p] : at[p + 1]]]
-                    used, place = np.unique(own_p, return_inverse=True)
-                    rows.append((p, key[order[at[p] : at[p + 1]]].tobytes(), place.astype(np.int32).tobytes(), ids[used].tobytes()))
-            return pd.DataFrame(rows, columns=["part", "keys", "places", "sets"])
+            for i, j in zip(at, [*at[1:], len(to)]):
+                used, times = np.unique(own[i:j], return_counts=True)
+                rows.append((int(to[i]), key[i:j].tobytes(), ids[used].tobytes(), n[used].tobytes(), times.astype(np.int32).tobytes()))
+            return pd.DataFrame(rows, columns=["bucket", "keys", "sets", "sizes", "times"])
 
         for batch in batches:
             for _, h in _sets(batch):
-                if len(h):
-                    key = piece_keys(h)
-                    keys.append(key)
-                    owners.append(np.full(len(key), len(sets), np.int32))
-                    sets.append(_set_id(h))
-                    n += len(key)
-                    if n >= FLUSH_KEYS:
-                        yield flush()
-                        keys, owners, sets, n = [], [], [], 0
-        if keys:
+                if not len(h) or (one := _set_id(h)) in seen:
+                    continue
+                if len(seen) >= SEEN_SETS:
+                    seen.clear()
+                seen.add(one)
+                key = piece_keys(h)
+                place = (key >> np.uint64(32)) * room >> np.uint64(32) << np.uint64(32) | key & np.uint64(0xFFFFFFFF)
+                # a set of which two keys fall together is marked: the number of its keys is not what its size says
+                sizes.append(len(h) if len(np.unique(place)) == len(key) else -len(h))
+                found.append(key)
+                sets.append(one)
+                counts.append(len(key))
+                if sum(counts) >= FLUSH_KEYS:
+                    yield flush()
+                    found, sets, sizes, counts = [], [], [], []
+        if found:
             yield flush()
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, owners = [], []
-        for batch in batches:
-            for k, p, s in zip(batch["keys"], batch["places"], batch["sets"]):
-                keys.append(np.frombuffer(k, np.uint64))
-                owners.append(np.frombuffer(s, np.int64)[np.frombuffer(p, np.int32)])
-        if not keys:
-            return
-        key, own = np.concatenate(keys), np.concatenate(owners)
-        del keys, owners
-        order = np.argsort(key, kind="stable")
-        key, own = key[order], own[order]
-        twice = np.zeros(len(key), bool)
-        same = key[1:] == key[:-1]
-        twice[1:] |= same
-        twice[:-1] |= same
-        key, own = key[twice], own[twice]
-        order = np.lexsort((own, key))
-        key, own = key[order], own[order]
-        keep = np.ones(len(key), bool)
-        keep[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-        key, own = key[keep], own[keep]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        ends = np.append(at[1:], len(key))
-        seen = set()
-        rows = []
-        for a, b in zip(at.tolist(), ends.tolist()):
-            if b - a < 2:
-                continue
-            members = own[a:b]
-            sign = int(np.bitwise_xor.reduce(mix(members.view(np.uint64))))
-            if sign in seen:  # the same sets share another piece of this task
-                continue
-            seen.add(sign)
-            for i in range(0, b - a, BLOCK):  # the leader stands first in every row of a long run
-                rows.append((int(key[a].view(np.int64)), i // BLOCK, members[i : i + BLOCK]))
-            if len(rows) >= 2000:
-                yield pd.DataFrame(rows, columns=["run", "block", "members"])
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=["run", "block", "members"])
-
-    packed = docs.mapInPandas(pack, "part int, keys binary, places binary, sets binary")
-    return packed.repartition(parts, "part").mapInPandas(shared, "run bigint, block int, members array<bigint>")
+        for bucket, rows in _grouped_rows(batches, "bucket"):
+            times = _whole(rows["times"], np.int32)
+            key, own, n = _whole(rows["keys"], np.uint32), np.repeat(_whole(rows["sets"], np.int64), times), np.repeat(_whole(rows["sizes"], np.int32), times)
+            order = np.lexsort((own, key))
+            key, own, n = key[order], own[order], n[order]
+            keep = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
+            key, own, n = key[keep], own[keep], n[keep]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            many = np.diff(np.append(at, len(key)))
+            many = np.repeat(many, many)
+            key, own, n, many = (x[many > 1] for x in (key, own, n, many))
+            to = ((mix(own.view(np.uint64)) >> np.uint64(32)) * room >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((own, to))
+            key, own, n, many, to = (x[order] for x in (key, own, n, many, to))
+            at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist() if len(to) else []
+            out = []
+            for i, j in zip(at, [*at[1:], len(to)]):
+                first = np.flatnonzero(np.concatenate([[True], own[i + 1 : j] != own[i : j - 1]])) + i
+                out.append((int(to[i]), bucket, key[i:j].tobytes(), many[i:j].astype(np.int32).tobytes(), own[first].tobytes(), n[first].tobytes(), np.diff(np.append(first, j)).astype(np.int32).tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "of", "keys", "many", "sets", "sizes", "times"])
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in _grouped_rows(batches, "bucket"):
+            times, many = _whole(rows["times"], np.int32), _whole(rows["many"], np.int32)
+            own, n = np.repeat(_whole(rows["sets"], np.int64), times), np.repeat(_whole(rows["sizes"], np.int32), times)
+            low = _whole(rows["keys"], np.uint32).astype(np.int64)
+            key = np.repeat(rows["of"].to_numpy(np.int64), [len(x) // 4 for x in rows["keys"]]) << 32 | low
+            parity = low & 1
+            order = np.lexsort((key, many, parity, own))
+            key, own, n, parity = key[order], own[order], n[order], parity[order]
+            at = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (parity[1:] != parity[:-1])]))
+            size = np.diff(np.append(at, len(key)))
+            _, apart, m = scheme(np.abs(n[at]), parity[at])
+            # the keys that no other set has come first; what is left of apart + 1 goes to the rarest of the others
+            quota = np.where(n[at] < 0, size, apart + 1 - (m - size))
+            keep = np.arange(len(key)) - np.repeat(at, size) < np.repeat(quota, size)
+            yield pd.DataFrame({"run": key[keep], "set": own[keep]})
+
+    packed = dealt(docs.mapInPandas(pack, "bucket bigint, keys binary, sets binary, sizes binary, times binary"))
+    some = dealt(packed.mapInPandas(shared, "bucket bigint, of bigint, keys binary, many binary, sets binary, sizes binary, times binary"))
+    return materialize(some.mapInPandas(rarest, "run bigint, set bigint"), "jaccard-index")
 
 
 def _linked(pairs: DataFrame, profiles: DataFrame, docs: DataFrame) -> DataFrame:
@@ -235,15 +278,10 @@ def _linked(pairs: DataFrame, profiles: DataFrame, docs: DataFrame) -> DataFrame
     return materialize(full.mapInPandas(verify, "a bigint, b bigint"), "jaccard-links")
 
 
-def _stars(runs: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
-    """Pairs of each run's leader (the least by a hash) with its other members, if in different components."""
-    rows = runs.select("run", F.explode("members").alias("set"))
-    if labels is not None:
-        rows = rows.join(labels, "set")
-    else:
-        rows = rows.withColumn("c", F.col("set"))
-    first = rows.groupBy("run").agg(F.min(F.struct(F.xxhash64("set", F.lit(seed)), "set", "c")).alias("l"))
-    return rows.join(first, "run").where("c <> l.c").select(F.least("set", "l.set").alias("a"), F.greatest("set", "l.set").alias("b")).distinct()
+def _stars(index: DataFrame) -> DataFrame:
+    """Pairs of each run's leader (the least by a hash) with its other members."""
+    first = index.groupBy("run").agg(F.min(F.struct(F.xxhash64("set"), "set"))["set"].alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return index.join(first, "run").where("set <> leader").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
 
 
 def _labels(links: DataFrame, sets: DataFrame) -> DataFrame:
@@ -251,55 +289,42 @@ def _labels(links: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(sets.join(components(links).toDF("set", "c"), "set", "left").select("set", F.coalesce("c", "set").alias("c")), "jaccard-labels")
 
 
-def _mixed(runs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The runs whose members lie in several components."""
-    rows = runs.select("run", F.explode("members").alias("set")).join(labels, "set")
-    many = rows.groupBy("run").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("run")
-    return materialize(runs.join(many, "run", "left_semi"), "jaccard-mixed")
-
-
-def _pairs_left(runs: DataFrame, labels: DataFrame) -> int:
-    """Pairs of members of one run in different components, summed over the runs."""
-    rows = runs.select("run", F.explode("members").alias("set")).join(labels, "set").groupBy("run", "c").count()
-    each = rows.groupBy("run").agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("p"))
-    return int((each.agg(F.sum("p")).first()[0] or 0) // 2)
-
+def _across(index: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Pairs of a run in different components whose sizes and sketches allow a link, found block against block.
 
-def _across(runs: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFrame:
-    """All pairs of a run in different components whose sizes and sketches allow a link, found block against block."""
-    rows = runs.select("run", "block", F.explode("members").alias("set")).join(labels, "set").join(profiles.select("set", "n", "sketch"), "set")
-    most = runs.groupBy("run").agg(F.max("block").alias("last"))
-    rows = rows.join(most, "run").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    rows = rows.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "c", "n", "sketch")
-
-    def pairs_of(ids, comp, n, sketches) -> list[tuple[int, int]]:
-        bits = _folded(sketches, min(map(len, sketches)))
-        found = []
+    Of runs with the same members one is taken.
+    """
+    rows = index.join(labels, "set")
+    runs = rows.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("set")).alias("sign"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("sign2")).where("lo <> hi")
+    runs = runs.groupBy("sign", "sign2", "k").agg(F.min("run").alias("run")).select("run", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    rows = materialize(rows.join(runs, "run"), "jaccard-mixed").join(profiles.select("set", "n", "sketch"), "set")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set", "c", "n", "sketch")
+
+    def pairs_of(part: pd.DataFrame) -> set[tuple[int, int]]:
+        ids, comp, n = part["set"].tolist(), part["c"].to_numpy(), part["n"].to_numpy()
+        bits = _folded(part["sketch"].tolist(), min(map(len, part["sketch"])))
+        found = set()
         for x in range(len(ids) - 1):
-            rest = x + 1 + np.flatnonzero(comp[x + 1 :] != comp[x])
+            rest = x + 1 + np.flatnonzero((comp[x + 1 :] != comp[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= PERCENT * np.maximum(n[x + 1 :], n[x])))
             if len(rest):
                 rest = rest[np.bitwise_count(bits[rest] ^ bits[x]).sum(axis=1) <= most_apart(n[rest], n[x])]
-                found.extend((min(ids[x], ids[y]), max(ids[x], ids[y])) for y in rest.tolist())
+                found.update((min(ids[x], ids[y]), max(ids[x], ids[y])) for y in rest.tolist())
         return found
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Blocks come sorted; the last of a batch waits for its rest."""
-        rest = None
-        for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            place = batch[["run", "i", "j"]].to_numpy()
-            at = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]).any(axis=1)])).tolist()
-            rest = batch.iloc[at[-1] :]
-            ids, comp, n, bits = batch["set"].tolist(), batch["c"].to_numpy(), batch["n"].to_numpy(), batch["sketch"].tolist()
-            found = set()
-            for a, b in zip(at, at[1:]):
-                found.update(pairs_of(ids[a:b], comp[a:b], n[a:b], bits[a:b]))
-            yield pd.DataFrame(list(found), columns=["a", "b"], dtype=np.int64)
-        if rest is not None:
-            yield pd.DataFrame(pairs_of(rest["set"].tolist(), rest["c"].to_numpy(), rest["n"].to_numpy(), rest["sketch"].tolist()), columns=["a", "b"], dtype=np.int64)
+        # three numbers name a pair of blocks; rows come sorted by them
+        named = (b.assign(_at=pd.util.hash_pandas_object(b[["run", "i", "j"]], index=False).to_numpy().view(np.int64)) for b in batches)
+        found: set[tuple[int, int]] = set()
+        for _, part in _grouped_rows(named, "_at"):
+            found |= pairs_of(part)
+            if len(found) >= FLUSH_KEYS // 20:
+                yield pd.DataFrame(list(found), columns=["a", "b"], dtype=np.int64)
+                found = set()
+        yield pd.DataFrame(list(found), columns=["a", "b"], dtype=np.int64)
 
     keys = ["run", "i", "j"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "set", "c", "n", "sketch").mapInPandas(compare, "a bigint, b bigint").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,23 +344,12 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = materialize(_profiles(side.select("_id", "_key", "_t")), "jaccard-profiles")
     sets = rows.where("set is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("_key").alias("_key"), F.min("_id").alias("low"))
     profiles = materialize(sets, "jaccard-classes")
-    runs = materialize(_runs(side.select("_t"), max(shuffle_partitions(docs.sparkSession), 1)), "jaccard-runs")
-    links = _linked(_stars(runs, None, 0), profiles, side)
+    index = _index(side.select("_t"), int(profiles.agg(F.sum("n")).first()[0] or 0))
+    links = _linked(_stars(index), profiles, side)
     labels = _labels(links, profiles.select("set"))
-    # a run of two is settled by its star
-    left = _mixed(runs.where((F.size("members") > 2) | (F.col("block") > 0)), labels)
-    total, seed = profiles.count(), 0
-    while seed < ROUNDS and _pairs_left(left, labels) > PAIRS_A_SET * total:
-        seed += 1
-        more = _linked(_stars(left, labels, seed), profiles, side)
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = _labels(links, profiles.select("set"))
-        left = _mixed(left, labels)
-    if left.limit(1).count():
-        more = _linked(_across(left, labels, profiles), profiles, side)
-        if more.limit(1).count():
-            labels = _labels(links.unionByName(more), profiles.select("set"))
+    more = _linked(_across(index, labels, profiles), profiles, side)
+    if more.limit(1).count():
+        labels = _labels(links.unionByName(more), profiles.select("set"))
     named = profiles.select("set", "low").join(labels, "set")
     least = named.groupBy("c").agg(F.min("low").alias("component_id"))
     of = named.join(least, "c").select("set", "component_id", F.col("c").alias("class"))

@@ -254,9 +254,12 @@ def groups(texts):
     return sets, of
 
 
-@pytest.mark.parametrize("tries", [0, 5000])
-def test_jaccard_join(docs, rows, monkeypatch, tries):
-    monkeypatch.setattr(jaccard_join, "PAIRS_A_SET", tries)
+@pytest.mark.parametrize("block, bucket", [(1024, 1_000_000), (3, 500)])
+def test_jaccard_join(docs, rows, monkeypatch, block, bucket):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "BUCKET_KEYS", bucket)
+    monkeypatch.setattr(jaccard_join, "FLUSH_KEYS", bucket)
+    monkeypatch.setattr(jaccard_join, "MOST_TASKS", 12)
     sets, of = groups([t for _, t in rows])
     want = Counter()
     for (d, _), s, c in zip(rows, sets, of):
@@ -277,6 +280,25 @@ def test_chain_of_near_copies(spark):
     assert jaccard_join.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_near_copies_about_the_threshold(spark, monkeypatch, block):
+    """Edited copies whose likeness lies on both sides of 0.8, and texts that share a passage only."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, passage, texts = [word() for _ in range(120)], [word() for _ in range(60)], []
+    for i in range(90):
+        own = list(base)
+        for _ in range(i % 8):
+            own[rng.randrange(len(own))] = word()
+        texts.append(" ".join(own[: rng.choice([100, 110, 120])]))
+    texts += [" ".join([word() for _ in range(i)] + passage + [word() for _ in range(i)]) for i in range(40)]
+    texts += [" ".join(word() for _ in range(k)) for k in (1, 2, 4, 5, 6, 7, 9)] + ["a b c d e f g h", "a b c d e f g h i", "a b c d e f g", "a b c d e f"]
+    _, of = groups(texts)
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: of.index(of[i]) for i in range(len(texts))}
+
+
 def test_keep_first_with_repeated_ids(spark):
     """Different texts that share an id are all kept; copies of one of them, under any id, are not."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
