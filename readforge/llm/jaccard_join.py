@@ -33,9 +33,11 @@ PIECES, BITS = 2, 4
 #: Members of a block; ids that are broadcast (8 bytes each).
 BLOCK, BROADCAST_ROWS = 1024, 300_000
 #: Keys of a task that are written out together, keys of a bucket, and most tasks that buckets are dealt to.
-FLUSH_KEYS, BUCKET_KEYS, MOST_TASKS = 2_000_000, 1_000_000, 20_000
+FLUSH_KEYS, BUCKET_KEYS, MOST_TASKS = 1_000_000, 2_000_000, 20_000
 #: Sets that a task remembers, so as to send each once.
 SEEN_SETS = 500_000
+#: Marks the band of a set of which two keys fall together.
+ODD = 128
 
 
 def most_apart(a, b):
@@ -54,12 +56,16 @@ def _bands(top: int) -> list[int]:
 BANDS = np.array(_bands(1 << 40))
 
 
-def scheme(n, parity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """band, most pieces that differ, and number of pieces, for sets of n tokens in that of their two bands which is odd or even.
+def band_of(n) -> np.ndarray:
+    """The size band of sets of n tokens."""
+    return np.searchsorted(BANDS, n, side="right") - 1
+
+
+def scheme(band, parity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """band, most pieces that differ, and number of pieces, in that of a set's two bands which is odd or even.
 
     A set lies in its own band and, as the larger of a pair, in the band below; one of the two is odd and one is even.
     """
-    band = np.searchsorted(BANDS, n, side="right") - 1
     band = np.where(band & 1 == parity, band, band - 1)
     most = BANDS[band + 1] - 1
     apart = most_apart(most, most * 100 // PERCENT)
@@ -68,10 +74,9 @@ def scheme(n, parity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def piece_keys(hashes: np.ndarray) -> np.ndarray:
     """The keys of a set, one for each piece in each of its bands; the lowest bit tells which band it is."""
-    n, out = len(hashes), []
-    mixed = mix(hashes)
+    own, out, mixed = band_of(len(hashes)), [], mix(hashes)
     for parity in (0, 1):
-        band, _, m = (int(x) for x in scheme(n, parity))
+        band, _, m = (int(x) for x in scheme(own, parity))
         if band < 0:
             continue
         piece = ((hashes >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
@@ -143,6 +148,15 @@ def _grouped_rows(batches: Iterator[pd.DataFrame], col: str) -> Iterator[tuple[i
         yield int(held[0][col].iloc[0]), pd.concat(held, ignore_index=True)
 
 
+def _counted(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which stretches of equal neighbours begin, and their lengths in one byte each: longer ones count as several."""
+    at = np.arange(len(own))
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    back = at - np.repeat(first, np.diff(np.append(first, len(own))))
+    first = np.flatnonzero(back % 255 == 0)
+    return first, np.diff(np.append(first, len(own))).astype(np.uint8)
+
+
 def _whole(column: pd.Series, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind)
 
@@ -150,7 +164,7 @@ def _whole(column: pd.Series, kind) -> np.ndarray:
 def _index(docs: DataFrame, keys: int) -> DataFrame:
     """(run, set) for the rarest keys of each set, of those that it shares with another; `keys` is about their number in all.
 
-    A task sends the keys of each bucket together (4 bytes a key and the number of keys of each set); a bucket counts the
+    A task sends the keys of each bucket together (4 bytes a key and 10 for each set: its id, band and number of keys); a bucket counts the
     sets of its keys and sends what is shared on to a bucket of the set, where a set's keys are put in order.  Buckets are
     of a fixed size and are taken one after the other from sorted partitions.
     """
@@ -161,21 +175,23 @@ def _index(docs: DataFrame, keys: int) -> DataFrame:
     dealt = lambda df: df.withColumn("_task", F.col("bucket") % tasks).repartition(tasks, "_task").sortWithinPartitions("bucket").drop("_task")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, sets, sizes, counts, seen = [], [], [], [], set()
+        found, sets, bands, counts, seen = [], [], [], [], set()
 
         def flush() -> pd.DataFrame:
             key, own = np.concatenate(found), np.repeat(np.arange(len(sets)), counts)
-            ids, n = np.array(sets, np.int64), np.array(sizes, np.int32)
+            ids, band = np.array(sets, np.int64), np.array(bands, np.uint8)
             to = ((key >> np.uint64(32)) * room >> np.uint64(32)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             key, own, to = key[order].astype(np.uint32), own[order], to[order]
             at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist()
             rows = []
             for i, j in zip(at, [*at[1:], len(to)]):
-                used, times = np.unique(own[i:j], return_counts=True)
-                rows.append((int(to[i]), key[i:j].tobytes(), ids[used].tobytes(), n[used].tobytes(), times.astype(np.int32).tobytes()))
-            return pd.DataFrame(rows, columns=["bucket", "keys", "sets", "sizes", "times"])
+                first, times = _counted(own[i:j])
+                used = own[i:j][first]
+                rows.append((int(to[i]), key[i:j].tobytes(), ids[used].tobytes(), band[used].tobytes(), times.tobytes()))
+            return pd.DataFrame(rows, columns=["bucket", "keys", "sets", "bands", "times"])
 
+        total = 0
         for batch in batches:
             for _, h in _sets(batch):
                 if not len(h) or (one := _set_id(h)) in seen:
@@ -185,58 +201,59 @@ def _index(docs: DataFrame, keys: int) -> DataFrame:
                 seen.add(one)
                 key = piece_keys(h)
                 place = (key >> np.uint64(32)) * room >> np.uint64(32) << np.uint64(32) | key & np.uint64(0xFFFFFFFF)
-                # a set of which two keys fall together is marked: the number of its keys is not what its size says
-                sizes.append(len(h) if len(np.unique(place)) == len(key) else -len(h))
+                # where two keys fall together, their number is not what the band says
+                bands.append(int(band_of(len(h))) | (0 if len(np.unique(place)) == len(key) else ODD))
                 found.append(key)
                 sets.append(one)
                 counts.append(len(key))
-                if sum(counts) >= FLUSH_KEYS:
+                total += len(key)
+                if total >= FLUSH_KEYS:
                     yield flush()
-                    found, sets, sizes, counts = [], [], [], []
+                    found, sets, bands, counts, total = [], [], [], [], 0
         if found:
             yield flush()
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for bucket, rows in _grouped_rows(batches, "bucket"):
-            times = _whole(rows["times"], np.int32)
-            key, own, n = _whole(rows["keys"], np.uint32), np.repeat(_whole(rows["sets"], np.int64), times), np.repeat(_whole(rows["sizes"], np.int32), times)
+            times = _whole(rows["times"], np.uint8)
+            key, own, band = _whole(rows["keys"], np.uint32), np.repeat(_whole(rows["sets"], np.int64), times), np.repeat(_whole(rows["bands"], np.uint8), times)
             order = np.lexsort((own, key))
-            key, own, n = key[order], own[order], n[order]
+            key, own, band = key[order], own[order], band[order]
             keep = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
-            key, own, n = key[keep], own[keep], n[keep]
+            key, own, band = key[keep], own[keep], band[keep]
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             many = np.diff(np.append(at, len(key)))
             many = np.repeat(many, many)
-            key, own, n, many = (x[many > 1] for x in (key, own, n, many))
+            key, own, band, many = (x[many > 1] for x in (key, own, band, many))
             to = ((mix(own.view(np.uint64)) >> np.uint64(32)) * room >> np.uint64(32)).astype(np.int64)
             order = np.lexsort((own, to))
-            key, own, n, many, to = (x[order] for x in (key, own, n, many, to))
+            key, own, band, many, to = (x[order] for x in (key, own, band, many, to))
             at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist() if len(to) else []
             out = []
             for i, j in zip(at, [*at[1:], len(to)]):
-                first = np.flatnonzero(np.concatenate([[True], own[i + 1 : j] != own[i : j - 1]])) + i
-                out.append((int(to[i]), bucket, key[i:j].tobytes(), many[i:j].astype(np.int32).tobytes(), own[first].tobytes(), n[first].tobytes(), np.diff(np.append(first, j)).astype(np.int32).tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "of", "keys", "many", "sets", "sizes", "times"])
+                first, times = _counted(own[i:j])
+                out.append((int(to[i]), bucket, key[i:j].tobytes(), many[i:j].astype(np.int32).tobytes(), own[i:j][first].tobytes(), band[i:j][first].tobytes(), times.tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "of", "keys", "many", "sets", "bands", "times"])
 
     def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, rows in _grouped_rows(batches, "bucket"):
-            times, many = _whole(rows["times"], np.int32), _whole(rows["many"], np.int32)
-            own, n = np.repeat(_whole(rows["sets"], np.int64), times), np.repeat(_whole(rows["sizes"], np.int32), times)
+            times, many = _whole(rows["times"], np.uint8), _whole(rows["many"], np.int32)
+            own, band = np.repeat(_whole(rows["sets"], np.int64), times), np.repeat(_whole(rows["bands"], np.uint8), times).astype(np.int64)
             low = _whole(rows["keys"], np.uint32).astype(np.int64)
             key = np.repeat(rows["of"].to_numpy(np.int64), [len(x) // 4 for x in rows["keys"]]) << 32 | low
             parity = low & 1
             order = np.lexsort((key, many, parity, own))
-            key, own, n, parity = key[order], own[order], n[order], parity[order]
+            key, own, band, parity = key[order], own[order], band[order], parity[order]
             at = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (parity[1:] != parity[:-1])]))
             size = np.diff(np.append(at, len(key)))
-            _, apart, m = scheme(np.abs(n[at]), parity[at])
+            _, apart, m = scheme(band[at] & ~ODD, parity[at])
             # the keys that no other set has come first; what is left of apart + 1 goes to the rarest of the others
-            quota = np.where(n[at] < 0, size, apart + 1 - (m - size))
+            quota = np.where(band[at] & ODD != 0, size, apart + 1 - (m - size))
             keep = np.arange(len(key)) - np.repeat(at, size) < np.repeat(quota, size)
             yield pd.DataFrame({"run": key[keep], "set": own[keep]})
 
-    packed = dealt(docs.mapInPandas(pack, "bucket bigint, keys binary, sets binary, sizes binary, times binary"))
-    some = dealt(packed.mapInPandas(shared, "bucket bigint, of bigint, keys binary, many binary, sets binary, sizes binary, times binary"))
+    packed = dealt(docs.mapInPandas(pack, "bucket bigint, keys binary, sets binary, bands binary, times binary"))
+    some = dealt(packed.mapInPandas(shared, "bucket bigint, of bigint, keys binary, many binary, sets binary, bands binary, times binary"))
     return materialize(some.mapInPandas(rarest, "run bigint, set bigint"), "jaccard-index")
 
 
@@ -279,8 +296,8 @@ def _linked(pairs: DataFrame, profiles: DataFrame, docs: DataFrame) -> DataFrame
 
 
 def _stars(index: DataFrame) -> DataFrame:
-    """Pairs of each run's leader (the least by a hash) with its other members."""
-    first = index.groupBy("run").agg(F.min(F.struct(F.xxhash64("set"), "set"))["set"].alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    """Pairs of each run's leader (the least by a hash, another for each run) with its other members."""
+    first = index.groupBy("run").agg(F.min(F.struct(F.xxhash64("set", "run"), "set"))["set"].alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     return index.join(first, "run").where("set <> leader").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
 
 
