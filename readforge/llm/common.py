@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +11,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one where the setting is absent (tests)."""
+    """The folder that driver and executors share: the setting, else, in local mode only, a folder of the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     return found.rstrip("/")
 
 
@@ -45,6 +45,17 @@ def row_key(*cols: Column) -> Column:
     return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\x00null")) for c in cols])
 
 
+def row_name(*cols: Column) -> Column:
+    """A non-null key of a row's identity: the first column as text and 128 bits of hashes of all of them."""
+    known = [F.coalesce(c.cast("string"), F.lit("\x00null")) for c in cols]
+    return F.concat_ws(":", known[0], F.hex(F.xxhash64(*known)), F.hex(F.xxhash64(F.lit("b"), *known)))
+
+
+def as_rows(docs: DataFrame) -> DataFrame:
+    """(row, _key): each row of docs in one column, so that its names, whatever they are, meet no others."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_name(F.col("doc_id"), F.col("text")).alias("_key"))
+
+
 def small_enough(df: DataFrame, limit: int) -> bool:
     """Whether df has at most `limit` rows; reads no more than it must."""
     return df.limit(limit + 1).count() <= limit

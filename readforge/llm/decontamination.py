@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, lower_ascii, row_key, small_enough
+from .common import as_rows, bounded, lower_ascii, row_name, small_enough
 
 WINDOW = 13
 GRAM = 7
@@ -107,7 +107,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     null item_id reads as the empty string.  Repeated rows give repeated results.  An empty benchmark hits nothing.
     Other columns of docs, whatever their names, are not read.
     """
-    docs = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).withColumn("_key", row_key(F.col("_id"), F.col("_t")))
+    docs = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).withColumn("_key", row_name(F.col("_id"), F.col("_t")))
     at, owners = hits(docs, benchmark, "_t", item, item_text, window, gram)
     spans = at.groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("_start", "_len"))).alias("_spans")).select("_key", _covered(F.col("_spans")).alias("n_hit"))
     names = at.select("_key", "_owners").distinct().join(owners, "_owners").groupBy("_key").agg(F.array_sort(F.collect_set("_item")).alias("items"))
@@ -126,8 +126,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
-    keyed = docs.withColumn("_doc_key", row_key(F.col("doc_id"), F.col("text")))
-    named = docs.select(F.col("doc_id"), F.col("text"))
-    bad = contamination(named.withColumn("doc_id", row_key(F.col("doc_id"), F.col("text"))), benchmark).where("contaminated").select(F.col("doc_id").alias("_doc_key")).distinct()
-    return keyed.join(bad, "_doc_key", "left_anti").drop("_doc_key")
+    """The rows of docs that are not contaminated, with all their columns, whatever those are called.
+
+    Null and empty texts stay; of repeated rows all stay or all go; an empty benchmark or table changes nothing.
+    """
+    keyed = as_rows(docs)
+    bad = contamination(keyed.select("_key", "row.text"), benchmark, doc_id="_key").where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(bad, "_key", "left_anti").select("row.*")

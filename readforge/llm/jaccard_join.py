@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, row_key, shuffle_partitions
+from .common import as_rows, bounded, materialize, row_name, shuffle_partitions
 from .components import components
 from .hashing import batches_of, mix, word_shingles
 
@@ -129,7 +129,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
             yield out
 
     side = docs.withColumn("_id", F.col("_id").cast("string"))
-    return side.mapInPandas(run, "n bigint, set bigint, sketch binary, _key bigint, _id string").withColumn("_id", F.col("_id").cast(kind))
+    return side.mapInPandas(run, "n bigint, set bigint, sketch binary, _key string, _id string").withColumn("_id", F.col("_id").cast(kind))
 
 
 def _grouped_rows(batches: Iterator[pd.DataFrame], col: str) -> Iterator[tuple[int, pd.DataFrame]]:
@@ -357,7 +357,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The columns of `similar` and class: an id of the component, null for rows without shingles."""
-    side = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"), row_key(F.col(doc_id), F.col(text)).alias("_key"))
+    side = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"), row_name(F.col(doc_id), F.col(text)).alias("_key"))
     rows = materialize(_profiles(side.select("_id", "_key", "_t")), "jaccard-profiles")
     sets = rows.where("set is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("_key").alias("_key"), F.min("_id").alias("low"))
     profiles = materialize(sets, "jaccard-classes")
@@ -375,13 +375,14 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of similar documents: that with the smallest doc_id; of several with it, one.
+    """One row of each group of similar documents, with all its columns: that with the smallest doc_id.
 
-    Rows without an id, in groups without any, are kept unless they repeat a row.
+    Rows without an id come last.  Of rows with one id and text the first by its JSON form stays.  Null, empty and blank
+    texts are alike only to rows with the same id and text.  An empty table stays empty.
     """
     found = _grouped(docs, "doc_id", "text")
     # by component, not by doc_id, which different texts may share; rows without shingles are alone
-    first = found.where("doc_id is not null").groupBy("class", F.when(F.col("class").isNull(), F.col("key")).alias("alone")).agg(F.min(F.struct("doc_id", "key")).alias("_first"))
-    keep = first.select(F.col("_first.key").alias("_keep")).unionByName(found.where("doc_id is null and component_id is null").select(F.col("key").alias("_keep")))
-    keyed = docs.withColumn("_keep", row_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(keep.select("_keep").distinct(), "_keep", "left_semi").dropDuplicates(["_keep"]).drop("_keep")
+    alone = F.when(F.col("class").isNull(), F.col("key")).alias("alone")
+    first = found.groupBy("class", alone).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("_key"))
+    kept = as_rows(docs).join(first.select("_key"), "_key", "left_semi")
+    return kept.groupBy("_key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")

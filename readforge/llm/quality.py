@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import as_rows, materialize, row_name
 
 SHRINKAGE, RIDGE = 0.15, 0.05
 THRESHOLD = 0.7
@@ -60,8 +60,8 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"_id": batch["_id"].to_numpy(), "_key": batch["_key"], "_f": [statistics(t) for t in batch["_t"]]})
 
-    side = docs.select(F.col("_id").cast("string").alias("_id"), row_key(F.col("_id"), F.col(text)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    return side.mapInPandas(run, "_id string, _key bigint, _f array<double>").withColumn("_id", F.col("_id").cast(kind))
+    side = docs.select(F.col("_id").cast("string").alias("_id"), row_name(F.col("_id"), F.col(text)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    return side.mapInPandas(run, "_id string, _key string, _f array<double>").withColumn("_id", F.col("_id").cast(kind))
 
 
 class Model:
@@ -138,10 +138,13 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
             score = model.score(np.array(batch["_f"].tolist()).reshape(-1, len(FEATURES)))
             yield pd.DataFrame({"doc_id": batch["_id"].to_numpy(), "held_out": batch["_held"], "score": score, "predicted": (score >= threshold).astype(np.int32), "key": batch["_key"]})
 
-    return found.withColumn("_held", held_out(F.col("_id"))).withColumn("_id", F.col("_id").cast("string")).mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int, key bigint").withColumn("doc_id", F.col("doc_id").cast(kind))
+    return found.withColumn("_held", held_out(F.col("_id"))).withColumn("_id", F.col("_id").cast("string")).mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int, key string").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier does not reject, with all their columns."""
-    bad = classify(docs, labels).where("predicted = 0").select(F.col("key").alias("_bad")).distinct()
-    return docs.withColumn("_bad", row_key(F.col("doc_id"), F.col("text"))).join(bad, "_bad", "left_anti").drop("_bad")
+    """The rows of docs that the classifier does not reject, with all their columns, whatever those are called.
+
+    Null texts are judged as empty ones; of repeated rows all stay or all go; an empty table stays empty.
+    """
+    bad = classify(docs, labels).where("predicted = 0").select(F.col("key").alias("_key")).distinct()
+    return as_rows(docs).join(bad, "_key", "left_anti").select("row.*")

@@ -2,9 +2,11 @@
 
 Every window of `length` bytes has an anchor, its leftmost least gram of GRAM bytes; equal windows have equal anchors at
 equal places.  A run is the windows that follow each other and share an anchor.  Equal runs, told by one hash, repeat as
-a whole; only for runs that share an anchor gram but differ somewhere are the hashes of single windows compared.  So the
-corpus is matched exactly, without a suffix array: a column-wise construction would need as many rounds over the corpus
-as the longest text has bytes.
+a whole; only for runs that share an anchor gram but differ somewhere are the hashes of single windows compared, in
+buckets of a fixed size.  So the corpus is matched without a suffix array: a column-wise construction would need as many
+rounds over the corpus as the longest text has bytes.
+
+Texts meet their runs and their spans by two shuffles, compressed.
 """
 
 from __future__ import annotations
@@ -14,15 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, row_key
-from .hashing import batches_of, prefix, spans
+from .common import materialize, row_key, shuffle_partitions
+from .hashing import batches_of, mix, prefix, spans
 
 LENGTH, GRAM = 400, 160
-#: Documents with runs to compare up to this many are broadcast (their keys and offsets); more are joined by shuffle.
-BROADCAST_ROWS = 50_000
+#: For a stage that cuts passages of about fifty words and more: fifty short words have some 250 bytes.
+PASSAGE, PASSAGE_GRAM = 250, 100
+#: Window hashes that a task sends together, and those of a bucket.
+FLUSH_WINDOWS, BUCKET_WINDOWS = 500_000, 2_000_000
 #: Longer texts are taken in overlapping parts of so many bytes, so that an anchor's place fits the low bits.
 PART = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
@@ -59,16 +64,28 @@ def runs_of(data: bytes, length: int, gram: int) -> list[np.ndarray]:
     return out
 
 
-def _bytes(batch: pd.DataFrame) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else bytes(t) for t in batch["_t"]]
+def _zipped(texts: DataFrame) -> DataFrame:
+    """texts (_key, _t, and others) with `_z`, the compressed UTF-8 bytes, in place of _t: what is shuffled is less than half."""
+
+    @F.pandas_udf("binary")
+    def pack(t: pd.Series) -> pd.Series:
+        c = zstandard.ZstdCompressor(level=1)
+        return pd.Series([c.compress(x.encode("utf-8", "surrogatepass")) for x in t], dtype=object)
+
+    return texts.withColumn("_z", pack("_t")).drop("_t")
+
+
+def _unzipped(column: pd.Series) -> Iterator[bytes]:
+    d = zstandard.ZstdDecompressor()
+    return (d.decompress(x) for x in column)
 
 
 def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """_key, spans (sorted, disjoint [from, to) of repeated bytes) of each row key of docs (_key, _t) that has any."""
+    """_key, spans ([from, to, from, to ...], sorted, disjoint, of repeated bytes) of each row key of docs (_key, _t) that has any."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, texts = batch["_key"].to_numpy(), _bytes(batch)
+            keys, texts = batch["_key"].to_numpy(), [t.encode("utf-8", "surrogatepass") for t in batch["_t"]]
             for i, j in batches_of(texts):
                 found = [(np.full(len(r), keys[k]), r) for k in range(i, j) for r in runs_of(texts[k], length, gram)]
                 if found:
@@ -76,42 +93,104 @@ def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     yield pd.DataFrame({"_key": np.concatenate([k for k, _ in found]), "start": r[:, 0], "count": r[:, 1], "gram": r[:, 2], "whole": r[:, 3]})
 
     runs = docs.mapInPandas(find, "_key bigint, start bigint, count bigint, gram bigint, whole bigint")
+    grams = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    runs = materialize(runs.join(grams, "gram"), "repeat-runs")
     classes = runs.groupBy("gram", "whole").agg(F.count("*").alias("times"), F.min(F.struct("_key", "start", "count")).alias("one"))
-    grams = classes.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("times").alias("all"))
-    classes = materialize(classes.join(grams.where("`all` > 1").drop("all"), "gram").select("gram", "whole", "times", "kinds", "one.*"), "repeat-classes")
+    kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds"))
+    classes = materialize(classes.join(kinds, "gram").select("whole", "times", "kinds", "one.*"), "repeat-classes")
     # runs that differ though their anchors are equal: compare their windows, one example of each
-    mixed = classes.where("kinds > 1").select("_key", "start", "count", "gram", "whole", "times")
-    asked = mixed.groupBy("_key").agg(F.collect_list(F.struct("start", "count", "gram", "whole", "times")).alias("asked"))
-    texts = docs.join(bounded(asked, BROADCAST_ROWS), "_key").select("_key", "_t", "asked")
+    asked = classes.where("kinds > 1").groupBy("_key").agg(F.collect_list(F.struct("start", "count", "whole")).alias("asked"))
+    partial = _hits(_zipped(docs).join(asked, "_key"), length, int(classes.where("kinds > 1").agg(F.sum("count")).first()[0] or 0))
+    known = classes.select("whole", (F.col("times") > 1).alias("full")).join(partial, "whole", "left").where("full or hits is not null")
+    out = runs.select("_key", "start", "count", "whole").join(known, "whole").select("_key", F.struct("start", "count", "full", "hits").alias("r"))
+    return out.groupBy("_key").agg(F.collect_set("r").alias("runs")).mapInPandas(lambda b: _merge(b, length), "_key bigint, spans array<bigint>")
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text, runs in zip(_bytes(batch), batch["asked"]):
-                sums = prefix(np.frombuffer(text, np.uint8))
-                rows = []
-                for r in runs:
-                    at = np.arange(r["start"], r["start"] + r["count"])
-                    rows.append((r["gram"], r["whole"], r["times"], spans(sums, at, at + length).tobytes()))
-                yield pd.DataFrame(rows, columns=["gram", "whole", "times", "prints"])
 
-    prints = texts.mapInPandas(windows, "gram bigint, whole bigint, times bigint, prints binary").dropDuplicates(["gram", "whole"])
-    prints = materialize(prints, "repeat-prints")
-    single = prints.mapInPandas(_each, "gram bigint, whole bigint, at int, print bigint")
-    twice = single.groupBy("gram", "print").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    partial = single.join(twice, ["gram", "print"], "left_semi").groupBy("gram", "whole").agg(F.array_sort(F.collect_set("at")).alias("hits"))
-    known = classes.select("gram", "whole", "times").join(partial, ["gram", "whole"], "left").where("times > 1 or hits is not null")
-    known = materialize(known.select("gram", "whole", (F.col("times") > 1).alias("full"), F.when(F.col("times") == 1, F.col("hits")).alias("hits")), "repeat-known")
+def _hits(texts: DataFrame, length: int, windows: int) -> DataFrame:
+    """whole, hits: the windows (places in the run, two bytes each, in a list of byte strings) that also start elsewhere.
 
-    out = runs.join(known, ["gram", "whole"]).select("_key", F.struct("start", "count", "full", "hits").alias("r"))
-    return out.groupBy("_key").agg(F.collect_set("r").alias("runs")).mapInPandas(lambda b: _merge(b, length), "_key bigint, spans array<struct<from:bigint,to:bigint>>")
+    texts has _key, _z and asked, the runs to compare.  A task sends each window hash once for each flush, and decides
+    itself on those that it holds twice, so a window that very many runs share does not gather in its bucket.
+    """
+    spark = texts.sparkSession
+    buckets = max(shuffle_partitions(spark), -(-windows // BUCKET_WINDOWS))
+
+    def twice(prints, of, at) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted and without repeats: hashes, runs, places, and whether the hash stands more than once."""
+        order = np.lexsort((at, of, prints))
+        prints, of, at = prints[order], of[order], at[order]
+        new = np.concatenate([[True], (prints[1:] != prints[:-1]) | (of[1:] != of[:-1]) | (at[1:] != at[:-1])])
+        prints, of, at = prints[new], of[new], at[new]
+        first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+        n = np.diff(np.append(first, len(prints)))
+        return prints, of, at, np.repeat(n, n) > 1
+
+    def places(of: np.ndarray, at: np.ndarray) -> list[tuple[int, bytes]]:
+        order = np.lexsort((at, of))
+        of, at = of[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist() if len(of) else []
+        return [(int(of[i]), at[i:j].astype(np.uint16).tobytes()) for i, j in zip(first, [*first[1:], len(of)])]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, n, turn = [], 0, 0
+
+        def flush() -> pd.DataFrame:
+            prints, of, at, many = twice(*(np.concatenate(x) for x in zip(*found)))
+            hit = places(of[many], at[many])
+            one = np.concatenate([[True], prints[1:] != prints[:-1]])
+            prints, of, at = prints[one], of[one], at[one]
+            to = ((mix(prints.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            prints, of, at, to = prints[order], of[order], at[order].astype(np.uint16), to[order]
+            first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist()
+            rows = [(int(to[i]), prints[i:j].tobytes(), of[i:j].tobytes(), at[i:j].tobytes()) for i, j in zip(first, [*first[1:], len(to)])]
+            # what is settled already goes along with any bucket
+            rows.extend(((turn + k) % buckets, b"", np.int64(w).tobytes(), a) for k, (w, a) in enumerate(hit))
+            return pd.DataFrame(rows, columns=["bucket", "prints", "of", "at"])
 
+        for batch in batches:
+            seen = set()
+            for key, text, asked in zip(batch["_key"], _unzipped(batch["_z"]), batch["asked"]):
+                if key in seen:
+                    continue
+                seen.add(key)
+                sums = prefix(np.frombuffer(text, np.uint8))
+                for r in asked:
+                    for k in range(0, r["count"], 1 << 16):  # a run is at most length - gram + 1 windows long, unless parameters say otherwise
+                        at = np.arange(k, min(r["count"], k + (1 << 16)))
+                        found.append((spans(sums, at + r["start"], at + r["start"] + length).view(np.int64), np.full(len(at), r["whole"], np.int64), at))
+                        n += len(at)
+                if n >= FLUSH_WINDOWS:
+                    yield flush()
+                    found, n, turn = [], 0, turn + 1
+        if found:
+            yield flush()
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def settle() -> pd.DataFrame:
+            rows = pd.concat(held, ignore_index=True)
+            join = lambda c, kind: np.frombuffer(b"".join(rows[c]), kind)
+            _, of, at, many = twice(join("prints", np.int64), join("of", np.int64), join("at", np.uint16))
+            return pd.DataFrame(places(of[many], at[many]), columns=["whole", "hits"])
 
-def _each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        arrays = [np.frombuffer(x, np.int64) for x in batch["prints"]]
-        n = [len(a) for a in arrays]
-        if sum(n):
-            yield pd.DataFrame({"gram": np.repeat(batch["gram"].to_numpy(), n), "whole": np.repeat(batch["whole"].to_numpy(), n), "at": np.concatenate([np.arange(k, dtype=np.int32) for k in n]), "print": np.concatenate(arrays)})
+        for batch in batches:
+            done = batch["prints"].map(len) == 0
+            if done.any():
+                yield pd.DataFrame({"whole": [int(np.frombuffer(x, np.int64)[0]) for x in batch.loc[done, "of"]], "hits": batch.loc[done, "at"]})
+            for bucket, part in batch[~done].groupby("bucket"):
+                if held and held[0]["bucket"].iloc[0] != bucket:
+                    yield settle()
+                    held = []
+                held.append(part)
+        if held:
+            yield settle()
+
+    tasks = min(buckets, 20_000)
+    packed = texts.mapInPandas(pack, "bucket bigint, prints binary, of binary, at binary")
+    packed = packed.withColumn("_task", F.col("bucket") % tasks).repartition(tasks, "_task").sortWithinPartitions("bucket").drop("_task")
+    return packed.mapInPandas(meet, "whole bigint, hits binary").groupBy("whole").agg(F.collect_list("hits").alias("hits"))
 
 
 def _merge(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
@@ -124,23 +203,30 @@ def _merge(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFram
                 if r["full"]:
                     spans_.append((r["start"], r["start"] + r["count"] - 1 + length))
                 else:
-                    at = np.asarray(r["hits"], np.int64) + r["start"]
+                    at = np.unique(np.frombuffer(b"".join(r["hits"]), np.uint16)).astype(np.int64) + r["start"]
                     cut = np.flatnonzero(np.diff(at) > length)
                     spans_.extend(zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + length).tolist()))
             spans_.sort()
             joined = []
             for a, b in spans_:
-                if joined and a <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], b)
+                if joined and a <= joined[-1]:
+                    joined[-1] = max(joined[-1], b)
                 else:
-                    joined.append([a, b])
-            out.append([{"from": a, "to": b} for a, b in joined])
+                    joined += [a, b]
+            out.append(joined)
         yield pd.DataFrame({"_key": batch["_key"], "spans": out})
 
 
+def _kept(data: bytes, found) -> bytes:
+    if found is None:
+        return data
+    edges = [0, *found, len(data)]
+    return b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2])])
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, outputs: tuple[str, ...] = ("spans", "kept")) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans and, as asked for by `outputs`: spans (from, to),
-    kept (binary), kept_sha256 (lowercase hex), key (of the row's id and text).
+    kept (binary), kept_sha256 (lowercase hex), text (kept as text, without characters that are cut in two), key.
 
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same document or another;
     texts are UTF-8, judged as they came in, and matches never cross documents.  Null texts are empty; texts shorter than
@@ -150,49 +236,44 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kind = docs.schema[doc_id].dataType.simpleString()
     side = docs.select(F.col(doc_id).cast("string").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"), row_key(F.col(doc_id), F.col(text)).alias("_key"))
     spans_ = materialize(repeated(side.select("_key", "_t"), length, gram), "repeat-spans")
-    kinds = {"spans": "array<struct<from:bigint,to:bigint>>", "kept": "binary", "kept_sha256": "string", "key": "bigint"}
+    kinds = {"spans": "array<struct<from:bigint,to:bigint>>", "kept": "binary", "kept_sha256": "string", "text": "string", "key": "bigint"}
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for data, found, key in zip(_bytes(batch), batch["spans"], batch["_key"]):
-                found = [] if found is None else [(s["from"], s["to"]) for s in found]
-                kept, at = [], 0
-                for a, b in found:
-                    kept.append(data[at:a])
-                    at = b
-                kept = b"".join([*kept, data[at:]])
-                made = {"spans": [{"from": a, "to": b} for a, b in found], "kept": kept, "kept_sha256": hashlib.sha256(kept).hexdigest() if "kept_sha256" in outputs else "", "key": key}
-                rows.append((len(data), len(data) - len(kept), len(found), *[made[k] for k in outputs]))
+            for data, found, key in zip(_unzipped(batch["_z"]), batch["spans"], batch["_key"]):
+                kept = _kept(data, found)
+                made = {"kept": kept, "key": key}
+                if "spans" in outputs:
+                    made["spans"] = [] if found is None else [{"from": a, "to": b} for a, b in zip(found[::2], found[1::2])]
+                if "kept_sha256" in outputs:
+                    made["kept_sha256"] = hashlib.sha256(kept).hexdigest()
+                if "text" in outputs:
+                    made["text"] = kept.decode("utf-8", "ignore")
+                rows.append((len(data), len(data) - len(kept), 0 if found is None else len(found) // 2, *[made[k] for k in outputs]))
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", *outputs])
             out.insert(0, "doc_id", batch["_id"].to_numpy())
             yield out
 
     schema = ", ".join(["doc_id string", "n_bytes bigint", "n_removed bigint", "n_spans bigint", *[f"{k} {kinds[k]}" for k in outputs]])
-    return side.join(bounded(spans_, BROADCAST_ROWS), "_key", "left").mapInPandas(cut, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
+    return _zipped(side).join(spans_, "_key", "left").mapInPandas(cut, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the repeated bytes removed from text and n_chars counted anew; bytes of a character cut in two are dropped."""
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
-    spans_ = materialize(repeated(keyed.select("_key", F.coalesce(F.col("text"), F.lit("")).alias("_t")), length, GRAM), "repeat-spans")
+def without_repeats(docs: DataFrame, length: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """docs, all columns and rows, with the repeated bytes removed from text and n_chars, where there is one, counted anew.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = []
-            for text, found in zip(batch["text"], batch["spans"]):
-                if text is not None and found is not None:
-                    data, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
-                    for s in found:
-                        kept.append(data[at : s["from"]])
-                        at = s["to"]
-                    text = b"".join([*kept, data[at:]]).decode("utf-8", "ignore")
-                texts.append(text)
-            batch["text"] = texts
-            yield batch.drop(columns=["spans"])
-
-    cut_docs = keyed.join(bounded(spans_, BROADCAST_ROWS), "_key")
-    changed = cut_docs.select(*docs.columns, "spans").mapInPandas(cut, docs.schema)
-    same = keyed.join(bounded(spans_.select("_key"), BROADCAST_ROWS), "_key", "left_anti").select(*docs.columns)
-    out = same.unionByName(changed)
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
+    Bytes of a character that is cut in two are dropped.  Null texts stay null and keep their n_chars; empty texts and
+    those shorter than `length` stay as they are; of repeated rows each loses what repeats; an empty table stays empty.
+    """
+    # the row travels in one column, so its names meet none of these
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("_key"))
+    spans_ = materialize(repeated(keyed.select("_key", F.coalesce(F.col("row.text"), F.lit("")).alias("_t")), length, gram), "repeat-spans")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or f is None else _kept(t.encode("utf-8", "surrogatepass"), f).decode("utf-8", "ignore") for t, f in zip(text, found)], dtype=object)
+
+    out = keyed.join(spans_, "_key", "left").select("row", cut("row.text", "spans").alias("_text"))
+    n_chars = lambda kind: F.when(F.col("_text").isNotNull(), F.length("_text").cast(kind)).otherwise(F.col("row.n_chars"))
+    new = {"text": lambda f: F.col("_text"), "n_chars": lambda f: n_chars(f.dataType)}
+    return out.select(*[new.get(f.name, lambda f: F.col(f"row.`{f.name}`"))(f).alias(f.name) for f in docs.schema.fields])
