@@ -93,7 +93,8 @@ def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     yield pd.DataFrame({"_key": np.concatenate([k for k, _ in found]), "start": r[:, 0], "count": r[:, 1], "gram": r[:, 2], "whole": r[:, 3]})
 
     runs = docs.mapInPandas(find, "_key bigint, start bigint, count bigint, gram bigint, whole bigint")
-    grams = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written, so that the join below reads it from a shuffle of its own and a gram of very many runs is split
+    grams = materialize(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "repeat-grams")
     runs = materialize(runs.join(grams, "gram"), "repeat-runs")
     classes = runs.groupBy("gram", "whole").agg(F.count("*").alias("times"), F.min(F.struct("_key", "start", "count")).alias("one"))
     kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds"))
@@ -107,7 +108,7 @@ def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _hits(texts: DataFrame, length: int, windows: int) -> DataFrame:
-    """whole, hits: the windows (places in the run, two bytes each, in a list of byte strings) that also start elsewhere.
+    """whole, hits: the windows (sorted places in the run, two bytes each) that also start elsewhere.
 
     texts has _key, _z and asked, the runs to compare.  A task sends each window hash once for each flush, and decides
     itself on those that it holds twice, so a window that very many runs share does not gather in its bucket.
@@ -119,33 +120,30 @@ def _hits(texts: DataFrame, length: int, windows: int) -> DataFrame:
         """Sorted and without repeats: hashes, runs, places, and whether the hash stands more than once."""
         order = np.lexsort((at, of, prints))
         prints, of, at = prints[order], of[order], at[order]
-        new = np.concatenate([[True], (prints[1:] != prints[:-1]) | (of[1:] != of[:-1]) | (at[1:] != at[:-1])])
+        new = np.concatenate([[True], (prints[1:] != prints[:-1]) | (of[1:] != of[:-1]) | (at[1:] != at[:-1])])[: len(prints)]
         prints, of, at = prints[new], of[new], at[new]
-        first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+        first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])[: len(prints)])
         n = np.diff(np.append(first, len(prints)))
         return prints, of, at, np.repeat(n, n) > 1
 
-    def places(of: np.ndarray, at: np.ndarray) -> list[tuple[int, bytes]]:
-        order = np.lexsort((at, of))
-        of, at = of[order], at[order]
-        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist() if len(of) else []
-        return [(int(of[i]), at[i:j].astype(np.uint16).tobytes()) for i, j in zip(first, [*first[1:], len(of)])]
+    def dealt(key: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+        """A row for each bucket that the hashes of key fall in: its number and the bytes of each column."""
+        to = ((mix(key.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        to, columns = to[order], [c[order] for c in columns]
+        first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist() if len(to) else []
+        return [(int(to[i]), *[c[i:j].tobytes() for c in columns]) for i, j in zip(first, [*first[1:], len(to)])]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, n, turn = [], 0, 0
 
         def flush() -> pd.DataFrame:
             prints, of, at, many = twice(*(np.concatenate(x) for x in zip(*found)))
-            hit = places(of[many], at[many])
+            hit = dealt(of[many], of[many], at[many].astype(np.uint16))
             one = np.concatenate([[True], prints[1:] != prints[:-1]])
-            prints, of, at = prints[one], of[one], at[one]
-            to = ((mix(prints.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            prints, of, at, to = prints[order], of[order], at[order].astype(np.uint16), to[order]
-            first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist()
-            rows = [(int(to[i]), prints[i:j].tobytes(), of[i:j].tobytes(), at[i:j].tobytes()) for i, j in zip(first, [*first[1:], len(to)])]
+            rows = dealt(prints[one], prints[one], of[one], at[one].astype(np.uint16))
             # what is settled already goes along with any bucket
-            rows.extend(((turn + k) % buckets, b"", np.int64(w).tobytes(), a) for k, (w, a) in enumerate(hit))
+            rows.extend(((turn + k) % buckets, b"", *x[1:]) for k, x in enumerate(hit))
             return pd.DataFrame(rows, columns=["bucket", "prints", "of", "at"])
 
         for batch in batches:
@@ -166,31 +164,41 @@ def _hits(texts: DataFrame, length: int, windows: int) -> DataFrame:
         if found:
             yield flush()
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-
-        def settle() -> pd.DataFrame:
-            rows = pd.concat(held, ignore_index=True)
-            join = lambda c, kind: np.frombuffer(b"".join(rows[c]), kind)
-            _, of, at, many = twice(join("prints", np.int64), join("of", np.int64), join("at", np.uint16))
-            return pd.DataFrame(places(of[many], at[many]), columns=["whole", "hits"])
-
         for batch in batches:
-            done = batch["prints"].map(len) == 0
-            if done.any():
-                yield pd.DataFrame({"whole": [int(np.frombuffer(x, np.int64)[0]) for x in batch.loc[done, "of"]], "hits": batch.loc[done, "at"]})
-            for bucket, part in batch[~done].groupby("bucket"):
+            for bucket, part in batch.groupby("bucket"):
                 if held and held[0]["bucket"].iloc[0] != bucket:
-                    yield settle()
+                    yield pd.concat(held, ignore_index=True)
                     held = []
                 held.append(part)
         if held:
-            yield settle()
+            yield pd.concat(held, ignore_index=True)
+
+    joined = lambda column, kind: np.frombuffer(b"".join(column), kind)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in by_bucket(batches):
+            done = rows["prints"].map(len) == 0
+            known, open_ = rows[done], rows[~done]
+            _, of, at, many = twice(joined(open_["prints"], np.int64), joined(open_["of"], np.int64), joined(open_["at"], np.uint16))
+            of, at = np.concatenate([joined(known["of"], np.int64), of[many]]), np.concatenate([joined(known["at"], np.uint16), at[many]])
+            yield pd.DataFrame(dealt(of, of, at), columns=["bucket", "of", "at"])
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in by_bucket(batches):
+            of, at = joined(rows["of"], np.int64), joined(rows["at"], np.uint16)
+            order = np.lexsort((at, of))
+            of, at = of[order], at[order]
+            new = np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] != at[:-1])])[: len(of)]
+            of, at = of[new], at[new]
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist()
+            yield pd.DataFrame([(int(of[i]), at[i:j].tobytes()) for i, j in zip(first, [*first[1:], len(of)])], columns=["whole", "hits"])
 
     tasks = min(buckets, 20_000)
-    packed = texts.mapInPandas(pack, "bucket bigint, prints binary, of binary, at binary")
-    packed = packed.withColumn("_task", F.col("bucket") % tasks).repartition(tasks, "_task").sortWithinPartitions("bucket").drop("_task")
-    return packed.mapInPandas(meet, "whole bigint, hits binary").groupBy("whole").agg(F.collect_list("hits").alias("hits"))
+    sorted_ = lambda df: df.withColumn("_task", F.col("bucket") % tasks).repartition(tasks, "_task").sortWithinPartitions("bucket").drop("_task")
+    packed = sorted_(texts.mapInPandas(pack, "bucket bigint, prints binary, of binary, at binary"))
+    return sorted_(packed.mapInPandas(meet, "bucket bigint, of binary, at binary")).mapInPandas(gather, "whole bigint, hits binary")
 
 
 def _merge(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
@@ -203,7 +211,7 @@ def _merge(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFram
                 if r["full"]:
                     spans_.append((r["start"], r["start"] + r["count"] - 1 + length))
                 else:
-                    at = np.unique(np.frombuffer(b"".join(r["hits"]), np.uint16)).astype(np.int64) + r["start"]
+                    at = np.frombuffer(r["hits"], np.uint16).astype(np.int64) + r["start"]
                     cut = np.flatnonzero(np.diff(at) > length)
                     spans_.extend(zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + length).tolist()))
             spans_.sort()

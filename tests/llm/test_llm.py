@@ -92,7 +92,10 @@ def test_quality(spark, docs):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
-def test_repeats(spark, docs, rows):
+@pytest.mark.parametrize("windows", [2_000_000, 300])
+def test_repeats(spark, docs, rows, monkeypatch, windows):
+    monkeypatch.setattr(repeats, "BUCKET_WINDOWS", windows)
+    monkeypatch.setattr(repeats, "FLUSH_WINDOWS", windows)
     texts = [(d, (t or "").encode()) for d, t in rows]
     seen = Counter(b[s : s + 400] for _, b in texts for s in range(len(b) - 399))
     want = Counter()
