@@ -2,6 +2,9 @@
 
 A page is one flat list of text blocks.  A block's features are its word count, link density, the same of its
 neighbours, and what kind of element stands around it.  The tree is trained on the small labelled table below.
+
+Names of elements are read with care: those that tell what an element has, and not what it is, say nothing, and an element
+that turns out to hold the article is no menu, advert or form, whatever it is called.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ IN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|bod
 #: Class names that say what a page or an article has, or its topic, and not what the element is; the head of an article.
 MODIFIER = re.compile(r"(?:has|no|with|without|category|topic|tag(?!-(?:list|links|cloud)))[-_]", re.I)
 ARTICLE_HEAD = re.compile(r"(?:entry|post|article|story)[-_]+header", re.I)
+#: Names that hold even for an element with an article in it: each comment or related story may be one.
+NEVER = re.compile(r"comment|repl(?:y|ies)|respond|disqus|related|recommend|side-?bar|footer|promo|sponsor|advert|(?:^|[\s_-])(?:ads?|nav|menu|modal|popup|hidden)(?=$|[\s_-])", re.I)
 HEADINGS, ITEMS = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"li", "td", "th", "dt", "dd"}
 ATTR = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -52,7 +57,7 @@ def _outside(tag: str, attrs: str) -> bool:
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
     """Texts of the flat blocks of a page, and a row of features for each."""
     texts, rows = [], []
-    stack: list[tuple[str, bool, bool]] = []  # tag, outside the article, inside it
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, outside the article, inside it, outside whatever it holds
     part, linked, in_link, tag_now, at = [], 0, 0, "", 0
     seen_outside = seen_inside = False
 
@@ -82,7 +87,8 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         if tag in RAW:
             if not close and not attrs.endswith("/"):
                 end = RAW_END[tag].search(page, at)  # the body is not markup
-                at = end.start() if end else len(page)
+                if end or tag in ("script", "style"):  # others that are not closed are taken for empty ones
+                    at = end.start() if end else len(page)
             continue
         if tag == "a":
             in_link = 0 if close else 1
@@ -110,13 +116,19 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             out = tag in OUT_TAGS or bool(named and _outside(tag, attrs)) or bool(attrs and HIDDEN.search(attrs))
             if tag == "header" and not seen_inside:
                 out = True
+            if tag == "form" and not texts and all(s[0] in ("html", "body") for s in stack) and not (named and _outside(tag, attrs)):
+                out = False  # a form about the whole page
             here = tag in ("article", "main") or bool(named and IN_WORDS.search(named))
             if tag in ("html", "body"):
                 out = here = False
+            if here and not out and not any(s[3] for s in stack) and not (named and NEVER.search(named) and tag not in ("article", "main")):
+                stack = [(t, False, i, False) for t, _, i, _ in stack]  # what holds the article is not outside it
+                seen_outside = False
             if tag in HOLDERS or out:
                 if tag in INLINE:
                     flush()
-                stack.append((tag, out, here))
+                fixed = out and (tag in OUT_TAGS - {"form", "fieldset"} or bool(named and NEVER.search(named)) or bool(attrs and HIDDEN.search(attrs)))
+                stack.append((tag, out, here, fixed))
                 seen_outside, seen_inside = seen_outside or out, seen_inside or here
     flush()
     n = len(texts)
@@ -173,6 +185,13 @@ LABELLED = [
     ("<article><p>One.</p></article>", "1"),
     ("<div class='site-content has-sidebar'><article class='post hentry category-news tag-economy'><div class='entry-header'><h1>Prices rise again</h1></div><p>Prices rose in the last month, says the office that counts them.</p><p>Less so in the south.</p><div class='post-comments'><p>I have not seen any of this where I live.</p></div></article></div><div class='sidebar'><p>Most read stories of this week.</p></div>", "11100"),
     ("<div class='content no-sidebar'><main class='main with-comments'><h2>A walk</h2><p>We set out early, and the rain had stopped by then.</p></main><div class=comments><p>Thank you for this walk, we liked it.</p></div><div class='tag-cloud'><a href=w>walks</a> <a href=r>rain</a></div></div>", "1100"),
+    ("<div><a href=1>Home</a></div><div><a href=2>Sport</a></div><div><a href=3>Culture</a></div><div><h1>A river rises</h1></div><div><p>The river has risen by two feet since the rain began on Monday, and people on both banks carry their things upstairs.</p></div><div><p>Nobody was hurt.</p></div><div><p>The town expects the water to go down again before the week is over, if the weather holds as the office says it will.</p></div><div><a href=4>More on this</a></div><div>Copyright by the makers of this page</div><div><a href=5>Imprint</a></div>", "0001111000"),
+    ("<ul><li><a href=a>Start</a></li><li><a href=b>About us</a></li></ul><p>Call now</p><ul><li><a href=c>Contact</a></li></ul><h2>How to plant a tree</h2><p>Dig a hole that is twice as wide as the roots and no deeper than they are, and loosen the ground all around it.</p><ul><li>a spade</li><li>some water</li></ul><p>Set the tree upright, fill in the earth, press it down with care and water it well for some weeks after.</p><ul><li><a href=d>Back</a></li></ul><p>All rights reserved</p><ul><li><a href=e>Terms of use</a></li></ul>", "00001111" + "1000"),
+    ("<form action=page.aspx><div class=header-fixed><article><h1>Held by a form</h1><p>Old pages of some makers stand in one form as a whole, and so does this one.</p></article></div><div class=search>Find on this site</div></form>", "110"),
+    ("<div class=comments><article class=comment-body><p>I was there too, and it was quite another thing that I saw.</p></article></div>", "0"),
+    ("<nav><a href=1>Home</a></nav><article><p>Only one paragraph of text.</p></article><div><a href=2>Next page</a></div>", "010"),
+    ("<div><a href=1>Home</a></div><p>A page may have a single paragraph between its links, and when it has as many words as this one it is the text of the page.</p><div><a href=2>Next page</a></div>", "010"),
+    ("<div><a href=1>Home</a></div><div class=entry><h1>Rain</h1></div><div><a href=2>Tags</a></div><div class=text><p>Yes.</p></div><div><a href=3>Next</a></div>", "01010"),
     ("<nav>Menu of this site</nav><article><p>Reader text stands here, and it is followed by menus.</p></article><nav><a href=m>More</a></nav>", "010"),
 ]
 

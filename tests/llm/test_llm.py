@@ -165,6 +165,39 @@ def test_html_wrappers_named_after_what_they_hold():
     assert html_text.main_text(f"<div aria-label='Main navigation'><p>Go to the start of it.</p></div><article>{inner}</article>", tree).startswith("Title")
 
 
+def test_html_wrappers_that_hold_the_article():
+    tree, inner = html_text.train(), "<h1>Title</h1><p>Real text of the story stands here.</p>"
+    want = "Title\nReal text of the story stands here."
+    for before, after in [
+        ("<article class='post tag-economy'>", "</article>"),
+        ("<div class='article has-share'>", "</div>"),
+        ("<div class='layout has-sidebar'><article>", "</article></div>"),
+        ("<div id=page class='header-fixed'><article>", "</article></div>"),
+        ("<body><form method=post action=x.aspx id=aspnetForm><div class=content>", "</div></form>"),
+        ("<body><form method=post action=x.aspx>", "</form>"),
+        ("<svg viewBox='0 0 1 1'><article>", "</article>"),
+        ("<iframe src=x><article>", "</article>"),
+    ]:
+        assert html_text.main_text(before + inner + after, tree) == want, before
+        assert html_text.main_text(f"{before}{inner}<div class=comments><article class=comment><p>I do not agree with it.</p></article></div>{after}", tree) == want, before
+    used = set()
+
+    def walk(node):
+        if node.at >= 0:
+            used.add(html_text.FEATURES[node.at])
+            walk(node.low), walk(node.high)
+
+    walk(tree)
+    assert used & {"before_words", "before_links", "after_words", "after_links"}
+    plain = "<div><a href=1>One</a></div><div><a href=2>Two</a></div><p>A long paragraph of plain text stands here, with many words and with no link in it at all, as one expects.</p><p>Short one.</p><p>Another long paragraph follows it, and it too has a good number of words but no links to any other page.</p><div><a href=3>Next</a></div>"
+    assert html_text.main_text(plain, tree).split("\n")[1] == "Short one." and "One" not in html_text.main_text(plain, tree)
+
+
+def test_html_odd_tables(spark):
+    df = spark.createDataFrame([(1, "u", "<p>" + "word " * 100_000 + "</p>", "x"), (None, None, None, "y")], "page_id long, url string, html string, text string").withColumn("n_chars", F.lit(1))
+    assert sorted((r.page_id or 0, len(r.text), r.n_chars) for r in html_text.extract(df).collect()) == [(0, 0, 0), (1, 499_999, 499_999)]
+
+
 def test_wordpiece(docs, rows):
     import json
 
