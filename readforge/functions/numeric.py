@@ -53,3 +53,32 @@ def library_complexity(total: Column, singles: Column, steps: int = 60) -> Colum
     d = total / singles
     x = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.log(10 * d), lambda x, _: x - (F.exp(x) - 1 - d * x) / (F.exp(x) - d))
     return F.when((singles > 0) & (total > singles), singles * F.exp(x) / x)
+
+
+def log_sum(xs: Column) -> Column:
+    """log of the sum of exp over an array; null for an empty one."""
+    top = F.array_max(xs)
+    return top + F.log(F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+
+
+#: Coefficients of the rational approximation of the normal quantile, inner and outer part.
+_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+_LOW = 0.02425
+
+
+def inverse_normal(p: Column) -> Column:
+    """Quantile of the standard normal distribution by a rational approximation; NaN outside [0, 1], infinite at its ends."""
+
+    def poly(coefficients, x):
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + c
+        return out
+
+    tail = lambda p: poly(_C, F.sqrt(-2 * F.log(p))) / poly(_D, F.sqrt(-2 * F.log(p)))
+    q = p - 0.5
+    inner = poly(_A, q * q) * q / poly(_B, q * q)
+    return F.when((p < 0) | (p > 1), F.lit(float("nan"))).when(p == 0, F.lit(float("-inf"))).when(p == 1, F.lit(float("inf"))).when(p < _LOW, tail(p)).when(p < 1 - _LOW, inner).otherwise(-tail(1 - p))

@@ -151,3 +151,15 @@ def trailing_below(qual: Column, least: int) -> Column:
 def damage_position(i: Column, length: Column) -> Column:
     """Offset from the nearer end: from 0 at the front, negative at the back."""
     return F.when(2 * i <= length, i).otherwise(i - length)
+
+
+def is_proper_base(base: Column) -> Column:
+    return base.isin(*"ACGT")
+
+
+def is_base(base: Column) -> Column:
+    return (F.length(base) == 1) & (F.instr(F.lit(BASES), base) > 0)
+
+
+def is_gap(base: Column) -> Column:
+    return base == "-"

@@ -23,9 +23,64 @@ def fetch(ranges: DataFrame, genome: DataFrame, keys: list[str]) -> DataFrame:
     return parts.select(*keys, "ref_id", "start", "end", F.array_join("_p.part", "").alias("bases"))
 
 
-def substitutions(bases: DataFrame, genome: DataFrame, by: list[str]) -> DataFrame:
-    """Counts of (reference, read) bases for the rows of a pileup walk, by the columns `by`; only where both are A, C, G or T."""
+def substitutions(bases: DataFrame, genome: DataFrame, by: list[str], cpg: bool = False) -> DataFrame:
+    """Counts of (reference, read) bases for the rows of a pileup walk, by the columns `by`; only where both are A, C, G or T.
+
+    cpg: also by whether the reference base is the C or the G of a CG.  Chunks carry their neighbours' edges for that.
+    """
+    if cpg:
+        edge = lambda shift, c: genome.select("ref_id", (F.col("chunk") + shift).alias("chunk"), c.alias(f"_e{shift + 1}"))
+        genome = genome.join(edge(1, F.right("seq", F.lit(1))), ["ref_id", "chunk"], "left").join(edge(-1, F.left("seq", F.lit(1))), ["ref_id", "chunk"], "left")
     at = bases.withColumn("chunk", F.floor(F.col("site") / CHUNK)).join(genome, ["ref_id", "chunk"])
-    at = at.withColumn("ref_base", F.substring("seq", (F.col("site") - F.col("chunk") * CHUNK).cast("int") + 1, F.lit(1)))
+    place = (F.col("site") - F.col("chunk") * CHUNK).cast("int") + 1
+    at = at.withColumn("ref_base", F.substring("seq", place, F.lit(1)))
+    if cpg:
+        wide = F.concat(F.coalesce("_e2", F.lit("N")), "seq", F.coalesce("_e0", F.lit("N")))
+        at = at.withColumn("cpg", (F.substring(wide, place + 1, F.lit(2)) == "CG") | (F.substring(wide, place, F.lit(2)) == "CG"))
     proper = F.col("ref_base").isin(*"ACGT") & F.col("base").isin(*"ACGT")
-    return at.where(proper).groupBy(*by, "ref_base", "base").agg(F.count("*").alias("c"))
+    return at.where(proper).groupBy(*by, "ref_base", "base", *(["cpg"] if cpg else [])).agg(F.count("*").alias("c"))
+
+
+def merged_counts(parts: list[DataFrame], by: list[str]) -> DataFrame:
+    """Statistics of several inputs added: counts `c` by the columns `by`."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy(*by).agg(F.sum("c").alias("c"))
+
+
+def frozen_rates(forward: DataFrame, backward: DataFrame) -> DataFrame:
+    """Rates of substitution (x to y) from counts (x, y, c) at both ends: those of the far end count for the complements,
+    and one is added to each of the sixteen."""
+    turn = lambda c: F.translate(c, "ACGT", "TGCA")
+    spark = forward.sparkSession
+    empty = spark.createDataFrame([(x, y, 0) for x in "ACGT" for y in "ACGT"], "x string, y string, c bigint")
+    total = merged_counts([forward.select("x", "y", "c"), backward.select(turn(F.col("x")).alias("x"), turn(F.col("y")).alias("y"), "c"), empty], ["x", "y"])
+    rows = total.groupBy("x").agg(F.sum("c").alias("_all"))
+    return total.join(rows, "x").select("x", "y", ((F.col("c") + 1) / (F.col("_all") + 4.0)).alias("rate"))
+
+
+def masked(ranges: DataFrame, unknown: DataFrame, soft: DataFrame) -> DataFrame:
+    """ranges (ref_id, start, end, plain) with the same bases under each policy of masks: `hard` (unknown bases as N),
+    `soft` (lower case in soft masks) and `both`.
+
+    Masks (ref_id, start, end) meet the ranges by chunk; each range gets the few that touch it and is cut at their edges.
+    """
+    cut = lambda df: df.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / CHUNK), F.floor((F.greatest("end", F.col("start") + 1) - 1) / CHUNK))))
+    masks = unknown.select("ref_id", "start", "end", F.lit(True).alias("n")).unionByName(soft.select("ref_id", "start", "end", F.lit(False).alias("n")))
+    masks = cut(masks).select("ref_id", "chunk", F.struct(F.col("start").alias("s"), F.col("end").alias("e"), "n").alias("m"))
+    met = cut(ranges).join(masks, ["ref_id", "chunk"], "left").where("m is null or m.s < end and m.e > start")
+    met = met.groupBy("ref_id", "start", "end").agg(F.collect_set("m").alias("_m"))
+    out = ranges.join(met, ["ref_id", "start", "end"], "left")
+    letters = F.split("plain", "")
+    under = lambda p, n: F.exists(F.coalesce("_m", F.array()), lambda m: (m["n"] == n) & (m["s"] <= p) & (m["e"] > p))
+
+    def text(hard: bool, low: bool):
+        def one(c, i):
+            p = F.col("start") + i
+            c = F.when(under(p, True), "N").otherwise(c) if hard else c
+            return F.when(under(p, False), F.lower(c)).otherwise(c) if low else c
+
+        return F.array_join(F.transform(letters, one), "")
+
+    return out.select("ref_id", "start", "end", text(True, False).alias("hard"), text(False, True).alias("soft"), text(True, True).alias("both"), "plain")

@@ -31,11 +31,12 @@ def walk(reads: DataFrame, keep: list[str]) -> DataFrame:
 
     blocks = F.aggregate(R.cigar_ops(F.col("cigar")), zero, step, lambda a: a["at"])
     one = usable(reads).select(*keep, "pos", "seq", "qual", "mapq", F.explode(blocks).alias("_b"))
-    one = one.select(*keep, "pos", "seq", "qual", "mapq", "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b.len") - 1)).alias("_k"))
+    pairs = F.arrays_zip(F.split(F.substring("seq", F.col("_b.q").cast("int") + 1, F.col("_b.len").cast("int")), "").alias("base"), F.slice("qual", F.col("_b.q").cast("int") + 1, F.col("_b.len").cast("int")).alias("q"))
+    one = one.select(*keep, "pos", "mapq", "_b", F.length("seq").cast("bigint").alias("read_len"), F.posexplode(pairs).alias("_k", "_x"))
     i = F.col("_b.q") + F.col("_k")
-    q = F.element_at("qual", (i + 1).cast("int"))
-    q = F.when(q == 255, F.lit(MISSING_QUALITY)).otherwise(q)
-    return one.select(*keep, (F.col("pos") + F.col("_b.r") + F.col("_k")).alias("site"), F.substring("seq", i.cast("int") + 1, F.lit(1)).alias("base"), F.least(q, F.col("mapq")).alias("q"), i.alias("i"), F.length("seq").cast("bigint").alias("read_len"), "mapq")
+    q = F.coalesce(F.col("_x.q"), F.lit(255))
+    q = F.when(~F.col("_x.base").isin(*"ACGT"), F.lit(0)).when(q == 255, F.lit(MISSING_QUALITY)).otherwise(q)
+    return one.select(*keep, (F.col("pos") + F.col("_b.r") + F.col("_k")).alias("site"), F.col("_x.base").alias("base"), F.least(q.cast("bigint"), F.col("mapq")).alias("q"), i.alias("i"), "read_len", "mapq")
 
 
 def call_stats(bases: DataFrame, by: list[str]) -> DataFrame:
@@ -83,3 +84,23 @@ def majority(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def number_in_group(df: DataFrame, by: list[str], order: list) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def hits_union(df: DataFrame, by: list[str], hits: str) -> DataFrame:
+    """Hits of all rows of a group, separated by semicolons, each once and in order."""
+    one = df.select(*by, F.explode(F.split(hits, ";")).alias("_h")).where("_h <> ''").distinct()
+    return one.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("_h")), ";").alias(hits))
+
+
+def molecule_way(bases: DataFrame) -> DataFrame:
+    """Rows of a walk (with `flag`) of reversed reads turned round: offsets count from the other end, bases are complements."""
+    back = R.has_flag(F.col("flag"), "reversed")
+    return bases.select("*", F.when(back, F.col("read_len") - 1 - F.col("i")).otherwise(F.col("i")).alias("_i"), F.when(back, F.translate("base", R.BASES, R.COMPLEMENTS)).otherwise(F.col("base")).alias("_b")).drop("i", "base").withColumnsRenamed({"_i": "i", "_b": "base"})
+
+
+def duplicate_key() -> list[Column]:
+    """What makes two records of one group and place duplicates: the class (half-aligned mates count as single), the strand,
+    and for pairs the mate's place and which mate it is, for merged reads the aligned length."""
+    c = duplicate_class()
+    far = F.when(c == "pair", F.col("mate_pos")).when(c == "merged", R.aligned_length(F.col("cigar")))
+    return [F.when(c == "half_aligned", "single").otherwise(c).alias("class"), R.has_flag(F.col("flag"), "reversed").alias("rev"), ((c == "pair") & R.has_flag(F.col("flag"), "first_mate")).alias("first"), far.alias("far")]

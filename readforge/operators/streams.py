@@ -87,3 +87,24 @@ def zip_streams(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[st
 def merge_sorted(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     """Union in order of key; where keys tie, rows of b come first.  Adds `src` (0 for a, 1 for b)."""
     return a.withColumn("src", F.lit(0)).unionByName(b.withColumn("src", F.lit(1))).orderBy(*key, F.desc("src"))
+
+
+def fold(df: DataFrame, by: list[str], order: list[str], value: str, start: Column, step) -> DataFrame:
+    """`folded`: step(so far, value) over the rows of each group in order.  A fold that is not associative needs all of a
+    group in one row; sums, counts and extremes should be aggregates instead."""
+    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))).alias("_r"))
+    return rows.select(*by, F.aggregate(F.transform("_r", lambda r: r["_v"]), start, step).alias("folded"))
+
+
+def descents(df: DataFrame, order: list[str], key: list[str]) -> DataFrame:
+    """`n`: how often the key goes down from one row to the next, 0 for a sorted stream.
+
+    Rows are range-partitioned by the order; each partition counts its own descents and tells its first and last key, so
+    only one small row for each partition meets the others.
+    """
+    parts = df.select(*order, F.struct(*key).alias("_k")).repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    w = Window.partitionBy("_p").orderBy(*order)
+    at = parts.withColumn("_down", F.coalesce(F.lag("_k").over(w) > F.col("_k"), F.lit(False)))
+    ends = at.groupBy("_p").agg(F.sum(F.col("_down").cast("bigint")).alias("n"), F.min_by("_k", F.struct(*order)).alias("first"), F.max_by("_k", F.struct(*order)).alias("last"))
+    ends = ends.withColumn("n", F.col("n") + F.coalesce(F.lag("last").over(Window.orderBy("_p")) > F.col("first"), F.lit(False)).cast("bigint"))
+    return ends.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))

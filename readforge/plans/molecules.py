@@ -72,10 +72,10 @@ def adapter_score(spark, sf):
 
 
 @_on_reads("""select qname, coalesce((select cast(sum(case when seq[f + i] = translate(seq2, 'ACGT', 'TGCA')[e - i + 1] then 0 else 5 + least(qual[f + i], qual[e - i + 1]) end) as bigint) from unnest(range(1, least(len, l) - f + 1)) u(i)), 0) score
-  from (select *, greatest(0, l - n2) f, least(l, n2) e from (select *, reverse(seq)[1:20] seq2, least(20, len) n2, k % 60 l from reads) q) r""")
+  from (select *, greatest(0, l - n2) f, least(l, n2) e from (select *, reverse(seq) seq2, len n2, k % 96 l from reads) q) r""")
 def overlap_score(spark, sf):
-    r = X.reads(spark, sf).withColumn("seq2", F.substring(F.reverse("seq"), 1, 20))
-    return r.select("qname", M.overlap_score((r.k % 60).cast("int"), F.col("seq"), F.col("qual"), F.col("seq2"), F.col("qual")).alias("score"))
+    r = X.reads(spark, sf).withColumn("seq2", F.reverse("seq"))
+    return r.select("qname", M.overlap_score((r.k % 96).cast("int"), F.col("seq"), F.col("qual"), F.col("seq2"), F.col("qual")).alias("score"))
 
 
 @_on_reads("select qname, list_min(qual) least, cast(list_position(qual, list_min(qual)) - 1 as bigint) place, list_sort(qual)[2] runner_up from reads")
@@ -148,8 +148,11 @@ def genome_fetch(spark, sf):
     return genome.fetch(r, _genome(spark), []).select("ref_id", "start", "end", "bases")
 
 
-@_on_reads(f"""select case when 2 * i <= len then i else i - len end offs, ref_base, base, count(*) c from (select *, {_REF} ref_base from (select ref_id, len, i, pos + i p, seq[i + 1] base from reads, unnest(range(0, len)) u(i) where flag & 4 = 0 and ref_id <> 4294967295) x) y group by 1, 2, 3""")
+@_on_reads(f"""select case when 2 * j <= len then j else j - len end offs, case when rev then translate(ref_base, 'ACGT', 'TGCA') else ref_base end ref_base, case when rev then translate(base, 'ACGT', 'TGCA') else base end base, count(*) c
+  from (select *, {_REF} ref_base, case when rev then len - 1 - i else i end j from (select ref_id, len, i, flag & 16 <> 0 rev, pos + i p, seq[i + 1] base from reads, unnest(range(0, len)) u(i) where flag & 4 = 0 and ref_id <> 4294967295) x) y group by 1, 2, 3""")
 def damage_substitutions(spark, sf):
-    b = pileup.walk(X.reads(spark, sf), ["ref_id"])
-    b = b.withColumn("offs", R.damage_position(b.i, b.read_len))
-    return genome.substitutions(b, _genome(spark), ["offs"])
+    b = pileup.walk(X.reads(spark, sf), ["ref_id", "flag"]).withColumn("rev", R.has_flag(F.col("flag"), "reversed"))
+    b = b.withColumn("offs", R.damage_position(F.when(F.col("rev"), F.col("read_len") - 1 - F.col("i")).otherwise(F.col("i")), F.col("read_len")))
+    c = genome.substitutions(b, _genome(spark), ["offs", "rev"])
+    turn = lambda x: F.when(F.col("rev"), F.translate(x, "ACGT", "TGCA")).otherwise(F.col(x)).alias(x)
+    return genome.merged_counts([c.select("offs", turn("ref_base"), turn("base"), "c")], ["offs", "ref_base", "base"])

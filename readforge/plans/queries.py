@@ -70,9 +70,9 @@ def ref_lookup(spark, sf):
     return X.reads(spark, sf).join(F.broadcast(refs), "ref_id", "left").select("qname", F.coalesce("name", F.lit("*")).alias("ref_name"), F.coalesce("length", F.lit(0)).alias("ref_length"))
 
 
-@_on_reads("select qname, cast(case when strpos('-ACMGRSVTWYHKDBN', substr(seq, 1, 1)) > 0 then strpos('-ACMGRSVTWYHKDBN', substr(seq, 1, 1)) - 1 else 15 end as int) code from reads")
+@_on_reads("select qname, list_transform(range(1, len + 1), lambda i: cast(case when strpos('-ACMGRSVTWYHKDBN', seq[i]) > 0 then strpos('-ACMGRSVTWYHKDBN', seq[i]) - 1 else 15 end as int)) codes from reads")
 def nuc_codes(spark, sf):
-    return X.reads(spark, sf).select("qname", R.base_code(F.substring("seq", 1, 1)).alias("code"))
+    return X.reads(spark, sf).select("qname", F.transform(F.split("seq", ""), R.base_code).alias("codes"))
 
 
 @_on_reads("select qname, reverse(translate(seq, 'ACMGRSVTWYHKDBN', 'TGKCYSBAWRDMHVN')) rc from reads")
@@ -219,9 +219,9 @@ def consensus_base(spark, sf):
     return pileup.consensus(pileup.walk(X.reads(spark, sf), ["ref_id"]), ["ref_id", "site"])
 
 
-@_on_reads(f"select case when 2 * i <= n then i else i - n end offs, base, count(*) c from ({_BASES}) b group by 1, 2")
+@_on_reads(f"select case when 2 * j <= n then j else j - n end offs, case when flag & 16 <> 0 then translate(base, 'ACGT', 'TGCA') else base end base, count(*) c from (select *, case when flag & 16 <> 0 then n - 1 - i else i end j from ({_BASES}) a) b group by 1, 2")
 def damage_composition(spark, sf):
-    b = pileup.walk(X.reads(spark, sf), ["ref_id"])
+    b = pileup.molecule_way(pileup.walk(X.reads(spark, sf), ["flag"]))
     return b.groupBy(R.damage_position(b.i, b.read_len).alias("offs"), "base").agg(F.count("*").alias("c"))
 
 
@@ -233,10 +233,11 @@ def dedup_classes(spark, sf):
     return X.reads(spark, sf).groupBy("rg", pileup.duplicate_class().alias("class")).agg(F.count("*").alias("n"))
 
 
-@_on_reads(f"select rg, ref_id, pos, {_CLASS} class, len, min(qname) qname, count(*) cluster, cast(case when min(coalesce(xp, 1)) = -1 then -1 else sum(coalesce(xp, 1)) end as bigint) xp, arg_min(seq, qname) seq from reads where ref_id <> 4294967295 group by 1, 2, 3, 4, 5")
+@_on_reads(f"""select rg, ref_id, pos, case when class = 'half_aligned' then 'single' else class end class, flag & 16 <> 0 rev, class = 'pair' and flag & 64 <> 0 "first", case when class = 'pair' then mate_pos when class = 'merged' then len end far,
+  min(qname) qname, count(*) cluster, cast(case when min(coalesce(xp, 1)) = -1 then -1 else sum(coalesce(xp, 1)) end as bigint) xp, arg_min(seq, qname) seq from (select *, {_CLASS} class from reads) r where ref_id <> 4294967295 group by 1, 2, 3, 4, 5, 6, 7""")
 def dedup_cheap(spark, sf):
-    r = X.reads(spark, sf).where(R.valid_ref(F.col("ref_id"))).withColumn("class", pileup.duplicate_class())
-    return pileup.cheap_collapse(r, ["rg", "ref_id", "pos", "class", "len"])
+    r = X.reads(spark, sf).where(R.valid_ref(F.col("ref_id"))).select("*", *pileup.duplicate_key())
+    return pileup.cheap_collapse(r, ["rg", "ref_id", "pos", "class", "rev", "first", "far"])
 
 
 @_on_reads("select ref_id, pos, rgv from (select ref_id, pos, cast(mapq % 3 as int) rgv, row_number() over (partition by ref_id, pos order by count(*) desc, cast(mapq % 3 as int) desc) k from reads group by 1, 2, cast(mapq % 3 as int)) x where k = 1")
@@ -260,9 +261,9 @@ def wilson_ci(spark, sf):
     return c.select("l_returnflag", "l_linestatus", F.round(low, 6).alias("low"), F.round(p, 6).alias("p"))
 
 
-@_query("select event_id, round(case when -value / 10 - 0.01 > -0.6931471805599453 then ln(1 - exp(-value / 10 - 0.01)) else ln(1 - exp(-value / 10 - 0.01)) end, 6) + 0.0 m, round(ln(1 + exp(value / 50)), 6) p, round(greatest(value / 50, 1) + ln(1 + exp(-abs(value / 50 - 1))), 6) s from events where value >= 0 and value < 700")
+@_query("select event_id, round(case when -value / 10 - 0.01 > -0.6931471805599453 then ln(1 - exp(-value / 10 - 0.01)) else ln(1 - exp(-value / 10 - 0.01)) end, 6) + 0.0 m, round(ln(1 + exp(value / 50)), 6) p, round(greatest(value / 50, 1) + ln(1 + exp(-abs(value / 50 - 1))), 6) s from events where value >= 0")
 def log_helpers(spark, sf):
-    e = X.table(spark, sf, "events").where("value >= 0 and value < 700")
+    e = X.table(spark, sf, "events").where("value >= 0")
     v = F.col("value")
     return e.select("event_id", (F.round(N.log1mexp(-v / 10 - 0.01), 6) + 0.0).alias("m"), F.round(N.log1pexp(v / 50), 6).alias("p"), F.round(N.log_add(v / 50, F.lit(1.0)), 6).alias("s"))
 
@@ -396,4 +397,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-from . import molecules  # noqa: E402, F401  registers its queries here
+from . import molecules, records  # noqa: E402, F401  register their queries here
