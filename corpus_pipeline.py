@@ -23,7 +23,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of repeated passages go; n_chars follows the text."""
+    """Bytes of passages of 250 bytes or more that stand anywhere else too go; n_chars follows the text."""
     return repeats.without_repeats(docs)
 
 
