@@ -1,8 +1,9 @@
-"""Benchmark decontamination by winnowed fingerprints, in DataFrame operations only.
+"""Benchmark decontamination by winnowing, in DataFrame operations only.
 
-Both sides are cut into windows of `window` words.  A window's fingerprint is the minimum hash of its k-grams, so
-equal windows always have equal fingerprints: every shared span of at least `window` words is found.  Fingerprints
-of the documents are joined with those of the benchmark; each hit is extended to its window and compared as text.
+Both sides are winnowed: of the k-grams of each window of `window` words the least hash is kept, one fingerprint for each
+run of windows in which it does not change.  Equal windows have equal minima, so every shared span of at least `window`
+words has a fingerprint in common.  Fingerprints of the documents are joined with those of the benchmark; only where they
+meet is a fingerprint extended to the windows of its run, which are compared as text.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_rows, bounded, lower_ascii, row_name, small_enough
+from .common import as_rows, lower_ascii, row_name, small_enough
 
 WINDOW = 13
 GRAM = 7
@@ -30,32 +31,44 @@ def _zip_shift(col: str, shift: int, fn) -> Column:
     return F.zip_with(F.slice(F.col(col), F.lit(1), n), F.slice(F.col(col), F.lit(shift + 1), n), fn)
 
 
-def _spread(df: DataFrame, col: str, length: int, fn) -> DataFrame:
-    """Replace col[i] by fn over col[i .. i + length - 1], doubling the span at each step."""
-    span = 1
-    while span < length:
-        step = min(span, length - span)
-        df = df.withColumn(col, _zip_shift(col, step, fn))
-        span += step
-    return df
-
-
-def _windows(df: DataFrame, window: int, gram: int) -> DataFrame:
-    """df with `_words` → one row per window of so many words: `_start` (from 0) and `_print`; shorter texts give none."""
-    gram = min(gram, window)
-    df = df.withColumn("_m", F.transform("_words", lambda w: F.xxhash64(w)))
-    df = _spread(df, "_m", gram, lambda a, b: F.xxhash64(a, b))
-    df = _spread(df, "_m", window - gram + 1, lambda a, b: F.least(a, b))
-    kept = [c for c in df.columns if c != "_m"]
+def _prints(df: DataFrame, lengths: list[int], gram: int) -> DataFrame:
+    """df with `_words` → one row for each run of windows of `_len` words, for all lengths in one pass, whose least k-gram
+    hash `_print` is the same: the windows start at `_start` to `_end` - 1 (from 0).  Shorter texts give none."""
+    kept = df.columns
+    df = df.withColumn("_g", F.transform("_words", lambda w: F.xxhash64(w)))
+
+    def spread(col: str, length: int, fn) -> str:
+        """Name of the column of fn over col[i .. i + length - 1], made from that of about half the length."""
+        nonlocal df
+        name = f"{col}_{length}"
+        if length == 1:
+            return col
+        if name not in df.columns:
+            half = 1 << ((length - 1).bit_length() - 1)
+            part = spread(col, half, fn)
+            df = df.withColumn(name, _zip_shift(part, length - half, fn))
+        return name
+
+    runs = []
+    for length in lengths:
+        grams = spread("_g", min(gram, length), lambda a, b: F.xxhash64(a, b))
+        least = spread(grams, length - min(gram, length) + 1, lambda a, b: F.least(a, b))
+        at, n = f"_at{length}", F.size(least)
+        changes = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(least, i) != F.get(least, i - 1)))  # noqa: B023
+        df = df.withColumn(at, F.when(n > 0, changes).otherwise(F.array().cast("array<int>")))
+        run = lambda i, j: F.struct(F.lit(length).alias("_len"), i.alias("_start"), F.coalesce(F.get(at, j + 1), n).alias("_end"), F.get(least, i).alias("_print"))  # noqa: B023, E731
+        runs.append(F.transform(at, run))
     # the outer form: for the inner one the optimizer copies the whole expression into a filter, and it grows as 4^steps
-    return df.select(*kept, F.posexplode_outer("_m").alias("_start", "_print")).where(F.col("_print").isNotNull())
+    return df.select(*kept, F.explode_outer(F.concat(*runs)).alias("_run")).where(F.col("_run").isNotNull()).select(*kept, "_run.*")
 
 
-def _window_text(window: int) -> Column:
-    return F.array_join(F.slice("_words", F.col("_start") + 1, F.lit(window)), " ")
+def _window_texts(runs: DataFrame, *kept: str) -> DataFrame:
+    """One row for each window of the runs: `_len`, `_start`, `_text`."""
+    at = runs.select(*kept, "_words", "_len", F.explode(F.sequence("_start", F.col("_end") - 1)).alias("_start"))
+    return at.select(*kept, "_len", "_start", F.array_join(F.slice("_words", F.col("_start") + 1, F.col("_len")), " ").alias("_text"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, gram: int) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """`_key`, `_start`, `_len` and `_owners` (a class of items with the same owners) of each benchmark window in docs.
 
     The second result maps `_owners` to `item`.
@@ -63,26 +76,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text:
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("_item"), words(F.col(item_text)).alias("_words"))
     items = items.where(F.size("_words") > 0)
     short = [r[0] for r in items.where(F.size("_words") < window).select(F.size("_words")).distinct().collect()]  # at most window - 1 numbers
-    found, classes = [], []
-    for length in [window, *sorted(short)]:
-        own = items if length == window else items.where(F.size("_words") == length)
-        own = _windows(own, length, gram).select("_item", "_print", _window_text(length).alias("_text"))
-        own = own.groupBy("_text").agg(F.first("_print").alias("_print"), F.array_sort(F.collect_set("_item")).alias("_items"))
-        own = own.withColumn("_owners", F.xxhash64(F.array_join("_items", "\x00")))
-        classes.append(own.select("_owners", "_items"))
-        side = docs.select("_key", words(F.col(text)).alias("_words"))
-        prints = own.select("_print").distinct()
-        if small_enough(prints, BROADCAST_ROWS):
-            at = _windows(side, length, gram).join(F.broadcast(prints), "_print")
-        else:  # first to the documents with any hit, then to the windows
-            some = _windows(side, length, gram).select("_key", "_print").distinct().join(prints, "_print", "left_semi").select("_key").distinct()
-            at = _windows(side.join(some, "_key", "left_semi"), length, gram).join(prints, "_print")
-        at = at.select("_key", "_start", _window_text(length).alias("_text")).distinct()
-        found.append(at.join(bounded(own.select("_text", "_owners"), BROADCAST_ROWS), "_text").select("_key", "_start", F.lit(length).alias("_len"), "_owners"))
-    out, names = found[0], classes[0]
-    for more, other in zip(found[1:], classes[1:]):
-        out, names = out.unionByName(more), names.unionByName(other)
-    return out, names.dropDuplicates(["_owners"]).select("_owners", F.explode("_items").alias("_item"))
+    lengths = [window, *sorted(short)]
+    own = _prints(items, lengths, gram).where(F.col("_len") == F.least(F.size("_words"), F.lit(window)))
+    own = _window_texts(own, "_item", "_print").groupBy("_len", "_text").agg(F.first("_print").alias("_print"), F.array_sort(F.collect_set("_item")).alias("_items"))
+    own = own.withColumn("_owners", F.xxhash64(F.array_join("_items", "\x00")))
+    few = small_enough(own, BROADCAST_ROWS)
+    prints, texts = own.select("_len", "_print").distinct(), own.select("_len", "_text", "_owners")
+    side = docs.select("_key", words(F.col(text)).alias("_words"))
+    if few:
+        met = _prints(side, lengths, gram).join(F.broadcast(prints), ["_len", "_print"])
+        texts = F.broadcast(texts)
+    else:  # first to the documents with any hit, then to the fingerprints
+        some = _prints(side, lengths, gram).select("_key", "_len", "_print").distinct().join(prints, ["_len", "_print"], "left_semi").select("_key").distinct()
+        met = _prints(side.join(some, "_key", "left_semi"), lengths, gram).join(prints, ["_len", "_print"])
+    at = _window_texts(met, "_key").distinct().join(texts, ["_len", "_text"]).select("_key", "_start", "_len", "_owners")
+    return at, own.dropDuplicates(["_owners"]).select("_owners", F.explode("_items").alias("_item"))
 
 
 def _covered(spans: Column) -> Column:

@@ -81,6 +81,18 @@ def test_decontamination_without_broadcast(spark, docs, monkeypatch):
     assert sorted(decontamination.contamination(docs, bench).collect(), key=str) == want
 
 
+def test_winnowing_keeps_changes_only(spark):
+    words = [f"w{i * i % 97}" for i in range(400)]
+    df = spark.createDataFrame([(words,), (["same"] * 50,), ([],)], "_words array<string>")
+    got = [r for r in decontamination._prints(df, [13, 2], 7).collect()]
+    for w in (words, ["same"] * 50):
+        for length in (13, 2):
+            runs = sorted((r._start, r._end) for r in got if r._words == w and r._len == length)
+            assert runs[0][0] == 0 and runs[-1][1] == len(w) - length + 1 and all(a[1] == b[0] for a, b in zip(runs, runs[1:]))
+    assert sum(r._len == 13 and r._words == words for r in got) < 388 / 2
+    assert sum(r._words != words for r in got) == 2
+
+
 def test_quality(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = quality.classify(docs, labels)
