@@ -2,7 +2,8 @@
 
 Distinct pre-tokens of a batch are laid end to end; an inverted index from merge rank to the positions of its pairs is
 replayed in rank order over all words at once, and a merge touches only its two neighbours.  Words once encoded are kept
-in a table of bounded size, so common words are replayed once a task.
+in a table of bounded size; when it is full a new one begins, which takes what is still in use from the last, so common
+words are replayed once a task.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ class Codec:
                 if a is not None and b is not None:
                     self.pairs[a << self.shift | b] = r
         self.table: dict[str, str] = {}
+        self.last: dict[str, str] = {}
 
     def _alone(self, word: bytes) -> list[int]:
         """The rule itself, for the few words in which a merge makes a pair of lower rank: lowest first, then leftmost."""
@@ -109,10 +111,14 @@ class Codec:
         table, ranks = self.table, self.ranks
         new = [w for w in words if w not in table]
         if len(table) + len(new) > TABLE_WORDS:
-            table.clear()
-            new = list(words)
-        left, coded = [], []
+            self.last, self.table = table, {}
+            table, new = self.table, words
+        left, coded, last = [], [], self.last
         for w in new:
+            known = last.get(w)
+            if known is not None:
+                table[w] = known
+                continue
             b = w.encode()
             if b in ranks:
                 table[w] = str(ranks[b])
