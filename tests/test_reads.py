@@ -1,5 +1,7 @@
 """Small fixtures with known values."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from readforge.functions import molecules as M
@@ -54,6 +56,25 @@ def test_semi_join_keeps_repeated_rows(spark):
     assert sorted(r.pos for r in intervals.semi_join(reads, regions).collect()) == [10, 10, 10, 16380]
 
 
+def test_intervals_over_bins(spark):
+    """Unions and semi-joins over many small bins against the plain rule."""
+    draw = random.Random(5)
+    spans = [(draw.randrange(3), a, a + draw.randrange(-2, 40)) for a in (draw.randrange(-50, 900) for _ in range(90))]
+    regions = spark.createDataFrame(spans, "ref_id bigint, start int, end int")
+    covered = {(r, p) for r, a, b in spans for p in range(a, b)}
+    got = intervals.union(regions, bits=4)
+    assert got.schema == regions.schema
+    found = sorted(tuple(r) for r in got.collect())
+    assert {(r, p) for r, a, b in found for p in range(a, b)} == covered
+    assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(found, found[1:]))
+    assert found == sorted(tuple(r) for r in intervals.union(regions).collect())
+    rows = [(draw.randrange(4), draw.randrange(-60, 1000), draw.choice([1, 5, 17, 70]), "x") for _ in range(300)]
+    reads = spark.createDataFrame(rows + rows[:40] + [(None, 5, 3, "x"), (1, None, 3, "x"), (1, 5, None, "x")], "ref_id bigint, pos bigint, aligned bigint, _bin string")
+    want = sorted(r for r in rows + rows[:40] if any((r[0], p) in covered for p in range(r[1], r[1] + r[2])))
+    assert sorted(tuple(r) for r in intervals.semi_join(reads, regions, bits=4).collect()) == want
+    assert intervals.semi_join(reads.drop("_bin").limit(0), regions).count() == 0 == intervals.semi_join(reads.drop("_bin"), regions.limit(0)).count()
+
+
 def test_molecule_functions(spark):
     x = spark.createDataFrame([(0.0,), (1.5,), (42.0,), (999.0,), (1234.0,), (56789.0,), (1e6,)], "x double")
     assert [r[0] for r in x.select(M.short_number(F.col("x"))).collect()] == ["0", "1.5", "42", "990", "1k2", "56k", "1M"]
