@@ -10,7 +10,7 @@ from . import reads as R
 
 def md_ops(md: Column) -> Column:
     """Array of structs (kind, n, bases) from MD text: `num` matches, `rep` a reference base, `del` deleted bases."""
-    parts = F.regexp_extract_all(md, F.lit(r"(\d+|\^[^0-9]*|[^0-9^])"), F.lit(1))
+    parts = F.regexp_extract_all(md, F.lit(r"(\d+|\^[^0-9^]*|[^0-9^])"), F.lit(1))
     kind = lambda x: F.when(x.rlike(r"^\d"), "num").when(x.startswith("^"), "del").otherwise("rep")
     return F.transform(parts, lambda x: F.struct(kind(x).alias("kind"), x.try_cast("bigint").alias("n"), F.when(x.startswith("^"), F.substring(x, 2, 1 << 30)).when(~x.rlike(r"^\d"), x).alias("bases")))
 

@@ -1,10 +1,11 @@
-"""Queries on mates, molecule lengths and edit alignment."""
+"""Queries on mates, molecule lengths, edit alignment, and CIGAR fused with MD."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import alignment as A
+from ..functions import fused as U
 from ..operators import mates as P
 from . import fixtures as X
 from .queries import _on_reads, _query
@@ -80,3 +81,23 @@ def edit_alignment(spark, sf):
     text = lambda x: F.translate(x.cast("string"), "0123456789", "ACGTACGTAC")
     a, b = F.concat(F.lit("GATTACA"), text(o.o_orderkey * 7919), F.lit("TTGACC")), F.concat(F.lit("GATACA"), text(o.o_orderkey * 7919 + o.o_custkey), F.lit("TTGGACC"))
     return o.select(F.col("o_orderkey").alias("k"), A.aligned(a, b, 9).alias("r")).select("k", F.col("r.distance").cast("bigint").alias("distance"))
+
+
+# A deletion in the middle, a mismatch before it, an empty deletion between numbers in odd reads; every seventh MD is one short.
+_FUSED = "concat('2S5M2D', len - 9, 'M2I') cg", "concat('2A2^GT', case when k % 2 = 0 then '0C' else '1^' end, len - 10 - case when k % 7 = 0 then 1 else 0 end) m"
+
+
+@_on_reads("select qname, cg cigar, case when k % 7 = 0 then null when k % 2 = 0 then m else concat('2A2^GT', cast(len - 9 as varchar(9))) end md from (select *, concat('2S5M2D', cast(len - 9 as varchar(9)), 'M2I') cg, concat('2A2^GT0C', cast(len - 10 as varchar(9))) m from reads) r")
+def ecig_roundtrip(spark, sf):
+    r = X.reads(spark, sf).selectExpr("*", *_FUSED)
+    f = r.withColumn("f", U.fuse(F.col("cg"), F.col("m")))
+    return f.select("qname", U.cigar_of(F.col("f")).alias("cigar"), U.md_of(F.col("f")).alias("md"))
+
+
+@_on_reads("""select qname, case when seq[5] = 'T' then case when k % 2 = 0 then cast(len as varchar(9)) else concat('2C', cast(len - 3 as varchar(9))) end
+    else concat(case when k % 2 = 0 then '4' else '2C1' end, seq[5], cast(len - 5 as varchar(9))) end md from reads""")
+def md_rebuild(spark, sf):
+    # the reference has C at the third place; the consensus has it in every second read, and T at the fifth in all
+    r = X.reads(spark, sf).withColumn("md", F.expr("concat('2C', len - 3)"))
+    new = F.expr("concat(substr(seq, 1, 2), case when k % 2 = 0 then 'C' else 'N' end, substr(seq, 4, 1), 'T', substr(seq, 6))")
+    return r.select("qname", U.rebuilt_md(F.col("cigar"), F.col("md"), F.col("seq"), new).alias("md"))

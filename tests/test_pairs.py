@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readforge.functions import alignment as A
+from readforge.functions import fused as U
 from readforge.operators import genome
 from readforge.operators import mates as P
 from readforge.sources import bam, index, twobit
@@ -186,3 +187,20 @@ def test_alignment(spark):
                 assert sum(cost) >= d and sum(cost[: len(cost) - tail]) <= d
     shown = spark.range(1).select(A.blocks(F.array(F.lit("ACGTA"), F.lit("AC-TA")), 3), A.blocks(F.array(F.lit("")), 3)).first()
     assert list(shown[0]) == ["ACG", "AC-", "** ", "", "TA", "TA", "**", ""] and list(shown[1]) == []
+
+
+def test_fused(spark):
+    rows = [
+        ("4M", "4", "4M", "4"), ("4M", "1A2", "4M", "1A2"), ("2M2D2M", "2^AC2", "2M2D2M", "2^AC2"), ("2M2D2M", "2^AC0T1", "2M2D2M", "2^AC0T1"), ("3M", "5", "3M", None), ("3M", "2", "3M", None),
+        ("3M", None, "3M", None), ("1S2M1I1M2N1M1H", "4", "1S2M1I1M2N1M1H", "4"), ("2M1D1M", "4", "2M1D1M", None), ("2M2M0I1M", "5", "5M", "5"), ("", "", "", ""), (None, None, "", None), ("2M1D1D1M", "2^A^C1", "2M2D1M", "2^AC1"),
+    ]
+    df = spark.createDataFrame([(c, m) for c, m, _, _ in rows], "c string, m string").withColumn("f", U.fuse(F.col("c"), F.col("m")))
+    assert [tuple(r) for r in df.select("c", "m", U.cigar_of(F.col("f")), U.md_of(F.col("f"))).collect()] == rows
+    broken = df.where("c = '2M1D1M' and m = '4'").first().f
+    assert [tuple(x) for x in broken.ops] == [("M", 2, None), ("D", 1, "N"), ("M", 1, None)]
+
+
+def test_rebuilt_md(spark):
+    rows = [("4M", "4", "ACGT", "ACGT", "4"), ("4M", "4", "ACGT", "ACTT", "2G1"), ("4M", "2A1", "ACGT", "ACAT", "4"), ("4M", "2A1", "ACGT", "ACGT", "2A1"), ("2M1D2M", "2^T2", "ACGT", "ACTT", "2^T0G1"), ("1S2M1I1M", "3", "AACGT", "CACTT", "3"), ("4M", "3", "ACGT", "ACGT", None), ("4M", "4", "ACG", "ACG", None), ("4M", "4", None, "ACGT", None), ("", "", "", "", "")]
+    df = spark.createDataFrame([r[:4] for r in rows], "c string, m string, a string, b string")
+    assert [r[0] for r in df.select(U.rebuilt_md(*[F.col(x) for x in "cmab"])).collect()] == [r[4] for r in rows]
