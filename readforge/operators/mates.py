@@ -21,17 +21,19 @@ SPARE = 20
 def paired(reads: DataFrame, order: list[str]) -> DataFrame:
     """(single, first, second): each read in one column as a struct; unpaired reads as `single`, the others by their name.
 
-    A mate whose partner is absent stands alone in its column.  Names that come several times are paired in `order`.
+    A mate whose partner is absent, or that has no name, stands alone in its column.  Names that come several times are
+    paired in `order`.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in reads.columns])
     is_pair, second = R.has_flag(F.col("flag"), "paired"), R.has_flag(F.col("flag"), "second_mate")
     marked = reads.select(row.alias("row"), F.col("qname").alias("_name"), second.alias("_second"), is_pair.alias("_pair"))
     w = Window.partitionBy("_name", "_second").orderBy(*[F.col(f"row.`{c}`") for c in order])
-    both = marked.where("_pair").withColumn("_n", F.row_number().over(w))
+    both = marked.where("_pair and _name is not null").withColumn("_n", F.row_number().over(w))
     mates = both.groupBy("_name", "_n").agg(F.first(F.when(~F.col("_second"), F.col("row")), ignorenulls=True).alias("first"), F.first(F.when(F.col("_second"), F.col("row")), ignorenulls=True).alias("second"))
     none = lambda: F.lit(None).cast(marked.schema["row"].dataType)
     alone = marked.where("not coalesce(_pair, false)").select(F.col("row").alias("single"), none().alias("first"), none().alias("second"))
-    return alone.unionByName(mates.select(none().alias("single"), "first", "second"))
+    nameless = marked.where("_pair and _name is null").select(none().alias("single"), F.when(~F.col("_second"), F.col("row")).alias("first"), F.when(F.col("_second"), F.col("row")).alias("second"))
+    return alone.unionByName(nameless).unionByName(mates.select(none().alias("single"), "first", "second"))
 
 
 def pair_filter(reads: DataFrame, single: Column, pair: Column, order: list[str]) -> DataFrame:
