@@ -28,7 +28,7 @@ from .hashing import mix, prefix, spans
 LONGEST, SUPPORT, LISTED = 4, 30, 2000
 OVERLAP = 80
 #: Bytes of text in a block, fragments in a bucket, and the fragments beyond which a pivot is split.
-BLOCK_BYTES, BUCKET, SPLIT = 6_000_000, 1_000_000, 250_000
+BLOCK_BYTES, BUCKET, SPLIT = 4_000_000, 1_000_000, 250_000
 #: Numbers of words: none (the end of a piece), and a word that is too rare for any phrase.
 GAP, RARE = -1, -2
 _REACH = LONGEST - 1
@@ -151,7 +151,7 @@ def _tallied(columns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     for row in columns:
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64) + np.uint64(1))
     _, first, group = np.unique(key, return_index=True, return_inverse=True)
-    if not np.array_equal(columns[:, first][:, group], columns):  # two fragments share a hash
+    if not all(np.array_equal(row[first][group], row) for row in columns):  # two fragments share a hash
         _, first, group = np.unique(columns, axis=1, return_index=True, return_inverse=True)
     total = np.zeros(len(first), np.int64)
     np.add.at(total, group, counts)
@@ -168,16 +168,16 @@ def fragments(found: DataFrame, words: DataFrame, buckets: int, split: int) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, n, at, name, f in chain.from_iterable(zip(b["ids"], b["n"], b["at"], b["id"], b["f"]) for b in batches):
-            table, size = np.full(n + 1, RARE, np.int64), np.zeros(n + 1, np.int64)
-            table[np.array(at)], size[np.array(at)] = name, f
+            table = np.full(n + 1, RARE, np.int32 if max(name) < 1 << 31 else np.int64)
+            table[np.array(at)] = name
             table[-1] = GAP
-            local = _unpack(ids, np.int32)
-            pivot, left, right = _windows(table[local])
+            pivot, left, right = _windows(table[_unpack(ids, np.int32)])
             if not len(pivot):
                 continue
             every = np.vstack([pivot[None], left, right])
+            del left, right
             first, _, count = _tallied(every, np.ones(len(pivot), np.int64))
-            every = every[:, first]
+            every = every[:, first].astype(np.int64)
             order = np.argsort(every[0], kind="stable")
             every, count = every[:, order], count[order]
             known = np.argsort(np.array(name))
