@@ -28,7 +28,7 @@ from .hashing import mix, prefix, spans
 LONGEST, SUPPORT, LISTED = 4, 30, 2000
 OVERLAP = 80
 #: Bytes of text in a block, fragments in a bucket, and the fragments beyond which a pivot is split.
-BLOCK_BYTES, BUCKET, SPLIT = 4_000_000, 1_000_000, 250_000
+BLOCK_BYTES, BUCKET, SPLIT = 2_000_000, 500_000, 125_000
 #: Numbers of words: none (the end of a piece), and a word that is too rare for any phrase.
 GAP, RARE = -1, -2
 _REACH = LONGEST - 1
