@@ -30,8 +30,8 @@ def valid_ref(ref: Column) -> Column:
 
 
 def cigar_ops(cigar: Column) -> Column:
-    """Array of structs (len, op) from CIGAR text."""
-    return F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP])"), F.lit(1)), lambda x: F.struct(F.substring(x, 1, F.length(x) - 1).cast("bigint").alias("len"), F.right(x, F.lit(1)).alias("op")))
+    """Array of structs (len, op) from CIGAR text; = and X, which tell equal bases from others, are M."""
+    return F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1)), lambda x: F.struct(F.substring(x, 1, F.length(x) - 1).cast("bigint").alias("len"), F.translate(F.right(x, F.lit(1)), "=X", "MM").alias("op")))
 
 
 def aligned_length(cigar: Column) -> Column:

@@ -397,4 +397,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-from . import molecules, pairs, records  # noqa: E402, F401  register their queries here
+from . import duplicates, files, molecules, pairs, records  # noqa: E402, F401  register their queries here

@@ -9,6 +9,7 @@ from ..functions import reads as R
 from ..functions import sequences as S
 from ..functions import tags as T
 from ..operators import genome, pileup, streams
+from ..operators.tables import scratch
 from ..sources import bam, fastq
 from . import fixtures as X
 from .queries import BY, ORDER, _on_reads, _on_stream, _query
@@ -19,7 +20,7 @@ REFS = [("chr1", 6000), ("chr2", 6000), ("chrX", 6000)]
 @_on_reads("select qname, flag, ref_id, pos, mapq, cigar, mate_ref_id, mate_pos, len * 3 - 70 isize, seq, qual, ff, rg, xp from reads")
 def bam_roundtrip(spark, sf):
     bam.register(spark)
-    path = bam.scratch(spark, "bam")
+    path = scratch(spark, "bam")
     r = X.reads(spark, sf)
     tags = F.array(T.tag("FF", "i", F.col("ff")), T.tag("RG", "Z", F.col("rg")), T.tag("XP", "i", F.col("xp"))).alias("tags")
     i = lambda c: F.col(c).cast("int").alias(c)
@@ -40,7 +41,7 @@ def fastq_parse(spark, sf):
     head = F.concat("qname", F.when(F.col("k") % 2 == 0, F.concat(F.lit(" about "), "rg")).otherwise(""))
     fasta = (F.col("k") % 5 == 0) | (F.col("k") % 3 == 0)
     lines = r.select(F.when(fasta, F.concat(F.lit(">"), head, F.lit("\n"), wrap(seq))).otherwise(F.concat(F.lit("@"), head, F.lit("\n"), wrap(seq), F.lit("\n+\n"), qual)).alias("value"))
-    path = bam.scratch(spark, "fastq")
+    path = scratch(spark, "fastq")
     lines.write.text(path)
     return fastq.read(spark, path).select("qname", "seq", "qual", "description")
 

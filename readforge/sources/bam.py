@@ -1,7 +1,9 @@
 """BAM: alignment records in BGZF blocks, read and written by Spark's Python data source interface.
 
 `spark.read.format("bam").load(path)` after `register(spark)` reads a file or a folder of files: BGZF, gzip or plain, and an
-empty file as no records; each file is a partition, so large tables should be written as many files.
+empty file as no records.  A BGZF file is read in stretches of `split` bytes: a task finds the first block of its stretch and
+the first record in it by the chain of records that follows, and reads the records that begin in its stretch.  Filters on
+`ref_id` and `pos` make it read only what an index beside the file (`.bai`) names.
 `df.write.format("bam").option("header", text).save(path)` writes one file for each partition; files appear when the job
 is committed, and those of lost tasks never do.
 """
@@ -12,10 +14,13 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 #: The letters of base codes and CIGAR operations in the order of their numbers; sizes and formats of tags.
 CODES, OPERATIONS = "-ACMGRSVTWYHKDBN", "MIDNSHP=X"
@@ -23,20 +28,14 @@ NUMBERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f"
 MAGIC, MOST_BYTES = b"BAM\x01", 65_450
 SCHEMA = "qname string, flag int, ref_id bigint, pos int, mapq int, cigar string, mate_ref_id bigint, mate_pos int, isize int, seq string, qual array<int>, tags array<struct<key:string,typ:string,value:string>>, virt_offset bigint"
 _HEX = [CODES[i >> 4] + CODES[i & 15] for i in range(256)]
+#: Bytes of a file that a task reads, records that must follow the guessed start of one, records in a batch.
+SPLIT, FOLLOWING, BATCH = 64 << 20, 8, 4096
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known to the session, and let filters reach it."""
     spark.dataSource.register(BamSource)
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share; in local mode the warehouse serves."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
-    return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 # --- blocks
@@ -63,9 +62,8 @@ def kind_of(head: bytes) -> str:
     return "gzip" if head[:2] == b"\x1f\x8b" else "plain" if head[:4] == MAGIC else "sam"
 
 
-def blocks(f) -> Iterator[tuple[int, bytes]]:
-    """(offset in the file, bytes) of each block; a cut or damaged block is an error."""
-    at = 0
+def blocks(f, at: int = 0) -> Iterator[tuple[int, bytes]]:
+    """(offset in the file, bytes) of each block from the place on, at which f stands; a cut or damaged block is an error."""
     while head := f.read(12):
         if len(head) < 12 or head[:4] != b"\x1f\x8b\x08\x04":
             raise ValueError(f"no block begins at offset {at}")
@@ -88,6 +86,26 @@ def blocks(f) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
+def find_block(f, start: int, end: int) -> int | None:
+    """The first place in [start, end) where a block begins whose checksum fits and that another block or the end follows."""
+    at = start
+    while at < end:
+        f.seek(at)
+        window = f.read(1 << 17)
+        i = window.find(b"\x1f\x8b\x08\x04")
+        while i >= 0 and at + i < end:
+            f.seek(at + i)
+            try:
+                list(islice(blocks(f, at + i), 2))
+                return at + i
+            except (ValueError, struct.error, zlib.error):
+                i = window.find(b"\x1f\x8b\x08\x04", i + 1)
+        if len(window) < 1 << 17:
+            return None
+        at += len(window) - 3
+    return None
+
+
 def _inflated(f) -> Iterator[tuple[int, bytes]]:
     """Members of a gzip file, one after the other."""
     z, begun = zlib.decompressobj(31), False
@@ -112,8 +130,10 @@ def _plain(f) -> Iterator[tuple[int, bytes]]:
 class Stream:
     """Bytes of successive blocks, with virtual offsets: the block's place in the file times 65536, plus the place in it."""
 
-    def __init__(self, parts: Iterator[tuple[int, bytes]]):
+    def __init__(self, parts: Iterator[tuple[int, bytes]], skip: int = 0):
         self.parts, self.data, self.at, self.base = parts, b"", 0, 0
+        if skip and self._more():
+            self.at = skip
 
     def _more(self) -> bool:
         for base, data in self.parts:
@@ -251,6 +271,11 @@ def _smallest_bin(pos: int, length: int) -> int:
 
 def unpack(data: bytes, offset: int) -> tuple:
     """A row of SCHEMA from a record's bytes; lengths that do not fit are an error."""
+    row = _fields(data, offset)
+    return (*row[:10], list(row[10]), *row[11:])
+
+
+def _fields(data: bytes, offset: int) -> tuple:
     if len(data) < 32:
         raise ValueError("a record is shorter than its fixed part")
     ref, pos, n_name, mapq, _, n_ops, flag, n_seq, mate_ref, mate_pos, isize = struct.unpack("<IiBBHHHiIii", data[:32])
@@ -261,18 +286,24 @@ def unpack(data: bytes, offset: int) -> tuple:
     name = data[32 : 31 + n_name].decode("utf-8", "replace")
     ops = struct.unpack(f"<{n_ops}I", data[32 + n_name : at])
     bases = "".join([_HEX[b] for b in data[at : at + (n_seq + 1) // 2]])[:n_seq]
-    return (name, flag, ref, pos, mapq, "".join(f"{x >> 4}{OPERATIONS[x & 15]}" for x in ops), mate_ref, mate_pos, isize, bases, list(data[end - n_seq : end]), unpack_tags(data[end:]), offset)
+    return (name, flag, ref, pos, mapq, "".join(f"{x >> 4}{OPERATIONS[x & 15]}" for x in ops), mate_ref, mate_pos, isize, bases, data[end - n_seq : end], unpack_tags(data[end:]), offset)
 
 
-def pack(row) -> bytes:
-    """A record's bytes, its size first; the bin follows from position and length."""
-    ops, n = [], ""
-    for c in row["cigar"] or "":
+def operations(cigar: str | None) -> list[tuple[int, str]]:
+    """(length, letter) of each operation."""
+    out, n = [], ""
+    for c in cigar or "":
         if c.isdigit():
             n += c
         else:
-            ops.append((int(n), OPERATIONS.index(c)))
+            out.append((int(n), c))
             n = ""
+    return out
+
+
+def pack(row) -> bytes:
+    """A record's bytes, its size first; the bin follows from position and length."""
+    ops = [(n, OPERATIONS.index(c)) for n, c in operations(row["cigar"])]
     name, seq = (row["qname"] or "").encode() + b"\0", row["seq"] or ""
     codes = [max(CODES.find(c), 0) if c in CODES else 15 for c in seq]
     length = sum(k for k, o in ops if o in (0, 2, 3, 7, 8))
@@ -317,35 +348,208 @@ def header_of(path: str) -> tuple[str, list[tuple[str, int]]]:
         return read_head(stream) if stream else ("", [])
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
+def _record_at(data: bytes, at: int, refs: int) -> int | None:
+    """Where the record that begins at `at` ends, by its own word; None if no record can begin there, at worst beyond data."""
+    size, ref, pos, n_name, _, _, n_ops, _, n_seq, mate_ref, mate_pos = struct.unpack_from("<IiiBBHHHiii", data, at)
+    if not (-1 <= ref < refs and -1 <= mate_ref < refs and pos >= -1 and mate_pos >= -1 and n_name and n_seq >= 0):
+        return None
+    if size < 32 + n_name + 4 * n_ops + (n_seq + 1) // 2 + n_seq:
+        return None
+    name = data[at + 36 : at + 36 + n_name]
+    if len(name) == n_name and (name[-1] or any(not 32 < c < 127 for c in name[:-1])):
+        return None
+    ops = data[at + 36 + n_name : at + 36 + n_name + 4 * n_ops]
+    if any(c & 15 > 8 for c in ops[::4]):
+        return None
+    return at + 4 + size
+
+
+def _begins(data: bytes, at: int, refs: int, ended: bool) -> bool | None:
+    """Whether records follow one another from `at` on; None if more bytes are needed to tell."""
+    for _ in range(FOLLOWING):
+        if at == len(data) and ended:
+            return True
+        if at + 36 > len(data):
+            return False if ended else None
+        to = _record_at(data, at, refs)
+        if to is None or ended and to > len(data):
+            return False
+        at = to
+    return True
+
+
+def first_record(f, start: int, end: int, refs: int) -> tuple[int, Iterator[tuple[int, bytes]], int] | None:
+    """(block, blocks from it on, place in it) of the first record that begins in a block of [start, end)."""
+    place = find_block(f, start, end)
+    if place is None:
+        return None
+    f.seek(place)
+    rest, held, data, at, ended = blocks(f, place), [], b"", 0, False
+    limit = 0  # bytes of blocks in which a record of this stretch may begin
+    while True:
+        answer = None
+        while at < limit and (answer := _begins(data, at, refs, ended)) is False:
+            at += 1
+        if at < limit and answer:
+            break
+        if ended or at >= limit and held and held[-1][0] >= end:
+            return None
+        more = next(rest, None)
+        if more is None:
+            ended = True
+            continue
+        held.append(more)
+        data += more[1]
+        limit = len(data) if more[0] < end else limit
+    for i, (base, part) in enumerate(held):
+        if at < len(part):
+            return base, chain(held[i:], rest), at  # a later read of f ends these blocks
+        at -= len(part)
+    return None
+
+
+def records(f, start: int, end: int | None) -> Iterator[tuple[int, bytes]]:
+    """(virtual offset, bytes) of the records that begin in blocks of bytes [start, end) of a file, to its end if that is None.
+
+    The start of the first record is found by what follows it; the task of the stretch before knows it for certain and fails
+    if another one would be found, so what only looks like a record (in a tag, say) is never read as one.  Files without blocks are read whole by the stretch that begins at 0.
+    """
+    head = f.read(18)
+    f.seek(0)
+    stream, blocked = stream_of(f), is_bgzf(head)
+    if stream is None or start and not blocked:
+        return
+    _, refs = read_head(stream)
+    at = stream.offset()
+    if at is None:
+        return
+    if start > at >> 16:  # else this stretch holds the end of the header, or what is before it
+        found = first_record(f, start, end if end is not None else 1 << 62, len(refs))
+        if found is None:
+            return
+        stream = Stream(found[1], found[2])
+    stop = end << 16 if blocked and end is not None else None
+    yield from _until(stream, stop)
+    if stop is not None and at < stop:  # the next stretch must find the record that really comes next
+        true = stream.offset()
+        found = first_record(f, end, 1 << 62, len(refs))
+        if true != (found and found[0] << 16 | found[2]):
+            raise ValueError(f"no record can be told from others' contents after byte {end}: read the file with another split")
+
+
+def _until(stream: Stream, end: int | None) -> Iterator[tuple[int, bytes]]:
+    while (at := stream.offset()) is not None and (end is None or at < end):
+        size = struct.unpack("<I", stream.take(4))[0]
+        yield at, stream.take(size)
+
+
+def records_between(f, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(virtual offset, bytes) of the records from the virtual offset start on, at which one begins, to end."""
+    f.seek(start >> 16)
+    yield from _until(Stream(blocks(f, start >> 16), start & 0xFFFF), end)
+
+
+_TAG = pa.list_(pa.struct([("key", pa.string()), ("typ", pa.string()), ("value", pa.string())]))
+ARROW = pa.schema([
+    ("qname", pa.string()), ("flag", pa.int32()), ("ref_id", pa.int64()), ("pos", pa.int32()), ("mapq", pa.int32()), ("cigar", pa.string()), ("mate_ref_id", pa.int64()),
+    ("mate_pos", pa.int32()), ("isize", pa.int32()), ("seq", pa.string()), ("qual", pa.list_(pa.int32())), ("tags", _TAG), ("virt_offset", pa.int64()),
+])
+
+
+def batches(found: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Records as Arrow batches of SCHEMA."""
+    while rows := [_fields(data, at) for at, data in islice(found, BATCH)]:
+        columns = list(zip(*rows))
+        qual = np.frombuffer(b"".join(columns[10]), np.uint8).astype(np.int32)
+        edges = np.cumsum([0, *map(len, columns[10])]).astype(np.int32)
+        arrays = [pa.ListArray.from_arrays(edges, qual) if f.name == "qual" else pa.array(c, f.type) for f, c in zip(ARROW, columns)]
+        yield pa.RecordBatch.from_arrays(arrays, schema=ARROW)
+
+
+def files_of(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of a file or of the BAM files of a folder."""
+    system, inner = _opened(path)
+    info = system.get_file_info(inner)
+    if info.type == fs.FileType.File:
+        return [(path, info.size)]
+    found = [x for x in system.get_file_info(fs.FileSelector(inner)) if x.type == fs.FileType.File and not x.base_name.startswith(("_", ".")) and not x.base_name.endswith((".bai", ".csi"))]
+    return [(f"{path.rstrip('/')}/{x.base_name}", x.size) for x in sorted(found, key=lambda x: x.path)]
+
+
+def stretches(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """(path, start, end) in bytes: what tasks read of each file.  One task a row if it is repartitioned by its rows."""
+    rows = [(p, a, min(a + split, size)) for p, size in files_of(path) for a in range(0, max(size, 1), split)]
+    return spark.createDataFrame(rows, "path string, start long, end long").repartition(max(1, len(rows)), "path", "start")
+
+
+def read_places(places: DataFrame) -> DataFrame:
+    """Records of SCHEMA between virtual offsets (path, start, end), each a stretch that begins with a record."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for path, start, end in zip(*(b.column(i).to_pylist() for i in range(3))):
+                system, inner = _opened(path)
+                with system.open_input_file(inner) as f:
+                    yield from batches(records_between(f, start, end))
+
+    return places.select("path", "start", "end").mapInArrow(run, SCHEMA)
+
+
+class _Stretch(InputPartition):
+    def __init__(self, path: str, start: int, end: int | None, virtual: bool = False):
+        super().__init__((path, start, end, virtual))
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, split: int):
+        self.path, self.split, self.refs, self.low, self.high = path, split, None, 0, None
+
+    def pushFilters(self, filters):
+        for x in filters:
+            number = isinstance(getattr(x, "value", None), int) or isinstance(x, In)
+            if number and x.attribute == ("ref_id",) and isinstance(x, (EqualTo, In)):
+                own = {x.value} if isinstance(x, EqualTo) else set(x.value)
+                self.refs = own if self.refs is None else self.refs & own
+            elif number and x.attribute == ("pos",):
+                low = {EqualTo: 0, GreaterThanOrEqual: 0, GreaterThan: 1}.get(type(x))
+                high = {EqualTo: 1, LessThanOrEqual: 1, LessThan: 0}.get(type(x))
+                if low is not None:
+                    self.low = max(self.low, x.value + low)
+                if high is not None:
+                    self.high = min(x.value + high, self.high if self.high is not None else x.value + high)
+            yield x  # Spark tests them too
 
     def partitions(self):
-        system, inner = _opened(self.path)
-        info = system.get_file_info(inner)
-        if info.type == fs.FileType.File:
-            return [_File(self.path)]
-        found = [x for x in system.get_file_info(fs.FileSelector(inner)) if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))]
-        root = self.path.rstrip("/")
-        return [_File(f"{root}/{x.base_name}") for x in sorted(found, key=lambda x: x.path)]
+        out = []
+        for path, size in files_of(self.path):
+            places = self._places(path)
+            if places is not None:
+                out += [_Stretch(path, a, b, True) for a, b in places]
+            else:
+                out += [_Stretch(path, a, a + self.split if a + self.split < size else None) for a in range(0, max(size, 1), self.split)]
+        return out
+
+    def _places(self, path: str) -> list[tuple[int, int]] | None:
+        """What an index says of the asked references; None without filters on them or without an index."""
+        from . import index
+
+        asked = {r for r in self.refs or () if isinstance(r, int) and 0 <= r < 1 << 31}
+        if self.refs is None or len(asked) < len(self.refs):
+            return None
+        system, inner = _opened(path + ".bai")
+        if system.get_file_info(inner).type != fs.FileType.File:
+            return None
+        with system.open_input_file(inner) as f:
+            rows = list(index.parse(f.read()))
+        return sorted(x for r in asked for x in index.places(rows, r, self.low, self.high if self.high is not None else 1 << 29, self.split))
 
     def read(self, partition):
         if partition is None:
             return
-        system, inner = _opened(partition.value)
+        path, start, end, virtual = partition.value
+        system, inner = _opened(path)
         with system.open_input_file(inner) as f:
-            stream = stream_of(f)
-            if stream:
-                read_head(stream)
-                while (at := stream.offset()) is not None:
-                    size = struct.unpack("<I", stream.take(4))[0]
-                    yield unpack(stream.take(size), at)
+            yield from batches(records_between(f, start, end) if virtual else records(f, start, end))
 
 
 class _Written(WriterCommitMessage):
@@ -400,7 +604,7 @@ class BamWriter(DataSourceWriter):
 
 
 class BamSource(DataSource):
-    """Options of the writer: header (text with @SQ lines, in the order of reference numbers), level (0 to 9)."""
+    """Option of the reader: split (bytes of a file for a task).  Options of the writer: header (text with @SQ lines, in the order of reference numbers), level (0 to 9)."""
 
     @classmethod
     def name(cls):
@@ -410,7 +614,7 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return BamReader(self.options["path"])
+        return BamReader(self.options["path"], int(self.options.get("split", SPLIT)))
 
     def writer(self, schema, overwrite):
         return BamWriter(self.options["path"], self.options.get("header", ""), int(self.options.get("level", "6")), overwrite)

@@ -1,7 +1,8 @@
 """Indexes of sorted files: BAI, CSI and tabix, as rows, and the stretches of a file that regions need.
 
 An index file is one row of Spark's binary source.  Its bins become rows (bin, from, to); the least place of any record
-from a window on becomes a row for each window, carried forward where the index says nothing.
+from a window on becomes a row for each window, carried forward where the index says nothing.  `build` makes an index from the records of sorted files, `write` puts it beside them,
+and `scan` reads only the stretches that regions need.
 """
 
 from __future__ import annotations
@@ -9,12 +10,16 @@ from __future__ import annotations
 import io
 import struct
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import reads as R
 from ..operators import intervals
+from ..operators.tables import written
+from . import bam
 from .bam import blocks, is_bgzf
 
 SCHEMA = "path string, ref_id bigint, name string, min_shift int, depth int, bin bigint, window bigint, start bigint, end bigint"
@@ -118,3 +123,137 @@ def segments(index: DataFrame, regions: DataFrame) -> DataFrame:
     met = index.where("bin is not null").select("path", "ref_id", "bin", "start", "end").join(asked, ["path", "ref_id", "bin"])
     met = met.select(F.col("path").alias("ref_id"), F.greatest("start", "_low").alias("start"), "end").where("start < end")
     return intervals.union(met, MERGE_BITS).select(F.col("ref_id").alias("path"), "start", "end")
+
+
+def _touched(low: int, high: int, shift: int, depth: int) -> set[int]:
+    """Bins that hold any position of [low, high)."""
+    out: set[int] = set()
+    for level in range(depth + 1):
+        bits = shift + 3 * (depth - level)
+        out.update(range(((1 << 3 * level) - 1) // 7 + (low >> bits), ((1 << 3 * level) - 1) // 7 + ((high - 1) >> bits) + 1))
+    return out
+
+
+def places(rows: list[tuple], ref: int, low: int, high: int, most: int) -> list[tuple[int, int]]:
+    """The stretches of one file, from rows of `parse`, that hold all records which touch [low, high) of a reference.
+
+    Stretches that touch are joined up to `most` bytes of file.  As the file is sorted, nothing is read from the first record
+    on that stands in a smallest bin behind the region.
+    """
+    own = [r for r in rows if r[0] == ref]
+    if not own or high <= low:
+        return []
+    bins = _touched(low, high, own[0][2], own[0][3])
+    least = max((r[6] for r in own if r[5] is not None and r[5] <= low >> own[0][2]), default=0)
+    leaves = ((1 << 3 * own[0][3]) - 1) // 7
+    behind = min((r[6] for r in own if r[4] is not None and r[4] > leaves + ((high - 1) >> own[0][2])), default=1 << 62)
+    out: list[tuple[int, int]] = []
+    for start, end in sorted((max(r[6], least), min(r[7], behind)) for r in own if r[4] in bins and r[7] > least and r[6] < behind):
+        if out and start <= out[-1][1] and (end >> 16) - (out[-1][0] >> 16) <= most:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        elif not out or end > out[-1][1]:
+            out.append((max(start, out[-1][1]) if out else start, end))
+    return out
+
+
+def _runs(found: Iterator[tuple[int, bytes]], name: str, last: int) -> Iterator[tuple]:
+    """(path, ref_id, bin, window, start, end): runs of records of one bin, and of each run the windows it reaches."""
+
+    def told() -> Iterator[list]:
+        before = None
+        for at, data in found:
+            row = bam.unpack(data, at)
+            if before:
+                before[-1] = at
+                yield before
+            length = sum(n for n, o in bam.operations(row[5]) if o in "MDN=X")
+            end = row[3] + max(length, 1)
+            before = [row[2], bam._smallest_bin(row[3], length), row[3] >> SHIFT, (end - 1) >> SHIFT, at, last] if row[3] >= 0 and row[2] != R.INVALID_REF else [None, None, 0, -1, at, last]
+        if before:
+            yield before
+
+    for (ref, number), rows in groupby(told(), key=lambda r: (r[0], r[1])):
+        if ref is None:
+            continue
+        rows = list(rows)
+        yield name, ref, number, None, rows[0][4], rows[-1][5]
+        least: dict[int, int] = {}
+        for r in rows:
+            for w in range(r[2], r[3] + 1):
+                least.setdefault(w, r[4])
+        for w, at in least.items():
+            yield name, ref, None, w, at, None
+
+
+def build(spark: SparkSession, path: str, split: int = bam.SPLIT) -> DataFrame:
+    """Rows of SCHEMA, an index as BAI has it, for a BAM file sorted by place or a folder of them.
+
+    Each task reads a stretch of a file; the end of its last record is the place where the next stretch begins, which is
+    found after all have been read.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, start, end in zip(batch["path"], batch["start"], batch["end"]):
+                system, inner = bam._opened(name)
+                with system.open_input_file(inner) as f:
+                    rows = list(_runs(bam.records(f, start, end), name, end << 16))
+                yield pd.DataFrame(rows, columns=["path", "ref_id", "bin", "window", "start", "end"], dtype=object)
+
+    rows = bam.stretches(spark, path, split).mapInPandas(run, "path string, ref_id bigint, bin bigint, window bigint, start bigint, end bigint")
+    bins = rows.where("bin is not null").groupBy("path", "ref_id", "bin", "start").agg(F.max("end").alias("end")).withColumn("window", F.lit(None).cast("bigint"))
+    least = rows.where("window is not null").groupBy("path", "ref_id", "window").agg(F.min("start").alias("start"))
+    # windows that no record reaches take the place of the one before: at most 32,768 windows for each reference
+    every = least.groupBy("path", "ref_id").agg(F.max("window").alias("_m")).select("path", "ref_id", F.explode(F.expr("sequence(0L, _m)")).alias("window"))
+    filled = F.coalesce(F.last("start", ignorenulls=True).over(Window.partitionBy("path", "ref_id").orderBy("window")), F.lit(0))
+    windows = every.join(least, ["path", "ref_id", "window"], "left").withColumn("start", filled)
+    none = lambda kind: F.lit(None).cast(kind)
+    both = bins.unionByName(windows.withColumns({"bin": none("bigint"), "end": none("bigint")}))
+    return both.select("path", "ref_id", none("string").alias("name"), F.lit(SHIFT).alias("min_shift"), F.lit(DEPTH).alias("depth"), "bin", "window", "start", "end")
+
+
+def pack(rows: list[tuple], refs: int) -> bytes:
+    """A BAI file from (ref_id, bin, window, start, end)."""
+    out = [b"BAI\1", struct.pack("<i", refs)]
+    for ref in range(refs):
+        own = [r for r in rows if r[0] == ref]
+        bins = sorted((int(r[1]), int(r[3]), int(r[4])) for r in own if r[1] is not None)
+        each = {k: [(a, b) for _, a, b in v] for k, v in groupby(bins, key=lambda r: r[0])}
+        out.append(struct.pack("<i", len(each)))
+        for number, found in each.items():
+            out.append(struct.pack(f"<Ii{2 * len(found)}q", number, len(found), *[x for pair in found for x in pair]))
+        windows = [int(r[3]) for r in sorted((r for r in own if r[2] is not None), key=lambda r: r[2])]
+        out.append(struct.pack(f"<i{len(windows)}q", len(windows), *windows))
+    return b"".join(out)
+
+
+def write(index: DataFrame) -> DataFrame:
+    """Puts the index of each file beside it, with `.bai` added to its name; (path, bytes) of what was written.
+
+    The index of one file is made in one task; it has a row for each run of records and each 16,384 positions.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        path = group["path"].iloc[0]
+        rows = group[["ref_id", "bin", "window", "start", "end"]].astype(object)
+        rows = [tuple(None if pd.isna(x) else int(x) for x in r) for r in rows.itertuples(index=False)]
+        data = pack(rows, len(bam.header_of(path)[1]))
+        system, inner = bam._opened(path + ".bai")
+        with system.open_output_stream(inner, compression=None) as f:
+            f.write(data)
+        return pd.DataFrame({"path": [path + ".bai"], "bytes": [len(data)]})
+
+    return index.groupBy("path").applyInPandas(run, "path string, bytes long")
+
+
+def scan(spark: SparkSession, index: DataFrame, regions: DataFrame) -> DataFrame:
+    """The records of the files of an index, each once, that touch regions (ref_id, start, end).
+
+    Only the stretches that the index names are read, each by one task; what they hold beside is then tested.  index has
+    the paths of the data, as `build` gives them; for rows of `read` cut `.bai` off.
+    """
+    asked = segments(index, regions)
+    n = max(1, min(asked.count(), 4 * spark.sparkContext.defaultParallelism))
+    found = written(bam.read_places(asked.repartition(n, "path", "start")), "scan")
+    found = found.where(~R.has_flag(F.col("flag"), "unmapped")).withColumn("aligned", F.greatest(R.aligned_length(F.col("cigar")), F.lit(1)))
+    return intervals.semi_join(found, regions).drop("aligned")
