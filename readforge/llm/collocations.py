@@ -231,7 +231,7 @@ def mined(packed: DataFrame, support: int) -> DataFrame:
         first, _, total = _tallied(np.vstack([every[: 2 * _REACH + 1], every[-1:]]), every[-2])
         every = every[:, first]
         every[-2] = total
-        out = [pd.DataFrame({"ids": list(g.T), "f": n, "whole": w}) for g, n, w in _mine(every, support)]
+        out = [pd.DataFrame({"ids": pd.Series(list(g.T), dtype=object), "f": n, "whole": w}) for g, n, w in _mine(every, support)]
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"ids": pd.Series([], dtype=object), "f": np.zeros(0, np.int64), "whole": np.zeros(0, bool)})
 
     found = packed.groupBy("bucket").applyInPandas(run, "ids array<long>, f long, whole boolean")
