@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import reads as R
 from . import sequences as S
 
 KIND = "ops array<struct<op:string,n:bigint,base:string>>, known boolean"
@@ -75,6 +76,95 @@ def md_of(fused: Column) -> Column:
     return F.when(fused["known"], S.md_text(ops))
 
 
+_OPS = "array<struct<op:string,n:bigint,base:string>>"
+
+
+def _op(op, n: Column) -> Column:
+    return F.struct((F.lit(op) if isinstance(op, str) else op).alias("op"), n.cast("bigint").alias("n"), F.lit(None).cast("string").alias("base"))
+
+
+def _some(*ops: Column) -> Column:
+    return F.filter(F.array(*ops), lambda x: x["n"] > 0).cast(_OPS)
+
+
+def split_at(fused: Column, at: Column) -> tuple[Column, Column]:
+    """Two fused lists of the same read: that of its part before the reference offset `at` and that of the rest.
+
+    Read bases of the other part become soft clips in each.  Insertions at the split belong to the rest.
+    """
+    none = F.array().cast(_OPS)
+    start = F.struct(at.cast("bigint").alias("left"), none.alias("a"), none.alias("b"))
+
+    def step(s, x):
+        left, op, n = s["left"], x["op"], x["n"]
+        k = F.least(left, n)
+        own, clip = F.array(x).cast(_OPS), _some(_op("S", n))
+        reads = op.isin("M", "R", "I", "S")
+        open_ = left > 0
+        a = F.when(~open_, F.when(reads, clip).otherwise(none)).when(op == "M", _some(_op("M", k), _op("S", n - k))).when(op == "N", _some(_op("N", k))).otherwise(own)
+        b = F.when(~open_, own).when(op == "M", _some(_op("S", k), _op("M", n - k))).when(op == "N", _some(_op("N", n - k)))
+        b = b.when(op.isin("S", "H"), own).when(op.isin("I", "R"), clip).otherwise(none)
+        gone = F.when(op.isin("M", "R", "D", "N"), F.greatest(F.least(left, n), F.lit(0))).otherwise(0)
+        return F.struct((left - gone).alias("left"), F.concat(s["a"], a).alias("a"), F.concat(s["b"], b).alias("b"))
+
+    done = F.aggregate(fused["ops"], start, step)
+    both = lambda c: F.struct(done[c].alias("ops"), fused["known"].alias("known"))
+    return both("a"), both("b")
+
+
+def _taken(ops: Column, n: Column) -> Column:
+    """The operations up to the n-th base of the read; deletions behind it go."""
+    start = F.struct(n.cast("bigint").alias("left"), F.array().cast(_OPS).alias("out"))
+
+    def step(s, x):
+        reads = x["op"].isin("M", "R", "I", "S")
+        k = F.when(reads, F.least(s["left"], x["n"])).otherwise(x["n"])
+        own = F.array(F.struct(x["op"].alias("op"), k.cast("bigint").alias("n"), x["base"].alias("base"))).cast(_OPS)
+        return F.struct((s["left"] - F.when(reads, k).otherwise(0)).alias("left"), F.when(s["left"] > 0, F.concat(s["out"], own)).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(ops, start, step, lambda s: s["out"])
+
+
+def cut(fused: Column, n: Column, back: bool) -> Column:
+    """The fused list without the last (or first) n bases of the read."""
+    ops = fused["ops"] if back else F.reverse(fused["ops"])
+    total = F.aggregate(F.filter(ops, lambda x: x["op"].isin("M", "R", "I", "S")), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    kept = _taken(ops, F.greatest(total - n, F.lit(0)))
+    return F.struct((kept if back else F.reverse(kept)).alias("ops"), fused["known"].alias("known"))
+
+
+def aligned(fused: Column, seq: Column) -> Column:
+    """Struct (ref, read) of two texts of one length, a letter for each base of the read and each hard-clipped one (N in the
+    read); the reference has a dash where the read is inserted or clipped.  Null where MD does not fit the CIGAR."""
+    start = F.struct(F.lit(1).cast("bigint").alias("at"), F.lit("").alias("ref"), F.lit("").alias("read"))
+
+    def step(s, x):
+        n = x["n"].cast("int")
+        own = F.substring(seq, s["at"].cast("int"), n)
+        ref = F.when(x["op"] == "M", own).when(x["op"] == "R", x["base"]).when(x["op"].isin("I", "S", "H"), F.repeat(F.lit("-"), n)).otherwise("")
+        read = F.when(x["op"].isin("M", "R", "I", "S"), own).when(x["op"] == "H", F.repeat(F.lit("N"), n)).otherwise("")
+        return F.struct((s["at"] + F.when(x["op"].isin("M", "R", "I", "S"), x["n"]).otherwise(0)).alias("at"), F.concat(s["ref"], ref).alias("ref"), F.concat(s["read"], read).alias("read"))
+
+    return F.when(fused["known"], F.aggregate(fused["ops"], start, step, lambda s: F.struct(s["ref"].alias("ref"), s["read"].alias("read"))))
+
+
+def aligned_to(seq: Column, cigar: Column, ref: Column) -> Column:
+    """As `aligned`, from the bases of the reference that the read covers (D and N included)."""
+    start = F.struct(F.lit(1).cast("bigint").alias("at"), F.lit(1).cast("bigint").alias("to"), F.lit("").alias("ref"), F.lit("").alias("read"))
+
+    def step(s, x):
+        op, n = x["op"], x["len"].cast("int")
+        own = F.substring(seq, s["at"].cast("int"), n)
+        base = F.when(op == "M", F.substring(ref, s["to"].cast("int"), n)).when(op.isin("I", "S", "H"), F.repeat(F.lit("-"), n)).otherwise("")
+        read = F.when(op.isin("M", "I", "S"), own).when(op == "H", F.repeat(F.lit("N"), n)).otherwise("")
+        return F.struct(
+            (s["at"] + F.when(op.isin("M", "I", "S"), x["len"]).otherwise(0)).alias("at"), (s["to"] + F.when(op.isin("M", "D", "N"), x["len"]).otherwise(0)).alias("to"),
+            F.concat(s["ref"], base).alias("ref"), F.concat(s["read"], read).alias("read"),
+        )
+
+    return F.aggregate(R.cigar_ops(cigar), start, step, lambda s: F.struct(s["ref"].alias("ref"), s["read"].alias("read")))
+
+
 def rebuilt_md(cigar: Column, md: Column, old: Column, new: Column) -> Column:
     """MD text for the bases `new` that replace `old` in a record with this CIGAR and MD; null where MD does not fit the
     CIGAR, or the bases are not as many as it reads."""

@@ -128,3 +128,42 @@ def short_number(x: Column) -> Column:
         text = F.when(y < 100, small).when(y < 1000, F.concat(tens, F.lit(s))).otherwise(F.concat((F.floor(r / 100) * 10).cast("string"), F.lit(s)))
         out = F.when(y < 10000, text).otherwise(out)
     return F.when(x < 0, F.concat(F.lit("-"), out)).otherwise(out)
+
+
+def empirical_rates(i: Column, length: Column, reversed_: Column, front: Column, back: Column, middle: tuple[float, float]) -> tuple[Column, Column]:
+    """Rates of C→T and G→A at offset i from measured log odds.
+
+    front and back are arrays of structs (a, b), the log odds of both by distance from that end; beyond them and in between
+    the pair `middle` holds.  Reversed records have both rates exchanged.
+    """
+    near = F.when(2 * i < length, F.get(front, i.cast("int"))).otherwise(F.get(back, (length - i - 1).cast("int")))
+    rate = lambda x: 1 / (1 + F.exp(-x))
+    a, b = rate(F.coalesce(near["a"], F.lit(middle[0]))), rate(F.coalesce(near["b"], F.lit(middle[1])))
+    return F.when(reversed_, b).otherwise(a), F.when(reversed_, a).otherwise(b)
+
+
+def substitution_matrix(p: Column, q: Column) -> Column:
+    """Array of 16: at 4 * y + x the rate at which base x (of A, C, G, T) is read as y, for C→T at rate p and G→A at rate q."""
+    one, zero = F.lit(1.0), F.lit(0.0)
+    return F.array(one, zero, q, zero, zero, 1 - p, zero, zero, zero, zero, 1 - q, zero, zero, p, zero, one)
+
+
+def scalar_matrix(s: Column) -> Column:
+    """Array of 16 with s where a base is read as itself."""
+    return F.array(*[s if k % 5 == 0 else F.lit(0.0) for k in range(16)])
+
+
+def complement_matrix(m: Column) -> Column:
+    """The matrix of the other strand: both bases are complements."""
+    return F.reverse(m)
+
+
+def at_matrix(m: Column, x: str, y: str) -> Column:
+    """Rate at which base x is read as y."""
+    return F.get(m, F.lit("ACGT".index(x) + 4 * "ACGT".index(y)))
+
+
+def nudged_matrix(m: Column, x: str, y: str, by: Column) -> Column:
+    """The matrix with `by` added to the rate at which x is read as y."""
+    k = "ACGT".index(x) + 4 * "ACGT".index(y)
+    return F.transform(m, lambda v, i: F.when(i == k, v + by).otherwise(v))

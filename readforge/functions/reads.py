@@ -135,10 +135,11 @@ def mate_fixed_flag(flag: Column, ref: Column, pos: Column, mate_ref: Column, ma
 
 
 def name_key(name: Column) -> Column:
-    """Sort key of natural name order: runs of digits by number, anything else by letter."""
+    """Sort key of natural name order: runs of digits by number, of any length, anything else by letter."""
     parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D)"), F.lit(1))
     digits = lambda t: t.rlike(r"^\d")
-    return F.transform(parts, lambda t: F.struct(F.when(digits(t), F.lit(48)).otherwise(F.ascii(t)).alias("c"), F.when(digits(t), F.expr("0").cast("decimal(38,0)") + t.try_cast("decimal(38,0)")).alias("n")))
+    plain = lambda t: F.ltrim(t, F.lit("0"))
+    return F.transform(parts, lambda t: F.struct(F.when(digits(t), F.lit(48)).otherwise(F.ascii(t)).alias("c"), F.when(digits(t), F.length(plain(t))).alias("size"), F.when(digits(t), plain(t)).alias("n")))
 
 
 def trailing_below(qual: Column, least: int) -> Column:

@@ -59,26 +59,29 @@ def trimmed_cigar(cigar: Column, n: Column, back: bool) -> tuple[Column, Column]
     return F.when(same, cigar).otherwise(text(out["ops"])), F.when(same | F.lit(back), F.lit(0).cast("bigint")).otherwise(out["shift"])
 
 
-def merged(size: Column, seq1: Column, qual1: Column, seq2: Column, qual2: Column, most: int) -> Column:
+def merged(size: Column, seq1: Column, qual1: Column, seq2: Column, qual2: Column, most: int | Column, raw: bool = True) -> Column:
     """Array of structs (base, q) of a molecule of `size` read from both ends.
 
     Where both mates cover a place and agree, qualities add up to `most`; where not, the better base stays with the
-    difference.  Bases that the second mate alone covers stand in the order of the molecule as they were read.
+    difference.  Bases that the second mate alone covers stand in the order of the molecule: as they were read if `raw`,
+    which is how known files have them, else as their complements, which makes the whole a sequence.
     """
-    n1, n2 = F.length(seq1), F.length(seq2)
-
-    def at(p):
-        back = size - 1 - p
-        one, two = p < n1, back < n2
-        b1, raw = F.substring(seq1, p + 1, F.lit(1)), F.substring(seq2, back + 1, F.lit(1))
-        b2 = F.translate(raw, R.BASES, R.COMPLEMENTS)
-        q1, q2 = F.try_element_at(qual1, p + 1), F.try_element_at(qual2, back + 1)
-        base = F.when(one & two, F.when((b1 == b2) | (q1 > q2), b1).otherwise(b2)).when(one, b1).otherwise(raw)
-        q = F.when(one & two, F.when(b1 == b2, F.least(q1 + q2, F.lit(most))).otherwise(F.abs(q1 - q2))).when(one, q1).otherwise(q2)
-        return F.struct(base.alias("base"), q.cast("bigint").alias("q"))
-
-    covered = F.filter(F.sequence(F.lit(0), size - 1), lambda p: (p < n1) | (size - 1 - p < n2))
-    return F.when(size > 0, F.transform(covered, at)).otherwise(F.array().cast("array<struct<base:string,q:bigint>>"))
+    none = F.lit(None).cast("struct<base:string,q:bigint,raw:string>")
+    letters = lambda t: F.filter(F.split(t, ""), lambda c: c != "")
+    sized = lambda x: F.slice(x, F.lit(1), F.greatest(F.least(size, F.size(x)), F.lit(0)))
+    row = lambda x: F.struct(x["base"].alias("base"), x["q"].cast("bigint").alias("q"), x["raw"].alias("raw"))
+    one = F.transform(F.arrays_zip(letters(seq1).alias("base"), F.slice(qual1, F.lit(1), F.length(seq1)).alias("q"), letters(seq1).alias("raw")), row)
+    two = F.transform(F.arrays_zip(letters(F.translate(seq2, R.BASES, R.COMPLEMENTS)).alias("base"), F.slice(qual2, F.lit(1), F.length(seq2)).alias("q"), letters(seq2).alias("raw")), row)
+    two = F.concat(F.array_repeat(none, F.greatest(size - F.length(seq2), F.lit(0)).cast("int")), F.reverse(sized(two)))
+
+    def meet(x, y):
+        base = F.when((x["base"] == y["base"]) | (x["q"] > y["q"]), x["base"]).otherwise(y["base"])
+        q = F.when(x["base"] == y["base"], F.least(x["q"] + y["q"], F.lit(most) if isinstance(most, int) else most)).otherwise(F.abs(x["q"] - y["q"]))
+        alone = F.struct((y["raw"] if raw else y["base"]).alias("base"), y["q"].alias("q"))
+        out = F.struct(base.alias("base"), q.cast("bigint").alias("q"))
+        return F.when(x.isNotNull() & y.isNotNull(), out).when(x.isNotNull(), F.struct(x["base"].alias("base"), x["q"].alias("q"))).when(y.isNotNull(), alone)
+
+    return F.when(size > 0, F.filter(F.zip_with(sized(one), two, meet), lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<base:string,q:bigint>>"))
 
 
 def record_text(body: Column) -> Column:

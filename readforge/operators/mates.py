@@ -109,9 +109,12 @@ def insert_size(seq1: Column, qual1: Column, seq2: Column, qual2: Column, forwar
     return best(seq1, qual1, seq2, qual2)
 
 
-def merge_decision(size: Column, ym: Column, n1: Column, n2: Column, low: int, high: int) -> Column:
-    """What becomes of a pair: none, mates, merged, or all (merged and mates, as alternatives); n2 is 0 for a single read."""
-    single = n2 == 0
+def merge_decision(size: Column, ym: Column, n1: Column, n2: Column, low: int, high: int, pair: Column | None = None) -> Column:
+    """What becomes of a pair: none, mates, merged, or all (merged and mates, as alternatives); n2 is 0 for a single read.
+
+    `pair` tells pairs from single reads where a second mate may be empty.
+    """
+    single = n2 == 0 if pair is None else ~pair
     short = ~single & ((size < n1 - SPARE) | (size < n2 - SPARE))
     rest = F.when((size == 0) & (ym >= high), "none").when((ym >= high) | short, "merged").otherwise("all")
     return F.when((n1 == 0) & (n2 == 0), "none").when((ym < low) | (size < 0), "mates").otherwise(rest)

@@ -14,23 +14,43 @@ def usable(reads: DataFrame) -> DataFrame:
     return reads.where(~R.has_flag(F.col("flag"), "unmapped") & ~R.has_flag(F.col("flag"), "duplicate") & R.valid_ref(F.col("ref_id")))
 
 
-def walk(reads: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per aligned base: site, base, q (the lower of base and mapping quality), i (offset in the read), by CIGAR.
+def blocks(cigar: Column) -> Column:
+    """Array of structs (q, r, len, ins, del) of the runs of aligned bases: offsets in the read and from its place, length, and
+    the read's bases and those of the reference between the run and the next one (both 0 after the last).
 
     M consumes both, I and S the read, D and N the reference; H and P nothing.
     """
-    zero = F.struct(F.lit(0).cast("bigint").alias("q"), F.lit(0).cast("bigint").alias("r"), F.array().cast("array<struct<q:bigint,r:bigint,len:bigint>>").alias("at"))
+    kind = "struct<q:bigint,r:bigint,len:bigint,ins:bigint,del:bigint>"
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in ("q", "r", "ins", "del")], F.array().cast(f"array<{kind}>").alias("at"))
+    last = lambda at: F.try_element_at(at, F.lit(-1))
 
     def step(a, x):
-        both = x["op"] == "M"
+        # what stands between runs is told to the run before when the next one begins
+        own = F.struct(a["q"].alias("q"), a["r"].alias("r"), x["len"].alias("len"), F.lit(0).cast("bigint").alias("ins"), F.lit(0).cast("bigint").alias("del"))
+        told = F.struct(last(a["at"])["q"].alias("q"), last(a["at"])["r"].alias("r"), last(a["at"])["len"].alias("len"), a["ins"].alias("ins"), a["del"].alias("del"))
+        before = F.when(F.size(a["at"]) > 0, F.concat(F.slice(a["at"], F.lit(1), F.size(a["at"]) - 1), F.array(told))).otherwise(a["at"])
+        m = x["op"] == "M"
         return F.struct(
             (a["q"] + F.when(x["op"].isin("M", "I", "S"), x["len"]).otherwise(0)).alias("q"),
             (a["r"] + F.when(x["op"].isin("M", "D", "N"), x["len"]).otherwise(0)).alias("r"),
-            F.when(both, F.concat(a["at"], F.array(F.struct(a["q"].alias("q"), a["r"].alias("r"), x["len"].alias("len"))))).otherwise(a["at"]).alias("at"),
+            F.when(m, 0).otherwise(a["ins"] + F.when(x["op"] == "I", x["len"]).otherwise(0)).cast("bigint").alias("ins"),
+            F.when(m, 0).otherwise(a["del"] + F.when(x["op"].isin("D", "N"), x["len"]).otherwise(0)).cast("bigint").alias("del"),
+            F.when(m & (x["len"] > 0), F.concat(before, F.array(own))).otherwise(a["at"]).alias("at"),
         )
 
-    blocks = F.aggregate(R.cigar_ops(F.col("cigar")), zero, step, lambda a: a["at"])
-    one = usable(reads).select(*keep, "pos", "seq", "qual", "mapq", F.explode(blocks).alias("_b"))
+    return F.aggregate(R.cigar_ops(cigar), zero, step, lambda a: a["at"])
+
+
+def walk(reads: DataFrame, keep: list[str], bases: bool = True) -> DataFrame:
+    """One row per aligned base: site, base, q (the lower of base and mapping quality), i (offset in the read), by CIGAR.
+
+    Without `bases` letters and qualities are neither read nor made: only site, i, read_len and mapq.
+    """
+    if not bases:
+        one = usable(reads).select(*keep, "pos", F.length("seq").cast("bigint").alias("read_len"), "mapq", F.explode(blocks(F.col("cigar"))).alias("_b"))
+        one = one.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b.len") - 1)).alias("_k"))
+        return one.select(*keep, (F.col("pos") + F.col("_b.r") + F.col("_k")).alias("site"), (F.col("_b.q") + F.col("_k")).alias("i"), "read_len", "mapq")
+    one = usable(reads).select(*keep, "pos", "seq", "qual", "mapq", F.explode(blocks(F.col("cigar"))).alias("_b"))
     pairs = F.arrays_zip(F.split(F.substring("seq", F.col("_b.q").cast("int") + 1, F.col("_b.len").cast("int")), "").alias("base"), F.slice("qual", F.col("_b.q").cast("int") + 1, F.col("_b.len").cast("int")).alias("q"))
     one = one.select(*keep, "pos", "mapq", "_b", F.length("seq").cast("bigint").alias("read_len"), F.posexplode(pairs).alias("_k", "_x"))
     i = F.col("_b.q") + F.col("_k")
@@ -39,6 +59,25 @@ def walk(reads: DataFrame, keep: list[str]) -> DataFrame:
     return one.select(*keep, (F.col("pos") + F.col("_b.r") + F.col("_k")).alias("site"), F.col("_x.base").alias("base"), F.least(q.cast("bigint"), F.col("mapq")).alias("q"), i.alias("i"), "read_len", "mapq")
 
 
+def indel_piles(reads: DataFrame, by: list[str]) -> DataFrame:
+    """by, site, ins, del, n, q: at the gap behind each site, how many reads go on without a gap (ins empty, del 0) and how
+    many with each insertion and length of a deletion; q is the sum of their mapping qualities.
+
+    `by` has ref_id and more.  Reads that have a base at the site and end there say nothing.  The reads that go on are those at
+    the site without those whose run of bases ends there, so they are counted from depths and not made one by one.
+    """
+    runs = usable(reads).select(*by, "pos", "seq", "mapq", F.explode(blocks(F.col("cigar"))).alias("_b"))
+    site = F.col("pos") + F.col("_b.r") + F.col("_b.len") - 1
+    seen = F.col("_b.ins") + F.col("_b.del") > 0
+    text = F.substring("seq", (F.col("_b.q") + F.col("_b.len")).cast("int") + 1, F.col("_b.ins").cast("int"))
+    ends = runs.select(*by, site.alias("site"), text.alias("ins"), F.col("_b.del").alias("del"), seen.alias("_seen"), "mapq")
+    gaps = ends.where("_seen").groupBy(*by, "site", "ins", "del").agg(F.count("*").alias("n"), F.sum("mapq").alias("q"))
+    depth = walk(reads, by, bases=False).groupBy(*by, "site").agg(F.count("*").alias("n"), F.sum("mapq").alias("q"))
+    less = ends.groupBy(*by, "site").agg((-F.count("*")).alias("n"), (-F.sum("mapq")).alias("q"))
+    plain = depth.unionByName(less).groupBy(*by, "site").agg(F.sum("n").alias("n"), F.sum("q").alias("q")).where("n > 0")
+    return gaps.unionByName(plain.select(*by, "site", F.lit("").alias("ins"), F.lit(0).cast("bigint").alias("del"), "n", "q"))
+
+
 def call_stats(bases: DataFrame, by: list[str]) -> DataFrame:
     """Depth, reads of mapping quality 0, and sums of mapping quality and its square: sums, so partial sums come first."""
     return bases.groupBy(*by).agg(F.count("*").alias("depth"), F.sum((F.col("mapq") == 0).cast("bigint")).alias("mapq0"), F.sum("mapq").alias("sum_mapq"), F.sum(F.col("mapq") * F.col("mapq")).alias("sum_mapq2"))

@@ -1,7 +1,8 @@
 """Ordered-stream algebra on DataFrames.  The order is always a column, as shuffles keep none.
 
 Operators that look at all earlier rows are windows over `by`; without keys in `by` such a window is one task, so large
-streams are given keys (a file, a reference, a user), or the two-pass forms below, which only order within ranges.
+streams are given keys (a file, a reference, a user), or the two-pass forms below, which only order within ranges.  A global
+number is such a form: it is what `number` gives without keys.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
+from ..functions import reads as R
+from .tables import written
+
 
 def _window(order: list[str], by: list[str]):
     return Window.partitionBy(*[F.col(c) for c in by]).orderBy(*order)
@@ -20,7 +24,8 @@ def take(df: DataFrame, order: list[str], n: int) -> DataFrame:
 
 
 def drop(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    return df.orderBy(*order).offset(n)
+    """All rows but the first n; no task gets more than its range of them."""
+    return numbered(df, order, "_n").where(F.col("_n") > n).drop("_n")
 
 
 def _first_failure(df: DataFrame, order: list[str], by: list[str], keep: Column) -> DataFrame:
@@ -47,7 +52,27 @@ def first_last(df: DataFrame, order: list[str], by: list[str], value: str) -> Da
     return df.groupBy(*by).agg(F.min_by(value, key).alias("first_value"), F.max_by(value, key).alias("last_value"), F.count("*").alias("n"))
 
 
+def numbered(df: DataFrame, order: list, name: str = "rn") -> DataFrame:
+    """df with each row's number, from 1, in the order of all rows.
+
+    Two passes: rows are sorted by ranges and written, with their places in their range; the rows of each range are counted,
+    and the sum of the ranges before (one number for each) is added.  Rows that tie are numbered as they were written.
+    """
+    at = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = {r["_p"]: r["count"] for r in at.groupBy(part.alias("_p")).count().collect()}
+    before, total = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(p, 0)
+    offsets = F.array(*[F.lit(v) for v in before]).cast("array<bigint>")
+    return at.withColumn(name, F.get(offsets, part.cast("int")) + place + 1).drop("_at")
+
+
 def number(df: DataFrame, order: list[str], by: list[str], name: str = "rn") -> DataFrame:
+    """df with each row's number in its stream; without `by`, in the whole, by ranges."""
+    if not by:
+        return numbered(df, order, name)
     return df.withColumn(name, F.row_number().over(_window(order, by)))
 
 
@@ -89,6 +114,38 @@ def merge_sorted(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return a.withColumn("src", F.lit(0)).unionByName(b.withColumn("src", F.lit(1))).orderBy(*key, F.desc("src"))
 
 
+def by_coordinate() -> list[Column]:
+    """Order of records by place; those at no reference come last."""
+    return [F.pmod(F.col("ref_id").cast("bigint"), F.lit(1 << 32)), F.col("pos")]
+
+
+def by_name() -> list[Column]:
+    """Natural order of names."""
+    return [R.name_key(F.col("qname"))]
+
+
+def merge_ordered(inputs: list[DataFrame], key: list[Column], order: list[str], combine: dict[str, Column] | None = None) -> DataFrame:
+    """Any number of sorted inputs as one, with `src` (the place of the input in the list) and `rn` (the place of the row).
+
+    Rows are dealt by ranges of the key that a sample of all inputs gives, sorted in each range and numbered over all.  Where
+    keys tie, later inputs come first, and rows of one input in `order`.  With `combine` the n-th rows that have one key in
+    several inputs become one: its other columns are the given aggregates (over `src` and the columns; `src` is the least),
+    and rows alone keep what the aggregate makes of one.
+    """
+    key = [k.alias(f"_k{i}") for i, k in enumerate(key)]
+    names = [f"_k{i}" for i in range(len(key))]
+    every = None
+    for i, df in enumerate(inputs):
+        one = df.select("*", *key, F.lit(i).alias("src"))
+        every = one if every is None else every.unionByName(one)
+    last = [F.desc("src"), *order]
+    if combine is not None:
+        place = F.row_number().over(Window.partitionBy("src", *names).orderBy(*order))
+        each = every.withColumn("_i", place).groupBy(*names, "_i").agg(F.min("src").alias("src"), *[v.alias(c) for c, v in combine.items()])
+        every, last = each, [F.col("_i"), F.desc("src")]
+    return numbered(every, [*names, *last]).drop(*names, "_i")
+
+
 def fold(df: DataFrame, by: list[str], order: list[str], value: str, start: Column, step) -> DataFrame:
     """`folded`: step(so far, value) over the rows of each group in order.  A fold that is not associative needs all of a
     group in one row; sums, counts and extremes should be aggregates instead."""

@@ -142,11 +142,14 @@ def trim_low_quality(spark, sf):
     return X.reads(spark, sf).select("qname", R.trailing_below(F.col("qual"), 30).cast("bigint").alias("cut"))
 
 
-@_query("select name, row_number() over (order by stem, num) rn from (select 'chr' || cast(n_nationkey as varchar) as name, 'chr' stem, n_nationkey num from nation) x")
+_NAMES = "concat('s', cast({n} % 7 as varchar(9)), '_', cast({n} * 7919 % 100003 as varchar(20)), case when {n} % 3 = 0 then '00' else '' end, cast({n} as varchar(20)))"
+
+
+@_query(f"select {_NAMES.format(n='c_custkey')} as name, row_number() over (order by c_custkey % 7, cast(split_part({_NAMES.format(n='c_custkey')}, '_', 2) as hugeint)) rn from customer")
 def name_natural_order(spark, sf):
-    n = X.table(spark, sf, "nation").select(F.concat(F.lit("chr"), F.col("n_nationkey").cast("string")).alias("name"))
-    digits = F.regexp_extract("name", r"(\d+)$", 1).cast("decimal(38,0)")
-    return streams.number(n.withColumn("stem", F.regexp_replace("name", r"\d+$", "")).withColumn("num", digits), ["stem", "num"], []).select("name", F.col("rn").cast("bigint").alias("rn"))
+    """Names with two runs of digits, some with zeros before them, numbered without a single task."""
+    n = X.table(spark, sf, "customer").select(F.expr(_NAMES.format(n="c_custkey")).alias("name")).withColumn("_key", R.name_key(F.col("name")))
+    return streams.number(n, ["_key", "name"], []).select("name", "rn")
 
 
 @_on_reads("""select concat_ws(chr(9), qname, cast(flag as varchar), case when ref_id = 4294967295 then '*' else 'ref' || cast(ref_id as varchar) end, cast(pos + 1 as varchar), cast(mapq as varchar), cigar,
@@ -203,13 +206,13 @@ _BASES = "select ref_id, pos + i site, flag, mapq, i, substr(seq, cast(i + 1 as
 
 @_on_reads(f"select ref_id, site, count(*) depth, cast(sum(case when mapq = 0 then 1 else 0 end) as bigint) mapq0, cast(sum(mapq) as bigint) sum_mapq, cast(sum(mapq * mapq) as bigint) sum_mapq2 from ({_BASES}) b group by ref_id, site")
 def pileup_depth(spark, sf):
-    return pileup.call_stats(pileup.walk(X.reads(spark, sf), ["ref_id"]), ["ref_id", "site"])
+    return pileup.call_stats(pileup.walk(X.reads(spark, sf), ["ref_id"], bases=False), ["ref_id", "site"])
 
 
 @_on_reads(f"select ref_id, site, flag & 16 <> 0 rev, count(*) depth, cast(sum(case when mapq = 0 then 1 else 0 end) as bigint) mapq0, cast(sum(mapq) as bigint) sum_mapq, cast(sum(mapq * mapq) as bigint) sum_mapq2 from ({_BASES}) b group by 1, 2, 3")
 def pileup_strand(spark, sf):
     r = X.reads(spark, sf).withColumn("rev", R.has_flag(F.col("flag"), "reversed"))
-    return pileup.call_stats(pileup.walk(r, ["ref_id", "rev"]), ["ref_id", "site", "rev"])
+    return pileup.call_stats(pileup.walk(r, ["ref_id", "rev"], bases=False), ["ref_id", "site", "rev"])
 
 
 @_on_reads(f"""select ref_id, site, case when d > 3 then base else 'N' end base, cast(case when d > 3 then d else 0 end as bigint) q from (
@@ -358,10 +361,43 @@ def zip_outer(spark, sf):
     return streams.zip_streams(a, b.withColumnsRenamed({"t": "t2", "event_id": "e2"}), ORDER, ["t2", "e2"], BY, "full").select("user_id", "rn", "a", "b")
 
 
-@_on_stream("select event_id, 0 src from stream where value < 50 union all select event_id, 1 from stream where value >= 50")
+@_on_stream("select event_id, src, row_number() over (order by t, src desc, event_id) rn from (select event_id, t, case when value < 50 then 0 else 1 end src from stream where value is not null) x")
 def merge_sorted(spark, sf):
     s = X.stream(spark, sf)
-    return streams.merge_sorted(s.where("value < 50"), s.where("value >= 50"), ["t"]).select("event_id", "src")
+    return streams.merge_ordered([s.where("value < 50"), s.where("value >= 50")], [F.col("t")], ["event_id"]).select("event_id", "src", "rn")
+
+
+_THREE = "select qname, ref_id, pos, mapq, cast(k % 3 as int) src from reads"
+
+
+def _three(spark, sf):
+    r = X.reads(spark, sf)
+    return [r.where(F.col("k") % 3 == i).select("qname", "ref_id", "pos", "mapq") for i in range(3)]
+
+
+@_on_reads(f"select qname, src, row_number() over (order by ref_id, pos, src desc, qname) rn from ({_THREE}) x")
+def merge_coordinates(spark, sf):
+    return streams.merge_ordered(_three(spark, sf), streams.by_coordinate(), ["qname"]).select("qname", "src", "rn")
+
+
+@_on_reads(f"select qname, src, row_number() over (order by cast(substr(qname, 2) as bigint)) rn from ({_THREE}) x")
+def merge_names(spark, sf):
+    return streams.merge_ordered(_three(spark, sf), streams.by_name(), ["pos"]).select("qname", "src", "rn")
+
+
+@_on_reads(f"""select ref_id, pos, n, m, src, row_number() over (order by ref_id, pos, i, src desc) rn from (select ref_id, pos, i, count(*) n, cast(sum(mapq) as bigint) m, min(src) src from
+  (select *, row_number() over (partition by src, ref_id, pos order by qname) i from ({_THREE}) x) y group by 1, 2, 3) z""")
+def merge_combine(spark, sf):
+    """The n-th records of three inputs at one place become one, with the sum of their qualities."""
+    made = {"ref_id": F.first("ref_id"), "pos": F.first("pos"), "n": F.count("*"), "m": F.sum("mapq")}
+    return streams.merge_ordered(_three(spark, sf), streams.by_coordinate(), ["qname"], made).select("ref_id", "pos", "n", "m", "src", "rn")
+
+
+@_on_stream("select a.rn, a, b from (select event_id a, row_number() over (order by t, event_id) rn from stream where value < 50) a full join (select event_id b, row_number() over (order by t, event_id) rn from stream where value >= 50) b on a.rn = b.rn")
+def zip_whole(spark, sf):
+    """Two streams side by side by their numbers in the whole, without keys."""
+    a, b = _halves(spark, sf)
+    return streams.zip_streams(a.drop("user_id"), b.drop("user_id").withColumnsRenamed({"t": "t2", "event_id": "e2"}), ORDER, ["t2", "e2"], [], "full").select("rn", "a", "b")
 
 
 @_on_stream("select event_type, count(*) n, round(sum(value), 3) s, round(min(value), 6) lo, round(max(value), 6) hi from stream group by 1")
@@ -397,4 +433,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-from . import duplicates, files, molecules, pairs, records  # noqa: E402, F401  register their queries here
+from . import alignments, duplicates, files, molecules, pairs, records  # noqa: E402, F401  register their queries here
