@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import reads as R
 from ..functions import tags as T
 from ..operators.tables import scratch
-from ..sources import bam, index
+from ..sources import bam, index, sam
+from ..sources import reads as any_reads
 from . import fixtures as X
 from .queries import _query
 
@@ -65,3 +66,38 @@ def bam_split_scan(spark, sf):
     """Each file in stretches of 4 KB: records are found wherever they begin."""
     found = spark.read.format("bam").option("split", 4096).load(sorted_bam(spark, sf))
     return found.groupBy(R.has_flag(F.col("flag"), "reversed").alias("rev")).agg(F.count("*").alias("n"), F.sum("pos").alias("s"))
+
+
+# --- files of any kind
+
+_WHOLE = "qname, flag, ref_id, pos, mapq, cigar, mate_ref_id, mate_pos, len * 3 - 70 isize, seq, qual, rg, case when k % 4 = 0 then null else xp end xp"
+
+
+@_query(X.SQL + f"select {_WHOLE} from reads")
+def reads_roundtrip(spark, sf):
+    """Half of the reads in BAM, half in SAM text with the references in another order, read back from one folder."""
+    bam.register(spark)
+    path = scratch(spark, "reads")
+    r = X.reads(spark, sf)
+    i = lambda c: F.col(c).cast("int").alias(c)
+    tags = F.array(T.tag("RG", "Z", F.col("rg")), T.tag("XP", "i", F.expr("case when k % 4 = 0 then null else xp end")))
+    r = r.select("k", "qname", i("flag"), "ref_id", i("pos"), i("mapq"), "cigar", "mate_ref_id", i("mate_pos"), F.expr("cast(len * 3 - 70 as int)").alias("isize"), "seq", F.col("qual").cast("array<int>").alias("qual"), F.filter(tags, lambda t: t["value"].isNotNull()).alias("tags"))
+    names = ["chr1", "chr2", "chrX"]
+    r.where("k % 2 = 0").drop("k").write.format("bam").option("header", bam.refs_header([(n, 6000) for n in names])).mode("append").save(f"{path}/a")
+    refs = spark.createDataFrame(list(enumerate(names)), "ref_id bigint, name string")
+    sam.write(r.where("k % 2 = 1").drop("k"), f"{path}/b", bam.refs_header([(n, 6000) for n in reversed(names)]), refs)
+    back = any_reads.read(spark, f"{path}/a\n{path}/b")
+    b = lambda c: F.col(c).cast("bigint").alias(c)
+    xp = F.when(F.exists("tags", lambda t: t["key"] == "XP"), T.as_int(F.col("tags"), "XP")).alias("xp")
+    return back.select("qname", b("flag"), "ref_id", b("pos"), b("mapq"), "cigar", "mate_ref_id", b("mate_pos"), b("isize"), "seq", F.col("qual").cast("array<bigint>").alias("qual"), T.as_string(F.col("tags"), "RG").alias("rg"), xp)
+
+
+@_query(X.SQL + """select 'chr1' as name, 6000 as length, 0 number, count(*) n from reads where ref_id = 0 union all select 'chr2', 6000, 1, count(*) from reads where ref_id = 1 union all select 'chrX', 6000, 2, count(*) from reads where ref_id = 2""")
+def header_roundtrip(spark, sf):
+    """References by the header of the files that were written, with how many records stand on each."""
+    bam.register(spark)
+    path = scratch(spark, "headed")
+    meta = bam.with_program(bam.parse_header(bam.refs_header([(n, 6000) for n in ("chr1", "chr2", "chrX")])), "readforge", "header_roundtrip", "1")
+    sam.write(X.reads(spark, sf).where("ref_id <> 4294967295"), path, bam.show_header(meta), spark.createDataFrame([(0, "chr1"), (1, "chr2"), (2, "chrX")], "ref_id bigint, name string"))
+    refs = spark.createDataFrame([(i, n, k) for i, (n, k) in enumerate(any_reads.references(spark, path))], "ref_id bigint, name string, length int")
+    return any_reads.read(spark, path).join(refs, "ref_id").groupBy("name", "length", F.col("ref_id").cast("int").alias("number")).agg(F.count("*").alias("n"))

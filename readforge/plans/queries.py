@@ -161,11 +161,14 @@ def sam_encode(spark, sf):
     return encode(X.reads(spark, sf))
 
 
-@_on_reads("select qname, flag, ref_id, pos, mapq, mate_ref_id, mate_pos, seq, qual from reads")
+@_on_reads("select qname, flag, ref_id, pos, mapq, mate_ref_id, mate_pos, len * 3 - 70 isize, seq, qual, rg, xp from reads")
 def sam_roundtrip(spark, sf):
+    from ..functions import tags as T
     from ..sources.sam import decode, encode
 
-    return decode(encode(X.reads(spark, sf))).select("qname", "flag", "ref_id", "pos", "mapq", "mate_ref_id", "mate_pos", "seq", "qual")
+    tags = F.array(T.tag("RG", "Z", F.col("rg")), T.tag("XP", "i", F.col("xp")))
+    back = decode(encode(X.reads(spark, sf).withColumn("isize", F.expr("len * 3 - 70")).withColumn("tags", tags)))
+    return back.select("qname", "flag", "ref_id", "pos", "mapq", "mate_ref_id", "mate_pos", "isize", "seq", "qual", T.as_string(F.col("tags"), "RG").alias("rg"), T.as_int(F.col("tags"), "XP").alias("xp"))
 
 
 # --- intervals

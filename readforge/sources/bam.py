@@ -467,7 +467,9 @@ def batches(found: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
 
 
 def files_of(path: str) -> list[tuple[str, int]]:
-    """(path, bytes) of a file or of the BAM files of a folder."""
+    """(path, bytes) of a file, or of the files of a folder but indexes; several paths stand in lines."""
+    if "\n" in path:
+        return [x for p in path.split("\n") for x in files_of(p)]
     system, inner = _opened(path)
     info = system.get_file_info(inner)
     if info.type == fs.FileType.File:
@@ -604,7 +606,7 @@ class BamWriter(DataSourceWriter):
 
 
 class BamSource(DataSource):
-    """Option of the reader: split (bytes of a file for a task).  Options of the writer: header (text with @SQ lines, in the order of reference numbers), level (0 to 9)."""
+    """Options of the reader: split (bytes of a file for a task), paths (several, in lines).  Options of the writer: header (text with @SQ lines, in the order of reference numbers), level (0 to 9)."""
 
     @classmethod
     def name(cls):
@@ -614,7 +616,7 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return BamReader(self.options["path"], int(self.options.get("split", SPLIT)))
+        return BamReader(self.options.get("paths") or self.options["path"], int(self.options.get("split", SPLIT)))
 
     def writer(self, schema, overwrite):
         return BamWriter(self.options["path"], self.options.get("header", ""), int(self.options.get("level", "6")), overwrite)
