@@ -45,6 +45,16 @@ def reverse_range(start: Column, length: Column) -> Column:
     return -start - length
 
 
+def shift_range(start: Column, length: Column, by: Column) -> tuple[Column, Column]:
+    """(start, length) of a range moved along its strand."""
+    return start + by, length
+
+
+def extend_range(start: Column, length: Column, by: Column) -> tuple[Column, Column]:
+    """(start, length) of a range that goes on for `by` more."""
+    return start, length + by
+
+
 def inside_range(start: Column, length: Column, outer_start: Column, outer_length: Column) -> tuple[Column, Column]:
     """(start, length) of a range given within another one, clipped at that one's end."""
     n = F.when(start <= outer_length, F.least(length, outer_length - start)).otherwise(F.lit(0))

@@ -82,3 +82,23 @@ def inverse_normal(p: Column) -> Column:
     q = p - 0.5
     inner = poly(_A, q * q) * q / poly(_B, q * q)
     return F.when((p < 0) | (p > 1), F.lit(float("nan"))).when(p == 0, F.lit(float("-inf"))).when(p == 1, F.lit(float("inf"))).when(p < _LOW, tail(p)).when(p < 1 - _LOW, inner).otherwise(-tail(1 - p))
+
+
+def integer(data: Column, at: int | Column, size: int, little: bool = True, signed: bool = False) -> Column:
+    """The whole number in `size` bytes (1 to 8) of binary data from offset `at` on; null where the data end before.
+
+    Unsigned numbers of 8 bytes are decimals of 20 digits, all others 64-bit numbers.
+    """
+    if not 1 <= size <= 8:
+        raise ValueError("a number has 1 to 8 bytes")
+    at = F.lit(at) if isinstance(at, int) else at
+    digits = F.hex(F.substring(data, at + 1, F.lit(size)))
+    if little:
+        pairs = F.transform(F.sequence(F.lit(size - 1), F.lit(0)), lambda i: F.substring(digits, 2 * i + 1, F.lit(2)))
+        digits = F.array_join(F.when(F.lit(size == 1), F.array(digits)).otherwise(pairs), "")
+    value = F.conv(digits, 16, 10).cast("decimal(20,0)")
+    if signed:
+        whole = lambda x: F.lit(str(x)).cast("decimal(20,0)")
+        value = F.when(value >= whole(1 << 8 * size - 1), value - whole(1 << 8 * size)).otherwise(value)
+    value = F.when(F.length(data) >= at + size, value)
+    return value if size == 8 and not signed else value.cast("bigint")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,3 +98,22 @@ def record_text(body: Column) -> Column:
     qual = F.substring(qual, F.lit(1), F.length(seq))
     numbers = F.when(qual == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(qual, ""), lambda c: (F.ascii(c) - 33).cast("bigint")))
     return F.struct(F.regexp_extract(line, r"^(\S*)", 1).alias("qname"), F.regexp_extract(line, r"^\S*\s+(.*)$", 1).alias("description"), seq.alias("seq"), numbers.alias("qual"))
+
+
+def decoded(data: Column) -> Column:
+    """Text of binary data in UTF-8; a byte that fits nowhere is taken as Latin-1 by itself."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        def one(x):
+            return None if x is None else bytes(x).decode("utf-8", "as-latin-1")
+
+        codecs.register_error("as-latin-1", lambda e: (e.object[e.start : e.end].decode("latin-1"), e.end))
+        return values.map(one)
+
+    return run(data)
+
+
+def encoded(text: Column) -> Column:
+    """UTF-8 bytes of a text."""
+    return F.encode(text, "UTF-8")

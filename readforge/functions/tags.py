@@ -29,6 +29,12 @@ def as_string(tags: Column, key: str) -> Column:
     return F.when(t["typ"].isin("Z", "A", "H"), t["value"]).otherwise(F.lit(""))
 
 
+def md_text(tags: Column) -> Column:
+    """MD text of the first MD tag, whether it was stored as text or as a letter; null without one."""
+    t = _first(tags, "MD")
+    return F.when(t["typ"].isin("Z", "A"), t["value"])
+
+
 def delete(tags: Column, key: str) -> Column:
     return F.filter(tags, lambda t: t["key"] != key)
 

@@ -5,22 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import reads as R
+
 CHUNK = 256
 
 
 def fetch(ranges: DataFrame, genome: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and `bases` of each range (ref_id, start, end); N stands where the reference has no base.
+    """keys and `bases` of each range (ref_id, start, end), as often as it comes; N stands where the reference has no base.
 
-    An equi-join on the chunk; a range's few chunks are put together again, so a group is as long as its range.
+    An equi-join on the chunk; the few chunks of each different range are put together again, so a group is as long as its
+    range, and its bases are joined to all equal ones.
     """
     first = F.floor(F.col("start") / CHUNK)
-    cut = ranges.withColumn("chunk", F.explode(F.sequence(first, F.floor((F.greatest("end", F.col("start") + 1) - 1) / CHUNK))))
+    cut = ranges.select("ref_id", "start", "end").distinct().withColumn("chunk", F.explode(F.sequence(first, F.floor((F.greatest("end", F.col("start") + 1) - 1) / CHUNK))))
     cut = cut.join(genome, ["ref_id", "chunk"], "left")
     low = F.greatest(F.col("start") - F.col("chunk") * CHUNK, F.lit(0)).cast("int")
     high = F.least(F.col("end") - F.col("chunk") * CHUNK, F.lit(CHUNK)).cast("int")
     part = F.substring(F.rpad(F.coalesce("seq", F.lit("")), CHUNK, "N"), low + 1, F.greatest(high - low, F.lit(0)))
-    parts = cut.groupBy(*keys, "ref_id", "start", "end").agg(F.sort_array(F.collect_set(F.struct("chunk", part.alias("part")))).alias("_p"))
-    return parts.select(*keys, "ref_id", "start", "end", F.array_join("_p.part", "").alias("bases"))
+    parts = cut.groupBy("ref_id", "start", "end").agg(F.sort_array(F.collect_list(F.struct("chunk", part.alias("part")))).alias("_p"))
+    parts = parts.select("ref_id", "start", "end", F.array_join("_p.part", "").alias("bases"))
+    return ranges.select(*keys, "ref_id", "start", "end").join(parts, ["ref_id", "start", "end"]).select(*keys, "ref_id", "start", "end", "bases")
+
+
+def fetch_stranded(ranges: DataFrame, genome: DataFrame, keys: list[str]) -> DataFrame:
+    """As `fetch`, for ranges on both strands: one with a negative start is the reverse complement of what lies between
+    -start - length and -start on the forward strand.  Lower case, which marks soft masks, is kept."""
+    back = F.col("start") < 0
+    turned = ranges.select(*keys, "ref_id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.when(back, -F.col("end")).otherwise(F.col("start")).alias("start"), F.when(back, -F.col("start")).otherwise(F.col("end")).alias("end"))
+    found = fetch(turned, genome, [*keys, "_s", "_e"])
+    both = lambda x: x + x.lower()
+    bases = F.when(F.col("_s") < 0, F.reverse(F.translate("bases", both(R.BASES), both(R.COMPLEMENTS)))).otherwise(F.col("bases"))
+    return found.select(*keys, "ref_id", F.col("_s").alias("start"), F.col("_e").alias("end"), bases.alias("bases"))
 
 
 def substitutions(bases: DataFrame, genome: DataFrame, by: list[str], cpg: bool = False) -> DataFrame:

@@ -111,8 +111,9 @@ def add_counts(xp: Column) -> Column:
 
 def cheap_collapse(reads: DataFrame, keys: list[str]) -> DataFrame:
     """The record with the least name of each cluster of duplicates, with the copies of all of it.  A minimum and sums:
-    clusters of any size are aggregated before the shuffle."""
-    return reads.groupBy(*keys).agg(F.min("qname").alias("qname"), F.count("*").alias("cluster"), add_counts(F.col("xp")).alias("xp"), F.min_by("seq", "qname").alias("seq"))
+    clusters of any size are aggregated before the shuffle.  A record alone keeps its count, also an absent one."""
+    out = reads.groupBy(*keys).agg(F.min("qname").alias("qname"), F.count("*").alias("cluster"), add_counts(F.col("xp")).alias("xp"), F.min("xp").alias("_own"), F.min_by("seq", "qname").alias("seq"))
+    return out.withColumn("xp", F.when(F.col("cluster") == 1, F.col("_own")).otherwise(F.col("xp"))).drop("_own")
 
 
 def majority(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -139,7 +140,8 @@ def molecule_way(bases: DataFrame) -> DataFrame:
 
 def duplicate_key() -> list[Column]:
     """What makes two records of one group and place duplicates: the class (half-aligned mates count as single), the strand,
-    and for pairs the mate's place and which mate it is, for merged reads the aligned length."""
+    and for pairs the mate's place and which mate it is, for merged reads the aligned length.  Mates that are not aligned are
+    never duplicates: `own` is their name.  (`duplicates.remove` also settles classes among one another.)"""
     c = duplicate_class()
     far = F.when(c == "pair", F.col("mate_pos")).when(c == "merged", R.aligned_length(F.col("cigar")))
-    return [F.when(c == "half_aligned", "single").otherwise(c).alias("class"), R.has_flag(F.col("flag"), "reversed").alias("rev"), ((c == "pair") & R.has_flag(F.col("flag"), "first_mate")).alias("first"), far.alias("far")]
+    return [F.when(c == "half_aligned", "single").otherwise(c).alias("class"), R.has_flag(F.col("flag"), "reversed").alias("rev"), ((c == "pair") & R.has_flag(F.col("flag"), "first_mate")).alias("first"), far.alias("far"), F.when(c == "half_unaligned", F.col("qname")).alias("own")]

@@ -7,12 +7,15 @@ number is such a form: it is what `number` gives without keys.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType, _parse_datatype_string
 
 from ..functions import reads as R
-from .tables import written
+from .tables import scratch, written
 
 
 def _window(order: list[str], by: list[str]):
@@ -165,3 +168,53 @@ def descents(df: DataFrame, order: list[str], key: list[str]) -> DataFrame:
     ends = at.groupBy("_p").agg(F.sum(F.col("_down").cast("bigint")).alias("n"), F.min_by("_k", F.struct(*order)).alias("first"), F.max_by("_k", F.struct(*order)).alias("last"))
     ends = ends.withColumn("n", F.col("n") + F.coalesce(F.lag("last").over(Window.orderBy("_p")) > F.col("first"), F.lit(False)).cast("bigint"))
     return ends.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
+
+
+def convert(df: DataFrame, order: list[str], states: int, start: int, step: Callable[[int, tuple], tuple[int, list[tuple]]], schema: str, block: int = 1 << 20) -> DataFrame:
+    """Rows of `schema` that a machine with a few states makes of the rows of df in order.
+
+    step(state, row) gives the next state, a number below `states`, and the rows to put out, none or several.  The stream is
+    cut into blocks; for each block every state is followed to where it leads (states that meet go on as one), these maps are
+    composed over the blocks, one small row each, and a second pass starts each block in its true state.  So no block waits
+    for another, and how the rows are partitioned makes no difference.
+    """
+    at = numbered(df, order, "_n").withColumn("_block", F.floor((F.col("_n") - 1) / block))
+    names = df.columns
+
+    def rows_of(group: pd.DataFrame):
+        return group.sort_values("_n")[names].itertuples(index=False)
+
+    def follow(group: pd.DataFrame) -> pd.DataFrame:
+        now = list(range(states))
+        for row in rows_of(group):
+            known = {s: step(s, row)[0] for s in set(now)}
+            now = [known[s] for s in now]
+        return pd.DataFrame({"block": [group["_block"].iloc[0]], "to": [now]})
+
+    begin, state = [], start
+    for r in sorted(at.groupBy("_block").applyInPandas(follow, "block long, to array<int>").collect()):
+        begin.append(state)
+        state = r["to"][state]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        now, out = begin[int(group["_block"].iloc[0])], []
+        for row in rows_of(group):
+            now, made = step(now, row)
+            out += made
+        return pd.DataFrame(out, columns=fields)
+
+    fields = [f.name for f in _parse_datatype_string(schema).fields]
+    return at.groupBy("_block").applyInPandas(run, schema)
+
+
+def tee(df: DataFrame, sinks: dict[str, Column]) -> dict[str, DataFrame]:
+    """Several outputs of one pass: for each name the rows for which its condition holds.
+
+    The input is read once: rows are written with the names of their sinks, in a folder for each, and every output reads its
+    own folder.  A row may go to several sinks or none; nulls in a condition are no.
+    """
+    names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in sinks.items()]))
+    path = scratch(df.sparkSession, "tee")
+    df.withColumn("_sink", F.explode(names)).write.partitionBy("_sink").parquet(path)
+    wide = df.schema.add("_sink", "string")
+    return {n: df.sparkSession.read.schema(wide).parquet(path).where(F.col("_sink") == n).drop("_sink") for n in sinks}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import reads as R
 from ..functions import tags as T
 from ..operators import duplicates as D
+from ..operators import mates
 from . import fixtures as X
 from .queries import _query
 
@@ -149,3 +151,11 @@ def rmdup_full(spark, sf):
 @_query(_full_sql(False, True))
 def rmdup_full_keep(spark, sf):
     return _full(spark, sf, False, True)
+
+
+@_query(_SQL + " select a.qname, a.pos pos1, b.pos pos2, a.flag & 8 <> 0 half from lib a join lib b on a.qname = b.qname and a.flag & 65 = 65 and b.flag & 129 = 129")
+def mate_join(spark, sf):
+    """First and second mates of one name, half-aligned ones among them; mates without a partner stay out."""
+    both = mates.paired(library(spark, sf), ["flag"]).where("first is not null and second is not null")
+    half = R.has_flag(F.col("first.flag"), "mate_unmapped")
+    return both.select(F.col("first.qname").alias("qname"), F.col("first.pos").alias("pos1"), F.col("second.pos").alias("pos2"), half.alias("half"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import reads as R
 from ..functions import tags as T
 from ..operators.tables import scratch
-from ..sources import bam, index, sam
+from ..sources import bam, index, sam, twobit
 from ..sources import reads as any_reads
 from . import fixtures as X
 from .queries import _query
@@ -101,3 +101,21 @@ def header_roundtrip(spark, sf):
     sam.write(X.reads(spark, sf).where("ref_id <> 4294967295"), path, bam.show_header(meta), spark.createDataFrame([(0, "chr1"), (1, "chr2"), (2, "chrX")], "ref_id bigint, name string"))
     refs = spark.createDataFrame([(i, n, k) for i, (n, k) in enumerate(any_reads.references(spark, path))], "ref_id bigint, name string, length int")
     return any_reads.read(spark, path).join(refs, "ref_id").groupBy("name", "length", F.col("ref_id").cast("int").alias("number")).agg(F.count("*").alias("n"))
+
+
+# --- windows of a genome
+
+_SIZES = "select n_nationkey k, cast(900 + n_nationkey * 40 as bigint) size from nation"
+
+
+@_query(f"with s as ({_SIZES}) select count(*) * 20 n, count(*) * 20 windows, 0 touching, 0 outside, true strands from s")
+def random_genome_windows(spark, sf):
+    """Windows of 60 bases drawn from sequences of the nations' sizes; every supplier makes 30 bases unknown."""
+    sizes = [r["size"] for r in spark.sql(_SIZES.replace("from nation", "from {n}"), n=X.table(spark, sf, "nation")).orderBy("k").collect()]  # a row for each nation
+    unknown = X.table(spark, sf, "supplier").selectExpr("s_nationkey ref_id", "cast(s_suppkey * 37 % 800 as bigint) start").withColumn("end", F.col("start") + 30)
+    w = twobit.windows(spark, sizes, 20 * len(sizes), 60, 7, unknown)
+    met = w.join(unknown.select("ref_id", F.col("start").alias("s"), F.col("end").alias("e")), "ref_id").where("s < end and e > start").agg(F.count("*").alias("touching"))
+    size = F.element_at(F.array(*[F.lit(x) for x in sizes]), F.col("ref_id").cast("int") + 1)
+    told = w.agg(F.count("*").alias("n"), F.countDistinct("window").alias("windows"), F.sum(((F.col("start") < 0) | (F.col("end") > size)).cast("int")).alias("outside"), (F.countDistinct("reversed") == 2).alias("strands"))
+    one = F.broadcast(met.withColumn("_k", F.lit(1)))  # one row
+    return told.withColumn("_k", F.lit(1)).join(one, "_k").select("n", "windows", F.col("touching").cast("int").alias("touching"), F.col("outside").cast("int").alias("outside"), "strands")

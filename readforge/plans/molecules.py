@@ -106,6 +106,22 @@ def num_format(spark, sf):
     return X.table(spark, sf, "orders").select("o_orderkey", F.format_number(F.col("o_orderkey") * 7919, 0).alias("t"))
 
 
+@_query("""with a as (select o_orderkey, cast(o_orderkey * o_custkey % 1000000007 * case when o_orderkey % 2 = 0 then -1 else 1 end as bigint) v from orders),
+ b as (select *, abs(v) * 10.0 * power(0.001, n) y, n, ['', 'k', 'M', 'G'][n + 1] u from a, unnest([0, 1, 2, 3]) t(n)), c as (select *, row_number() over (partition by o_orderkey order by n) w, cast(round_even(y, 0) as bigint) r from b where y < 10000)
+ select o_orderkey, case when v < 0 then '-' else '' end || case when y < 100 then cast(r // 10 as varchar(9)) || case when r % 10 = 0 then u else case when u = '' then '.' else u end || cast(r % 10 as varchar(9)) end
+  when y < 1000 then cast(r // 10 as varchar(9)) || u else cast(r // 100 * 10 as varchar(9)) || u end t from c where w = 1""")
+def num_short(spark, sf):
+    """Numbers in two significant digits or so."""
+    v = F.expr("cast(o_orderkey * o_custkey % 1000000007 * case when o_orderkey % 2 = 0 then -1 else 1 end as bigint)")
+    return X.table(spark, sf, "orders").select("o_orderkey", M.short_number(v).alias("t"))
+
+
+@_on_reads("select qname, pos + 7 shifted, len + 5 extended from reads")
+def range_moves(spark, sf):
+    pos, n = F.col("pos"), F.col("len")
+    return X.reads(spark, sf).select("qname", M.shift_range(pos, n, F.lit(7))[0].alias("shifted"), M.extend_range(pos, n, F.lit(5))[1].alias("extended"))
+
+
 @_on_reads("select qname, (flag & 15) | ((mapq & 15) << 4) packed, ((flag & 15) | ((mapq & 15) << 4)) & 15 low, ((flag & 15) | ((mapq & 15) << 4)) >> 4 high from reads")
 def npair_pack(spark, sf):
     r = X.reads(spark, sf).withColumn("packed", F.expr("(flag & 15) | shiftleft(mapq & 15, 4)"))
@@ -123,14 +139,6 @@ def common_prefix(spark, sf):
     return streams.common_prefix(low, [True] * 8, ORDER, BY, "low")
 
 
-@_on_reads("select a.qname, a.pos pos1, a.pos + 100 pos2 from reads a where a.flag & 1 <> 0 and a.flag & 64 <> 0")
-def mate_join(spark, sf):
-    r = X.reads(spark, sf).where(R.has_flag(F.col("flag"), "paired"))
-    second = r.select("qname", (F.col("pos") + 100).alias("pos2"), F.col("flag").bitwiseXOR(F.lit(0xC0).cast("bigint")).alias("flag2"))
-    first = r.select("qname", F.col("pos").alias("pos1"), "flag")
-    return first.join(second, "qname").where(R.has_flag(F.col("flag"), "first_mate") & ~R.has_flag(F.col("flag2"), "first_mate")).select("qname", "pos1", "pos2")
-
-
 def _genome(spark):
     """The reference by rule, in chunks."""
     base = "substr('ACGT', cast((p * p * 31 + p * 51 + ref_id * 7 + p div 8) % 4 as int) + 1, 1)"
@@ -142,12 +150,22 @@ _REF = "substr('ACGT', cast((p * p * 31 + p * 51 + ref_id * 7 + p // 8) % 4 as i
 
 
 @_query(f"""with {X.REGIONS_SQL}, r as (select ref_id, "start" + 1300 "start", "end" + 1300 "end" from regions)
-  select distinct ref_id, "start", "end", array_to_string(list_transform(range("start", "end"), lambda p: case when p < {LENGTH} then {_REF} else 'N' end), '') bases from r""")
+  select ref_id, "start", "end", array_to_string(list_transform(range("start", "end"), lambda p: case when p < {LENGTH} then {_REF} else 'N' end), '') bases from r""")
 def genome_fetch(spark, sf):
     r = X.regions(spark, sf).select("ref_id", (F.col("start") + 1300).alias("start"), (F.col("end") + 1300).alias("end"))
     return genome.fetch(r, _genome(spark), []).select("ref_id", "start", "end", "bases")
 
 
+@_on_reads(f"""select qname, case when back then -pos - len else pos end "start", case when back then -pos else pos + len end "end",
+  case when back then translate(reverse(b), 'ACGT', 'TGCA') else b end bases from (select qname, pos, len, flag & 16 <> 0 back, array_to_string(list_transform(range(pos, pos + len), lambda p: case when p < {LENGTH} then {_REF} else 'N' end), '') b from reads where ref_id <> 4294967295) x""")
+def genome_fetch_stranded(spark, sf):
+    """The reference under each read in the direction of its molecule; positions on the other strand are negative."""
+    back = R.has_flag(F.col("flag"), "reversed")
+    r = X.reads(spark, sf).where(R.valid_ref(F.col("ref_id")))
+    r = r.select("qname", "ref_id", F.when(back, -F.col("pos") - F.col("len")).otherwise(F.col("pos")).alias("start"), F.when(back, -F.col("pos")).otherwise(F.col("pos") + F.col("len")).alias("end"))
+    return genome.fetch_stranded(r, _genome(spark), ["qname"]).select("qname", "start", "end", "bases")
+
+
 @_on_reads(f"""select case when 2 * j <= len then j else j - len end offs, case when rev then translate(ref_base, 'ACGT', 'TGCA') else ref_base end ref_base, case when rev then translate(base, 'ACGT', 'TGCA') else base end base, count(*) c
   from (select *, {_REF} ref_base, case when rev then len - 1 - i else i end j from (select ref_id, len, i, flag & 16 <> 0 rev, pos + i p, seq[i + 1] base from reads, unnest(range(0, len)) u(i) where flag & 4 = 0 and ref_id <> 4294967295) x) y group by 1, 2, 3""")
 def damage_substitutions(spark, sf):

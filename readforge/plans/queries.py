@@ -240,10 +240,11 @@ def dedup_classes(spark, sf):
 
 
 @_on_reads(f"""select rg, ref_id, pos, case when class = 'half_aligned' then 'single' else class end class, flag & 16 <> 0 rev, class = 'pair' and flag & 64 <> 0 "first", case when class = 'pair' then mate_pos when class = 'merged' then len end far,
-  min(qname) qname, count(*) cluster, cast(case when min(coalesce(xp, 1)) = -1 then -1 else sum(coalesce(xp, 1)) end as bigint) xp, arg_min(seq, qname) seq from (select *, {_CLASS} class from reads) r where ref_id <> 4294967295 group by 1, 2, 3, 4, 5, 6, 7""")
+  case when class = 'half_unaligned' then qname end own, min(qname) qname, count(*) cluster, cast(case when count(*) = 1 then min(xp) when min(coalesce(xp, 1)) = -1 then -1 else sum(coalesce(xp, 1)) end as bigint) xp, arg_min(seq, qname) seq
+  from (select *, {_CLASS} class from (select * replace (case when k % 10 = 0 then flag | 4 else flag end as flag, case when k % 3 = 0 then null else xp end as xp) from reads) q) r where ref_id <> 4294967295 group by 1, 2, 3, 4, 5, 6, 7, 8""")
 def dedup_cheap(spark, sf):
-    r = X.reads(spark, sf).where(R.valid_ref(F.col("ref_id"))).select("*", *pileup.duplicate_key())
-    return pileup.cheap_collapse(r, ["rg", "ref_id", "pos", "class", "rev", "first", "far"])
+    r = X.reads(spark, sf).where(R.valid_ref(F.col("ref_id"))).withColumn("flag", F.expr("case when k % 10 = 0 then flag | 4L else flag end")).withColumn("xp", F.expr("case when k % 3 = 0 then null else xp end"))
+    return pileup.cheap_collapse(r.select("*", *pileup.duplicate_key()), ["rg", "ref_id", "pos", "class", "rev", "first", "far", "own"])
 
 
 @_on_reads("select ref_id, pos, rgv from (select ref_id, pos, cast(mapq % 3 as int) rgv, row_number() over (partition by ref_id, pos order by count(*) desc, cast(mapq % 3 as int) desc) k from reads group by 1, 2, cast(mapq % 3 as int)) x where k = 1")
@@ -403,6 +404,25 @@ def zip_whole(spark, sf):
     return streams.zip_streams(a.drop("user_id"), b.drop("user_id").withColumnsRenamed({"t": "t2", "event_id": "e2"}), ORDER, ["t2", "e2"], [], "full").select("rn", "a", "b")
 
 
+_SWITCH = "case when value is null or value between 30 and 60 then 'keep' when value < 30 then 'off' when value < 80 then 'turn' else 'on' end"
+
+
+@_on_stream("select event_id, i, state from y, unnest(range(case when sym = 'keep' and state = 0 then 0 when sym = 'turn' then 2 else 1 end)) u(i)", f""", s as (select *, {_SWITCH} sym from stream),
+  w as (select *, max(case when sym in ('on', 'off') then rn end) over (order by rn) since from (select *, row_number() over (order by t, event_id) rn from s) a),
+  x as (select w.*, (coalesce(b.sym, 'off') = 'on')::int + (select count(*) from w v where v.sym = 'turn' and v.rn > coalesce(w.since, 0) and v.rn <= w.rn) turns from w left join w b on b.rn = w.since),
+  y as (select event_id, sym, cast(turns % 2 as bigint) state from x)""")
+def conv_stream(spark, sf):
+    """A switch that values set, turn or keep, in the order of the whole stream; each row tells its state none, one or two times."""
+    s = X.stream(spark, sf).withColumn("sym", F.expr(_SWITCH)).select("t", "event_id", "sym")
+
+    def step(state, row):
+        state = {"on": 1, "off": 0, "turn": 1 - state}.get(row.sym, state)
+        n = 2 if row.sym == "turn" else 0 if row.sym == "keep" and not state else 1
+        return state, [(row.event_id, i, state) for i in range(n)]
+
+    return streams.convert(s, ORDER, 2, 0, step, "event_id bigint, i bigint, state bigint")
+
+
 @_on_stream("select event_type, count(*) n, round(sum(value), 3) s, round(min(value), 6) lo, round(max(value), 6) hi from stream group by 1")
 def multi_aggregate(spark, sf):
     return X.stream(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("s"), F.round(F.min("value"), 6).alias("lo"), F.round(F.max("value"), 6).alias("hi"))

@@ -209,6 +209,41 @@ def endian_ints(spark, sf):
     return o.select("o_orderkey", big(8, 1).alias("b0"), big(7, 1).alias("b1"), big(7, 2).alias("le16"), (big(8, 1) * 256 + big(7, 1)).alias("be16"), big(6, 3).alias("le24"))
 
 
+# --- bytes, numbers and several outputs
+
+
+@_query("""select o_orderkey, o_orderkey * 65537 be8, (o_orderkey * 65537) % 4294967296 be4, ((o_orderkey * 65537) % 256) * 256 + (o_orderkey * 65537) // 256 % 256 le2,
+  case when (o_orderkey * 65537) % 65536 >= 32768 then (o_orderkey * 65537) % 65536 - 65536 else (o_orderkey * 65537) % 65536 end s2, cast(null as bigint) beyond from orders""")
+def endian_read(spark, sf):
+    o = X.table(spark, sf, "orders").select("o_orderkey", F.unhex(F.lpad(F.hex(F.col("o_orderkey") * 65537), 16, "0")).alias("b"))
+    at = lambda *a, **k: N.integer(F.col("b"), *a, **k)
+    return o.select("o_orderkey", at(0, 8, little=False).cast("bigint").alias("be8"), at(4, 4, little=False).alias("be4"), at(6, 2).alias("le2"), at(6, 2, little=False, signed=True).alias("s2"), at(6, 4).alias("beyond"))
+
+
+@_query("select c_custkey, c_name || case when c_custkey % 3 = 0 then 'é ü' when c_custkey % 3 = 1 then 'é ü' else '' end text, cast(length(c_name) + case when c_custkey % 3 < 2 then 5 else 0 end as bigint) bytes from customer")
+def bytes_decoded(spark, sf):
+    """Bytes of names in UTF-8 or Latin-1, and how many bytes the text has in UTF-8."""
+    c = X.table(spark, sf, "customer")
+    tail = F.when(F.col("c_custkey") % 3 == 0, F.unhex(F.lit("E920FC"))).when(F.col("c_custkey") % 3 == 1, S.encoded(F.lit("é ü"))).otherwise(F.unhex(F.lit("")))
+    return c.select("c_custkey", S.decoded(F.concat(S.encoded(F.col("c_name")), tail)).alias("text")).select("*", F.octet_length(S.encoded(F.col("text"))).cast("bigint").alias("bytes"))
+
+
+@_on_reads("select qname, case k % 5 when 1 then 'A' when 2 then '2C' || cast(len - 3 as varchar(9)) else null end md from reads")
+def md_tag(spark, sf):
+    """MD as a letter or text; absent or of a type that says nothing in the rest."""
+    md = lambda k, typ, v: F.when(F.col("k") % 5 == k, F.array(T.tag("MD", typ, v)))
+    tags = F.coalesce(md(0, "i", F.col("len")), md(1, "A", F.lit("A")), md(2, "Z", F.expr("concat('2C', len - 3)")), md(3, "f", F.lit("1.5")), F.array().cast(T.KIND))
+    return X.reads(spark, sf).select("qname", T.md_text(tags).alias("md"))
+
+
+@_on_stream("select 'low' sink, count(*) n, cast(sum(event_id) as bigint) s from stream where value < 50 union all select 'odd', count(*), sum(event_id) from stream where event_id % 2 = 1 union all select 'high', count(*), sum(event_id) from stream where value >= 80")
+def tee_sinks(spark, sf):
+    """Three outputs of one pass over the stream; rows go to several of them or none."""
+    out = streams.tee(X.stream(spark, sf), {"low": F.col("value") < 50, "odd": F.col("event_id") % 2 == 1, "high": F.col("value") >= 80})
+    parts = [df.agg(F.count("*").alias("n"), F.sum("event_id").alias("s")).select(F.lit(n).alias("sink"), "n", "s") for n, df in out.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- damage
 
 
@@ -223,23 +258,27 @@ def freeze_mats(spark, sf):
     return genome.frozen_rates(c.where("side = 0").drop("side"), c.where("side = 1").drop("side")).withColumn("rate", F.round("rate", 9))
 
 
-@_on_reads("select case when 2 * i <= len then i else i - len end offs, seq[i + 1] base, cast(count(*) * 1 as bigint) c from reads, unnest(range(0, len)) u(i) where flag & 4 = 0 and ref_id <> 4294967295 and flag & 16 = 0 group by 1, 2")
+@_on_reads("select case when 2 * j <= len then j else j - len end offs, case when back then translate(seq[i + 1], 'ACGT', 'TGCA') else seq[i + 1] end base, count(*) c from (select *, flag & 16 <> 0 back, case when flag & 16 <> 0 then len - 1 - i else i end j from reads, unnest(range(0, len)) u(i) where flag & 4 = 0 and ref_id <> 4294967295) x group by 1, 2")
 def dmgstats_merge(spark, sf):
-    """Statistics of two halves of the reads, added."""
-    b = pileup.walk(X.reads(spark, sf).where("flag & 16 = 0").withColumn("half", F.col("k") % 2), ["half"])
+    """Statistics of two halves of the reads, added; reversed reads in the direction of their molecules."""
+    b = pileup.molecule_way(pileup.walk(X.reads(spark, sf).withColumn("half", F.col("k") % 2), ["half", "flag"]))
     one = lambda h: b.where(F.col("half") == h).groupBy(R.damage_position(b.i, b.read_len).alias("offs"), "base").agg(F.count("*").alias("c"))
     return genome.merged_counts([one(0), one(1)], ["offs", "base"])
 
 
-@_on_reads(f"""select offs, ref_base, base, cpg, count(*) c from (select case when 2 * i <= len then i else i - len end offs, base, {{ref}} ref_base, {{ref}} = 'C' and {{next}} = 'G' or {{ref}} = 'G' and {{before}} = 'C' cpg
-  from (select ref_id, len, i, pos + i p, seq[i + 1] base from reads, unnest(range(0, len)) u(i) where flag & 20 = 0 and ref_id <> 4294967295) x) y group by 1, 2, 3, 4""".format(
+@_on_reads(f"""select offs, case when back then translate(ref_base, 'ACGT', 'TGCA') else ref_base end ref_base, case when back then translate(base, 'ACGT', 'TGCA') else base end base, cpg, count(*) c
+  from (select back, case when 2 * j <= len then j else j - len end offs, base, {{ref}} ref_base, {{ref}} = 'C' and {{next}} = 'G' or {{ref}} = 'G' and {{before}} = 'C' cpg
+  from (select ref_id, len, flag & 16 <> 0 back, case when flag & 16 <> 0 then len - 1 - i else i end j, pos + i p, seq[i + 1] base from reads, unnest(range(0, len)) u(i) where flag & 4 = 0 and ref_id <> 4294967295) x) y group by 1, 2, 3, 4""".format(
     **{k: f"substr('ACGT', cast((({p}) * ({p}) * 31 + ({p}) * 51 + ref_id * 7 + ({p}) // 8) % 4 as int) + 1, 1)" for k, p in (("ref", "p"), ("next", "p + 1"))}, before="case when p > 0 then substr('ACGT', cast(((p - 1) * (p - 1) * 31 + (p - 1) * 51 + ref_id * 7 + (p - 1) // 8) % 4 as int) + 1, 1) else 'N' end"))
 def damage_cpg(spark, sf):
+    """Substitutions at CpG sites and elsewhere, in the direction of the molecules."""
     from .molecules import _genome
 
-    b = pileup.walk(X.reads(spark, sf).where("flag & 16 = 0"), ["ref_id"])
-    b = b.withColumn("offs", R.damage_position(b.i, b.read_len))
-    return genome.substitutions(b, _genome(spark), ["offs"], cpg=True)
+    b = pileup.walk(X.reads(spark, sf).withColumn("back", R.has_flag(F.col("flag"), "reversed")), ["ref_id", "back"])
+    b = b.withColumn("offs", R.damage_position(F.when(F.col("back"), b.read_len - 1 - b.i).otherwise(b.i), b.read_len))
+    c = genome.substitutions(b, _genome(spark), ["offs", "back"], cpg=True)
+    turn = lambda x: F.when(F.col("back"), F.translate(x, "ACGT", "TGCA")).otherwise(F.col(x)).alias(x)
+    return genome.merged_counts([c.select("offs", turn("ref_base"), turn("base"), "cpg", "c")], ["offs", "ref_base", "base", "cpg"])
 
 
 @_query(f"""with {X.REGIONS_SQL}, r as (select distinct ref_id, "start" + 25 a, "start" + 125 b from regions), h as (select ref_id, "start" s, "end" e from regions where "start" % 2 = 0), o as (select ref_id, "start" s, "end" e from regions where "start" % 2 = 1),

@@ -7,6 +7,7 @@ bases are N, soft-masked ones lower case.  Both byte orders are read; a version
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators import intervals
 from ..operators.genome import CHUNK
+from ..operators.tables import written
 from .bam import _opened
 
 SCHEMA = "ref_id bigint, name string, length bigint, chunk bigint, seq string"
@@ -22,6 +25,8 @@ SCHEMA = "ref_id bigint, name string, length bigint, chunk bigint, seq string"
 SIGNATURE, LETTERS = 0x1A412743, b"TCAG"
 #: Bases that one task reads.
 TASK_BASES = 1 << 22
+#: How often windows that touch unknown bases are drawn again.
+ROUNDS = 200
 _FOUR = np.frombuffer(LETTERS, np.uint8)[np.arange(256)[:, None] >> np.array([6, 4, 2, 0]) & 3]
 
 
@@ -132,14 +137,42 @@ class TwoBitSource(DataSource):
         return TwoBitReader(self.options["path"])
 
 
-def random_windows(spark: SparkSession, path: str, n: int, length: int, seed: int) -> DataFrame:
+def unknown_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(ref_id, start, end) of the stretches of unknown bases; each sequence is a task's row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for ref, at in zip(b["ref_id"], b["at"]):
+                system, inner = _opened(path)
+                with system.open_input_file(inner) as f:
+                    words = _Words(f)
+                    f.seek(at)
+                    words.one()
+                    rows += [(ref, start, end) for start, end in words.blocks()]
+            yield pd.DataFrame(rows, columns=["ref_id", "start", "end"])
+
+    known = spark.createDataFrame([(i, at) for i, (_, at, _) in enumerate(catalog(path))], "ref_id bigint, at bigint")
+    return known.mapInPandas(run, "ref_id bigint, start bigint, end bigint")
+
+
+def random_windows(spark: SparkSession, path: str, n: int, length: int, seed: int, known: bool = False) -> DataFrame:
     """n random ranges (window, ref_id, start, end, reversed) of `length` bases, uniform over places and strands.
 
-    Ranges that leave their sequence are not among them; those with unknown bases are, and show them as N once fetched.
+    Ranges that leave their sequence are not among them.  With `known` none has an unknown base; else those that have show
+    them as N once fetched.
+    """
+    return windows(spark, [size for _, _, size in catalog(path)], n, length, seed, unknown_blocks(spark, path) if known else None)
+
+
+def windows(spark: SparkSession, sizes: list[int], n: int, length: int, seed: int, unknown: DataFrame | None = None) -> DataFrame:
+    """As `random_windows`, for sequences of the given sizes and stretches of unknown bases (ref_id, start, end).
+
+    A window's place is a hash of its number, the seed and the round, so the same seed gives the same windows however the work
+    is dealt.  Those that touch an unknown stretch are drawn again in the next round, up to ROUNDS times.
     """
     kind = "ref_id bigint, start bigint"
-    sizes = np.array([size for _, _, size in catalog(path)], np.int64)
-    ends = np.cumsum(np.maximum(sizes - length + 1, 0))
+    ends = np.cumsum(np.maximum(np.array(sizes, np.int64) - length + 1, 0))
     if not len(ends) or not ends[-1]:
         return spark.createDataFrame([], f"window bigint, {kind}, end bigint, reversed boolean")
 
@@ -148,6 +181,18 @@ def random_windows(spark: SparkSession, path: str, n: int, length: int, seed: in
         ref = np.searchsorted(ends, p.to_numpy(), side="right")
         return pd.DataFrame({"ref_id": ref, "start": p.to_numpy() - np.where(ref, ends[ref - 1], 0)})
 
-    drawn = spark.range(n).select(F.col("id").alias("window"), F.floor(F.rand(seed) * int(ends[-1])).alias("p"), (F.rand(seed + 1) < 0.5).alias("reversed"))
-    drawn = drawn.select("window", placed("p").alias("at"), "reversed")
-    return drawn.select("window", "at.ref_id", "at.start", (F.col("at.start") + length).alias("end"), "reversed")
+    todo, done = spark.range(n).select(F.col("id").alias("window")), None
+    for k in range(ROUNDS):
+        key = [F.col("window"), F.lit(seed), F.lit(k)]
+        drawn = todo.select("window", placed(F.pmod(F.xxhash64(*key), F.lit(int(ends[-1])))).alias("at"), (F.pmod(F.xxhash64(*key, F.lit("strand")), F.lit(2)) == 1).alias("reversed"))
+        drawn = drawn.select("window", "at.ref_id", "at.start", (F.col("at.start") + length).alias("end"), "reversed")
+        if unknown is None:
+            return drawn
+        drawn = written(drawn, "windows")
+        reads = drawn.select("window", "ref_id", F.col("start").alias("pos"), F.lit(length).alias("aligned"))
+        bad = written(intervals.semi_join(reads, unknown, longest=length).select("window"), "windows-again")
+        good = drawn.join(bad, "window", "left_anti").select(drawn.columns)
+        done, todo = good if done is None else done.unionByName(good), bad
+        if not bad.take(1):
+            return done
+    raise ValueError(f"after {ROUNDS} rounds some windows still touch unknown bases")

@@ -46,6 +46,8 @@ def test_twobit(spark, tmp_path, order, monkeypatch):
     ranges = spark.createDataFrame([(0, 250, 260), (2, 0, 8)], "ref_id bigint, start bigint, end bigint")
     assert {r.bases for r in genome.fetch(ranges, rows, []).collect()} == {texts["one"][250:260], texts["two"][:8]}
     windows = twobit.random_windows(spark, path, 500, 700, 3).collect()
+    seen = twobit.random_windows(spark, path, 100, 20, 3, known=True).collect()
+    assert len(seen) == 100 and not any("N" in texts[("one", "none", "two")[r.ref_id]][r.start : r.end].upper() for r in seen)
     assert len(windows) == 500 and {r.ref_id for r in windows} == {0, 2} and {r.reversed for r in windows} == {True, False}
     assert all(0 <= r.start and r.end == r.start + 700 <= len(texts[("one", "none", "two")[r.ref_id]]) for r in windows)
     assert twobit.random_windows(spark, path, 5, 5000, 3).count() == 0
