@@ -34,7 +34,11 @@ ARTICLE_HEAD = re.compile(r"(?:entry|post|article|story)[-_]+header", re.I)
 NEVER = re.compile(r"comment|repl(?:y|ies)|respond|disqus|related|recommend|side-?bar|footer|promo|sponsor|advert|(?:^|[\s_-])(?:ads?|nav|menu|modal|popup|hidden)(?=$|[\s_-])", re.I)
 HEADINGS, ITEMS = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"li", "td", "th", "dt", "dd"}
 ATTR = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?=$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+#: Any attribute with its value, and a style that shows nothing.
+NAMED = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+NO_SHOW = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?=$|[;\s!])", re.I)
+#: Elements that are text themselves: inside an article their class names are about looks.
+TEXTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dt", "dd", "td", "th", "tr", "caption", "figcaption"}
 FEATURES = ["words", "links", "before_words", "before_links", "after_words", "after_links", "outside", "inside", "heading", "item", "sentence"]
 DEPTH, LEAST = 6, 1
 
@@ -54,6 +58,15 @@ def _outside(tag: str, attrs: str) -> bool:
     return any(out) and not any(IN_WORDS.search(x) for x, o in zip(names, out) if not o)
 
 
+def _hidden(attrs: str) -> bool:
+    """Whether an attribute says that the element is not shown; what values of others say does not count."""
+    for name, a, b, c in NAMED.findall(attrs):
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and NO_SHOW.search(value):
+            return True
+    return False
+
+
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
     """Texts of the flat blocks of a page, and a row of features for each."""
     texts, rows = [], []
@@ -92,7 +105,8 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             continue
         if tag == "a":
             in_link = 0 if close else 1
-        if tag in INLINE and not attrs:
+        held = tag in INLINE and any(s[0] == tag for s in stack)  # a hidden one is open, or one in it
+        if tag in INLINE and not attrs and not held:
             if tag == "br":
                 part.append(" ")
             continue
@@ -106,28 +120,31 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         if close:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if tag in INLINE:
+                    if tag in INLINE and stack[i][1]:
                         flush()
                     del stack[i:]
                     seen_outside, seen_inside = any(s[1] for s in stack), any(s[2] for s in stack)
                     break
         elif tag not in VOID:
             named = " ".join(a or b or c for _, a, b, c in ATTR.findall(attrs)) if attrs else ""
-            out = tag in OUT_TAGS or bool(named and _outside(tag, attrs)) or bool(attrs and HIDDEN.search(attrs))
+            unseen = bool(attrs) and _hidden(attrs)
+            # names of what stands in a line, or is text of the article itself, tell nothing
+            telling = bool(named) and tag not in INLINE and not (seen_inside and tag in TEXTS)
+            out = tag in OUT_TAGS or telling and _outside(tag, attrs) or unseen
             if tag == "header" and not seen_inside:
                 out = True
             if tag == "form" and not texts and all(s[0] in ("html", "body") for s in stack) and not (named and _outside(tag, attrs)):
                 out = False  # a form about the whole page
-            here = tag in ("article", "main") or bool(named and IN_WORDS.search(named))
+            here = tag in ("article", "main") or bool(named and tag not in INLINE and IN_WORDS.search(named))
             if tag in ("html", "body"):
                 out = here = False
             if here and not out and not any(s[3] for s in stack) and not (named and NEVER.search(named) and tag not in ("article", "main")):
                 stack = [(t, False, i, False) for t, _, i, _ in stack]  # what holds the article is not outside it
                 seen_outside = False
-            if tag in HOLDERS or out:
-                if tag in INLINE:
+            if tag in HOLDERS or out or held:
+                if tag in INLINE and out:
                     flush()
-                fixed = out and (tag in OUT_TAGS - {"form", "fieldset"} or bool(named and NEVER.search(named)) or bool(attrs and HIDDEN.search(attrs)))
+                fixed = out and (tag in OUT_TAGS - {"form", "fieldset"} or bool(named and NEVER.search(named)) or unseen)
                 stack.append((tag, out, here, fixed))
                 seen_outside, seen_inside = seen_outside or out, seen_inside or here
     flush()

@@ -205,6 +205,18 @@ def test_html_wrappers_that_hold_the_article():
     assert html_text.main_text(plain, tree).split("\n")[1] == "Short one." and "One" not in html_text.main_text(plain, tree)
 
 
+@pytest.mark.parametrize("inner, want", [
+    ("<p>See <a class='tag' href=x>politics</a> for more on this.</p><p>LONG TEXT here.</p>", "See politics for more on this.\nLONG TEXT here."),
+    ("<p>A <span class='share'>word</span> of it.</p><p>More of it.</p>", "A word of it.\nMore of it."), ("<p>Fact.<sup class='reply'>1</sup> It is so.</p><p>More.</p>", "Fact.1 It is so.\nMore."),
+    ("<p>One <a class=social>two</a> three.</p><div><p>Four.</p></div>", "One two three.\nFour."), ("<div title='A hidden gem in town'><p>Text of it.</p></div><p>More.</p>", "Text of it.\nMore."),
+    ("<p>Go <a title='the hidden truth'>there</a> now.</p><p>More.</p>", "Go there now.\nMore."), ("<p class='notice'>Text of it.</p><p id=legal>Law of it.</p><p class='ad-intro'>Start of it.</p>", "Text of it.\nLaw of it.\nStart of it."),
+    ("<h2 class='section-header'>Title of it</h2><p>Text of it.</p>", "Title of it\nText of it."), ("<p>Seen <span hidden>not <span>at</span> all</span> text.</p><p>More.</p>", "Seen\ntext.\nMore."),
+    ("<p>Seen.</p><div style='color:red; display : none'><p>Not seen.</p></div><p aria-hidden=true>Not seen.</p><p>More.</p>", "Seen.\nMore."), ("<p data-hidden=1>Seen.</p><p aria-hidden='false'>Too.</p>", "Seen.\nToo."),
+])
+def test_html_names_inside_an_article(inner, want):
+    assert html_text.main_text(f"<html><body><article><h1>Title of the story</h1>{inner}</article></body></html>", html_text.train()) == "Title of the story\n" + want
+
+
 def test_html_odd_tables(spark):
     df = spark.createDataFrame([(1, "u", "<p>" + "word " * 100_000 + "</p>", "x"), (None, None, None, "y")], "page_id long, url string, html string, text string").withColumn("n_chars", F.lit(1))
     assert sorted((r.page_id or 0, len(r.text), r.n_chars) for r in html_text.extract(df).collect()) == [(0, 0, 0), (1, 499_999, 499_999)]
