@@ -105,7 +105,7 @@ def _voted_tags(rows: DataFrame) -> DataFrame:
 def _consensus(rows: DataFrame, clusters: DataFrame, most: int) -> DataFrame:
     """(key columns, row): the consensus record of each cluster of several records."""
     many = clusters.where("n > 1").select(*_C, F.col("row").alias("b0"), "n", "copies", "fails")
-    rows = rows.join(many.select(*_C), _C)
+    rows = written(rows.join(many.select(*_C), _C), "cluster-rows")  # read for CIGARs, columns and tags
     shape = F.transform(R.cigar_ops(F.col("row.cigar")), lambda x: F.struct(F.instr(F.lit("MIDNSHP"), x["op"]).alias("o"), x["len"].alias("n")))
     votes = rows.groupBy(*_C, F.col("row.cigar").alias("cigar")).agg(F.count("*").alias("k"), F.first(shape).alias("shape"))
     votes = votes.groupBy(*_C).agg(F.max(F.struct("k", "shape", "cigar")).alias("m")).select(*_C, F.col("m.cigar").alias("_cigar"))

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..functions import tags as T
+from ..operators import pileup
 from ..operators.tables import scratch
 from ..sources import bam, index, sam, twobit
 from ..sources import reads as any_reads
+from ..streaming import statistics
 from . import fixtures as X
 from .queries import _query
 
@@ -119,3 +121,17 @@ def random_genome_windows(spark, sf):
     told = w.agg(F.count("*").alias("n"), F.countDistinct("window").alias("windows"), F.sum(((F.col("start") < 0) | (F.col("end") > size)).cast("int")).alias("outside"), (F.countDistinct("reversed") == 2).alias("strands"))
     one = F.broadcast(met.withColumn("_k", F.lit(1)))  # one row
     return told.withColumn("_k", F.lit(1)).join(one, "_k").select("n", "windows", F.col("touching").cast("int").alias("touching"), F.col("outside").cast("int").alias("outside"), "strands")
+
+
+# --- files that arrive
+
+
+@_query(X.SQL + """select ref_id, site, count(*) depth, cast(sum(mapq) as bigint) mapq from (select ref_id, pos + i site, mapq from reads, unnest(range(0, len)) u(i) where flag & 4 = 0 and flag & 1024 = 0 and ref_id <> 4294967295) x group by 1, 2""")
+def stream_depth(spark, sf):
+    """Depths of reads whose SAM files arrive two by two, added up batch by batch."""
+    lines, out = scratch(spark, "arriving"), scratch(spark, "depths")
+    sam.encode(X.reads(spark, sf).repartition(6, "qname")).write.text(lines)
+    sums = {"depth": F.count("*"), "mapq": F.sum("mapq")}
+    query = statistics.accumulate(statistics.sam_stream(spark, lines, 2), out, ["ref_id", "site"], sums, lambda b: pileup.walk(b, ["ref_id"], bases=False), once=True)
+    query.awaitTermination()
+    return statistics.totals(spark, out, ["ref_id", "site"], list(sums))

@@ -33,10 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One read for each order; orders of a customer stand at one place, and so are duplicates."""
-    h = spark.sql(HEAD.replace("from orders", "from {o}"), o=table(spark, sf_dir, "orders"))
+    """One read for each order; orders of a customer stand at one place, and so are duplicates.
+
+    Orders are dealt over all cores, as a table of few files would not be, and bases are made by a generator, which the
+    optimizer does not copy into each place that uses them.
+    """
+    h = spark.sql(HEAD.replace("from orders", "from {o}"), o=table(spark, sf_dir, "orders")).repartition(spark.sparkContext.defaultParallelism)
     seq = f"array_join(transform(sequence(0L, len-1), i -> {BASE.format(div='div')}), '')"
-    return h.selectExpr("*", f"{seq} seq", "transform(sequence(0L, len-1), i -> 20 + (k*5 + i*3) % 21) qual", "concat(cast(len as varchar(9)), 'M') cigar")
+    made = h.selectExpr("*", f"explode(array(struct({seq} as seq, transform(sequence(0L, len-1), i -> 20 + (k*5 + i*3) % 21) as qual))) as _x")
+    return made.select("*", "_x.seq", "_x.qual", F.concat(F.col("len").cast("string"), F.lit("M")).alias("cigar")).drop("_x")
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1 +1 @@
-"""Streaming of the library."""
+"""Streaming forms: statistics of files that keep arriving."""
