@@ -19,7 +19,7 @@ KIND = "ops array<struct<op:string,n:bigint,base:string>>, known boolean"
 _CIGAR, _MD = re.compile(r"(\d+)([MIDNSHP=X])"), re.compile(r"(\d+)|\^([^0-9^]*)|([^0-9^])")
 
 
-def _fuse(cigar: str | None, md: str | None) -> tuple[list[tuple[str, int, str | None]], bool]:
+def _fuse(cigar: str | None, md: str | None, untold: str | None = None) -> tuple[list[tuple[str, int, str | None]], bool]:
     # what MD says of each stretch of reference, the next one last
     told = []
     for number, cut, base in _MD.findall(md or ""):
@@ -41,7 +41,7 @@ def _fuse(cigar: str | None, md: str | None) -> tuple[list[tuple[str, int, str |
                 told.pop()
         if n:
             known = False
-            out += [("D", 1, "N")] * n if op == "D" else [("M", n, None)]
+            out += [("D", 1, "N")] * n if op == "D" else [("M", n, untold)]
     return out, known and not told
 
 
@@ -56,6 +56,45 @@ def fuse(cigar: Column, md: Column) -> Column:
     return run(cigar, md)
 
 
+RUNS = "array<struct<q:int,r:bigint,n:int,ref:string,on:boolean,del:string,ins:array<struct<q:int,n:int>>>>"
+
+
+def _runs(cigar: str | None, md: str | None) -> list[dict]:
+    out: list[dict] = []
+    q = r = 0
+    cut, put, on = "", [], False
+    for op, n, base in _fuse(cigar, md, untold="N")[0]:
+        if op in "MR":
+            if out and on:
+                out[-1] |= {"on": True, "del": cut, "ins": put}
+            out.append({"q": q, "r": r, "n": n, "ref": base, "on": False, "del": "", "ins": []})
+            cut, put, on = "", [], True
+        elif op == "D":
+            cut += base
+        elif op == "I":
+            put.append({"q": q, "n": n})
+        elif op == "N":  # what stands beside a gap is lost
+            on = False
+        q += n if op in "MRIS" else 0
+        r += n if op in "MRDN" else 0
+    return out
+
+
+def runs(cigar: Column, md: Column) -> Column:
+    """Array of structs (q, r, n, ref, on, del, ins): runs of aligned bases, by their offsets in the read and from its place.
+
+    ref is the reference's base where it differs, N where MD says nothing, and null where it is that of the read.  on: whether
+    the read goes on behind the run without a gap (N); then del are the reference's bases deleted there and ins the offsets
+    and lengths of what is inserted.
+    """
+
+    @F.pandas_udf(RUNS)
+    def run(c: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series(list(map(_runs, c, m)), dtype=object)
+
+    return run(cigar, md)
+
+
 def cigar_of(fused: Column) -> Column:
     """CIGAR text; neighbouring operations of one kind are joined."""
     start = F.struct(F.lit("").alias("out"), F.lit("").alias("op"), F.lit(0).cast("bigint").alias("n"))

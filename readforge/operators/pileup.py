@@ -16,26 +16,27 @@ def usable(reads: DataFrame) -> DataFrame:
 
 def blocks(cigar: Column) -> Column:
     """Array of structs (q, r, len, ins, del) of the runs of aligned bases: offsets in the read and from its place, length, and
-    the read's bases and those of the reference between the run and the next one (both 0 after the last).
+    the read's bases and those of the reference between the run and the next one (both 0 after the last and before a gap).
 
-    M consumes both, I and S the read, D and N the reference; H and P nothing.
+    M consumes both, I and S the read, D and N the reference; H and P nothing.  N is a gap: what stands beside it is lost.
     """
     kind = "struct<q:bigint,r:bigint,len:bigint,ins:bigint,del:bigint>"
-    zero = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in ("q", "r", "ins", "del")], F.array().cast(f"array<{kind}>").alias("at"))
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in ("q", "r", "ins", "del")], F.lit(False).alias("gap"), F.array().cast(f"array<{kind}>").alias("at"))
     last = lambda at: F.try_element_at(at, F.lit(-1))
 
     def step(a, x):
         # what stands between runs is told to the run before when the next one begins
         own = F.struct(a["q"].alias("q"), a["r"].alias("r"), x["len"].alias("len"), F.lit(0).cast("bigint").alias("ins"), F.lit(0).cast("bigint").alias("del"))
-        told = F.struct(last(a["at"])["q"].alias("q"), last(a["at"])["r"].alias("r"), last(a["at"])["len"].alias("len"), a["ins"].alias("ins"), a["del"].alias("del"))
+        told = F.struct(last(a["at"])["q"].alias("q"), last(a["at"])["r"].alias("r"), last(a["at"])["len"].alias("len"), F.when(a["gap"], 0).otherwise(a["ins"]).cast("bigint").alias("ins"), F.when(a["gap"], 0).otherwise(a["del"]).cast("bigint").alias("del"))
         before = F.when(F.size(a["at"]) > 0, F.concat(F.slice(a["at"], F.lit(1), F.size(a["at"]) - 1), F.array(told))).otherwise(a["at"])
-        m = x["op"] == "M"
+        m = (x["op"] == "M") & (x["len"] > 0)
         return F.struct(
             (a["q"] + F.when(x["op"].isin("M", "I", "S"), x["len"]).otherwise(0)).alias("q"),
             (a["r"] + F.when(x["op"].isin("M", "D", "N"), x["len"]).otherwise(0)).alias("r"),
             F.when(m, 0).otherwise(a["ins"] + F.when(x["op"] == "I", x["len"]).otherwise(0)).cast("bigint").alias("ins"),
-            F.when(m, 0).otherwise(a["del"] + F.when(x["op"].isin("D", "N"), x["len"]).otherwise(0)).cast("bigint").alias("del"),
-            F.when(m & (x["len"] > 0), F.concat(before, F.array(own))).otherwise(a["at"]).alias("at"),
+            F.when(m, 0).otherwise(a["del"] + F.when(x["op"] == "D", x["len"]).otherwise(0)).cast("bigint").alias("del"),
+            (~m & (a["gap"] | (x["op"] == "N"))).alias("gap"),
+            F.when(m, F.concat(before, F.array(own))).otherwise(a["at"]).alias("at"),
         )
 
     return F.aggregate(R.cigar_ops(cigar), zero, step, lambda a: a["at"])
