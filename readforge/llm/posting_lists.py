@@ -1,8 +1,8 @@
 """Exact nearest neighbours over balanced posting lists.
 
 Vectors lie in lists, one for each centroid; a vector near the border of several clusters is in each of their lists.
-A query first reads the lists whose distance is within a ratio of the nearest.  Its k-th distance there is a bound: by the
-triangle inequality a list whose vectors lie between two distances from its centroid can be left out if none of them can
+A query walks a graph of the centroids, held in memory, towards its nearest ones and reads the lists whose distance is
+within a ratio of the nearest.  Its k-th distance there is a bound: by the triangle inequality a list whose vectors lie between two distances from its centroid can be left out if none of them can
 be as near as that, and all other lists are read too, so no neighbour is missed.  Lists longer than a bound are split by
 a salt, so copies of one vector, however many, spread over tasks.
 """
@@ -22,6 +22,8 @@ from .common import materialize, shuffle_partitions
 SAMPLE_ROWS, MOST_CENTROIDS, LIST_ROWS, COPIES, SPLIT_ROWS = 20_000, 2_048, 200, 3, 2_000
 #: A vector joins a list whose centroid is at most so many times as far as its nearest one; a query first searches such lists.
 BORDER_RATIO, SEARCH_RATIO, SEARCH_LISTS = 1.10, 1.5, 96
+#: Nearest centroids and most neighbours of a centroid in the graph, and centroids from which a walk starts.
+DEGREE, WIDTH, ENTRIES = 16, 64, 32
 #: Rows of a shard of lists, queries of a block and distances held at once when the lists within the bound are read.
 SHARD_ROWS, BLOCK_QUERIES, HELD = 20_000, 20_000, 2_000_000
 SEED = 11
@@ -50,6 +52,55 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None], 0))
 
 
+def centroid_graph(cent: np.ndarray) -> np.ndarray:
+    """At most WIDTH neighbours of each centroid: two on a ring through all, so that none is out of reach, its nearest ones,
+    and of those that have it among theirs first the ones that fewest others have.  Rows are filled up with the centroid."""
+    k = len(cent)
+    d = _distances(cent, cent)
+    np.fill_diagonal(d, np.inf)
+    near = np.zeros((k, k), bool)
+    if n := min(DEGREE, k - 1):
+        near[np.arange(k)[:, None], np.argpartition(d, n - 1, axis=1)[:, :n]] = True
+    rank = np.where(near, -1.0, np.where(near.T, near.sum(0), np.inf))
+    ring = np.random.default_rng(SEED).permutation(k)
+    rank[ring, np.roll(ring, 1)] = rank[ring, np.roll(ring, -1)] = -2
+    np.fill_diagonal(rank, np.inf)
+    order = np.argsort(rank, axis=1, kind="stable")[:, :WIDTH]
+    return np.where(np.isfinite(np.take_along_axis(rank, order, 1)), order, np.arange(k)[:, None])
+
+
+def graph_search(q: np.ndarray, cent: np.ndarray, links: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, distances), nearest first, that best-first walks over the graph find for each row of q.
+
+    All rows walk at once: each round goes on from the nearest centroid of a row's beam from which it has not yet gone on.
+    At most `beam` are held; places beyond those found have an infinite distance.
+    """
+    one, rows = np.arange(len(q)), np.arange(len(q))[:, None]
+    start = np.unique(np.linspace(0, len(cent) - 1, ENTRIES).astype(int))
+    ids, far = np.tile(start, (len(q), 1)), np.sqrt(((cent[start] - q[:, None]) ** 2).sum(2))
+    open_, seen = np.ones(ids.shape, bool), np.zeros((len(q), len(cent)), bool)
+    seen[:, start] = True
+    while True:
+        wait = np.where(open_, far, np.inf)
+        pick = wait.argmin(1)
+        live = np.isfinite(wait[one, pick])
+        if not live.any():
+            break
+        open_[one, pick] = False
+        to = links[ids[one, pick]]
+        fresh = live[:, None] & ~seen[rows, to]
+        seen[rows, to] |= fresh
+        i, j = np.nonzero(fresh)
+        d = np.full(to.shape, np.inf)
+        d[i, j] = np.sqrt(((cent[to[i, j]] - q[i]) ** 2).sum(1))
+        ids, far, open_ = np.hstack([ids, to]), np.hstack([far, d]), np.hstack([open_, fresh])
+        if ids.shape[1] > beam:
+            best = np.argpartition(far, beam - 1, axis=1)[:, :beam]
+            ids, far, open_ = (np.take_along_axis(x, best, 1) for x in (ids, far, open_))
+    order = np.argsort(far, axis=1, kind="stable")[:, :beam]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
+
+
 def _slack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1e-6 * (np.sqrt((a**2).sum(1)) + np.sqrt((b**2).sum(1).max(initial=0)))
 
@@ -80,11 +131,11 @@ def usable(vectors: DataFrame, key: str, vec: str) -> DataFrame:
     return side.where(F.col("_v").isNotNull() & F.coalesce(ok, F.lit(False)) & F.exists("_v", lambda x: x != 0))
 
 
-def search(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
+def search(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", every: int = 100, k: int = 10, exact: bool = True) -> DataFrame:
     """The k nearest other rows of each query row: query_id, rank (from 1), vec_id, score (Euclidean distance).
 
-    Queries are the rows whose key is divisible by `every`; every usable row is in the index.  The result is exact.  Ties
-    go to the smaller key.  Null, zero and non-finite vectors and null keys take no part; vectors whose length differs from
+    Queries are the rows whose key is divisible by `every`; every usable row is in the index.  The result is exact;
+    without `exact` only the lists within the ratio are read, and neighbours in others are missed.  Ties go to the smaller key.  Null, zero and non-finite vectors and null keys take no part; vectors whose length differs from
     the query's are not its candidates.  Repeated rows count once; a query with fewer candidates has fewer rows; an empty
     table has none.  Centroids are fitted on at most SAMPLE_ROWS rows, which bears on the time only.
     """
@@ -102,6 +153,7 @@ def search(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", ever
         sample = np.array([x["_v"] for x in own.select("_v").limit(SAMPLE_ROWS).collect()])
         graphs[r["_dim"]] = fit_centroids(sample, min(MOST_CENTROIDS, -(-r["count"] // LIST_ROWS)))
     cents = spark.sparkContext.broadcast(graphs)
+    links = spark.sparkContext.broadcast({dim: centroid_graph(c) for dim, c in graphs.items()})
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -121,12 +173,16 @@ def search(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", ever
                     home[:, 0] = True
                     i, j = np.nonzero(home)
                     yield pd.DataFrame({"_id": ids[i], "_v": vecs[i], "_list": near[i, j], "_role": 0, "_first": j == 0, "_far": far[i, j], "_dim": dim})
-                    for q in np.flatnonzero(part["_query"].to_numpy()):
-                        order = np.argsort(dist[q])[:SEARCH_LISTS]
-                        wide = order[dist[q][order] <= SEARCH_RATIO * dist[q][order[0]] + 1e-12]
-                        if len(wide) < min(16, len(order)):  # a query that lies on a centroid still reads its surroundings
-                            wide = order[:16]
-                        yield pd.DataFrame({"_id": ids[q], "_v": [vecs[q]] * len(wide), "_list": wide, "_role": 1, "_first": False, "_far": 0.0, "_dim": dim})
+                own = all_of[all_of["_query"]]
+                for begin in range(0, len(own), 1024):
+                    part = own.iloc[begin : begin + 1024]
+                    lists_of, far = graph_search(np.vstack(part["_v"].to_numpy()), cent, links.value[dim], SEARCH_LISTS)
+                    for i, v, near, d in zip(part["_id"], part["_v"], lists_of, far):
+                        near, d = (near[np.isfinite(d)], d[np.isfinite(d)]) if np.isfinite(d[0]) else (near[:1], d[:1])
+                        wide = near[d <= SEARCH_RATIO * d[0] + 1e-12]
+                        if len(wide) < min(16, len(near)):  # a query that lies on a centroid still reads its surroundings
+                            wide = near[:16]
+                        yield pd.DataFrame({"_id": i, "_v": [v] * len(wide), "_list": wide, "_role": 1, "_first": False, "_far": 0.0, "_dim": dim})
 
     at = rows.select("_id", "_v", "_query", "_dim").mapInPandas(placed, f"_id {kind}, _v array<double>, _list int, _role int, _first boolean, _far double, _dim int")
     at = materialize(at, "ann-lists")
@@ -159,6 +215,8 @@ def search(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", ever
 
     result = f"query_id {kind}, vec_id {kind}, score double"
     found = base.select(*keys, "_id", "_v").groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(nearest, result)
+    if not exact:
+        return best(found)
     found = materialize(best(found), "ann-first")
 
     # the k-th distance so far bounds what is left; without k candidates nothing does

@@ -298,6 +298,36 @@ def test_nearest_reads_every_list_within_the_bound(spark, monkeypatch):
     assert got[5000] == [5001, 5002, 5003]
 
 
+def test_nearest_without_the_exact_way_reads_lists_within_the_ratio(spark):
+    """Close groups are found by the lists that the graph gives; every result is a true distance."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 24))[rng.integers(60, size=4000)] + 0.1 * rng.normal(size=(4000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = 0
+    rows = posting_lists.search(df, exact=False).collect()
+    for r in rows:
+        d = np.sqrt(((x - x[r.query_id]) ** 2).sum(1))
+        d[r.query_id] = np.inf
+        assert r.score == pytest.approx(d[r.vec_id], rel=1e-12)
+        found += r.vec_id in np.argsort(d)[:10]
+    assert len(rows) == 400 and found >= 380
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 700])
+def test_centroid_graph(k):
+    rng = np.random.default_rng(5)
+    cent, q = rng.normal(size=(k, 32)), rng.normal(size=(40, 32))
+    links = posting_lists.centroid_graph(cent)
+    assert links.shape[0] == k and links.shape[1] <= posting_lists.WIDTH
+    ids, far = posting_lists.graph_search(q, cent, links, 50)
+    true = np.sqrt(((cent - q[:, None]) ** 2).sum(2))
+    for i in range(len(q)):
+        own = ids[i][np.isfinite(far[i])]
+        assert len(own) == len(set(own)) == min(k, 50) and far[i][: len(own)] == pytest.approx(true[i][own]) and (np.diff(far[i][: len(own)]) >= 0).all()
+    hits = [len(set(ids[i][np.isfinite(far[i])]) & set(np.argsort(true[i])[:50])) for i in range(len(q))]
+    assert np.mean(hits) >= 0.9 * min(k, 50) and np.mean(ids[:, 0] == true.argmin(1)) >= 0.95
+
+
 def shingles(t):
     w = re.findall("[^\x20\x09-\x0d]+", lower(t))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
