@@ -83,6 +83,33 @@ def bcl_quality(byte: Column) -> Column:
     return F.shiftright(byte, 2).bitwiseAND(F.lit(63))
 
 
+def bcl_bases(data: Column, back: bool = False) -> Column:
+    """Letters of a cluster's bytes (an array by cycle), or of the other strand's from the last cycle on."""
+    text = F.array_join(F.transform(data, bcl_base), "")
+    return F.reverse(F.translate(text, R.BASES, R.COMPLEMENTS)) if back else text
+
+
+def bcl_codes(data: Column) -> Column:
+    """Array of four-bit codes of a cluster's bytes; a zero byte is N (15)."""
+    return F.transform(data, lambda b: F.when(b == 0, 15).otherwise(R.wide_code(b)))
+
+
+def bcl_packed(data: Column) -> Column:
+    """Four-bit codes two to a byte, the first in the high bits; an odd last one has zeros behind it."""
+    digits = F.array_join(F.transform(bcl_codes(data), F.hex), "")
+    return F.unhex(F.concat(digits, F.when(F.length(digits) % 2 == 1, "0").otherwise("")))
+
+
+def bcl_qualities(data: Column, back: bool = False) -> Column:
+    """Array of qualities of a cluster's bytes, from the last cycle on if `back`."""
+    q = F.transform(data, bcl_quality)
+    return F.reverse(q) if back else q
+
+
+def bcl_quality_text(data: Column, back: bool = False) -> Column:
+    return F.array_join(F.transform(bcl_qualities(data, back), lambda q: F.char(q + 33)), "")
+
+
 def adapter_score(at: Column, seq: Column, qual: Column, adapter: str) -> Column:
     """Penalty of an adapter that starts at `at` in the read: 5 and the quality, 25 at most, for each mismatch."""
     shared = F.least(F.length(seq) - at, F.lit(len(adapter)))

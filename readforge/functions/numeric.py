@@ -40,6 +40,18 @@ def log_add(x: Column, y: Column) -> Column:
     return F.greatest(x, y) + F.log1p(F.exp(-F.abs(x - y)))
 
 
+def log_subtract(x: Column, y: Column) -> Column:
+    """log(exp(x) - exp(y)); an error where y is greater, for there are no negative probabilities."""
+    return F.when(x >= y, F.when(x == y, F.lit(float("-inf"))).otherwise(x + log1mexp(y - x))).when(x < y, F.raise_error(F.lit("no negative probabilities")).cast("double"))
+
+
+def log_mix(c: Column, x: Column, y: Column) -> Column:
+    """log(c * exp(x) + (1 - c) * exp(y)): y for c of 0 or less, x for 1 or more."""
+    high = F.log(c) + x + F.log1p((1 - c) / c * F.exp(y - x))
+    low = F.log1p(-c) + y + F.log1p(c / (1 - c) * F.exp(x - y))
+    return F.when(c <= 0, y).when(c >= 1, x).when(x >= y, high).otherwise(low)
+
+
 def choose(n: Column, k: Column) -> Column:
     one = F.lit(1).cast("decimal(38,0)")
     return F.when(k == 0, one).otherwise(F.aggregate(F.sequence(F.lit(1), k.cast("int")), one, lambda a, i: F.floor(a * (n - k + i) / i).cast("decimal(38,0)")))

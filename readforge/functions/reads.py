@@ -53,11 +53,22 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def base_code(base: Column) -> Column:
-    """Four-bit code of a base letter; what is no base letter is N (15)."""
-    at = F.instr(F.lit(CODES), base)
+    """Four-bit code of a base letter of either case; U is T, a point is a gap, and what is no base letter is N (15)."""
+    at = F.instr(F.lit(CODES), F.translate(base, CODES[1:].lower() + "uU.", CODES[1:] + "TT-"))
     return F.when((F.length(base) == 1) & (at > 0), at - 1).otherwise(F.lit(15))
 
 
+def two_bit_code(base: Column) -> Column:
+    """Two-bit code of a base letter of either case, 0 to 3 for A, C, G and T; what is none of these counts as A."""
+    at = F.instr(F.lit("ACGT"), F.translate(base, "acgt", "ACGT"))
+    return F.when((F.length(base) == 1) & (at > 0), at - 1).otherwise(F.lit(0))
+
+
+def wide_code(two_bits: Column) -> Column:
+    """Four-bit code of a two-bit one, of which only the low two bits count."""
+    return F.element_at(F.array(*[F.lit(1 << i) for i in range(4)]), two_bits.bitwiseAND(F.lit(3)).cast("int") + 1)
+
+
 def count_base(seq: Column, base: str) -> Column:
     return (F.length(seq) - F.length(F.replace(seq, F.lit(base), F.lit("")))).cast("bigint")
 
@@ -149,6 +160,14 @@ def trailing_below(qual: Column, least: int) -> Column:
     return F.aggregate(F.reverse(qual), start, step, lambda a: a["n"])
 
 
+def trailing_while(n: Column, holds) -> Column:
+    """Largest k of at most n for which holds(1) to holds(k) are all true; holds takes a column and gives one.  Null is false."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("go"))
+    go = lambda a, k: a["go"] & F.coalesce(holds(k), F.lit(False))
+    step = lambda a, k: F.struct(F.when(go(a, k), k).otherwise(a["n"]).alias("n"), go(a, k).alias("go"))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, step, lambda a: a["n"])).otherwise(0)
+
+
 def damage_position(i: Column, length: Column) -> Column:
     """Offset from the nearer end: from 0 at the front, negative at the back."""
     return F.when(2 * i <= length, i).otherwise(i - length)

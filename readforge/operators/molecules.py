@@ -56,6 +56,32 @@ def trim_3(reads: DataFrame, n: Column) -> DataFrame:
     return _replace(f, {c: F.when(same, F.col(c)).otherwise(v) for c, v in new.items()}).drop("_n", "_f")
 
 
+def trim_3_while(reads: DataFrame, holds) -> DataFrame:
+    """Records without the longest stretch at the molecule's end all of whose own stretches from that end satisfy
+    holds(bases, qualities), a condition on a text and an array, each from the molecule's end inwards.
+
+    Cut as `trim_3` cuts.  Reads without bases stay; qualities that are missing give shorter arrays than texts.
+    """
+    back = R.has_flag(F.col("flag"), "reversed")
+    ends = F.array(F.struct(F.when(back, F.col("seq")).otherwise(F.reverse("seq")).alias("s"), F.when(back, F.col("qual")).otherwise(F.reverse("qual")).alias("q")))
+    ended = reads.withColumn("_e", F.explode(ends))
+    n = R.trailing_while(F.coalesce(F.length("_e.s"), F.lit(0)), lambda k: holds(F.substring("_e.s", F.lit(1), k), F.slice("_e.q", F.lit(1), k)))
+    return trim_3(ended.withColumn("_k", n), F.col("_k")).drop("_e", "_k")
+
+
+def bcl_clusters(cycles: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, cluster, data): the bytes of each cluster by cycle, out of one row for each cycle of a tile.
+
+    cycles has keys (which tell tiles apart), cycle (a number) and data (binary), a byte for each cluster from 0 on.  A row
+    holds as many bytes as there are cycles.  Null data have no clusters; a cluster that a cycle lacks has a shorter array.
+    """
+    byte = lambda i: F.conv(F.hex(F.substring("data", i, F.lit(1))), 16, 10).cast("int")
+    many = F.length("data")
+    each = cycles.where(many > 0).select(*keys, "cycle", F.posexplode(F.transform(F.sequence(F.lit(1), many), byte)).alias("cluster", "_b"))
+    rows = each.groupBy(*keys, "cluster").agg(F.array_sort(F.collect_list(F.struct("cycle", "_b"))).alias("_a"))
+    return rows.select(*keys, "cluster", F.transform("_a", lambda x: x["_b"]).alias("data"))
+
+
 def on_circle(reads: DataFrame, circles: DataFrame) -> DataFrame:
     """Records moved into their circle: places and mates' places modulo its size.
 

@@ -51,7 +51,7 @@ def decompose(reads: DataFrame, by: list[str], md: Column | None = None, bq: Col
     whole = whole.withColumn("_x", F.explode(made))
     quality = F.transform("_x.base", lambda b, i: effective_quality(b, F.coalesce(F.get("_qual", i), F.lit(255)), F.ascii(F.get("_x.bq", i)), F.col("mapq")))
     whole = whole.withColumn("_y", F.explode(F.array(F.struct(quality.alias("q"), F.transform("_x.base", lambda b: F.when(b.isin(*"ACGT"), b).otherwise("A")).alias("base")))))
-    offset = lambda i: F.when(2 * i > F.col("_len"), i - F.col("_len")).otherwise(i).cast("bigint")
+    offset = lambda i: R.damage_position(i, F.col("_len")).cast("bigint")
     put = lambda r: F.flatten(F.transform(r["ins"], lambda x: F.sequence(x["q"], x["q"] + x["n"] - 1)))
     own = lambda c, r: F.slice(c, r["q"] + 1, r["n"])
 

@@ -456,4 +456,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-from . import alignments, duplicates, files, molecules, pairs, piles, records  # noqa: E402, F401  register their queries here
+from . import alignments, duplicates, files, molecules, pairs, piles, records, small  # noqa: E402, F401  register their queries here
