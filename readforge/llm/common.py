@@ -35,6 +35,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def by_task(df: DataFrame, buckets: int, most: int) -> DataFrame:
+    """df dealt by its column `bucket` and sorted by it: no task has more buckets than it must, one where there are at most `most`."""
+    tasks = min(buckets, most)
+    return df.repartitionById(tasks, (F.col("bucket") % tasks).cast("int")).sortWithinPartitions("bucket")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

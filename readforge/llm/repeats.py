@@ -20,14 +20,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, shuffle_partitions
+from .common import by_task, materialize, row_key, shuffle_partitions
 from .hashing import batches_of, mix, prefix, spans
 
 LENGTH, GRAM = 400, 160
 #: For a stage that cuts passages of about fifty words and more: fifty short words have some 250 bytes.
 PASSAGE, PASSAGE_GRAM = 250, 100
-#: Window hashes that a task sends together, and those of a bucket.
-FLUSH_WINDOWS, BUCKET_WINDOWS = 500_000, 2_000_000
+#: Window hashes that a task sends together, those of a bucket (a task holds one bucket at a time, whole), and most tasks.
+FLUSH_WINDOWS, BUCKET_WINDOWS, MOST_TASKS = 250_000, 500_000, 20_000
 #: Longer texts are taken in overlapping parts of so many bytes, so that an anchor's place fits the low bits.
 PART = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
@@ -65,14 +65,17 @@ def runs_of(data: bytes, length: int, gram: int) -> list[np.ndarray]:
 
 
 def _zipped(texts: DataFrame) -> DataFrame:
-    """texts (_key, _t, and others) with `_z`, the compressed UTF-8 bytes, in place of _t: what is shuffled is less than half."""
+    """texts (_key, _t, and others) with `_z`, the compressed UTF-8 bytes, in place of _t: what is shuffled is less than half.
+
+    Workers get bytes, not text: text would be held twice more, decoded and encoded again.
+    """
 
     @F.pandas_udf("binary")
     def pack(t: pd.Series) -> pd.Series:
         c = zstandard.ZstdCompressor(level=1)
-        return pd.Series([c.compress(x.encode("utf-8", "surrogatepass")) for x in t], dtype=object)
+        return pd.Series([c.compress(x) for x in t], dtype=object)
 
-    return texts.withColumn("_z", pack("_t")).drop("_t")
+    return texts.withColumn("_z", pack(F.col("_t").cast("binary"))).drop("_t")
 
 
 def _unzipped(column: pd.Series) -> Iterator[bytes]:
@@ -85,14 +88,14 @@ def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, texts = batch["_key"].to_numpy(), [t.encode("utf-8", "surrogatepass") for t in batch["_t"]]
+            keys, texts = batch["_key"].to_numpy(), batch["_t"].tolist()
             for i, j in batches_of(texts):
                 found = [(np.full(len(r), keys[k]), r) for k in range(i, j) for r in runs_of(texts[k], length, gram)]
                 if found:
                     r = np.concatenate([x for _, x in found])
                     yield pd.DataFrame({"_key": np.concatenate([k for k, _ in found]), "start": r[:, 0], "count": r[:, 1], "gram": r[:, 2], "whole": r[:, 3]})
 
-    runs = docs.mapInPandas(find, "_key bigint, start bigint, count bigint, gram bigint, whole bigint")
+    runs = docs.select("_key", F.col("_t").cast("binary")).mapInPandas(find, "_key bigint, start bigint, count bigint, gram bigint, whole bigint")
     # written, so that the join below reads it from a shuffle of its own and a gram of very many runs is split
     grams = materialize(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "repeat-grams")
     runs = materialize(runs.join(grams, "gram"), "repeat-runs")
@@ -104,7 +107,33 @@ def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
     partial = _hits(_zipped(docs).join(asked, "_key"), length, int(classes.where("kinds > 1").agg(F.sum("count")).first()[0] or 0))
     known = classes.select("whole", (F.col("times") > 1).alias("full")).join(partial, "whole", "left").where("full or hits is not null")
     out = runs.select("_key", "start", "count", "whole").join(known, "whole").select("_key", F.struct("start", "count", "full", "hits").alias("r"))
-    return out.groupBy("_key").agg(F.collect_set("r").alias("runs")).mapInPandas(lambda b: _merge(b, length), "_key bigint, spans array<bigint>")
+    out = out.groupBy("_key").agg(F.collect_set("r").alias("runs")).select("_key", *[F.col(f"runs.{c}").alias(c) for c in ("start", "count", "full", "hits")])
+    return out.mapInPandas(lambda b: _merge(b, length), "_key bigint, spans array<bigint>")
+
+
+def twice(prints: np.ndarray, of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted and without repeats: hashes, runs, places, and whether the hash stands more than once."""
+    order = np.lexsort((at, of, prints))
+    prints, of, at = prints[order], of[order], at[order]
+    new = np.concatenate([[True], (prints[1:] != prints[:-1]) | (of[1:] != of[:-1]) | (at[1:] != at[:-1])])[: len(prints)]
+    if not new.all():
+        prints, of, at = prints[new], of[new], at[new]
+    edge = np.concatenate([[True], prints[1:] != prints[:-1], [True]])
+    # alone is what differs from both neighbours
+    return prints, of, at, ~(edge[:-1] & edge[1:])[: len(prints)]
+
+
+def by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one bucket after another, also where batches part them."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        for bucket, part in batch.groupby("bucket"):
+            if held and held[0]["bucket"].iloc[0] != bucket:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def _hits(texts: DataFrame, length: int, windows: int) -> DataFrame:
@@ -116,16 +145,6 @@ def _hits(texts: DataFrame, length: int, windows: int) -> DataFrame:
     spark = texts.sparkSession
     buckets = max(shuffle_partitions(spark), -(-windows // BUCKET_WINDOWS))
 
-    def twice(prints, of, at) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted and without repeats: hashes, runs, places, and whether the hash stands more than once."""
-        order = np.lexsort((at, of, prints))
-        prints, of, at = prints[order], of[order], at[order]
-        new = np.concatenate([[True], (prints[1:] != prints[:-1]) | (of[1:] != of[:-1]) | (at[1:] != at[:-1])])[: len(prints)]
-        prints, of, at = prints[new], of[new], at[new]
-        first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])[: len(prints)])
-        n = np.diff(np.append(first, len(prints)))
-        return prints, of, at, np.repeat(n, n) > 1
-
     def dealt(key: np.ndarray, *columns: np.ndarray) -> list[tuple]:
         """A row for each bucket that the hashes of key fall in: its number and the bytes of each column."""
         to = ((mix(key.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -139,9 +158,9 @@ def _hits(texts: DataFrame, length: int, windows: int) -> DataFrame:
 
         def flush() -> pd.DataFrame:
             prints, of, at, many = twice(*(np.concatenate(x) for x in zip(*found)))
-            hit = dealt(of[many], of[many], at[many].astype(np.uint16))
+            hit = dealt(of[many], of[many], at[many])
             one = np.concatenate([[True], prints[1:] != prints[:-1]])
-            rows = dealt(prints[one], prints[one], of[one], at[one].astype(np.uint16))
+            rows = dealt(prints[one], prints[one], of[one], at[one])
             # what is settled already goes along with any bucket
             rows.extend(((turn + k) % buckets, b"", *x[1:]) for k, x in enumerate(hit))
             return pd.DataFrame(rows, columns=["bucket", "prints", "of", "at"])
@@ -156,7 +175,7 @@ def _hits(texts: DataFrame, length: int, windows: int) -> DataFrame:
                 for r in asked:
                     for k in range(0, r["count"], 1 << 16):  # a run is at most length - gram + 1 windows long, unless parameters say otherwise
                         at = np.arange(k, min(r["count"], k + (1 << 16)))
-                        found.append((spans(sums, at + r["start"], at + r["start"] + length).view(np.int64), np.full(len(at), r["whole"], np.int64), at))
+                        found.append((spans(sums, at + r["start"], at + r["start"] + length).view(np.int64), np.full(len(at), r["whole"], np.int64), at.astype(np.uint16)))
                         n += len(at)
                 if n >= FLUSH_WINDOWS:
                     yield flush()
@@ -164,17 +183,6 @@ def _hits(texts: DataFrame, length: int, windows: int) -> DataFrame:
         if found:
             yield flush()
 
-    def by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            for bucket, part in batch.groupby("bucket"):
-                if held and held[0]["bucket"].iloc[0] != bucket:
-                    yield pd.concat(held, ignore_index=True)
-                    held = []
-                held.append(part)
-        if held:
-            yield pd.concat(held, ignore_index=True)
-
     joined = lambda column, kind: np.frombuffer(b"".join(column), kind)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,23 +203,21 @@ def _hits(texts: DataFrame, length: int, windows: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist()
             yield pd.DataFrame([(int(of[i]), at[i:j].tobytes()) for i, j in zip(first, [*first[1:], len(of)])], columns=["whole", "hits"])
 
-    tasks = min(buckets, 20_000)
-    sorted_ = lambda df: df.withColumn("_task", F.col("bucket") % tasks).repartition(tasks, "_task").sortWithinPartitions("bucket").drop("_task")
-    packed = sorted_(texts.mapInPandas(pack, "bucket bigint, prints binary, of binary, at binary"))
-    return sorted_(packed.mapInPandas(meet, "bucket bigint, of binary, at binary")).mapInPandas(gather, "whole bigint, hits binary")
+    packed = by_task(texts.mapInPandas(pack, "bucket bigint, prints binary, of binary, at binary"), buckets, MOST_TASKS)
+    return by_task(packed.mapInPandas(meet, "bucket bigint, of binary, at binary"), buckets, MOST_TASKS).mapInPandas(gather, "whole bigint, hits binary")
 
 
 def _merge(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     """Repeated windows of a document, as runs → the bytes they cover, as disjoint spans."""
     for batch in batches:
         out = []
-        for runs in batch["runs"]:
+        for runs in zip(batch["start"], batch["count"], batch["full"], batch["hits"]):
             spans_ = []
-            for r in runs:
-                if r["full"]:
-                    spans_.append((r["start"], r["start"] + r["count"] - 1 + length))
+            for start, count, full, hits in zip(runs[0].tolist(), runs[1].tolist(), *runs[2:]):
+                if full:
+                    spans_.append((start, start + count - 1 + length))
                 else:
-                    at = np.frombuffer(r["hits"], np.uint16).astype(np.int64) + r["start"]
+                    at = np.frombuffer(hits, np.uint16).astype(np.int64) + start
                     cut = np.flatnonzero(np.diff(at) > length)
                     spans_.extend(zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + length).tolist()))
             spans_.sort()

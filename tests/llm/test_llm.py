@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from readforge.llm import bpe, decontamination, html_text, jaccard_join, posting_lists, quality, repeats, url_rules, warc, wordpiece
+from readforge.llm import bpe, common, decontamination, html_text, jaccard_join, posting_lists, quality, repeats, url_rules, warc, wordpiece
 from readforge.llm.common import fresh_path
 
 SF = "/root/testdata/sf0.001"
@@ -123,6 +124,39 @@ def test_repeats(spark, docs, rows, monkeypatch, windows):
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_a_task_holds_one_bucket(spark):
+    """Buckets that a hash would put together in one task fill its memory, as a task's rows reach its worker in one batch."""
+    rows = spark.range(400).select((F.col("id") % 40).alias("bucket"), "id")
+    at = lambda most: [{r.bucket for r in p} for p in common.by_task(rows, 40, most).rdd.glom().collect()]
+    assert sorted(map(len, at(1000))) == [1] * 40
+    assert sorted(map(len, at(7))) == [5, 5, 6, 6, 6, 6, 6]
+
+
+def test_windows_of_a_bucket_need_little_memory():
+    """An executor holds two buckets at a time beside its own heap; those of op3 were met in over 100 MB each."""
+    rng = np.random.default_rng(3)
+    n = repeats.BUCKET_WINDOWS
+    of, at = rng.integers(0, 1 << 62, n), rng.integers(0, 240, n).astype(np.uint16)
+    prints = rng.integers(0, n, n) << 30
+    tracemalloc.start()
+    try:
+        got = repeats.twice(prints, of, at)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40e6
+    times = Counter(prints.tolist())
+    assert [times[p] > 1 for p in got[0].tolist()] == got[3].tolist()
+
+
+def test_repeats_of_bytes_that_are_no_text(spark):
+    """Texts reach the workers as bytes; what is not UTF-8 keeps its bytes."""
+    part, own = bytes(random.Random(4).choices(range(128, 256), k=500)), b"\xff\xc3 own"
+    docs = spark.createDataFrame([(1, bytearray(part)), (2, bytearray(own + part)), (3, bytearray(own))], "doc_id long, b binary").select("doc_id", F.col("b").cast("string").alias("text"))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in repeats.remove_repeats(docs, outputs=("kept",)).collect()}
+    assert got == {1: (500, 500, b""), 2: (506, 500, own), 3: (6, 0, own)}
+
+
 def test_repeats_in_parts(monkeypatch):
     data = bytes(random.Random(1).choices(b"abcd", k=9000))
     whole = np.concatenate(repeats.runs_of(data, 400, 160))
