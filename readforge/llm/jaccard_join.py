@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_rows, bounded, materialize, row_name, shuffle_partitions
+from .common import as_rows, bounded, by_task, materialize, row_name, shuffle_partitions
 from .components import components
 from .hashing import batches_of, mix, word_shingles
 
@@ -33,7 +33,7 @@ PIECES, BITS = 2, 4
 #: Members of a block; ids that are broadcast (8 bytes each).
 BLOCK, BROADCAST_ROWS = 1024, 300_000
 #: Keys of a task that are written out together, keys of a bucket, and most tasks that buckets are dealt to.
-FLUSH_KEYS, BUCKET_KEYS, MOST_TASKS = 1_000_000, 2_000_000, 20_000
+FLUSH_KEYS, BUCKET_KEYS, MOST_TASKS = 500_000, 1_000_000, 20_000
 #: Sets that a task remembers, so as to send each once.
 SEEN_SETS = 500_000
 #: Marks the band of a set of which two keys fall together.
@@ -111,7 +111,8 @@ def _set_id(hashes: np.ndarray) -> int:
 
 
 def _sets(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    texts = [t.encode("utf-8", "surrogatepass") for t in batch["_t"]]
+    # bytes: text would be held twice more, decoded and encoded again
+    texts = batch["_t"].tolist()
     for i, j in batches_of(texts):
         yield from enumerate(word_shingles(texts[i:j], SHINGLE), i)
 
@@ -161,6 +162,30 @@ def _whole(column: pd.Series, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind)
 
 
+def in_several(key: np.ndarray, sets: np.ndarray, bands: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, set, band and number of sets of each key that several sets have, once for each of its sets.
+
+    sets and bands stand once for `times` keys.  Only the order of the whole bucket is held in full; what a key alone has
+    goes before sets are spelled out for each key.
+    """
+    of = np.repeat(np.arange(len(sets), dtype=np.uint32), times)
+    order = np.argsort(key, kind="stable")
+    key, of = key[order], of[order]
+    del order
+    edge = np.concatenate([[True], key[1:] != key[:-1], [True]])
+    some = ~(edge[:-1] & edge[1:])[: len(key)]
+    key, of = key[some], of[some]
+    own, band = sets[of], bands[of]
+    order = np.lexsort((own, key))
+    key, own, band = key[order], own[order], band[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])[: len(key)]
+    key, own, band = key[new], own[new], band[new]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    many = np.diff(np.append(at, len(key)))
+    many = np.repeat(many.astype(np.int32), many)
+    return key[many > 1], own[many > 1], band[many > 1], many[many > 1]
+
+
 def _index(docs: DataFrame, keys: int) -> DataFrame:
     """(run, set) for the rarest keys of each set, of those that it shares with another; `keys` is about their number in all.
 
@@ -170,9 +195,7 @@ def _index(docs: DataFrame, keys: int) -> DataFrame:
     """
     spark = docs.sparkSession
     buckets = max(shuffle_partitions(spark), -(-keys // BUCKET_KEYS))
-    tasks = min(buckets, MOST_TASKS)
     room = np.uint64(buckets)
-    dealt = lambda df: df.withColumn("_task", F.col("bucket") % tasks).repartition(tasks, "_task").sortWithinPartitions("bucket").drop("_task")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, sets, bands, counts, seen = [], [], [], [], set()
@@ -215,16 +238,7 @@ def _index(docs: DataFrame, keys: int) -> DataFrame:
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for bucket, rows in _grouped_rows(batches, "bucket"):
-            times = _whole(rows["times"], np.uint8)
-            key, own, band = _whole(rows["keys"], np.uint32), np.repeat(_whole(rows["sets"], np.int64), times), np.repeat(_whole(rows["bands"], np.uint8), times)
-            order = np.lexsort((own, key))
-            key, own, band = key[order], own[order], band[order]
-            keep = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
-            key, own, band = key[keep], own[keep], band[keep]
-            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            many = np.diff(np.append(at, len(key)))
-            many = np.repeat(many, many)
-            key, own, band, many = (x[many > 1] for x in (key, own, band, many))
+            key, own, band, many = in_several(*(_whole(rows[c], kind) for c, kind in (("keys", np.uint32), ("sets", np.int64), ("bands", np.uint8), ("times", np.uint8))))
             to = ((mix(own.view(np.uint64)) >> np.uint64(32)) * room >> np.uint64(32)).astype(np.int64)
             order = np.lexsort((own, to))
             key, own, band, many, to = (x[order] for x in (key, own, band, many, to))
@@ -232,7 +246,7 @@ def _index(docs: DataFrame, keys: int) -> DataFrame:
             out = []
             for i, j in zip(at, [*at[1:], len(to)]):
                 first, times = _counted(own[i:j])
-                out.append((int(to[i]), bucket, key[i:j].tobytes(), many[i:j].astype(np.int32).tobytes(), own[i:j][first].tobytes(), band[i:j][first].tobytes(), times.tobytes()))
+                out.append((int(to[i]), bucket, key[i:j].tobytes(), many[i:j].tobytes(), own[i:j][first].tobytes(), band[i:j][first].tobytes(), times.tobytes()))
             yield pd.DataFrame(out, columns=["bucket", "of", "keys", "many", "sets", "bands", "times"])
 
     def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,8 +266,8 @@ def _index(docs: DataFrame, keys: int) -> DataFrame:
             keep = np.arange(len(key)) - np.repeat(at, size) < np.repeat(quota, size)
             yield pd.DataFrame({"run": key[keep], "set": own[keep]})
 
-    packed = dealt(docs.mapInPandas(pack, "bucket bigint, keys binary, sets binary, bands binary, times binary"))
-    some = dealt(packed.mapInPandas(shared, "bucket bigint, of bigint, keys binary, many binary, sets binary, bands binary, times binary"))
+    packed = by_task(docs.mapInPandas(pack, "bucket bigint, keys binary, sets binary, bands binary, times binary"), buckets, MOST_TASKS)
+    some = by_task(packed.mapInPandas(shared, "bucket bigint, of bigint, keys binary, many binary, sets binary, bands binary, times binary"), buckets, MOST_TASKS)
     return materialize(some.mapInPandas(rarest, "run bigint, set bigint"), "jaccard-index")
 
 
@@ -357,7 +371,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The columns of `similar` and class: an id of the component, null for rows without shingles."""
-    side = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"), row_name(F.col(doc_id), F.col(text)).alias("_key"))
+    side = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_t"), row_name(F.col(doc_id), F.col(text)).alias("_key"))
     rows = materialize(_profiles(side.select("_id", "_key", "_t")), "jaccard-profiles")
     sets = rows.where("set is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("_key").alias("_key"), F.min("_id").alias("low"))
     profiles = materialize(sets, "jaccard-classes")

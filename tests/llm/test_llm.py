@@ -424,6 +424,36 @@ def test_near_copies_about_the_threshold(spark, monkeypatch, block):
     assert got == {i: of.index(of[i]) for i in range(len(texts))}
 
 
+def test_keys_of_a_bucket_need_little_memory():
+    """An executor holds two buckets at a time beside its own heap; those of op9 were met in over 100 MB each."""
+    rng = np.random.default_rng(5)
+    n = jaccard_join.BUCKET_KEYS // 50
+    times, sets, bands = np.full(n, 50, np.uint8), rng.integers(0, 1 << 62, n), rng.integers(0, 40, n).astype(np.uint8)
+    sets[1::100], bands[1::100] = sets[::100], bands[::100]
+    key = rng.integers(0, 4 * n * 50, n * 50).astype(np.uint32)
+    key[50:100] = key[:50]
+    tracemalloc.start()
+    try:
+        got = jaccard_join.in_several(key, sets, bands, times)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 50e6
+    have = {}
+    for k, s, b in zip(key.tolist(), np.repeat(sets, 50).tolist(), np.repeat(bands, 50).tolist()):
+        have.setdefault(k, set()).add((s, b))
+    assert list(zip(*(x.tolist() for x in got))) == sorted((k, s, b, len(v)) for k, v in have.items() if len(v) > 1 for s, b in v)
+    assert [len(x) for x in jaccard_join.in_several(key[:50], sets[:1], bands[:1], times[:1])] == [0] * 4
+
+
+def test_likeness_of_bytes_that_are_no_text(spark):
+    """Texts reach the workers as bytes; words that are not UTF-8 are words like any others."""
+    words = [b"\xff%d" % i for i in range(60)]
+    texts = [b" ".join(words), b" ".join([*words, b"\xc3"]), b" ".join(reversed(words)), b"\xff"]
+    docs = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)], "doc_id long, b binary").select("doc_id", F.col("b").cast("string").alias("text"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar(docs).collect()} == {0: (56, 0), 1: (57, 0), 2: (56, 2), 3: (1, 3)}
+
+
 def test_keep_first_with_repeated_ids(spark):
     """Different texts that share an id are all kept; copies of one of them, under any id, are not."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
