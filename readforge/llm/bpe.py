@@ -1,7 +1,7 @@
 """Byte-level BPE by corpus-level merge replay.
 
 Distinct pre-tokens of a batch are laid end to end; an inverted index from merge rank to the positions of its pairs is
-replayed in rank order over all words at once, and a merge touches only its two neighbours.  Words once encoded are kept
+replayed in rank order over all words at once, in arrays, and a merge touches only its two neighbours.  Words once encoded are kept
 in a table of bounded size; when it is full a new one begins, which takes what is still in use from the last, so common
 words are replayed once a task.
 """
@@ -10,21 +10,41 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import BASE
+
 #: Characters that are cut into words together, words kept in the table, and words taken together from longer texts.
 CHUNK_CHARS, TABLE_WORDS, LONG_WORDS = 2_000_000, 200_000, 200_000
+#: Blocks of ranks that the replay takes one after the other.
+BLOCKS = 24
 _KEEP: dict[tuple, Codec] = {}
 
 
+def _slots(pairs: dict[int, int]) -> list[tuple[np.uint64, np.uint64, np.ndarray, np.ndarray]]:
+    """Tables in which numpy looks pairs up: seed, shift, keys and ranks; what finds its slot taken goes to the next table."""
+    out, seed = [], BASE
+    key, rank = np.fromiter(pairs.keys(), np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+    while len(key):
+        bits = max(8, (4 * len(key)).bit_length())
+        at = (key * np.uint64(seed) >> np.uint64(64 - bits)).astype(np.int64)
+        known, ranks = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64), np.full(1 << bits, np.iinfo(np.int64).max)
+        _, one = np.unique(at, return_index=True)
+        known[at[one]], ranks[at[one]] = key[one], rank[one]
+        out.append((np.uint64(seed), np.uint64(64 - bits), known, ranks))
+        rest = np.ones(len(key), bool)
+        rest[one] = False
+        key, rank, seed = key[rest], rank[rest], seed * BASE & (1 << 64) - 1
+    return out
+
+
 class Codec:
     """Encodes words by the ranks of a vocabulary file in tiktoken's text form."""
 
@@ -41,6 +61,11 @@ class Codec:
                 a, b = ranks.get(t[:i]), ranks.get(t[i:])
                 if a is not None and b is not None:
                     self.pairs[a << self.shift | b] = r
+        self.bytes = np.array(self.base, np.int64)
+        self.slots = _slots(self.pairs)
+        # ends of the blocks of ranks: low ranks are met most often
+        self.blocks = np.unique((max(ranks.values(), default=1) * (np.arange(1, BLOCKS) / BLOCKS) ** 2).astype(np.int64))
+        self.names = {r: str(r) for r in ranks.values()}
         self.table: dict[str, str] = {}
         self.last: dict[str, str] = {}
 
@@ -53,57 +78,85 @@ class Codec:
                 return out
             out[best[1] : best[1] + 2] = [best[0]]
 
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank at which each pair of symbols merges, or `gap`."""
+        key = (a << self.shift | b).astype(np.uint64)
+        out = np.full(len(key), self.gap, np.int64)
+        for seed, shift, known, ranks in self.slots:
+            at = (key * seed >> shift).astype(np.int64)
+            np.copyto(out, ranks[at], where=known[at] == key)
+        return out
+
     def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word."""
-        base, gap, shift, pairs = self.base, self.gap, self.shift, self.pairs
-        sym: list[int] = [gap]
-        starts = []
-        for w in words:
-            starts.append(len(sym))
-            sym.extend([base[b] for b in w])
-            sym.append(gap)
-        nxt, prv = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
-        index: dict[int, list[int]] = {}
-        get = pairs.get
-        for p, (a, b) in enumerate(zip(sym, sym[1:])):
-            r = get(a << shift | b)
-            if r is not None:
-                if r in index:
-                    index[r].append(p)
-                else:
-                    index[r] = [p]
-        heap = list(index)
-        heapq.heapify(heap)
-        odd = set()
-        while heap:
-            r = heapq.heappop(heap)
-            for p in sorted(index.pop(r)):
-                q = nxt[p]
-                if sym[p] < 0 or q >= len(sym) or get(sym[p] << shift | sym[q]) != r:
-                    continue
-                sym[p], sym[q] = r, -1
-                n = nxt[p] = nxt[q]
-                prv[n] = p
-                for left, right in ((prv[p], p), (p, n)):
-                    more = get(sym[left] << shift | sym[right])
-                    if more is not None:
-                        if more < r:
-                            odd.add(bisect_right(starts, p) - 1)
-                        if more in index:
-                            index[more].append(left)
-                        else:
-                            index[more] = [left]
-                            heapq.heappush(heap, more)
-        out = []
-        for i, s in enumerate(starts):
-            if i in odd:
-                out.append(self._alone(words[i]))
-            else:
-                ids = []
-                while sym[s] != gap:
-                    ids.append(sym[s])
-                    s = nxt[s]
-                out.append(ids)
+        """Token ids of each word.
+
+        The index has the positions of pairs by blocks of ranks, lowest first.  In a block each word merges its lowest
+        rank wherever it stands, all words at once, until no pair of the block is left.
+        """
+        gap = self.gap
+        if not words:
+            return []
+        sizes = np.array([len(w) for w in words])
+        ends = np.cumsum(sizes + 1)
+        sym = np.full(int(ends[-1]) + 1, gap, np.int64)
+        plain = np.ones(len(sym), bool)
+        plain[0] = plain[ends] = False
+        sym[plain] = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        of = np.repeat(np.arange(len(words)), sizes + 1)
+        of = np.concatenate([[0], of])
+        nxt, prv = np.arange(1, len(sym) + 1), np.arange(-1, len(sym) - 1)
+        rank = np.append(self._rank(sym[:-1], sym[1:]), gap)
+        live = plain.copy()
+        odd = np.zeros(len(words), bool)
+        index: list[list[np.ndarray]] = [[] for _ in range(len(self.blocks) + 1)]
+        limits = [0, *self.blocks.tolist(), gap]
+
+        def enter(at: np.ndarray) -> None:
+            to = np.searchsorted(self.blocks, rank[at], side="right")
+            order = np.argsort(to, kind="stable")
+            at, to = at[order], to[order]
+            first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))[: len(to)]
+            for k, part in zip(to[first].tolist(), np.split(at, first[1:])):
+                index[k].append(part)
+
+        enter(np.flatnonzero(rank < gap))
+        for k in range(len(index)):
+            while index[k]:
+                at = np.concatenate(index[k])
+                index[k] = []
+                # what changed since has been entered again
+                at = np.sort(at[(rank[at] >= limits[k]) & (rank[at] < limits[k + 1])])
+                at = at[np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]]
+                if not len(at):
+                    break
+                word = of[at]
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                lowest = np.repeat(np.minimum.reduceat(rank[at], first), np.diff(np.append(first, len(at))))
+                chosen = rank[at] == lowest
+                index[k].append(at[~chosen])
+                at = at[chosen]
+                # of pairs that overlap, as in a run of one symbol, every other one from the left
+                behind = np.concatenate([[False], nxt[at[:-1]] == at[1:]])
+                if behind.any():
+                    place = np.arange(len(at))
+                    at = at[(place - np.maximum.accumulate(np.where(behind, 0, place))) % 2 == 0]
+                gone, was = nxt[at], rank[at]
+                sym[at] = was
+                live[gone], rank[gone] = False, gap
+                nxt[at] = nxt[gone]
+                prv[nxt[at]] = at
+                new = np.concatenate([prv[at], at])
+                rank[new] = self._rank(sym[new], sym[nxt[new]])
+                found = rank[new] < np.concatenate([was, was])
+                odd[of[np.concatenate([at, at])[found]]] = True
+                new = new[live[new] & (rank[new] < gap)]
+                enter(new[~odd[of[new]]])
+        left = np.flatnonzero(live)
+        ids = sym[left].tolist()
+        stops = np.searchsorted(left, ends).tolist()
+        out = [ids[i:j] for i, j in zip([0, *stops[:-1]], stops)]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self._alone(words[i])
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -113,7 +166,7 @@ class Codec:
         if len(table) + len(new) > TABLE_WORDS:
             self.last, self.table = table, {}
             table, new = self.table, words
-        left, coded, last = [], [], self.last
+        left, coded, last, names = [], [], self.last, self.names
         for w in new:
             known = last.get(w)
             if known is not None:
@@ -126,7 +179,7 @@ class Codec:
                 left.append(w)
                 coded.append(b)
         for w, ids in zip(left, self.replay(coded)):
-            table[w] = ",".join(map(str, ids))
+            table[w] = ",".join([names[i] for i in ids])
 
     def pieces(self, texts: list[str]) -> Iterator[tuple[int, str, bool]]:
         """(which text, ids joined by commas, whether this ends the text), in order; every text has at least one."""

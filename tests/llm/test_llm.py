@@ -482,6 +482,24 @@ def test_bpe(docs, rows, spark, monkeypatch):
     assert ",".join(p for _, p, _ in codec.pieces([long]) if p) == ",".join(map(str, own.encode_ordinary(long)))
 
 
+def test_replay_of_many_words():
+    """Words are replayed in arrays: pairs are looked up one by one only in words in which a merge makes a lower rank."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    codec, rng = bpe.Codec(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN), random.Random(3)
+    words = ["".join(rng.choice("etaoin shrdlué") for _ in range(rng.randint(0, 14))).encode() for _ in range(3000)] + [b"a" * n for n in range(70)]
+    want = [codec._alone(w) for w in words]
+    codec.pairs = Counted(codec.pairs)
+    assert codec.replay(words) == want and codec.replay([]) == []
+    assert codec.pairs.asked < sum(map(len, words)) / 5
+
+
 def discriminant(texts, labels):
     """Scores by the plain formula: two shrunken Gaussians of the statistics, learnt from the labelled texts."""
     x = np.array([quality.statistics(t or "") for t in texts])
