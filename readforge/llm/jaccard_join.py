@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_rows, bounded, by_task, materialize, row_name, shuffle_partitions
+from .common import as_rows, bounded, by_task, materialize, row_name, shuffle_partitions, small_enough, unzipped, zipped
 from .components import components
 from .hashing import batches_of, mix, word_shingles
 
@@ -34,6 +35,8 @@ PIECES, BITS = 2, 4
 BLOCK, BROADCAST_ROWS = 1024, 300_000
 #: Keys of a task that are written out together, keys of a bucket, and most tasks that buckets are dealt to.
 FLUSH_KEYS, BUCKET_KEYS, MOST_TASKS = 500_000, 1_000_000, 20_000
+#: Sets that are numbered together, in 16 bits.
+FLUSH_SETS = 1 << 16
 #: Sets that a task remembers, so as to send each once.
 SEEN_SETS = 500_000
 #: Marks the band of a set of which two keys fall together.
@@ -149,13 +152,15 @@ def _grouped_rows(batches: Iterator[pd.DataFrame], col: str) -> Iterator[tuple[i
         yield int(held[0][col].iloc[0]), pd.concat(held, ignore_index=True)
 
 
-def _counted(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places at which stretches of equal neighbours begin, and their lengths in one byte each: longer ones count as several."""
-    at = np.arange(len(own))
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    back = at - np.repeat(first, np.diff(np.append(first, len(own))))
-    first = np.flatnonzero(back % 255 == 0)
-    return first, np.diff(np.append(first, len(own))).astype(np.uint8)
+def steps(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 to 65,535 that never fall, as the step to each from the one before: a byte each, or two where one is larger."""
+    step = np.diff(numbers, prepend=0)
+    return step.astype(np.uint8 if step.max() < 256 else np.uint16).tobytes()
+
+
+def numbers_of(step: bytes, n: int) -> np.ndarray:
+    """The n numbers of `steps`."""
+    return np.cumsum(np.frombuffer(step, np.uint8 if len(step) == n else np.uint16), dtype=np.int64)
 
 
 def _whole(column: pd.Series, kind) -> np.ndarray:
@@ -186,33 +191,54 @@ def in_several(key: np.ndarray, sets: np.ndarray, bands: np.ndarray, times: np.n
     return key[many > 1], own[many > 1], band[many > 1], many[many > 1]
 
 
-def _index(docs: DataFrame, keys: int) -> DataFrame:
+def _once(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, bool]:
+    """_t of one row of docs (_key, _t) for each set, and whether some stand more than once: those of whole rows that are repeated."""
+    copied = bounded(sets.where("copies > 1").select("set", F.col("_key").alias("_first")), BROADCAST_ROWS)
+    at = F.xxhash64("_key").alias("_at")
+    found = rows.select("set", "_key").join(copied, "set").groupBy(at, (F.col("_key") == F.col("_first")).alias("first")).agg(F.count("*").alias("n"))
+    found = materialize(found, "jaccard-copies")
+    more = found.where("not first").select("_at")
+    if small_enough(more, BROADCAST_ROWS):
+        one = docs.select(at, "_t").join(F.broadcast(more), "_at", "left_anti")
+    else:
+
+        @F.pandas_udf("binary")
+        def unpack(z: pd.Series) -> pd.Series:
+            return pd.Series(list(unzipped(z)), dtype=object)
+
+        one = zipped(docs.select(at, "_t")).join(more, "_at", "left_anti").select(unpack("_z").alias("_t"))
+    return one.select("_t"), found.where("first and n > 1").limit(1).count() > 0
+
+
+def _index(docs: DataFrame, keys: int, again: bool = False) -> DataFrame:
     """(run, set) for the rarest keys of each set, of those that it shares with another; `keys` is about their number in all.
 
-    A task sends the keys of each bucket together (4 bytes a key and 10 for each set: its id, band and number of keys); a bucket counts the
-    sets of its keys and sends what is shared on to a bucket of the set, where a set's keys are put in order.  Buckets are
-    of a fixed size and are taken one after the other from sorted partitions.
+    docs has one row for each set, or, as `again` tells, more for some.  A task cuts its sets into flushes of at most
+    FLUSH_KEYS keys, and numbers the sets of each.  It sends the keys of each bucket together (4 bytes a key, and its set's
+    number as a step of mostly one byte, however many buckets there are); a bucket counts the sets of its keys and sends
+    what is shared back, to where the flush's ids and bands are, once for each set, and its keys are put in order.
+    Buckets are of a fixed size and are taken one after the other from sorted partitions.
     """
     spark = docs.sparkSession
     buckets = max(shuffle_partitions(spark), -(-keys // BUCKET_KEYS))
     room = np.uint64(buckets)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, sets, bands, counts, seen = [], [], [], [], set()
+        found, sets, bands, counts, seen, turn = [], [], [], [], set(), 0
 
         def flush() -> pd.DataFrame:
             key, own = np.concatenate(found), np.repeat(np.arange(len(sets)), counts)
             ids, band = np.array(sets, np.int64), np.array(bands, np.uint8)
+            # named by its task and what it holds: if a task runs again over other rows, nothing is taken for what it was before
+            place = np.array([TaskContext.get().partitionId(), turn], np.uint64)
+            name = _set_id(mix(np.concatenate([place, ids.view(np.uint64)]) + np.arange(len(ids) + 2, dtype=np.uint64))) & (1 << 63) - 1
             to = ((key >> np.uint64(32)) * room >> np.uint64(32)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             key, own, to = key[order].astype(np.uint32), own[order], to[order]
             at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist()
-            rows = []
-            for i, j in zip(at, [*at[1:], len(to)]):
-                first, times = _counted(own[i:j])
-                used = own[i:j][first]
-                rows.append((int(to[i]), key[i:j].tobytes(), ids[used].tobytes(), band[used].tobytes(), times.tobytes()))
-            return pd.DataFrame(rows, columns=["bucket", "keys", "sets", "bands", "times"])
+            rows = [(int(to[i]), name, key[i:j].tobytes(), steps(own[i:j]), b"", b"") for i, j in zip(at, [*at[1:], len(to)])]
+            rows.append((name % buckets, name, b"", b"", ids.tobytes(), band.tobytes()))
+            return pd.DataFrame(rows, columns=["bucket", "flush", "keys", "steps", "sets", "bands"])
 
         total = 0
         for batch in batches:
@@ -230,45 +256,64 @@ def _index(docs: DataFrame, keys: int) -> DataFrame:
                 sets.append(one)
                 counts.append(len(key))
                 total += len(key)
-                if total >= FLUSH_KEYS:
+                if total >= FLUSH_KEYS or len(sets) >= FLUSH_SETS:
                     yield flush()
-                    found, sets, bands, counts, total = [], [], [], [], 0
+                    found, sets, bands, counts, total, turn = [], [], [], [], 0, turn + 1
         if found:
             yield flush()
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["bucket", "of", "keys", "many", "steps", "sets", "bands"]
         for bucket, rows in _grouped_rows(batches, "bucket"):
-            key, own, band, many = in_several(*(_whole(rows[c], kind) for c, kind in (("keys", np.uint32), ("sets", np.int64), ("bands", np.uint8), ("times", np.uint8))))
-            to = ((mix(own.view(np.uint64)) >> np.uint64(32)) * room >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((own, to))
-            key, own, band, many, to = (x[order] for x in (key, own, band, many, to))
-            at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist() if len(to) else []
-            out = []
-            for i, j in zip(at, [*at[1:], len(to)]):
-                first, times = _counted(own[i:j])
-                out.append((int(to[i]), bucket, key[i:j].tobytes(), many[i:j].tobytes(), own[i:j][first].tobytes(), band[i:j][first].tobytes(), times.tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "of", "keys", "many", "sets", "bands", "times"])
+            listed = rows["sets"].map(len) > 0
+            yield pd.DataFrame([(f, -1, b"", b"", b"", s, b) for f, s, b in zip(rows["flush"][listed], rows["sets"][listed], rows["bands"][listed])], columns=columns)
+            rows = rows[~listed]
+            if not len(rows):
+                continue
+            flushes, sets, times = rows["flush"].to_numpy(), [], []
+            for i, (step, k) in enumerate(zip(rows["steps"], rows["keys"])):
+                own = numbers_of(step, len(k) // 4)
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                sets.append(own[first] | i << 16)
+                times.append(np.diff(np.append(first, len(own))))
+            sets = np.concatenate(sets)
+            key, own, _, many = in_several(_whole(rows["keys"], np.uint32), sets, np.zeros(len(sets), np.uint8), np.concatenate(times))
+            del rows
+            order = np.lexsort((key, own))
+            key, own, many = key[order], own[order], many[order]
+            of = own >> 16
+            at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist() if len(of) else []
+            out = [(int(flushes[of[i]]), bucket, key[i:j].tobytes(), many[i:j].tobytes(), steps(own[i:j] & 0xFFFF), b"", b"") for i, j in zip(at, [*at[1:], len(of)])]
+            yield pd.DataFrame(out, columns=columns)
 
     def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, rows in _grouped_rows(batches, "bucket"):
-            times, many = _whole(rows["times"], np.uint8), _whole(rows["many"], np.int32)
-            own, band = np.repeat(_whole(rows["sets"], np.int64), times), np.repeat(_whole(rows["bands"], np.uint8), times).astype(np.int64)
-            low = _whole(rows["keys"], np.uint32).astype(np.int64)
+        for flush, rows in _grouped_rows(batches, "bucket"):
+            listed = rows["of"] < 0
+            if listed.sum() != 1:
+                raise ValueError(f"flush {flush} has {listed.sum()} lists of sets: a task ran again over other rows")
+            ids, bands = (np.frombuffer(rows[c][listed].iloc[0], kind) for c, kind in (("sets", np.int64), ("bands", np.uint8)))
+            rows = rows[~listed]
+            if not len(rows):
+                continue
+            many, low = _whole(rows["many"], np.int32), _whole(rows["keys"], np.uint32).astype(np.int64)
+            own = np.concatenate([numbers_of(step, len(k) // 4) for step, k in zip(rows["steps"], rows["keys"])])
             key = np.repeat(rows["of"].to_numpy(np.int64), [len(x) // 4 for x in rows["keys"]]) << 32 | low
             parity = low & 1
             order = np.lexsort((key, many, parity, own))
-            key, own, band, parity = key[order], own[order], band[order], parity[order]
+            key, own, parity = key[order], own[order], parity[order]
             at = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (parity[1:] != parity[:-1])]))
             size = np.diff(np.append(at, len(key)))
-            _, apart, m = scheme(band[at] & ~ODD, parity[at])
+            band = bands[own[at]].astype(np.int64)
+            _, apart, m = scheme(band & ~ODD, parity[at])
             # the keys that no other set has come first; what is left of apart + 1 goes to the rarest of the others
-            quota = np.where(band[at] & ODD != 0, size, apart + 1 - (m - size))
+            quota = np.where(band & ODD != 0, size, apart + 1 - (m - size))
             keep = np.arange(len(key)) - np.repeat(at, size) < np.repeat(quota, size)
-            yield pd.DataFrame({"run": key[keep], "set": own[keep]})
+            yield pd.DataFrame({"run": key[keep], "set": ids[own[keep]]})
 
-    packed = by_task(docs.mapInPandas(pack, "bucket bigint, keys binary, sets binary, bands binary, times binary"), buckets, MOST_TASKS)
-    some = by_task(packed.mapInPandas(shared, "bucket bigint, of bigint, keys binary, many binary, sets binary, bands binary, times binary"), buckets, MOST_TASKS)
-    return materialize(some.mapInPandas(rarest, "run bigint, set bigint"), "jaccard-index")
+    packed = by_task(docs.mapInPandas(pack, "bucket bigint, flush bigint, keys binary, steps binary, sets binary, bands binary"), buckets, MOST_TASKS)
+    some = by_task(packed.mapInPandas(shared, "bucket bigint, of bigint, keys binary, many binary, steps binary, sets binary, bands binary"), buckets, MOST_TASKS)
+    found = some.mapInPandas(rarest, "run bigint, set bigint")
+    return materialize(found.distinct() if again else found, "jaccard-index")
 
 
 def _linked(pairs: DataFrame, profiles: DataFrame, docs: DataFrame) -> DataFrame:
@@ -373,9 +418,10 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The columns of `similar` and class: an id of the component, null for rows without shingles."""
     side = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_t"), row_name(F.col(doc_id), F.col(text)).alias("_key"))
     rows = materialize(_profiles(side.select("_id", "_key", "_t")), "jaccard-profiles")
-    sets = rows.where("set is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("_key").alias("_key"), F.min("_id").alias("low"))
+    sets = rows.where("set is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("_key").alias("_key"), F.min("_id").alias("low"), F.count("*").alias("copies"))
     profiles = materialize(sets, "jaccard-classes")
-    index = _index(side.select("_t"), int(profiles.agg(F.sum("n")).first()[0] or 0))
+    once, again = _once(side.select("_key", "_t"), rows, profiles)
+    index = _index(once, int(profiles.agg(F.sum("n")).first()[0] or 0), again)
     links = _linked(_stars(index), profiles, side)
     labels = _labels(links, profiles.select("set"))
     more = _linked(_across(index, labels, profiles), profiles, side)

@@ -16,11 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_task, materialize, row_key, shuffle_partitions
+from .common import by_task, materialize, row_key, shuffle_partitions, unzipped, zipped
 from .hashing import batches_of, mix, prefix, spans
 
 LENGTH, GRAM = 400, 160
@@ -64,25 +63,6 @@ def runs_of(data: bytes, length: int, gram: int) -> list[np.ndarray]:
     return out
 
 
-def _zipped(texts: DataFrame) -> DataFrame:
-    """texts (_key, _t, and others) with `_z`, the compressed UTF-8 bytes, in place of _t: what is shuffled is less than half.
-
-    Workers get bytes, not text: text would be held twice more, decoded and encoded again.
-    """
-
-    @F.pandas_udf("binary")
-    def pack(t: pd.Series) -> pd.Series:
-        c = zstandard.ZstdCompressor(level=1)
-        return pd.Series([c.compress(x) for x in t], dtype=object)
-
-    return texts.withColumn("_z", pack(F.col("_t").cast("binary"))).drop("_t")
-
-
-def _unzipped(column: pd.Series) -> Iterator[bytes]:
-    d = zstandard.ZstdDecompressor()
-    return (d.decompress(x) for x in column)
-
-
 def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """_key, spans ([from, to, from, to ...], sorted, disjoint, of repeated bytes) of each row key of docs (_key, _t) that has any."""
 
@@ -104,7 +84,7 @@ def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
     classes = materialize(classes.join(kinds, "gram").select("whole", "times", "kinds", "one.*"), "repeat-classes")
     # runs that differ though their anchors are equal: compare their windows, one example of each
     asked = classes.where("kinds > 1").groupBy("_key").agg(F.collect_list(F.struct("start", "count", "whole")).alias("asked"))
-    partial = _hits(_zipped(docs).join(asked, "_key"), length, int(classes.where("kinds > 1").agg(F.sum("count")).first()[0] or 0))
+    partial = _hits(zipped(docs).join(asked, "_key"), length, int(classes.where("kinds > 1").agg(F.sum("count")).first()[0] or 0))
     known = classes.select("whole", (F.col("times") > 1).alias("full")).join(partial, "whole", "left").where("full or hits is not null")
     out = runs.select("_key", "start", "count", "whole").join(known, "whole").select("_key", F.struct("start", "count", "full", "hits").alias("r"))
     out = out.groupBy("_key").agg(F.collect_set("r").alias("runs")).select("_key", *[F.col(f"runs.{c}").alias(c) for c in ("start", "count", "full", "hits")])
@@ -167,7 +147,7 @@ def _hits(texts: DataFrame, length: int, windows: int) -> DataFrame:
 
         for batch in batches:
             seen = set()
-            for key, text, asked in zip(batch["_key"], _unzipped(batch["_z"]), batch["asked"]):
+            for key, text, asked in zip(batch["_key"], unzipped(batch["_z"]), batch["asked"]):
                 if key in seen:
                     continue
                 seen.add(key)
@@ -255,7 +235,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for data, found, key in zip(_unzipped(batch["_z"]), batch["spans"], batch["_key"]):
+            for data, found, key in zip(unzipped(batch["_z"]), batch["spans"], batch["_key"]):
                 kept = _kept(data, found)
                 made = {"kept": kept, "key": key}
                 if "spans" in outputs:
@@ -270,7 +250,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield out
 
     schema = ", ".join(["doc_id string", "n_bytes bigint", "n_removed bigint", "n_spans bigint", *[f"{k} {kinds[k]}" for k in outputs]])
-    return _zipped(side).join(spans_, "_key", "left").mapInPandas(cut, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
+    return zipped(side).join(spans_, "_key", "left").mapInPandas(cut, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def without_repeats(docs: DataFrame, length: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:

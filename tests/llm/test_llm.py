@@ -446,6 +446,50 @@ def test_keys_of_a_bucket_need_little_memory():
     assert [len(x) for x in jaccard_join.in_several(key[:50], sets[:1], bands[:1], times[:1])] == [0] * 4
 
 
+def test_keys_go_to_any_number_of_buckets_at_one_cost(spark, monkeypatch):
+    """What a key takes on its way is bounded; ids of 8 bytes for each set in each bucket made it grow with the input."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").cast("binary").alias("_t"))
+    sent, by_task = [], jaccard_join.by_task
+
+    def watched(df, *rest):
+        if "many" not in df.columns:  # the sending of keys
+            df = jaccard_join.materialize(df, "sent")
+            sent.append(df.select(F.sum(sum(F.length(f.name) for f in df.schema if f.dataType.simpleString() == "binary"))).first()[0])
+        return by_task(df, *rest)
+
+    monkeypatch.setattr(jaccard_join, "by_task", watched)
+    monkeypatch.setattr(jaccard_join, "BUCKET_KEYS", 100)
+    jaccard_join._index(docs.coalesce(1), 56 * 400)
+    keys = sum(len(jaccard_join.piece_keys(h)) for h in jaccard_join.word_shingles([t.encode() for t in texts], 5))
+    assert sent[0] < 6.5 * keys
+
+
+@pytest.mark.parametrize("rows", [300_000, 3])
+def test_copies_are_left_out_once(spark, monkeypatch, rows):
+    """Copies in any task send no keys, by broadcast or by shuffle; whole rows that are repeated are told."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(jaccard_join, "FLUSH_SETS", 2)
+    texts = [" ".join(f"{x}{i}" for i in range(30)) for x in "abcdefg"]
+    some = [(i, texts[i % 7] + " " * (i % 3)) for i in range(40)] + [(40, None), (41, " ")]
+    for extra, again in (([], False), ([(10, texts[3] + " ")] * 3, True), ([(39, texts[4])] * 2, False)):
+        docs = spark.createDataFrame(some + extra, "doc_id long, text string").repartition(5)
+        kept, got = [], jaccard_join._once
+
+        def watched(*a):
+            kept.append(got(*a))
+            return kept[-1]
+
+        with monkeypatch.context() as m:
+            m.setattr(jaccard_join, "_once", watched)
+            have = {(r.doc_id, r.component_id) for r in jaccard_join.similar(docs).collect()}
+        assert have == {(i, i % 7) for i in range(40)} | {(40, 40), (41, 41)}
+        # a text without words is no copy of another
+        stand = Counter(bytes(r._t).strip() for r in kept[0][0].collect())
+        assert kept[0][1] == again and all(stand[t.encode()] == (4 if again and t == texts[3] else 1) for t in texts)
+
+
 def test_likeness_of_bytes_that_are_no_text(spark):
     """Texts reach the workers as bytes; words that are not UTF-8 are words like any others."""
     words = [b"\xff%d" % i for i in range(60)]
