@@ -24,7 +24,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), outputs=("kept_sha256", "text"))
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), outputs=("kept_sha256", "text", "n_in_passages", "without_passages"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

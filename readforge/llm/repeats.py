@@ -91,6 +91,31 @@ def repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return out.mapInPandas(lambda b: _merge(b, length), "_key bigint, spans array<bigint>")
 
 
+def repeated_in(docs: DataFrame, found: DataFrame, length: int, gram: int) -> DataFrame:
+    """`repeated`, sought only in found: what `repeated` tells of the same docs for shorter strings.
+
+    A string that starts twice has all its parts twice, so each of its places lies within one span of found.  Those spans
+    are matched as texts of their own, mostly a small part of the corpus.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, z, spans_ in zip(batch["_key"].tolist(), batch["_z"], batch["spans"]):
+                long = [(a, b) for a, b in zip(spans_[::2].tolist(), spans_[1::2].tolist()) if b - a >= length]
+                if long:
+                    data = next(unzipped([z]))
+                    rows.extend((key, a, data[a:b]) for a, b in long)
+            yield pd.DataFrame(rows, columns=["_of", "at", "_t"])
+
+    pieces = zipped(docs).join(found, "_key").mapInPandas(cut, "_of bigint, at bigint, _t binary")
+    pieces = materialize(pieces.withColumn("_key", row_key(F.col("_of"), F.col("at"))), "repeat-pieces")
+    places = pieces.select("_key", "_of", "at").distinct()
+    moved = repeated(pieces.select("_key", "_t"), length, gram).join(places, "_key").select("_of", "at", F.transform("spans", lambda x: x + F.col("at")).alias("own"))
+    whole = moved.groupBy("_of").agg(F.array_sort(F.collect_list(F.struct("at", "own"))).alias("all"))
+    return whole.select(F.col("_of").alias("_key"), F.flatten("all.own").alias("spans"))
+
+
 def twice(prints: np.ndarray, of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted and without repeats: hashes, runs, places, and whether the hash stands more than once."""
     order = np.lexsort((at, of, prints))
@@ -218,9 +243,10 @@ def _kept(data: bytes, found) -> bytes:
     return b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2])])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, outputs: tuple[str, ...] = ("spans", "kept")) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, outputs: tuple[str, ...] = ("spans", "kept"), passage: int = PASSAGE, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans and, as asked for by `outputs`: spans (from, to),
-    kept (binary), kept_sha256 (lowercase hex), text (kept as text, without characters that are cut in two), key.
+    kept (binary), kept_sha256 (lowercase hex), text (kept as text, without characters that are cut in two), key,
+    n_in_passages (bytes that strings of `passage` bytes cover which start twice), without_passages (text without those).
 
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same document or another;
     texts are UTF-8, judged as they came in, and matches never cross documents.  Null texts are empty; texts shorter than
@@ -229,13 +255,21 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     side = docs.select(F.col(doc_id).cast("string").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"), row_key(F.col(doc_id), F.col(text)).alias("_key"))
-    spans_ = materialize(repeated(side.select("_key", "_t"), length, gram), "repeat-spans")
-    kinds = {"spans": "array<struct<from:bigint,to:bigint>>", "kept": "binary", "kept_sha256": "string", "text": "string", "key": "bigint"}
+    texts = side.select("_key", "_t")
+    if any(o in outputs for o in ("n_in_passages", "without_passages")):
+        if passage > length:
+            raise ValueError("passages must not be longer than the strings that are removed")
+        passages = materialize(repeated(texts, passage, passage_gram), "repeat-passages")
+        spans_ = passages.select("_key", F.col("spans").alias("passages")).join(repeated_in(texts, passages, length, gram), "_key", "left")
+    else:
+        spans_ = repeated(texts, length, gram).withColumn("passages", F.lit(None).cast("array<bigint>"))
+    spans_ = materialize(spans_, "repeat-spans")
+    kinds = {"spans": "array<struct<from:bigint,to:bigint>>", "kept": "binary", "kept_sha256": "string", "text": "string", "key": "bigint", "n_in_passages": "bigint", "without_passages": "string"}
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for data, found, key in zip(unzipped(batch["_z"]), batch["spans"], batch["_key"]):
+            for data, found, passages, key in zip(unzipped(batch["_z"]), batch["spans"], batch["passages"], batch["_key"]):
                 kept = _kept(data, found)
                 made = {"kept": kept, "key": key}
                 if "spans" in outputs:
@@ -244,6 +278,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     made["kept_sha256"] = hashlib.sha256(kept).hexdigest()
                 if "text" in outputs:
                     made["text"] = kept.decode("utf-8", "ignore")
+                if "n_in_passages" in outputs:
+                    made["n_in_passages"] = 0 if passages is None else int(sum(passages[1::2]) - sum(passages[::2]))
+                if "without_passages" in outputs:
+                    made["without_passages"] = _kept(data, passages).decode("utf-8", "ignore")
                 rows.append((len(data), len(data) - len(kept), 0 if found is None else len(found) // 2, *[made[k] for k in outputs]))
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", *outputs])
             out.insert(0, "doc_id", batch["_id"].to_numpy())

@@ -149,6 +149,29 @@ def test_windows_of_a_bucket_need_little_memory():
     assert [times[p] > 1 for p in got[0].tolist()] == got[3].tolist()
 
 
+@pytest.mark.parametrize("windows", [2_000_000, 300])
+def test_passages_beside_repeats(spark, docs, rows, monkeypatch, windows):
+    """Passages of fifty short words are told in columns of their own; what the contract fixes stays as it is without them."""
+    monkeypatch.setattr(repeats, "BUCKET_WINDOWS", windows)
+    monkeypatch.setattr(repeats, "FLUSH_WINDOWS", windows)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = " ".join(word() for _ in range(51))
+    planted = [(700 + i, " ".join([word() for _ in range(40 + i)] + [passage] + [word() for _ in range(30)])) for i in range(3)]
+    clean = [(710 + i, " ".join(word() for _ in range(150))) for i in range(3)]
+    texts = [*rows, *planted, *clean]
+    wide = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted + clean, "doc_id long, text string")).repartition(5)
+    got = repeats.remove_repeats(wide, outputs=("kept_sha256", "n_in_passages", "without_passages")).collect()
+    cut = cut_repeats([(t or "").encode() for _, t in texts], repeats.PASSAGE)
+    assert Counter((r.doc_id, r.without_passages) for r in got) == Counter((d, c) for (d, _), c in zip(texts, cut))
+    of = {r.doc_id: r for r in got}
+    assert all(of[d].n_in_passages >= len(passage) and passage not in of[d].without_passages and of[d].n_removed == 0 for d, _ in planted)
+    assert all(of[d].n_in_passages == 0 and of[d].without_passages == t for d, t in clean)
+    plain = repeats.remove_repeats(wide, outputs=("kept_sha256",)).collect()
+    fixed = lambda x: Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in x)
+    assert fixed(got) == fixed(plain)
+
+
 def test_repeats_of_bytes_that_are_no_text(spark):
     """Texts reach the workers as bytes; what is not UTF-8 keeps its bytes."""
     part, own = bytes(random.Random(4).choices(range(128, 256), k=500)), b"\xff\xc3 own"
