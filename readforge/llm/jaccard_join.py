@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_rows, bounded, by_task, materialize, row_name, shuffle_partitions, small_enough, unzipped, zipped
@@ -90,22 +90,32 @@ def piece_keys(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Parities of the hashes in about BITS times as many bits as there are hashes, a power of two from 64 up."""
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the hashes in about BITS times as many bits as there are hashes, a power of two from 64 up, in 64-bit words."""
     bits = max(64, 1 << round(float(np.log2(len(hashes) * BITS))))
     flips = np.bincount((mix(hashes ^ np.uint64(0x5BD1E995)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(flips.astype(np.uint8)).tobytes()
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
-def _folded(sketches: list[bytes], size: int) -> np.ndarray:
-    """Sketches as rows of 64-bit words, each folded by XOR to `size` bytes; the fold is the sketch of so many bits."""
-    rows = []
-    for s in sketches:
-        x = np.frombuffer(s, np.uint64)
-        while len(x) * 8 > size:
+def _folded(sketches: list[np.ndarray], words: int) -> np.ndarray:
+    """Sketches as rows, each folded by XOR to so many words; the fold is the sketch of so many bits.  Shorter ones are zero."""
+    out = np.zeros((len(sketches), words), np.uint64)  # bits of signed numbers are counted without their sign
+    for i, x in enumerate(sketches):
+        while len(x) > words:
             x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        rows.append(x)
-    return np.array(rows, np.uint64).reshape(len(rows), -1)
+        if len(x) == words:
+            out[i] = x.view(np.uint64)
+    return out
+
+
+def flips(a: Column, b: Column) -> Column:
+    """Bits in which sketches of sets differ of which none has twice the size of the other; the longer is folded to the shorter."""
+
+    def folded(s: Column, other: Column) -> Column:
+        half = F.size(other)
+        return F.when(F.size(s) > half, F.zip_with(F.slice(s, 1, half), F.slice(s, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(s)
+
+    return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
 
 
 def _set_id(hashes: np.ndarray) -> int:
@@ -133,7 +143,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
             yield out
 
     side = docs.withColumn("_id", F.col("_id").cast("string"))
-    return side.mapInPandas(run, "n bigint, set bigint, sketch binary, _key string, _id string").withColumn("_id", F.col("_id").cast(kind))
+    return side.mapInPandas(run, "n bigint, set bigint, sketch array<bigint>, _key string, _id string").withColumn("_id", F.col("_id").cast(kind))
 
 
 def _grouped_rows(batches: Iterator[pd.DataFrame], col: str) -> Iterator[tuple[int, pd.DataFrame]]:
@@ -316,61 +326,53 @@ def _index(docs: DataFrame, keys: int, again: bool = False) -> DataFrame:
     return materialize(found.distinct() if again else found, "jaccard-index")
 
 
-def _linked(pairs: DataFrame, profiles: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of set ids whose sets are linked: sizes and sketches first, then the whole sets."""
+def _near(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of set ids whose sizes and sketches allow a link."""
     side = profiles.select("set", "n", "sketch")
-    near = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
+    both = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
+    both = both.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    return materialize(both.where((100 + PERCENT) * flips(F.col("sa"), F.col("sb")) <= (100 - PERCENT) * (F.col("na") + F.col("nb"))).select("a", "b"), "jaccard-pairs")
 
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                size = np.minimum(batch["sa"].map(len), batch["sb"].map(len))
-                for k, own in batch.groupby(size):
-                    flips = np.bitwise_count(_folded(own["sa"], k) ^ _folded(own["sb"], k)).sum(axis=1)
-                    yield own.loc[flips <= most_apart(own["na"], own["nb"]).to_numpy(), ["a", "b"]]
 
-    near = materialize(near.where("100 * least(na, nb) >= 80 * greatest(na, nb)").mapInPandas(close, "a bigint, b bigint"), "jaccard-pairs")
-    need = near.select(F.col("a").alias("set")).union(near.select("b")).distinct()
-    texts = docs.join(bounded(profiles.join(need, "set").select("_key", "set"), BROADCAST_ROWS), "_key").dropDuplicates(["set"])
+def _linked(near: DataFrame, profiles: DataFrame, docs: DataFrame, again: bool) -> DataFrame:
+    """Those pairs (a, b) of set ids whose whole sets are linked.  `again` tells whether whole rows of docs are repeated."""
+    few = small_enough(near, BROADCAST_ROWS // 2)
+    need = near.select(F.explode(F.array("a", "b")).alias("set"))
+    keys = profiles.join(F.broadcast(need) if few else need.distinct(), "set", "left_semi").select("_key", "set")
+    texts = docs.join(F.broadcast(keys) if few else bounded(keys, BROADCAST_ROWS), "_key").select("set", "_t")
+    if again:
+        texts = texts.dropDuplicates(["set"])
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = batch["set"].to_numpy()
-            rows = [(int(sets[i]), h.tobytes()) for i, h in _sets(batch)]
-            yield pd.DataFrame(rows, columns=["set", "h"])
-
-    sets = materialize(texts.select("set", "_t").mapInPandas(whole, "set bigint, h binary"), "jaccard-sets")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch["ha"], batch["hb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield batch.loc[np.array(ok, bool), ["a", "b"]]
+            sets, texts = batch["set"].to_numpy(), batch["_t"].tolist()
+            for i, j in batches_of(texts):
+                yield pd.DataFrame({"set": sets[i:j], "h": [h.view(np.int64) for h in word_shingles(texts[i:j], SHINGLE)]})
 
-    full = near.join(sets.toDF("b", "hb"), "b").join(sets.toDF("a", "ha"), "a")
-    return materialize(full.mapInPandas(verify, "a bigint, b bigint"), "jaccard-links")
+    sets = materialize(texts.mapInPandas(whole, "set bigint, h array<bigint>"), "jaccard-sets")
+    full = (F.broadcast(near) if few else near).join(sets.toDF("b", "hb"), "b").join(sets.toDF("a", "ha"), "a")
+    both = full.select("a", "b", (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("both"))
+    return materialize(both.where(f"100 * both >= {PERCENT} * (n - both)").select("a", "b"), "jaccard-links")
 
 
 def _stars(index: DataFrame) -> DataFrame:
     """Pairs of each run's leader (the least by a hash, another for each run) with its other members."""
-    first = index.groupBy("run").agg(F.min(F.struct(F.xxhash64("set", "run"), "set"))["set"].alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = index.groupBy("run").agg(F.min_by("set", F.xxhash64("set", "run")).alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     return index.join(first, "run").where("set <> leader").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
 
 
 def _labels(links: DataFrame, sets: DataFrame) -> DataFrame:
     """(set, c) for each set id: its component, itself where it has no link."""
-    return materialize(sets.join(components(links).toDF("set", "c"), "set", "left").select("set", F.coalesce("c", "set").alias("c")), "jaccard-labels")
+    found = bounded(components(links, BROADCAST_ROWS).toDF("set", "c"), BROADCAST_ROWS)
+    return materialize(sets.join(found, "set", "left").select("set", F.coalesce("c", "set").alias("c")), "jaccard-labels")
 
 
 def _across(index: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Pairs of a run in different components whose sizes and sketches allow a link, found block against block.
+    """Pairs (a, b) of a run in different components whose sizes and sketches allow a link, found block against block.
 
     Of runs with the same members one is taken.
     """
-    rows = index.join(labels, "set")
+    rows = index.join(bounded(labels, BROADCAST_ROWS), "set")
     runs = rows.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("set")).alias("sign"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("sign2")).where("lo <> hi")
     runs = runs.groupBy("sign", "sign2", "k").agg(F.min("run").alias("run")).select("run", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     rows = materialize(rows.join(runs, "run"), "jaccard-mixed").join(profiles.select("set", "n", "sketch"), "set")
@@ -378,14 +380,17 @@ def _across(index: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFra
     rows = rows.select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set", "c", "n", "sketch")
 
     def pairs_of(part: pd.DataFrame) -> set[tuple[int, int]]:
-        ids, comp, n = part["set"].tolist(), part["c"].to_numpy(), part["n"].to_numpy()
-        bits = _folded(part["sketch"].tolist(), min(map(len, part["sketch"])))
+        ids, comp, n, sketches = part["set"].to_numpy(), part["c"].to_numpy(), part["n"].to_numpy(), part["sketch"].tolist()
+        words = np.array([len(s) for s in sketches])
+        bits = {k: _folded(sketches, k) for k in np.unique(words).tolist()}
         found = set()
         for x in range(len(ids) - 1):
             rest = x + 1 + np.flatnonzero((comp[x + 1 :] != comp[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= PERCENT * np.maximum(n[x + 1 :], n[x])))
+            for k, own in bits.items():
+                if len(rest) and words[x] >= k:
+                    rest = rest[(words[rest] < k) | (np.bitwise_count(own[rest] ^ own[x]).sum(axis=1) <= most_apart(n[rest], n[x]))]
             if len(rest):
-                rest = rest[np.bitwise_count(bits[rest] ^ bits[x]).sum(axis=1) <= most_apart(n[rest], n[x])]
-                found.update((min(ids[x], ids[y]), max(ids[x], ids[y])) for y in rest.tolist())
+                found.update(zip(np.minimum(ids[x], ids[rest]).tolist(), np.maximum(ids[x], ids[rest]).tolist()))
         return found
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -400,7 +405,7 @@ def _across(index: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFra
         yield pd.DataFrame(list(found), columns=["a", "b"], dtype=np.int64)
 
     keys = ["run", "i", "j"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "a bigint, b bigint").distinct()
+    return materialize(rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "a bigint, b bigint").distinct(), "jaccard-pairs")
 
 
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -422,12 +427,14 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     profiles = materialize(sets, "jaccard-classes")
     once, again = _once(side.select("_key", "_t"), rows, profiles)
     index = _index(once, int(profiles.agg(F.sum("n")).first()[0] or 0), again)
-    links = _linked(_stars(index), profiles, side)
+    links = _linked(_near(_stars(index), profiles), profiles, side, again)
     labels = _labels(links, profiles.select("set"))
-    more = _linked(_across(index, labels, profiles), profiles, side)
+    more = _linked(_across(index, labels, profiles), profiles, side, again)
     if more.limit(1).count():
-        labels = _labels(links.unionByName(more), profiles.select("set"))
-    named = profiles.select("set", "low").join(labels, "set")
+        # the components found so far are stars already
+        stars = labels.where("set <> c").select(F.col("set").alias("a"), F.col("c").alias("b"))
+        labels = _labels(stars.union(more.select("a", "b")), profiles.select("set"))
+    named = profiles.select("set", "low").join(bounded(labels, BROADCAST_ROWS), "set")
     least = named.groupBy("c").agg(F.min("low").alias("component_id"))
     of = named.join(least, "c").select("set", "component_id", F.col("c").alias("class"))
     out = rows.select("_id", "_key", "n", "set").join(of, "set", "left")

@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from readforge.llm import bpe, common, decontamination, html_text, jaccard_join, posting_lists, quality, repeats, url_rules, warc, wordpiece
+from readforge.llm import bpe, common, components, decontamination, html_text, jaccard_join, posting_lists, quality, repeats, url_rules, warc, wordpiece
 from readforge.llm.common import fresh_path
 
 SF = "/root/testdata/sf0.001"
@@ -513,6 +513,72 @@ def test_copies_are_left_out_once(spark, monkeypatch, rows):
         assert kept[0][1] == again and all(stand[t.encode()] == (4 if again and t == texts[3] else 1) for t in texts)
 
 
+@pytest.mark.parametrize("limit", [0, 300_000])
+def test_components_of_any_graph(spark, tmp_path, monkeypatch, limit):
+    """Smallest nodes by brute force, with minima joined or broadcast; edges that are stars already take no round."""
+    rng = random.Random(6)
+    chain = [*range(100, 140), 7]
+    rng.shuffle(chain)
+    edges = [(rng.randrange(-40, 40), rng.randrange(-40, 40)) for _ in range(45)] + list(zip(chain, chain[1:])) + [(500, x) for x in range(501, 700)] + [(3, 3), (500, 501)]
+    of = {x: x for e in edges for x in e}
+    for a, b in edges:
+        x, y = of[a], of[b]
+        of = {k: min(x, y) if c in (x, y) else c for k, c in of.items()}
+    rounds, write = [], common.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label: rounds.append(label) or write(df, label))
+    found = components.components(spark.createDataFrame(edges, "a long, b long"), limit)
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(got) == sorted((k, c) for k, c in of.items() if k != c) and rounds
+    rounds.clear()
+    assert sorted(tuple(r) for r in components.components(found.toDF("a", "b"), limit).collect()) == sorted(got) and not rounds
+    assert components.components(found.toDF("a", "b").limit(0), limit).count() == 0 and not rounds
+
+
+def test_sketches_in_columns(spark):
+    """Bits that differ, where words have their sign and where one sketch is folded, as by numpy."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in (1, 5, 16, 20, 22, 23, 90, 100, 700, 900):
+        x = rng.integers(0, 1 << 64, n, np.uint64)
+        y = np.concatenate([x[: n - n // 9], rng.integers(0, 1 << 64, n // 9, np.uint64), rng.integers(0, 1 << 64, n // 20, np.uint64)])
+        rows += [(jaccard_join.sketch(x), jaccard_join.sketch(y)), (jaccard_join.sketch(y), jaccard_join.sketch(x))]
+    assert {len(a) / len(b) for a, b in rows} >= {1, 2, 0.5} and min(a.min() for a, _ in rows) < 0
+    docs = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in rows], "a array<long>, b array<long>")
+    got = [r.n for r in docs.select(jaccard_join.flips(F.col("a"), F.col("b")).alias("n")).collect()]
+    want = []
+    for a, b in rows:
+        k = min(len(a), len(b))
+        p, q = (np.bitwise_xor.reduce(np.unpackbits(s.view(np.uint8)).reshape(-1, 64 * k)) for s in (a, b))
+        want.append(int((p != q).sum()))
+        assert np.bitwise_count(jaccard_join._folded([a], k) ^ jaccard_join._folded([b], k)).sum() == want[-1]
+    assert got == want
+
+
+def test_likeness_takes_few_stages(spark):
+    """Each stage of a join, a sum or a round has as many tasks as there are partitions, however few the rows."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    base = [[rng.choice(words) for _ in range(80)] for _ in range(12)]
+    texts = [" ".join([*b[:k], *(rng.choice(words) for _ in range(rng.randrange(8))), *b[k:]]) for b in base for k in rng.sample(range(80), 8)]
+    _, of = groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    context, track = spark.sparkContext, spark.sparkContext.statusTracker()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        context.setJobGroup("few-stages", "stages of op9")
+        got = {r.doc_id: r.component_id for r in jaccard_join.similar(docs).collect()}
+        stages = {s for j in track.getJobIdsForGroup("few-stages") for s in track.getJobInfo(j).stageIds}
+        tasks = [i.numCompletedTasks for s in stages if (i := track.getStageInfo(s))]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {i: of.index(of[i]) for i in range(len(texts))}
+    assert sum(n >= 13 for n in tasks) <= 24  # 20; 31 before
+
+
 def test_likeness_of_bytes_that_are_no_text(spark):
     """Texts reach the workers as bytes; words that are not UTF-8 are words like any others."""
     words = [b"\xff%d" % i for i in range(60)]
