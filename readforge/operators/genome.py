@@ -42,15 +42,23 @@ def substitutions(bases: DataFrame, genome: DataFrame, by: list[str], cpg: bool
     """Counts of (reference, read) bases for the rows of a pileup walk, by the columns `by`; only where both are A, C, G or T.
 
     cpg: also by whether the reference base is the C or the G of a CG.  Chunks carry their neighbours' edges for that.
+
+    Spark counts the rows of a walk as the reads they are made of, and so would send them all to the driver for an inner join;
+    in an outer one only the genome can be broadcast, if it is small.  The filter needs columns of both sides, as Spark makes an
+    inner join of one that the genome's alone decide.
     """
     if cpg:
-        edge = lambda shift, c: genome.select("ref_id", (F.col("chunk") + shift).alias("chunk"), c.alias(f"_e{shift + 1}"))
-        genome = genome.join(edge(1, F.right("seq", F.lit(1))), ["ref_id", "chunk"], "left").join(edge(-1, F.left("seq", F.lit(1))), ["ref_id", "chunk"], "left")
-    at = bases.withColumn("chunk", F.floor(F.col("site") / CHUNK)).join(genome, ["ref_id", "chunk"])
+        # each chunk tells its neighbours a letter, by a grouping: joins with itself would count as the product of their sizes
+        none = F.lit(None).cast("string")
+        told = lambda shift, **own: F.struct((F.col("chunk") + shift).alias("chunk"), *[own.get(c, none).alias(c) for c in ("seq", "before", "behind")])
+        each = F.array(told(0, seq=F.col("seq")), told(1, before=F.right("seq", F.lit(1))), told(-1, behind=F.left("seq", F.lit(1))))
+        genome = genome.select("ref_id", F.explode(each).alias("_t")).select("ref_id", "_t.*")
+        genome = genome.groupBy("ref_id", "chunk").agg(F.max("seq").alias("seq"), F.max("before").alias("_before"), F.max("behind").alias("_behind")).where("seq is not null")
+    at = bases.withColumn("chunk", F.floor(F.col("site") / CHUNK)).join(genome, ["ref_id", "chunk"], "left")
     place = (F.col("site") - F.col("chunk") * CHUNK).cast("int") + 1
-    at = at.withColumn("ref_base", F.substring("seq", place, F.lit(1)))
+    at = at.withColumn("ref_base", F.coalesce(F.substring("seq", place, F.lit(1)), F.lit("")))
     if cpg:
-        wide = F.concat(F.coalesce("_e2", F.lit("N")), "seq", F.coalesce("_e0", F.lit("N")))
+        wide = F.concat(F.coalesce("_before", F.lit("N")), "seq", F.coalesce("_behind", F.lit("N")))
         at = at.withColumn("cpg", (F.substring(wide, place + 1, F.lit(2)) == "CG") | (F.substring(wide, place, F.lit(2)) == "CG"))
     proper = F.col("ref_base").isin(*"ACGT") & F.col("base").isin(*"ACGT")
     return at.where(proper).groupBy(*by, "ref_base", "base", *(["cpg"] if cpg else [])).agg(F.count("*").alias("c"))

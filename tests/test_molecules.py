@@ -9,7 +9,7 @@ from readforge.functions import fused as U
 from readforge.functions import molecules as M
 from readforge.functions import reads as R
 from readforge.functions import tags as T
-from readforge.operators import molecules, pileup, streams
+from readforge.operators import genome, molecules, pileup, streams
 
 KIND = "qname string, flag int, ref_id bigint, pos int, mapq int, cigar string, mate_ref_id bigint, mate_pos int, isize int, seq string, qual array<int>, tags array<struct<key:string,typ:string,value:string>>"
 NONE = 4294967295
@@ -164,3 +164,27 @@ def test_merging_many_inputs(spark):
     joined = streams.merge_ordered([one, two, three], key, ["v"], {"k": F.first("k"), "v": F.array_join(F.sort_array(F.collect_list("v")), "+")})
     assert [(r.v, r.rn) for r in joined.orderBy("rn").collect()] == [("g", 1), ("a", 2), ("d", 3), ("b+e+f", 4), ("c", 5)]
     assert streams.merge_ordered([one.limit(0), two.limit(0)], key, ["v"]).count() == 0
+
+
+def test_substitutions_broadcast_no_bases(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice("ACGT") for _ in range(700))
+    text = text[:255] + "CG" + text[257:]  # a CG over the edge of two chunks
+    chunks = spark.createDataFrame([(0, k, text[256 * k : 256 * k + 256]) for k in range(3)], "ref_id bigint, chunk bigint, seq string").repartition(2)
+    n, m = 20_000, 80
+    found = spark.range(n).repartition(3).selectExpr("0L ref_id", f"id % {len(text) + 40} pos", f"explode(sequence(0, {m - 1})) i")
+    found = found.selectExpr("ref_id", "pos + i site", "substr('ACGTN', cast((pos * 7 + i) % 5 as int) + 1, 1) base")
+    want = {}
+    for k in range(n):
+        pos = k % (len(text) + 40)
+        for i in range(m):
+            base, site = "ACGTN"[(pos * 7 + i) % 5], pos + i
+            if base != "N" and site < len(text):
+                key = text[site], base, text[site : site + 2] == "CG" or site > 0 and text[site - 1 : site + 1] == "CG"
+                want[key] = want.get(key, 0) + 1
+    for cpg in (True, False):
+        out = genome.substitutions(found, chunks, ["ref_id"], cpg)
+        got = {(r.ref_base, r.base, r.cpg if cpg else None): r.c for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "BuildRight" in plan and "BuildLeft" not in plan
+        assert sum(got.values()) == sum(want.values()) and (not cpg or got == want)
