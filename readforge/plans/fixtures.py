@@ -32,13 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One read for each order, without what stands in its sequence; orders of a customer stand at one place, and so are duplicates."""
+    return spark.sql(HEAD.replace("from orders", "from {o}"), o=table(spark, sf_dir, "orders"))
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One read for each order; orders of a customer stand at one place, and so are duplicates.
+    """Whole reads; orders are dealt over all cores, as a table of few files would not be."""
+    return with_bases(heads(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism))
+
 
-    Orders are dealt over all cores, as a table of few files would not be, and bases are made by a generator, which the
-    optimizer does not copy into each place that uses them.
-    """
-    h = spark.sql(HEAD.replace("from orders", "from {o}"), o=table(spark, sf_dir, "orders")).repartition(spark.sparkContext.defaultParallelism)
+def with_bases(h: DataFrame) -> DataFrame:
+    """Heads with bases, qualities and operations, by a generator, which the optimizer does not copy into each place that uses them."""
     seq = f"array_join(transform(sequence(0L, len-1), i -> {BASE.format(div='div')}), '')"
     made = h.selectExpr("*", f"explode(array(struct({seq} as seq, transform(sequence(0L, len-1), i -> 20 + (k*5 + i*3) % 21) as qual))) as _x")
     return made.select("*", "_x.seq", "_x.qual", F.concat(F.col("len").cast("string"), F.lit("M")).alias("cigar")).drop("_x")

@@ -1,8 +1,9 @@
 """BAM: alignment records in BGZF blocks, read and written by Spark's Python data source interface.
 
 `spark.read.format("bam").load(path)` after `register(spark)` reads a file or a folder of files: BGZF, gzip or plain, and an
-empty file as no records.  A BGZF file is read in stretches of `split` bytes: a task finds the first block of its stretch and
-the first record in it by the chain of records that follows, and reads the records that begin in its stretch.  Filters on
+empty file as no records.  A BGZF file is read in stretches of `split` bytes: a task finds the first block of a stretch and
+the first record in it by the chain of records that follows, and reads the records that begin in the stretch; many small
+stretches share a task.  Filters on
 `ref_id` and `pos` make it read only what an index beside the file (`.bai`) names.
 `df.write.format("bam").option("header", text).save(path)` writes one file for each partition; files appear when the job
 is committed, and those of lost tasks never do.
@@ -13,14 +14,14 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
-from itertools import chain, islice
+from collections.abc import Iterable, Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 #: The letters of base codes and CIGAR operations in the order of their numbers; sizes and formats of tags.
 CODES, OPERATIONS = "-ACMGRSVTWYHKDBN", "MIDNSHP=X"
@@ -30,6 +31,11 @@ SCHEMA = "qname string, flag int, ref_id bigint, pos int, mapq int, cigar string
 _HEX = [CODES[i >> 4] + CODES[i & 15] for i in range(256)]
 #: Bytes of a file that a task reads, records that must follow the guessed start of one, records in a batch.
 SPLIT, FOLLOWING, BATCH = 64 << 20, 8, 4096
+#: Stretches share tasks when there are more of them, but no task takes more than SPLIT bytes for that.
+TASKS = 128
+_SIZE = struct.Struct("<I").unpack_from
+#: The fixed part of a record.
+_FIXED = np.dtype([("ref_id", "<u4"), ("pos", "<i4"), ("n_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_ops", "<u2"), ("flag", "<u2"), ("n_seq", "<i4"), ("mate_ref_id", "<u4"), ("mate_pos", "<i4"), ("isize", "<i4")])
 
 
 def register(spark: SparkSession) -> None:
@@ -86,17 +92,37 @@ def blocks(f, at: int = 0) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
-def find_block(f, start: int, end: int) -> int | None:
+class _Near:
+    """Blocks of a file from any place on; the last ones stay inflated, as they are asked for again where stretches meet."""
+
+    def __init__(self, f, most: int = 8):
+        self.f, self.most, self.held = f, most, {}
+
+    def __call__(self, at: int) -> Iterator[tuple[int, bytes]]:
+        while True:
+            if at not in self.held:
+                self.f.seek(at)
+                if (one := next(blocks(self.f, at), None)) is None:
+                    return
+                if len(self.held) >= self.most:
+                    self.held.pop(next(iter(self.held)))
+                self.held[at] = one[1], self.f.tell()
+            data, after = self.held[at]
+            yield at, data
+            at = after
+
+
+def find_block(near: _Near, start: int, end: int) -> int | None:
     """The first place in [start, end) where a block begins whose checksum fits and that another block or the end follows."""
+    f = near.f
     at = start
     while at < end:
         f.seek(at)
         window = f.read(1 << 17)
         i = window.find(b"\x1f\x8b\x08\x04")
         while i >= 0 and at + i < end:
-            f.seek(at + i)
             try:
-                list(islice(blocks(f, at + i), 2))
+                list(islice(near(at + i), 2))
                 return at + i
             except (ValueError, struct.error, zlib.error):
                 i = window.find(b"\x1f\x8b\x08\x04", i + 1)
@@ -314,6 +340,107 @@ def pack(row) -> bytes:
     return struct.pack("<I", len(body)) + body
 
 
+def smallest_bins(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The smallest bin that holds positions first to last, as `_smallest_bin` of one."""
+    out = np.zeros(len(first), np.int64)
+    for bits, base in ((26, 1), (23, 9), (20, 73), (17, 585), (14, 4681)):
+        out = np.where(first >> bits == last >> bits, base + (first >> bits), out)
+    return out
+
+
+def pieces(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all bytes of pieces of a buffer, one piece after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of strings, one after the other, and their sizes; null is empty."""
+    a = column.cast(pa.string()).fill_null("")
+    edges = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)
+    return np.frombuffer(a.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]], np.diff(edges)
+
+
+def _chosen(values: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of values by their numbers, one after the other, and their sizes."""
+    sizes = np.array(list(map(len, values)), np.int64)
+    return np.frombuffer(b"".join(values), np.uint8)[pieces((np.cumsum(sizes) - sizes)[codes], sizes[codes])], sizes[codes]
+
+
+_CODE_OF = np.full(256, 15, np.uint8)
+_CODE_OF[list(CODES.encode())] = range(16)
+
+
+def pack_batch(batch: pa.RecordBatch) -> tuple[bytes, np.ndarray]:
+    """The bytes of all records of a batch, as `pack` makes them, and their sizes."""
+    made = _packed(batch) if batch.num_rows else (b"", np.zeros(0, np.int64))
+    if made is None:
+        one = [pack(row) for row in batch.to_pylist()]
+        made = b"".join(one), np.array(list(map(len, one)), np.int64)
+    return made
+
+
+def _packed(batch: pa.RecordBatch) -> tuple[bytes, np.ndarray] | None:
+    """As `pack_batch`, by columns; None if a value is missing, too large or no plain letter, which `pack` handles or refuses."""
+    n, column = batch.num_rows, {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+    head = np.zeros(n, [("size", "<u4"), *_FIXED.descr])
+    fields = {c: column[c].fill_null(0) if c == "isize" else column[c] for c in ("ref_id", "pos", "mapq", "flag", "mate_ref_id", "mate_pos", "isize")}
+    if any(a.null_count or not pa.types.is_integer(a.type) for a in fields.values()) or not all(pa.types.is_list(column[c].type) for c in ("qual", "tags")):
+        return None
+    name, n_name = _text(column["qname"])
+    letters, n_seq = _text(column["seq"])
+    cigar = column["cigar"].cast(pa.string()).fill_null("").dictionary_encode()
+    ops_of, ops_at = [[(k, OPERATIONS.index(c)) for k, c in operations(x)] for x in cigar.dictionary.to_pylist()], cigar.indices.to_numpy()
+    if any(k >= 1 << 28 for ops in ops_of for k, _ in ops):
+        return None
+    ops, ops_size = _chosen([struct.pack(f"<{len(x)}I", *[k << 4 | o for k, o in x]) for x in ops_of], ops_at)
+    length = np.array([sum(k for k, o in x if o in (0, 2, 3, 7, 8)) for x in ops_of], np.int64)[ops_at]
+    fields = {c: a.to_numpy(zero_copy_only=False).astype(np.int64) for c, a in fields.items()}
+    pos = fields["pos"]
+    fields |= {"n_name": n_name + 1, "n_seq": n_seq, "n_ops": ops_size // 4, "bin": np.where(pos >= 0, smallest_bins(pos, pos + np.maximum(length, 1) - 1), 4680)}
+    for c, values in fields.items():
+        kind = np.iinfo(_FIXED[c])
+        if values.min() < kind.min or values.max() > kind.max:
+            return None
+        head[c] = values
+    if (letters >= 128).any():
+        return None
+    n_bases = (n_seq + 1) // 2
+    halves = np.zeros(2 * n_bases.sum(), np.uint8)
+    halves[pieces(2 * (np.cumsum(n_bases) - n_bases), n_seq)] = _CODE_OF[letters]
+    found, told = column["qual"].flatten(), column["qual"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if found.null_count or not pa.types.is_integer(found.type):
+        return None
+    found = found.to_numpy(zero_copy_only=False)
+    if len(found) and (found.min() < 0 or found.max() > 255):
+        return None
+    n_qual = np.where(told > 0, told, n_seq)
+    qual = np.full(n_qual.sum(), 255, np.uint8)
+    qual[pieces(np.cumsum(n_qual) - n_qual, told)] = found
+    tags, n_tags = column["tags"].flatten(), column["tags"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    each = dict(zip([f.name for f in tags.type], tags.flatten()))
+    if tags.null_count or any(each[c].null_count for c in ("key", "typ", "value")):
+        return None
+    coded = [each[c].dictionary_encode() for c in ("key", "typ", "value")]
+    number = np.zeros(len(tags), np.int64)
+    for c in coded:
+        number = number * max(len(c.dictionary), 1) + c.indices.to_numpy()
+    _, first, tag_at = np.unique(number, return_index=True, return_inverse=True)
+    kinds = [dict(zip(("key", "typ", "value"), (c.dictionary[c.indices[i].as_py()].as_py() for c in coded))) for i in first.tolist()]
+    tag, tag_size = _chosen([pack_tags([x]) for x in kinds], tag_at)
+    n_tag_bytes = np.diff(np.concatenate([[0], np.cumsum(tag_size)])[np.concatenate([[0], np.cumsum(n_tags)])])
+    sizes = 36 + n_name + 1 + ops_size + n_bases + n_qual + n_tag_bytes
+    head["size"] = sizes - 4
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(sizes.sum(), np.uint8)
+    out[starts[:, None] + np.arange(36)] = head.view(np.uint8).reshape(n, 36)
+    at = starts + 36
+    for data, size, more in ((name, n_name, 1), (ops, ops_size, 0), (halves[::2] << 4 | halves[1::2], n_bases, 0), (qual, n_qual, 0), (tag, n_tag_bytes, 0)):
+        out[pieces(at, size)] = data
+        at = at + size + more
+    return out.tobytes(), sizes
+
+
 def read_head(stream: Stream) -> tuple[str, list[tuple[str, int]]]:
     """Header text and references (name, length); their order is that of reference numbers."""
     if stream.take(4) != MAGIC:
@@ -378,13 +505,12 @@ def _begins(data: bytes, at: int, refs: int, ended: bool) -> bool | None:
     return True
 
 
-def first_record(f, start: int, end: int, refs: int) -> tuple[int, Iterator[tuple[int, bytes]], int] | None:
+def first_record(near: _Near, start: int, end: int, refs: int) -> tuple[int, Iterator[tuple[int, bytes]], int] | None:
     """(block, blocks from it on, place in it) of the first record that begins in a block of [start, end)."""
-    place = find_block(f, start, end)
+    place = find_block(near, start, end)
     if place is None:
         return None
-    f.seek(place)
-    rest, held, data, at, ended = blocks(f, place), [], b"", 0, False
+    rest, held, data, at, ended = near(place), [], b"", 0, False
     limit = 0  # bytes of blocks in which a record of this stretch may begin
     while True:
         answer = None
@@ -403,44 +529,67 @@ def first_record(f, start: int, end: int, refs: int) -> tuple[int, Iterator[tupl
         limit = len(data) if more[0] < end else limit
     for i, (base, part) in enumerate(held):
         if at < len(part):
-            return base, chain(held[i:], rest), at  # a later read of f ends these blocks
+            return base, chain(held[i:], rest), at
         at -= len(part)
     return None
 
 
-def records(f, start: int, end: int | None) -> Iterator[tuple[int, bytes]]:
+def records(f, start: int, end: int | None, split: int | None = None) -> Iterator[tuple[int, bytes]]:
     """(virtual offset, bytes) of the records that begin in blocks of bytes [start, end) of a file, to its end if that is None.
 
     The start of the first record is found by what follows it; the task of the stretch before knows it for certain and fails
     if another one would be found, so what only looks like a record (in a tag, say) is never read as one.  Files without blocks are read whole by the stretch that begins at 0.
+
+    split: [start, end) is many stretches of so many bytes.  The first record of each is found and held against the one that
+    really comes next, as if it had a task of its own; the header is read once, and blocks where stretches meet too.
     """
     head = f.read(18)
     f.seek(0)
     stream, blocked = stream_of(f), is_bgzf(head)
     if stream is None or start and not blocked:
         return
+    near = _Near(f)
+    if blocked:
+        stream = Stream(near(0))
     _, refs = read_head(stream)
     at = stream.offset()
     if at is None:
         return
     if start > at >> 16:  # else this stretch holds the end of the header, or what is before it
-        found = first_record(f, start, end if end is not None else 1 << 62, len(refs))
+        found = first_record(near, start, end if end is not None else 1 << 62, len(refs))
         if found is None:
             return
         stream = Stream(found[1], found[2])
-    stop = end << 16 if blocked and end is not None else None
-    yield from _until(stream, stop)
-    if stop is not None and at < stop:  # the next stretch must find the record that really comes next
-        true = stream.offset()
-        found = first_record(f, end, 1 << 62, len(refs))
-        if true != (found and found[0] << 16 | found[2]):
-            raise ValueError(f"no record can be told from others' contents after byte {end}: read the file with another split")
+    if not blocked:
+        yield from _until(stream, None)
+        return
+    inner = () if split is None else count(start + split, split) if end is None else range(start + split, end, split)
+    told = at  # the last place of a record that was held against what is found
+    for edge in chain(inner, [] if end is None and split else [end]):
+        yield from _until(stream, None if edge is None else edge << 16)
+        if edge is None or at >= edge << 16:
+            continue
+        true = stream.offset()  # the next stretch must find the record that really comes next
+        if true != told:  # else it is the first one of several stretches
+            found = first_record(near, edge, 1 << 62, len(refs))
+            if true != (found and found[0] << 16 | found[2]):
+                raise ValueError(f"no record can be told from others' contents after byte {edge}: read the file with another split")
+            told = true
+        if true is None:
+            return
 
 
 def _until(stream: Stream, end: int | None) -> Iterator[tuple[int, bytes]]:
     while (at := stream.offset()) is not None and (end is None or at < end):
-        size = struct.unpack("<I", stream.take(4))[0]
-        yield at, stream.take(size)
+        data, i, base = stream.data, stream.at, stream.base
+        last = len(data) if end is None or base < end >> 16 else min(len(data), end & 0xFFFF)
+        while i < last and i + 4 <= len(data) and (to := i + 4 + _SIZE(data, i)[0]) <= len(data):  # those that end in this block
+            yield base << 16 | i, data[i + 4 : to]
+            i = to
+        stream.at = i
+        if i < last:
+            at = base << 16 | i
+            yield at, stream.take(struct.unpack("<I", stream.take(4))[0])
 
 
 def records_between(f, start: int, end: int) -> Iterator[tuple[int, bytes]]:
@@ -456,13 +605,66 @@ ARROW = pa.schema([
 ])
 
 
+def fixed_parts(found: Iterable[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Of records: all their bytes, their fixed parts, and a row of places each: of the record, its name's end, operations,
+    bases, qualities, tags and the end.  Lengths that do not fit are an error."""
+    parts = list(found)
+    data, sizes = b"".join(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+    starts = np.cumsum(sizes) - sizes
+    if (sizes < 32).any():
+        raise ValueError("a record is shorter than its fixed part")
+    fixed = np.frombuffer(data, np.uint8)[starts[:, None] + np.arange(32)].view(_FIXED)[:, 0]
+    n_name, n_ops, n_seq = (fixed[c].astype(np.int64) for c in ("n_name", "n_ops", "n_seq"))
+    ops = starts + 32 + n_name
+    seq = ops + 4 * n_ops
+    qual = seq + (n_seq + 1) // 2
+    tags = qual + n_seq
+    if (n_seq < 0).any() or (tags > starts + sizes).any():
+        raise ValueError("a record is shorter than its name, operations and bases")
+    return data, fixed, np.stack([starts, np.maximum(ops - 1, starts + 32), ops, seq, qual, tags, starts + sizes])
+
+
+def alike(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The different pieces of a buffer, and the number of each piece among them."""
+    ids: dict[bytes, int] = {}
+    codes = [ids.setdefault(data[a:b], len(ids)) for a, b in zip(starts.tolist(), ends.tolist())]
+    return list(ids), np.array(codes, np.int32)
+
+
+def show_operations(packed: bytes) -> str:
+    return "".join([f"{x >> 4}{OPERATIONS[x & 15]}" for x in struct.unpack(f"<{len(packed) // 4}I", packed)])
+
+
+def _strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Strings from their bytes, one after the other."""
+    edges = np.cumsum([0, *sizes])
+    if (data >= 128).any():
+        return pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:])], pa.string())
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data))
+
+
+_PAIRS = np.frombuffer("".join(_HEX).encode(), np.uint8).reshape(256, 2)
+
+
 def batches(found: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """Records as Arrow batches of SCHEMA."""
-    while rows := [_fields(data, at) for at, data in islice(found, BATCH)]:
-        columns = list(zip(*rows))
-        qual = np.frombuffer(b"".join(columns[10]), np.uint8).astype(np.int32)
-        edges = np.cumsum([0, *map(len, columns[10])]).astype(np.int32)
-        arrays = [pa.ListArray.from_arrays(edges, qual) if f.name == "qual" else pa.array(c, f.type) for f, c in zip(ARROW, columns)]
+    """Records as Arrow batches of SCHEMA; operations and tags that are alike in a batch are read once."""
+    while rows := list(islice(found, BATCH)):
+        data, fixed, (starts, name, ops, seq, qual, tags, ends) = fixed_parts(x for _, x in rows)
+        raw, n_seq = np.frombuffer(data, np.uint8), tags - qual
+        letters = _PAIRS[raw[pieces(seq, qual - seq)]].reshape(-1)
+        odd = np.cumsum(2 * (qual - seq))[n_seq % 2 == 1] - 1  # the letter behind the last base
+        quals = raw[pieces(qual, n_seq)].astype(np.int32)
+        ops_of, ops_at = alike(data, ops, seq)
+        tags_of, tags_at = alike(data, tags, ends)
+        made = {
+            "qname": _strings(raw[pieces(starts + 32, name - starts - 32)], name - starts - 32),
+            "cigar": pa.array(map(show_operations, ops_of), pa.string()).take(pa.array(ops_at)),
+            "seq": _strings(np.delete(letters, odd), n_seq),
+            "qual": pa.ListArray.from_arrays(np.cumsum([0, *n_seq]).astype(np.int32), quals),
+            "tags": pa.array(map(unpack_tags, tags_of), _TAG).take(pa.array(tags_at)),
+            "virt_offset": pa.array([at for at, _ in rows], pa.int64()),
+        }
+        arrays = [made[f.name] if f.name in made else pa.array(fixed[f.name].astype(f.type.to_pandas_dtype())) for f in ARROW]
         yield pa.RecordBatch.from_arrays(arrays, schema=ARROW)
 
 
@@ -478,10 +680,17 @@ def files_of(path: str) -> list[tuple[str, int]]:
     return [(f"{path.rstrip('/')}/{x.base_name}", x.size) for x in sorted(found, key=lambda x: x.path)]
 
 
+def shared(files: list[tuple[str, int]], split: int) -> Iterator[tuple[str, int, int]]:
+    """(path, start, end) of what a task reads of each file (path, bytes): one stretch of `split` bytes, or several that follow
+    one another if there are more than TASKS."""
+    most = max(1, min(SPLIT, sum(size for _, size in files) // TASKS) // split) * split
+    return ((p, a, min(a + most, size)) for p, size in files for a in range(0, max(size, 1), most))
+
+
 def stretches(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
-    """(path, start, end) in bytes: what tasks read of each file.  One task a row if it is repartitioned by its rows."""
-    rows = [(p, a, min(a + split, size)) for p, size in files_of(path) for a in range(0, max(size, 1), split)]
-    return spark.createDataFrame(rows, "path string, start long, end long").repartition(max(1, len(rows)), "path", "start")
+    """(path, start, end) in bytes: what tasks read of each file, one task a row; see `shared`."""
+    rows = list(shared(files_of(path), split))
+    return spark.createDataFrame(rows, "path string, start long, end long").coalesce(1).repartition(max(1, len(rows)))
 
 
 def read_places(places: DataFrame) -> DataFrame:
@@ -522,14 +731,15 @@ class BamReader(DataSourceReader):
             yield x  # Spark tests them too
 
     def partitions(self):
-        out = []
+        out, whole = [], []
         for path, size in files_of(self.path):
             places = self._places(path)
             if places is not None:
                 out += [_Stretch(path, a, b, True) for a, b in places]
             else:
-                out += [_Stretch(path, a, a + self.split if a + self.split < size else None) for a in range(0, max(size, 1), self.split)]
-        return out
+                whole.append((path, size))
+        sizes = dict(whole)
+        return out + [_Stretch(path, a, b if b < sizes[path] else None) for path, a, b in shared(whole, self.split)]
 
     def _places(self, path: str) -> list[tuple[int, int]] | None:
         """What an index says of the asked references; None without filters on them or without an index."""
@@ -551,7 +761,7 @@ class BamReader(DataSourceReader):
         path, start, end, virtual = partition.value
         system, inner = _opened(path)
         with system.open_input_file(inner) as f:
-            yield from batches(records_between(f, start, end) if virtual else records(f, start, end))
+            yield from batches(records_between(f, start, end) if virtual else records(f, start, end, self.split))
 
 
 class _Written(WriterCommitMessage):
@@ -559,7 +769,7 @@ class _Written(WriterCommitMessage):
         self.name = name
 
 
-class BamWriter(DataSourceWriter):
+class BamWriter(DataSourceArrowWriter):
     def __init__(self, path: str, header: str, level: int, overwrite: bool):
         self.path, self.header, self.level, self.overwrite, self.temporary = path.rstrip("/"), header, level, overwrite, f"_writing-{uuid.uuid4().hex}"
 
@@ -574,15 +784,21 @@ class BamWriter(DataSourceWriter):
             for i in range(0, len(head), MOST_BYTES):
                 f.write(block(head[i : i + MOST_BYTES], self.level))
             held = bytearray()
-            for row in iterator:
-                one = pack(row)
-                if held and len(held) + len(one) > MOST_BYTES:  # a block begins with a record, if records are not longer
-                    f.write(block(bytes(held), self.level))
-                    held = bytearray()
-                held += one
-                while len(held) > MOST_BYTES:
-                    f.write(block(bytes(held[:MOST_BYTES]), self.level))
-                    del held[:MOST_BYTES]
+            for batch in iterator:
+                data, sizes = pack_batch(batch)
+                ends, i, at = np.cumsum(sizes), 0, 0
+                while i < len(ends):
+                    j = int(np.searchsorted(ends, at + MOST_BYTES - len(held), "right"))
+                    if j == i and held:  # a block begins with a record, if records are not longer
+                        f.write(block(bytes(held), self.level))
+                        held = bytearray()
+                        continue
+                    j = max(j, i + 1)
+                    held += data[at : ends[j - 1]]
+                    i, at = j, int(ends[j - 1])
+                    while len(held) > MOST_BYTES:
+                        f.write(block(bytes(held[:MOST_BYTES]), self.level))
+                        del held[:MOST_BYTES]
             if held:
                 f.write(block(bytes(held), self.level))
             f.write(block(b""))

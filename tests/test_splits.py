@@ -3,6 +3,7 @@
 import io
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,60 @@ def test_source_splits_prunes_and_builds(spark, tmp_path):
     assert few.rdd.getNumPartitions() <= 2
     assert sorted(r.pos for r in few.collect()) == [p for p in range(5100, 7001, 100)]
     assert spark.read.format("bam").load(path).where("ref_id = 4294967295").count() == 20
+
+
+def test_small_stretches_share_tasks(spark, tmp_path):
+    bam.register(spark)
+    rows = [row(i, 50) for i in range(3000)]
+    data = write(rows, 9000)
+    path = str(tmp_path / "one.bam")
+    (tmp_path / "one.bam").write_bytes(data)
+    assert len(data) // 100 > 1000
+    found = spark.read.format("bam").option("split", 100).load(path)
+    assert 8 < found.rdd.getNumPartitions() < 300 and 8 < bam.stretches(spark, path, 100).rdd.getNumPartitions() < 300
+    assert sorted(r.qname for r in found.select("qname").collect()) == sorted(r["qname"] for r in rows)
+    wide = list(bam.shared([("a", 3 << 40), ("b", 0)], 4096))
+    assert max(b - a for _, a, b in wide) == bam.SPLIT and wide[-1] == ("b", 0, 0) and sum(b - a for _, a, b in wide) == 3 << 40
+
+
+@pytest.mark.parametrize("size", [300, 5000, 65000])
+def test_stretches_of_one_task(size):
+    rows = [row(i, random.Random(i).choice([0, 30, 90, 200])) for i in range(400)] + [row(400, 3000), row(401, 20), row(402, 9000), row(403, 50)]
+    data = write(rows, size)
+    want = list(bam.records(io.BytesIO(data), 0, None))
+    assert len(want) == len(rows)
+    for split in (200, 1000, 4096, 20_000):
+        for most in (split, 3 * split, 1 << 30):
+            got = [x for a in range(0, len(data), most) for x in bam.records(io.BytesIO(data), a, a + most if a + most < len(data) else None, split)]
+            assert got == want
+    inner = b"".join(bam.pack(row(1000 + i, 40)) for i in range(12))
+    trap = row(5, 100, tags=[{"key": "XB", "typ": "B", "value": "C," + ",".join(map(str, inner))}])
+    data = write([row(0, 50), trap, row(6, 50)], 400)
+    with pytest.raises(ValueError, match="another split"):  # each stretch is still held against what is found in it
+        for split in range(100, 900, 50):
+            assert [bam.unpack(x, 0)[0] for _, x in bam.records(io.BytesIO(data), 0, None, split)] == ["r0", "r5", "r6"]
+
+
+def test_columns_are_packed_and_read_as_single_records():
+    rng = random.Random(4)
+    tags = [None, [], [{"key": "RG", "typ": "Z", "value": "rg1"}], [{"key": "XP", "typ": "i", "value": "-5"}, {"key": "XF", "typ": "f", "value": "1.5"}, {"key": "XB", "typ": "B", "value": "s,1,-2,3"}]]
+    odd = [{}, {"qual": None}, {"cigar": None, "seq": None, "qual": []}, {"qname": None}, {"isize": None}, {"seq": "ACGTNacgt-=.RYKM", "qual": [3] * 16}, {"qname": "é€"}, {"cigar": "3S10M2D5I40000N3=2X1H1P"}]
+    rows = [row(i, rng.choice([0, 1, 30, 51]), rng.choice([-1, 5, 16380, 70_000_000]), rng.choice(tags)) | rng.choice(odd) for i in range(300)]
+    schema = bam.ARROW.remove(12)
+    for n in (300, 1, 0):
+        batch = pa.RecordBatch.from_pylist([{k: r[k] for k in schema.names} for r in rows[:n]], schema)
+        want = [bam.pack(r) for r in rows[:n]]
+        data, sizes = bam.pack_batch(batch)
+        assert data == b"".join(want) and sizes.tolist() == list(map(len, want))
+        back = [tuple(r.values()) for b in bam.batches((i, x[4:]) for i, x in enumerate(want)) for r in b.to_pylist()]
+        assert back == [bam.unpack(x[4:], i) for i, x in enumerate(want)]
+    for wrong in ({"seq": "é"}, {"qual": [300]}, {"flag": 70_000}, {"qname": "x" * 300}, {"pos": None}, {"cigar": "3Q"}):
+        got = []
+        for f in (bam.pack, lambda r: bam.pack_batch(pa.RecordBatch.from_pylist([{k: r[k] for k in schema.names}], schema))[0]):
+            try:
+                got.append(f(rows[0] | wrong))
+            except Exception as e:
+                got.append(type(e))
+        assert got[0] == got[1]
+    with pytest.raises(ValueError, match="shorter"):
+        list(bam.batches(iter([(0, bam.pack(row(0, 50))[4:60])])))
