@@ -10,8 +10,9 @@ from __future__ import annotations
 import io
 import struct
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -156,39 +157,40 @@ def places(rows: list[tuple], ref: int, low: int, high: int, most: int) -> list[
     return out
 
 
+def _length(packed: bytes) -> int:
+    return sum(n for n, o in bam.operations(bam.show_operations(packed)) if o in "MDN=X")
+
+
 def _runs(found: Iterator[tuple[int, bytes]], name: str, last: int) -> Iterator[tuple]:
     """(path, ref_id, bin, window, start, end): runs of records of one bin, and of each run the windows it reaches."""
-
-    def told() -> Iterator[list]:
-        before = None
-        for at, data in found:
-            row = bam.unpack(data, at)
-            if before:
-                before[-1] = at
-                yield before
-            length = sum(n for n, o in bam.operations(row[5]) if o in "MDN=X")
-            end = row[3] + max(length, 1)
-            before = [row[2], bam._smallest_bin(row[3], length), row[3] >> SHIFT, (end - 1) >> SHIFT, at, last] if row[3] >= 0 and row[2] != R.INVALID_REF else [None, None, 0, -1, at, last]
-        if before:
-            yield before
-
-    for (ref, number), rows in groupby(told(), key=lambda r: (r[0], r[1])):
-        if ref is None:
-            continue
-        rows = list(rows)
-        yield name, ref, number, None, rows[0][4], rows[-1][5]
-        least: dict[int, int] = {}
-        for r in rows:
-            for w in range(r[2], r[3] + 1):
-                least.setdefault(w, r[4])
-        for w, at in least.items():
-            yield name, ref, None, w, at, None
+    run = None  # the run that is not yet at its end
+    while rows := list(islice(found, bam.BATCH)):
+        data, fixed, (_, _, ops, seq, *_) = bam.fixed_parts(x for _, x in rows)
+        at, ref, pos = np.array([at for at, _ in rows], np.int64), fixed["ref_id"].astype(np.int64), fixed["pos"].astype(np.int64)
+        different, codes = bam.alike(data, ops, seq)
+        end = pos + np.maximum(np.array([_length(x) for x in different], np.int64)[codes], 1) - 1
+        placed = (pos >= 0) & (ref != R.INVALID_REF)
+        ref, number = np.where(placed, ref, -1), np.where(placed, bam.smallest_bins(pos, end), -1)
+        begins = np.flatnonzero((np.diff(ref, prepend=-2) != 0) | (np.diff(number, prepend=-2) != 0))
+        for i in begins.tolist():
+            if run is None or run[:2] != (ref[i], number[i]):
+                if run is not None and run[0] >= 0:
+                    yield name, run[0], run[1], None, run[2], int(at[i])
+                run = int(ref[i]), int(number[i]), int(at[i])
+        of, low = np.cumsum(np.isin(np.arange(len(at)), begins)), pos >> SHIFT
+        n = np.where(placed, (end >> SHIFT) - low + 1, 0)
+        each = np.repeat(np.arange(len(at)), n)  # a row for each window that a record reaches
+        window = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+        for i in np.unique(np.stack([of[each], window]), axis=1, return_index=True)[1].tolist():
+            yield name, int(ref[each[i]]), None, int(window[i]), int(at[each[i]]), None
+    if run is not None and run[0] >= 0:
+        yield name, run[0], run[1], None, run[2], last
 
 
 def build(spark: SparkSession, path: str, split: int = bam.SPLIT) -> DataFrame:
     """Rows of SCHEMA, an index as BAI has it, for a BAM file sorted by place or a folder of them.
 
-    Each task reads a stretch of a file; the end of its last record is the place where the next stretch begins, which is
+    Each task reads stretches of a file, all once; the end of its last record is the place where the next task begins, which is
     found after all have been read.
     """
 
@@ -197,10 +199,11 @@ def build(spark: SparkSession, path: str, split: int = bam.SPLIT) -> DataFrame:
             for name, start, end in zip(batch["path"], batch["start"], batch["end"]):
                 system, inner = bam._opened(name)
                 with system.open_input_file(inner) as f:
-                    rows = list(_runs(bam.records(f, start, end), name, end << 16))
-                yield pd.DataFrame(rows, columns=["path", "ref_id", "bin", "window", "start", "end"], dtype=object)
+                    found = _runs(bam.records(f, start, end, split), name, end << 16)
+                    while rows := list(islice(found, 100_000)):
+                        yield pd.DataFrame(rows, columns=["path", "ref_id", "bin", "window", "start", "end"], dtype=object)
 
-    rows = bam.stretches(spark, path, split).mapInPandas(run, "path string, ref_id bigint, bin bigint, window bigint, start bigint, end bigint")
+    rows = written(bam.stretches(spark, path, split).mapInPandas(run, "path string, ref_id bigint, bin bigint, window bigint, start bigint, end bigint"), "index-runs")
     bins = rows.where("bin is not null").groupBy("path", "ref_id", "bin", "start").agg(F.max("end").alias("end")).withColumn("window", F.lit(None).cast("bigint"))
     least = rows.where("window is not null").groupBy("path", "ref_id", "window").agg(F.min("start").alias("start"))
     # windows that no record reaches take the place of the one before: at most 32,768 windows for each reference

@@ -159,3 +159,16 @@ def test_columns_are_packed_and_read_as_single_records():
         assert got[0] == got[1]
     with pytest.raises(ValueError, match="shorter"):
         list(bam.batches(iter([(0, bam.pack(row(0, 50))[4:60])])))
+
+
+def test_an_index_reads_records_once(spark, tmp_path):
+    rows = [row(i, 50) for i in range(3000)]
+    path = str(tmp_path / "one.bam")
+    (tmp_path / "one.bam").write_bytes(write(rows, 9000))
+    built = index.build(spark, path, 100)
+    assert "MapInPandas" not in built._jdf.queryExecution().toString()  # not once for each kind of row
+    assert built.where("bin is not null").agg(F.countDistinct("bin")).first()[0] == len({bam._smallest_bin(r["pos"], 50) for r in rows})
+    found = [(i, bam.pack(r)[4:]) for i, r in enumerate(rows[:200] + [row(0, 3, 20_000) | {"cigar": "1M70000N2M"}, row(0, 9, 20_001)])]
+    runs = list(index._runs(iter(found), "f", 999))
+    assert [x[2:] for x in runs if x[2] is not None] == [(4681, None, 0, 164), (4682, None, 164, 200), (585, None, 200, 201), (4682, None, 201, 999)]
+    assert {x[3]: x[4] for x in reversed(runs) if x[3] is not None} == {0: 0, 1: 164, 2: 200, 3: 200, 4: 200, 5: 200}
